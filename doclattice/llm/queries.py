@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doclattice.llm import bpe, chat_format
+from doclattice.llm import bpe, chat_format, quality_rules
 from doclattice.llm.common import prepare, table
 
 try:
@@ -83,3 +83,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = bpe.tokenizer_data(spark, tokenizer_path("byte_bpe_50k.json"))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"))
     return bpe.count_column(docs, data, keep=False).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
+
+
+@query()
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rules = quality_rules.learn_list(quality_rules.labelled_rows(docs, table(spark, sf_dir, "labels")))
+    return quality_rules.apply_list(docs, rules).select("doc_id", *quality_rules.BASE, "base_failed", "kept", "rule")
