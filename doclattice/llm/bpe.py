@@ -66,8 +66,16 @@ class Automaton:
         self.made = {a + b for a, b in merges}
         for time, (a, b) in enumerate(merges):
             self.gadget(a, b, time)
-        self.prefixes = {t[:i] for t in self.halves for i in range(1, len(t) + 1)}
-        self.arcs: dict[tuple[str, str], bool] = {}
+        self.arcs: dict[int, bool] = {}
+        self.tokens: list[str] = []
+        self.trie: dict = {}
+        split: dict[str, list[str]] = {}
+        for t, (a, b, _) in self.halves.items():
+            split[t] = split.get(a, [a]) + split.get(b, [b])
+        for t in sorted({x for symbols in split.values() for x in symbols} - split.keys()):
+            self.add(t, [t])
+        for t, symbols in split.items():
+            self.add(t, symbols)
         self.labels = byte_labels()
 
     def gadget(self, a: str, b: str, time: int) -> None:
@@ -94,35 +102,44 @@ class Automaton:
             for y, y_until in ys
         )
 
-    def has_arc(self, t: str, u: str) -> bool:
-        """Whether the arc u leaves state(t)."""
-        known = self.arcs.get((t, u))
+    def has_arc(self, t: int, u: int) -> bool:
+        """Whether the arc u leaves state(t), tokens by number."""
+        key = t << 32 | u
+        known = self.arcs.get(key)
         if known is None:
-            known = self.arc_at(t, u)
-            if len(self.arcs) >= 1_000_000:
+            known = self.arc_at(self.tokens[t], self.tokens[u])
+            if len(self.arcs) >= 300_000:
                 self.arcs.clear()
-            self.arcs[t, u] = known
+            self.arcs[key] = known
         return known
 
+    def add(self, token: str, symbols: list[str]) -> None:
+        node = self.trie
+        for s in symbols:
+            node = node.setdefault(s, {})
+        node[None] = len(self.tokens)
+        self.tokens.append(token)
+
     def encode(self, symbols: list[str]) -> list[str]:
         """The tokens of a word given by its base symbols."""
-        n, halves, arcs, prefixes = len(symbols), self.halves, self.arcs, self.prefixes
-        if (word := "".join(symbols)) in halves or n == 1:
-            return [word]
-        last: list = [None] * (n + 1)
-        start = [0] * (n + 1)
+        n, trie, arcs, tokens = len(symbols), self.trie, self.arcs, self.tokens
+        last, start = [-1] * (n + 1), [0] * (n + 1)
         for j in range(n):
-            before = last[j]
-            for i in range(j + 1, n + 1):
-                u = word[j:i] if i < n else word[j:]
-                if last[i] is None and (i == j + 1 or u in halves):
-                    if j == 0 or (arcs[before, u] if (before, u) in arcs else self.has_arc(before, u)):
-                        last[i], start[i] = u, j
-                if i < n and u not in prefixes:
+            node, before = trie, last[j]
+            if symbols[j] not in trie:
+                self.add(symbols[j], [symbols[j]])
+            for i in range(j, n):
+                node = node.get(symbols[i])
+                if node is None:
                     break
+                u = node.get(None)
+                if u is not None and last[i + 1] < 0:
+                    ok = j == 0 or arcs.get(before << 32 | u)
+                    if ok or (ok is None and self.has_arc(before, u)):
+                        last[i + 1], start[i + 1] = u, j
         out = []
         while n:
-            out.append(last[n])
+            out.append(tokens[last[n]])
             n = start[n]
         return out[::-1]
 
@@ -136,7 +153,7 @@ class Automaton:
 class Known(dict):
     """Values by key, the most recent 1 or 2 times MOST of them: when full, it becomes the older generation, which what is asked for leaves again."""
 
-    MOST = 200_000
+    MOST = 150_000
     #: Longer keys are computed each time.
     LONGEST = 128
 
@@ -169,13 +186,11 @@ class WordTokenizer:
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pieces = regex.compile(split["pattern"]["Regex"].replace(r"\s", SPACES))
         self.chunks, self.words = Known(self.encode_chunk), Known(self.encode_piece)
-        top = max([*self.ids.values(), *self.special.values()]) + 1
-        self.label = [""] * top
-        for t, i in [*self.ids.items(), *self.special.items()]:
-            self.label[i] = t
 
     def lower(self, text: str) -> str:
         """Each character for itself: a sigma at the end of a word is no other letter than elsewhere."""
+        if text.isascii():
+            return text.lower()
         text = unicodedata.normalize("NFC", text)
         return text.lower() if "Σ" not in text else text.replace("Σ", "σ").lower()
 
@@ -183,7 +198,12 @@ class WordTokenizer:
         return np.array([self.ids[t] for t in self.automaton.encode_bytes(piece) if t in self.ids], "<u4").tobytes()
 
     def encode_chunk(self, chunk: str) -> bytes:
-        return b"".join([self.words[p] for p in self.pieces.findall(self.lower(chunk))])
+        low = self.lower(chunk)
+        if low.isalpha():
+            return self.words[low]
+        if low[:-1].isalpha() and low[-1] in ".,;:!?":
+            return self.words[low[:-1]] + self.words[low[-1]]
+        return b"".join([self.words[p] for p in self.pieces.findall(low)])
 
     def encode_plain(self, text: str) -> bytes:
         chunks = text.split() if ODD.search(text) is None else CHUNK.findall(text)
@@ -199,10 +219,20 @@ class WordTokenizer:
             at = m.end()
         return b"".join([*out, self.encode_plain(text[at:])])
 
+
+class TokenLabels:
+    """The labels of a tokenizer file's arcs, by id."""
+
+    def __init__(self, data: bytes) -> None:
+        spec = json.loads(data)
+        ids = spec["model"]["vocab"] | {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.label = [""] * (max(ids.values()) + 1)
+        for t, i in ids.items():
+            self.label[i] = t
+
     def decode(self, ids: bytes) -> str:
         """The arc labels with a space between them, as files without a decoder have it."""
-        label = self.label
-        return " ".join([label[i] for i in np.frombuffer(ids, "<u4").tolist()])
+        return " ".join(map(self.label.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
 LOADED: dict[tuple, object] = {}
@@ -272,7 +302,7 @@ def decode_column(df: DataFrame, data, ids: str = "token_ids", text: str = "deco
     """Appends the text that packed ids decode to; null for null."""
 
     def make():
-        t = loaded(WordTokenizer, data)
+        t = loaded(TokenLabels, data)
         return lambda packed: [[None if x is None else t.decode(x) for x in packed]]
 
     return map_column(df, ids, [(text, "string", pa.string())], make, keep)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doclattice.llm import bpe, chat_format, quality_rules
+from doclattice.llm import bpe, chat_format, line_dedup, mixing, quality_rules
 from doclattice.llm.common import prepare, table
 
 try:
@@ -91,3 +91,57 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rules = quality_rules.learn_list(quality_rules.labelled_rows(docs, table(spark, sf_dir, "labels")))
     return quality_rules.apply_list(docs, rules).select("doc_id", *quality_rules.BASE, "base_failed", "kept", "rule")
+
+
+@query(
+    r"""
+    WITH pages AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS lines FROM documents),
+    totals AS (SELECT source, count(*) AS pages FROM documents GROUP BY source),
+    held AS (SELECT source, unnest(list_distinct(list_filter(lines, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))) AS line FROM pages),
+    boiler AS (
+      SELECT h.source, h.line FROM held h JOIN totals t ON h.source IS NOT DISTINCT FROM t.source
+      GROUP BY h.source, h.line, t.pages HAVING count(*) >= 3 AND count(*) > 0.05::DOUBLE * t.pages),
+    per_host AS (SELECT source, list(line) AS dropped FROM boiler GROUP BY source),
+    kept AS (
+      SELECT doc_id, p.source, lines, list_filter(lines, lambda x: NOT list_contains(coalesce(b.dropped, []), x)) AS left_lines
+      FROM pages p LEFT JOIN per_host b ON p.source IS NOT DISTINCT FROM b.source)
+    SELECT doc_id, source, array_to_string(left_lines, chr(10)) AS text, len(lines) AS line_count, len(lines) - len(left_lines) AS dropped_count FROM kept
+    """
+)
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return line_dedup.drop_boilerplate(docs).select("doc_id", "source", "text", "line_count", "dropped_count")
+
+
+@query(
+    r"""
+    WITH docs AS (
+      SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, md5(doc_id::VARCHAR) AS key FROM documents),
+    sizes AS (SELECT source, sum(size)::BIGINT AS source_size FROM docs GROUP BY source),
+    ranked AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM sizes),
+    weighed AS (SELECT *, [5, 2, 1][rank % 3 + 1] AS weight FROM ranked),
+    stepped AS (
+      SELECT *, 1.5::DOUBLE * (sum(source_size) OVER ())::BIGINT AS budget,
+        coalesce(sum(source_size) OVER w, 0)::BIGINT AS capped_size,
+        ((sum(weight) OVER ()) - coalesce(sum(weight) OVER w, 0))::BIGINT AS open_weight
+      FROM weighed WINDOW w AS (ORDER BY source_size / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    rated AS (SELECT *, (budget - 2 * capped_size) / open_weight AS rate FROM stepped),
+    final AS (SELECT rate AS final_rate FROM rated WHERE rate * weight <= 2 * source_size ORDER BY source_size / weight, rank LIMIT 1),
+    targets AS (
+      SELECT source, source_size, CASE WHEN source_size = 0 THEN 0.0::DOUBLE
+        ELSE least(coalesce((SELECT final_rate FROM final) * weight, 2.0::DOUBLE * source_size), 2.0::DOUBLE * source_size) END AS target FROM rated),
+    placed AS (
+      SELECT d.doc_id, d.size, t.source_size, t.target, least(floor(t.target / t.source_size), 2)::BIGINT AS whole,
+        coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+      FROM docs d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source)
+    SELECT doc_id, size, source_size, target, CASE WHEN size = 0 THEN 0 ELSE
+      size * least(whole + CASE WHEN 2 * start + size <= 2 * (target - whole * source_size) THEN 1 ELSE 0 END, 2) END::BIGINT AS taken
+    FROM placed
+    """
+)
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    ordered = mixing.curriculum(mixed, untaken=True)
+    return ordered.where("copy <= 1").select("doc_id", "size", "source_size", "target", "taken")
