@@ -16,9 +16,9 @@ state(t) unless some merge (x, y) with x on the right spine of t and y on the
 left spine of u came before the merges that grow x and y further.
 
 For every prefix of a word exactly one accepted sequence spells it. Encoding
-walks the prefixes: ``last[i]`` is the one token that can end at i, namely the
-one whose start j has an arc for it from state(last[j]). Decoding emits the
-labels of the arcs.
+follows the table of transitions from symbol to symbol, takes the longest token
+that the state has an arc for, and goes back where none leads on. Decoding emits
+the labels of the arcs.
 
 What lies between white space, and the pieces of it, are looked up in tables of
 what the worker has encoded before. The tables are bounded (see Known); they
@@ -68,7 +68,9 @@ class Automaton:
             self.gadget(a, b, time)
         self.arcs: dict[int, bool] = {}
         self.tokens: list[str] = []
-        self.trie: dict = {}
+        self.symbols: dict[str, int] = {}
+        self.moves: dict[int, int] = {}
+        self.ends = [-1]
         split: dict[str, list[str]] = {}
         for t, (a, b, _) in self.halves.items():
             split[t] = split.get(a, [a]) + split.get(b, [b])
@@ -76,6 +78,10 @@ class Automaton:
             self.add(t, [t])
         for t, symbols in split.items():
             self.add(t, symbols)
+        # From here on tokens go by number, and the gadgets' removed arcs with them.
+        self.numbers = {t: k for k, t in enumerate(self.tokens)}
+        self.times = {self.numbers[a] << 32 | self.numbers[b]: time for (a, b), time in self.removed.items() if a in self.numbers and b in self.numbers}
+        self.spines: tuple[dict, dict] = ({}, {})
         self.labels = byte_labels()
 
     def gadget(self, a: str, b: str, time: int) -> None:
@@ -102,46 +108,82 @@ class Automaton:
             for y, y_until in ys
         )
 
+    def numbered(self, t: int, side: int) -> list[tuple[int, int]]:
+        """The spine of a token by number, of those with merges only."""
+        found = self.spines[side].get(t)
+        if found is None:
+            numbers = self.numbers
+            found = [(numbers[x], until) for x, until in self.spine(self.tokens[t], side) if x in numbers]
+            self.spines[side][t] = found
+        return found
+
     def has_arc(self, t: int, u: int) -> bool:
-        """Whether the arc u leaves state(t), tokens by number."""
+        """Whether the arc u leaves state(t), tokens by number. As arc_at, after all gadgets."""
         key = t << 32 | u
         known = self.arcs.get(key)
         if known is None:
-            known = self.arc_at(self.tokens[t], self.tokens[u])
+            times, ys, known = self.times, self.numbered(u, 0), True
+            for x, x_until in self.numbered(t, 1):
+                for y, y_until in ys:
+                    time = times.get(x << 32 | y)
+                    if time is not None and time < x_until and time <= y_until:
+                        known = False
             if len(self.arcs) >= 300_000:
                 self.arcs.clear()
             self.arcs[key] = known
         return known
 
     def add(self, token: str, symbols: list[str]) -> None:
-        node = self.trie
+        """The token's path in the table of transitions: from a node, by the number of a symbol, to a node."""
+        node = 0
         for s in symbols:
-            node = node.setdefault(s, {})
-        node[None] = len(self.tokens)
+            key = node << 20 | self.symbols.setdefault(s, len(self.symbols))
+            if key not in self.moves:
+                self.moves[key] = len(self.ends)
+                self.ends.append(-1)
+            node = self.moves[key]
+        self.ends[node] = len(self.tokens)
         self.tokens.append(token)
 
+    def matches(self, codes: list[int], at: int) -> list[tuple[int, int]]:
+        """The tokens that can start there, with their ends, the longest last."""
+        node, out, moves, ends = 0, [], self.moves, self.ends
+        for i in range(at, len(codes)):
+            node = moves.get(node << 20 | codes[i])
+            if node is None:
+                break
+            if (u := ends[node]) >= 0:
+                out.append((u, i + 1))
+        return out
+
     def encode(self, symbols: list[str]) -> list[str]:
-        """The tokens of a word given by its base symbols."""
-        n, trie, arcs, tokens = len(symbols), self.trie, self.arcs, self.tokens
-        last, start = [-1] * (n + 1), [0] * (n + 1)
-        for j in range(n):
-            node, before = trie, last[j]
-            if symbols[j] not in trie:
-                self.add(symbols[j], [symbols[j]])
-            for i in range(j, n):
-                node = node.get(symbols[i])
-                if node is None:
+        """The tokens of a word given by its base symbols.
+
+        Every path of arcs from the start spells a prefix and is the one for that
+        prefix, so a place that has been left for lack of an arc is not seen again.
+        """
+        if any(s not in self.symbols for s in symbols):
+            for s in symbols:
+                if s not in self.symbols:
+                    self.add(s, [s])
+        codes = [self.symbols[s] for s in symbols]
+        n, path, arcs = len(codes), [], self.arcs
+        at, stack = 0, [self.matches(codes, 0)] if codes else []
+        while at < n:
+            for_now = stack[-1]
+            while for_now:
+                u, end = for_now.pop()
+                ok = not path or arcs.get(path[-1] << 32 | u)
+                if ok or (ok is None and self.has_arc(path[-1], u)):
+                    path.append(u)
+                    at = end
+                    if at < n:
+                        stack.append(self.matches(codes, at))
                     break
-                u = node.get(None)
-                if u is not None and last[i + 1] < 0:
-                    ok = j == 0 or arcs.get(before << 32 | u)
-                    if ok or (ok is None and self.has_arc(before, u)):
-                        last[i + 1], start[i + 1] = u, j
-        out = []
-        while n:
-            out.append(tokens[last[n]])
-            n = start[n]
-        return out[::-1]
+            else:
+                stack.pop()
+                path.pop()
+        return [self.tokens[u] for u in path]
 
     def encode_bytes(self, piece: str) -> list[str]:
         symbols = [self.labels[b] for b in piece.encode("utf-8", "surrogatepass")]
