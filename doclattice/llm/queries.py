@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doclattice.llm import bpe, chat_format, line_dedup, mixing, quality_rules
+from doclattice.llm import bpe, chat_format, line_dedup, mixing, quality_rules, warc
 from doclattice.llm.common import prepare, table
 
 try:
@@ -145,3 +145,28 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     ordered = mixing.curriculum(mixed, untaken=True)
     return ordered.where("copy <= 1").select("doc_id", "size", "source_size", "target", "taken")
+
+
+BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+#: A digest's 40 hex digits as 32 letters: 5 digits make 4 letters.
+BASE32_SQL = " || ".join(
+    f"substr('{BASE32}', (((('0x' || substr(h, {5 * g + 1}, 5))::BIGINT) >> {s}) & 31)::INT + 1, 1)" for g in range(8) for s in (15, 10, 5, 0)
+)
+
+
+@query(
+    f"""
+    WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+    f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first_id FROM p)
+    SELECT page_id, octet_length(html::BLOB)::BIGINT AS payload_bytes, {BASE32_SQL} AS payload_digest,
+      CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+      CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+    FROM f
+    """.replace("octet_length(html::BLOB)", "strlen(html)")
+)
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    folder = warc.archive_folder(spark)
+    manifest = warc.write_archive(warc.digests(table(spark, sf_dir, "pages")), folder)
+    found = warc.read_archive(spark, manifest, folder, payloads=False)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
