@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doclattice.llm import bpe, chat_format, line_dedup, mixing, quality_rules, warc
+from doclattice.llm import bpe, chat_format, line_dedup, mixing, quality_rules, toxicity, warc
 from doclattice.llm.common import prepare, table
 
 try:
@@ -170,3 +170,13 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = warc.write_archive(warc.digests(table(spark, sf_dir, "pages")), folder)
     found = warc.read_archive(spark, manifest, folder, payloads=False)
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query()
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = toxicity.training_rows(docs, table(spark, sf_dir, "labels")).collect()
+    model = spark.sparkContext.broadcast(toxicity.learn([(r.text, r.toxic) for r in rows]))
+    scored = toxicity.score_column(docs.withColumn("held_out", toxicity.held_out()), model, keep=False)
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("hits").cast("long").alias("n_hits"))
