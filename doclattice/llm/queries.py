@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doclattice.llm import bpe, chat_format, line_dedup, mixing, quality_rules, toxicity, warc
+from doclattice.llm import bpe, chat_format, line_dedup, mixing, near_join, quality_rules, toxicity, warc
 from doclattice.llm.common import prepare, table
 
 try:
@@ -180,3 +180,9 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = spark.sparkContext.broadcast(toxicity.learn([(r.text, r.toxic) for r in rows]))
     scored = toxicity.score_column(docs.withColumn("held_out", toxicity.held_out()), model, keep=False)
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("hits").cast("long").alias("n_hits"))
+
+
+@query()
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return near_join.join_documents(table(spark, sf_dir, "documents"))
