@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doclattice.llm import bpe, chat_format, line_dedup, mixing, near_join, quality_rules, toxicity, warc
+from doclattice.llm import bpe, chat_format, line_dedup, mixing, near_join, quality_rules, toxicity, warc, webp
 from doclattice.llm.common import prepare, table
 
 try:
@@ -186,3 +186,22 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return near_join.join_documents(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op2_lossless_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    stored = webp.store_column(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=False)
+    read = webp.read_column(stored)
+    size = F.greatest(F.lit(64), F.ceil(F.col("n_bytes") / 64) * 64).cast("long")
+    payload = F.substring("pixels", F.lit(1), size.cast("int"))
+    return read.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length(payload).cast("long").alias("payload_bytes"),
+        F.sha2(payload, 256).alias("payload_sha256"),
+        F.crc32(F.substring(payload, F.octet_length(payload) - 63, F.lit(64))).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        "feature",
+    )
