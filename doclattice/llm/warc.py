@@ -39,6 +39,8 @@ VERSION = b"WARC/1.0\r\n"
 #: A candidate member must show the version line within so many compressed bytes.
 HEAD = 512
 BLOCK = 1 << 20
+#: Most digests of equal payloads that are broadcast, about 150 bytes each; more are joined by a shuffle.
+BROADCAST_DIGESTS = 100_000
 
 
 def digests(pages: DataFrame, least: int = 0) -> DataFrame:
@@ -51,16 +53,20 @@ def digests(pages: DataFrame, least: int = 0) -> DataFrame:
 
     rows = pages.select("page_id", "url", F.coalesce(F.encode("html", "utf-8"), F.lit(b"")).alias("payload"))
     dug = rows.mapInArrow(run, "page_id long, url string, payload binary, payload_digest string")
-    # Which row of each digest is first: known from narrow rows, aggregated before the shuffle.
+    # Which row of each digest is first: from narrow rows, aggregated before the shuffle.
     place = F.struct(F.col("page_id").isNull().alias("n"), F.col("page_id").alias("p"), F.coalesce("url", F.lit("")).alias("u"))
     long = F.octet_length("payload") >= least
-    first = dug.where(long).groupBy(F.col("payload_digest").alias("d")).agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    # Repeated rows (one page_id, url and payload) are numbered, the others need not be.
-    alike = dug.where(long).groupBy(F.col("payload_digest").alias("ad"), place.alias("at")).agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("ad", "at", F.lit(True).alias("alike"))
-    marked = dug.join(first, (F.col("payload_digest") == F.col("d")) & long, "left").withColumn("place", place)
-    marked = marked.join(alike, (F.col("payload_digest") == F.col("ad")) & (F.col("place") == F.col("at")), "left")
-    number = F.row_number().over(Window.partitionBy("payload_digest", "place").orderBy(F.lit(0)))
-    numbered = marked.where("alike IS NULL").withColumn("number", F.lit(1)).unionByName(marked.where("alike").withColumn("number", number))
+    alike = dug.where(long).groupBy(F.col("payload_digest").alias("d"), place.alias("place")).agg(F.count(F.lit(1)).alias("k"))
+    first = alike.groupBy("d").agg(F.min(F.struct("place", "k")).alias("f"), F.sum("k").alias("n")).where("n > 1")
+    first = first.select("d", F.col("f.place").alias("first"), F.col("f.k").alias("k")).checkpoint()
+    count, most = first.agg(F.count(F.lit(1)), F.max("k")).first()
+    joined = dug.join(F.broadcast(first) if count <= BROADCAST_DIGESTS else first, (F.col("payload_digest") == F.col("d")) & long, "left").withColumn("place", place)
+    # Of repeated rows (one page_id, url and payload) that come first, one is the response.
+    repeated = F.coalesce((F.col("k") > 1) & (F.col("place") == F.col("first")), F.lit(False))
+    numbered = joined.withColumn("number", F.lit(1))
+    if (most or 0) > 1:
+        number = F.row_number().over(Window.partitionBy("payload_digest").orderBy(F.lit(0)))
+        numbered = numbered.where(~repeated).unionByName(joined.where(repeated).withColumn("number", number))
     revisit = F.col("d").isNotNull() & ((F.col("place") != F.col("first")) | (F.col("number") > 1))
     return numbered.select(
         "page_id",
