@@ -59,12 +59,13 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap:
     return reached.select("source", "source_size", "rank", "weight", target.alias("target"))
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "source", count_words(F.col("text")).alias("size"))
+def sized(docs: DataFrame, *more: str) -> DataFrame:
+    return docs.select("doc_id", "source", count_words(F.col("text")).alias("size"), *more)
 
 
 def offsets(docs: DataFrame, sources: DataFrame) -> DataFrame:
-    """doc_id, source, size -> and the source's columns, start: the sizes before it in its source's order."""
+    """sized() -> and the source's columns, start: the sizes before it in its source's order."""
+    more = [c for c in docs.columns if c not in ("doc_id", "source", "size")]
     keyed = docs.withColumn("key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))).withColumn("bucket", F.substring("key", 1, 3))
     sums = keyed.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     over = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -74,7 +75,7 @@ def offsets(docs: DataFrame, sources: DataFrame) -> DataFrame:
     joined = placed.join(sums, F.col("source").eqNullSafe(F.col("of")) & (F.col("bucket") == F.col("in")))
     named = sources.withColumnRenamed("source", "name")
     return joined.join(named, F.col("source").eqNullSafe(F.col("name"))).select(
-        "doc_id", "source", "size", "source_size", "rank", "target", "key", (F.col("before") + F.col("inner")).alias("start")
+        "doc_id", "source", "size", "source_size", "rank", "target", "key", (F.col("before") + F.col("inner")).alias("start"), *more
     )
 
 
@@ -103,10 +104,10 @@ def position(share: Column, schedule) -> Column:
     return out
 
 
-def curriculum(taken: DataFrame, schedules=SCHEDULES, partitions: int | None = None, untaken: bool = False) -> DataFrame:
-    """with_taken() -> a row for each time that a document is taken, with copy (from 1) and position, range-sorted by position.
+def placed(taken: DataFrame, schedules=SCHEDULES, untaken: bool = False) -> DataFrame:
+    """with_taken() -> a row for each time that a document is taken, with copy (from 1) and position.
 
-    untaken: documents that the mix doesn't take have a row with copy 0 and no position, before all others.
+    untaken: documents that the mix doesn't take have a row with copy 0 and no position.
     """
     copies = F.sequence(F.when(F.col("times") > 0, 1).otherwise(0), F.col("times").cast("int"))
     each = (taken if untaken else taken.where("times > 0")).withColumn("copy", F.explode(copies))
@@ -115,8 +116,13 @@ def curriculum(taken: DataFrame, schedules=SCHEDULES, partitions: int | None = N
     for k, s in enumerate(schedules):
         value = position(share, s)
         place = F.when(F.col("rank") % len(schedules) == k, value) if place is None else place.when(F.col("rank") % len(schedules) == k, value)
-    placed = each.withColumn("position", F.when(F.col("copy") > 0, place)).drop("start", "rank", "times")
-    dealt = placed.repartitionByRange(partitions, "position", "key", "copy") if partitions else placed.repartitionByRange("position", "key", "copy")
+    return each.withColumn("position", F.when(F.col("copy") > 0, place)).drop("start", "rank", "times")
+
+
+def curriculum(taken: DataFrame, schedules=SCHEDULES, partitions: int | None = None, untaken: bool = False) -> DataFrame:
+    """placed(), range-sorted by position; rows without one come first."""
+    rows = placed(taken, schedules, untaken)
+    dealt = rows.repartitionByRange(partitions, "position", "key", "copy") if partitions else rows.repartitionByRange("position", "key", "copy")
     return dealt.sortWithinPartitions("position", "key", "copy")
 
 
