@@ -1,17 +1,20 @@
-"""Registry of the reference operators: name -> (query, oracle SQL)."""
+"""Registry of the reference operators: name -> query, name -> oracle SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from doclattice.plans import base, structure_queries  # noqa: F401
+
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/nation.parquet")
+    """Which sections describe a unit, best first."""
+    return structure_queries.w11_section_numbers(spark, sf_dir)
 
 
 def queries() -> dict:
-    return {}
+    return dict(base.QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(base.ORACLE_SQL)
