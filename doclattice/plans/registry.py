@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from doclattice.plans import base, structure_queries  # noqa: F401
+from doclattice.plans import base, graph_queries, structure_queries  # noqa: F401
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which sections describe a unit, best first."""
-    return structure_queries.w11_section_numbers(spark, sf_dir)
+    return graph_queries.j3_o3_p24_p26_a23_sections_for_units(spark, sf_dir)
 
 
 def queries() -> dict:
