@@ -44,7 +44,11 @@ def inverted_index(docs: DataFrame, key: str, text: str) -> DataFrame:
 def bm25(docs: DataFrame, key: str, text: str, query: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """key, score of the documents with a query term."""
     tokens = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
-    sized = docs.select(key, F.size(tokens).alias("length"), *(F.size(F.filter(tokens, lambda w, t=t: w == t)).alias(f"tf{i}") for i, t in enumerate(query)))
+
+    def count_of(term):
+        return F.size(F.filter(tokens, lambda w: w == F.lit(term)))
+
+    sized = docs.select(key, F.size(tokens).alias("length"), *(count_of(t).alias(f"tf{i}") for i, t in enumerate(query)))
     stats = sized.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"), *(F.sum((F.col(f"tf{i}") > 0).cast("int")).alias(f"df{i}") for i in range(len(query))))
     score = F.lit(0.0)
     for i in range(len(query)):
