@@ -172,9 +172,9 @@ def shingles(text: Column, size: int = 3, longer_than: int = 10) -> Column:
 
 
 def human_size(n: Column) -> Column:
-    """Bytes as B, KB, MB, GB or TB with one digit."""
+    """Bytes as B, KB, MB, GB or TB with one digit, ties to even."""
     out = None
     for k, unit in enumerate(("B", "KB", "MB", "GB")):
-        part = F.concat(F.format_string("%.1f", n / float(1024**k)), F.lit(f" {unit}"))
+        part = F.concat(F.format_string("%.1f", F.bround(n / float(1024**k), 1)), F.lit(f" {unit}"))
         out = F.when(n < 1024 ** (k + 1), part) if out is None else out.when(n < 1024 ** (k + 1), part)
-    return out.otherwise(F.concat(F.format_string("%.1f", n / float(1024**4)), F.lit(" TB")))
+    return out.otherwise(F.concat(F.format_string("%.1f", F.bround(n / float(1024**4), 1)), F.lit(" TB")))
