@@ -370,21 +370,24 @@ class TokenCounter:
         self.pieces = regex.compile(split.replace(r"[^\s", "[^" + SPACES).replace(r"\s", f"[{SPACES}]").replace(r"\S", f"[^{SPACES}]"))
         byte = {c: b for b, c in enumerate(self.labels)}
         self.alone = {bytes(byte[c] for c in t) for t in model["vocab"] if all(c in byte for c in t) and self.merged(list(t)) == 1}
-        self.chunks = Known(self.count_pieces)
+        self.chunks, self.words = Known(self.count_pieces), Known(self.count_piece)
 
     def merged(self, symbols: list[str]) -> int:
         """How many tokens the merges leave of these symbols: the best-ranked pair first, from the left."""
         ranks = self.ranks
         n = len(symbols)
         if n < 40:
-            while n > 1:
-                best = min([(ranks.get(p, 1 << 60), i) for i, p in enumerate(zip(symbols, symbols[1:]))])
-                if best[0] == 1 << 60:
-                    break
-                i = best[1]
+            none = 1 << 60
+            pairs = [ranks.get(p, none) for p in zip(symbols, symbols[1:])]
+            while pairs and (best := min(pairs)) != none:
+                i = pairs.index(best)
                 symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
-                n -= 1
-            return n
+                del pairs[i]
+                if i:
+                    pairs[i - 1] = ranks.get((symbols[i - 1], symbols[i]), none)
+                if i < len(pairs):
+                    pairs[i] = ranks.get((symbols[i], symbols[i + 1]), none)
+            return len(symbols)
         after, before = [*range(1, n), -1], [-1, *range(n - 1)]
         heap = [(ranks[p], i, p) for i, p in enumerate(zip(symbols, symbols[1:])) if p in ranks]
         heapq.heapify(heap)
@@ -403,12 +406,17 @@ class TokenCounter:
                     heapq.heappush(heap, (ranks[p], k, p))
         return n
 
+    def count_piece(self, piece: str) -> int:
+        data = piece.encode("utf-8", "surrogatepass")
+        return 1 if data in self.alone else self.merged([self.labels[b] for b in data])
+
     def count_pieces(self, text: str) -> int:
-        total, labels, alone = 0, self.labels, self.alone
-        for piece in self.pieces.findall(text):
-            data = piece.encode("utf-8", "surrogatepass")
-            total += 1 if data in alone else self.merged([labels[b] for b in data])
-        return total
+        words, bare = self.words, text[1:] if text[:1] == " " else text
+        if bare.isalpha():
+            return words[text]
+        if bare[:-1].isalpha() and bare[-1] in ".,;:!?":
+            return words[text[:-1]] + words[text[-1]]
+        return sum(map(words.__getitem__, self.pieces.findall(text)))
 
     def count_plain(self, text: str) -> int:
         """Spaces part pre-tokens and go with what follows; only of several in a row do the others stand together, so such texts are split as a whole."""
