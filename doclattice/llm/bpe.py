@@ -195,7 +195,7 @@ class Automaton:
 class Known(dict):
     """Values by key, the most recent 1 or 2 times MOST of them: when full, it becomes the older generation, which what is asked for leaves again."""
 
-    MOST = 150_000
+    MOST = 100_000
     #: Longer keys are computed each time.
     LONGEST = 128
 
@@ -294,7 +294,7 @@ def tokenizer_data(spark, path: str):
         return spark.sparkContext.broadcast(f.read())
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 8 << 20):
+def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20):
     """Parts of a batch with up to so many bytes of a text column, or one row."""
     sizes = np.asarray(pc.binary_length(batch[column]).fill_null(0)).astype(np.int64)
     at = 0

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 #: Words are runs of characters outside of ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
+#: A batch of long texts takes so many bytes, whatever the number of its rows.
+ARROW_BYTES = 8 << 20
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
@@ -18,11 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Lets Python workers import this package, and sets a checkpoint folder where the session names none."""
+    """Lets Python workers import this package, bounds Arrow batches by bytes, and sets a checkpoint folder where the session names none."""
     sc = spark.sparkContext
     paths = sc.environment.get("PYTHONPATH", "")
     if ROOT not in paths.split(os.pathsep):
         sc.environment["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, paths) if x)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints")
     return spark
