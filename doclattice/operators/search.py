@@ -59,8 +59,9 @@ def bm25(docs: DataFrame, key: str, text: str, query: list[str], k1: float = 1.2
 
 
 def normalised(rows: DataFrame, most: float = 0.4) -> DataFrame:
-    """Scores as a share of the highest one, times ``most``."""
-    return rows.withColumn("score", F.least(F.lit(most), M.ratio(F.col("score"), F.max("score").over(Window.partitionBy())) * most))
+    """Scores as a share of the highest one (one row, sent to all), times ``most``."""
+    top = rows.agg(F.max("score").alias("top"))
+    return rows.crossJoin(F.broadcast(top)).withColumn("score", F.least(F.lit(most), M.ratio(F.col("score"), F.col("top")) * most)).drop("top")
 
 
 def overlap_scores(answers: DataFrame, contexts: DataFrame, answer_key: str, context_key: str) -> DataFrame:

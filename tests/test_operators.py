@@ -3,12 +3,14 @@
 import random
 import uuid
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from doclattice.functions import ids
 from doclattice.functions import text as T
 from doclattice.operators import chunking, graph
-from doclattice.plans.base import operator  # noqa: F401
+from doclattice.plans.answer_queries import VIEWS, read_only
 from doclattice.streaming import rate_limit
 
 
@@ -104,3 +106,13 @@ def test_hierarchy_is_bounded(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(10)], "child int, parent int")
     got = graph.longest_path(graph.ancestors(spark.createDataFrame([(0,)], "k int"), edges, "k", 4)).collect()
     assert [(r.top, r.depth) for r in got] == [(4, 4)]
+
+
+@pytest.mark.parametrize("sql", ["DROP TABLE nation", "INSERT INTO nation SELECT * FROM nation", "SELECT * FROM documents", "CREATE TABLE x AS SELECT 1"])
+def test_only_queries_over_allowed_tables(spark, sf_dir, sql):
+    with pytest.raises(ValueError):
+        read_only(spark, sf_dir, sql, VIEWS)
+
+
+def test_offset_is_no_forbidden_word(spark, sf_dir):
+    assert read_only(spark, sf_dir, "SELECT n_name AS created_at FROM nation ORDER BY 1 LIMIT 2 OFFSET 1", VIEWS).count() == 2
