@@ -259,13 +259,20 @@ def scan(bits: Bits, group: list, n: int, width: int, cache_bits: int, referring
             nxt[refs], run[refs], far[refs] = at, np.minimum(length, n), dist
     chain = memoryview(nxt)
     starts, p = [], bits.at - base
-    if run is None:
+    limit = 8 * len(bits.data) - base
+    if run is None and not any(t[1] for t in group[:4]):  # one symbol for each channel: pixels take no bits
+        starts = np.full(n, p)
+    elif run is None:
+        if n > limit - p:
+            raise BadImage("ends early")
         for _ in range(n):
             starts.append(p)
             p = chain[p]
     else:
         runs, done = memoryview(run), 0
         while done < n:
+            if p >= limit:
+                raise BadImage("ends early")
             starts.append(p)
             done += runs[p]
             p = chain[p]
