@@ -242,13 +242,16 @@ def r17_answer_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
       list_sort(list(value))[floor(count(*) * 0.99::DOUBLE)::BIGINT + 1] AS p99, min(value) AS least, max(value) AS most FROM events GROUP BY event_type""".replace("(count(*) * 0.5::DOUBLE)::BIGINT", "floor(count(*) * 0.5::DOUBLE)::BIGINT")
 )
 def a10_latency_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The value at place floor(n * p) of the sorted ones, found by rank and count, without gathering a group."""
-    e = table(spark, sf_dir, "events").select("event_type", "value")
+    """The value at place floor(n * p) of the sorted ones, from counts of equal values: rows are aggregated before anything is ordered."""
+    counts = table(spark, sf_dir, "events").groupBy("event_type", "value").agg(F.count(F.lit(1)).alias("c"))
     by = Window.partitionBy("event_type")
-    placed = e.withColumn("k", F.row_number().over(by.orderBy("value")) - 1).withColumn("n", F.count(F.lit(1)).over(by))
-    at = lambda p: F.max(F.when(F.col("k") == F.floor(F.col("n") * p), F.col("value")))
+    placed = counts.withColumn("reached", F.sum("c").over(by.orderBy("value"))).withColumn("n", F.sum("c").over(by))
+    at = lambda place: F.min(F.when(F.col("reached") > place, F.col("value")))
+    n = F.col("n")
+    share = lambda p: at(F.floor(n * p))
     return placed.groupBy("event_type").agg(
-        F.round(F.avg("value"), 6).alias("mean"), F.round(F.median("value"), 6).alias("median"), at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"), F.min("value").alias("least"), F.max("value").alias("most")
+        F.round(F.sum(F.col("value") * F.col("c")) / F.sum("c"), 6).alias("mean"), F.round((at(F.floor((n - 1) / 2)) + at(F.floor(n / 2))) / 2, 6).alias("median"),
+        share(0.5).alias("p50"), share(0.95).alias("p95"), share(0.99).alias("p99"), F.min("value").alias("least"), F.max("value").alias("most"),
     )
 
 
