@@ -70,8 +70,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document (packed unsigned 32-bit integers), and a digest of what they decode to."""
     prepare(spark)
     data = bpe.tokenizer_data(spark, tokenizer_path("word_bpe_49k.json"))
-    encoded = bpe.encode_column(docs.select(*COLUMNS), data, keep=False)
-    return bpe.decode_column(encoded, data).select(
+    return bpe.round_trip_column(docs.select(*COLUMNS), data, keep=False).select(
         "doc_id",
         "lang",
         "source",

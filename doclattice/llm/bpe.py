@@ -31,6 +31,7 @@ import heapq
 import json
 import re
 import unicodedata
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -67,6 +68,7 @@ class Automaton:
         for time, (a, b) in enumerate(merges):
             self.gadget(a, b, time)
         self.arcs: dict[int, bool] = {}
+        self.left = None
         self.tokens: list[str] = []
         self.symbols: dict[str, int] = {}
         self.moves: dict[int, int] = {}
@@ -78,10 +80,14 @@ class Automaton:
             self.add(t, [t])
         for t, symbols in split.items():
             self.add(t, symbols)
-        # From here on tokens go by number, and the gadgets' removed arcs with them.
-        self.numbers = {t: k for k, t in enumerate(self.tokens)}
-        self.times = {self.numbers[a] << 32 | self.numbers[b]: time for (a, b), time in self.removed.items() if a in self.numbers and b in self.numbers}
-        self.spines: tuple[dict, dict] = ({}, {})
+        # From here on tokens go by number, and the gadgets' removed arcs and the halves with them.
+        numbers = {t: k for k, t in enumerate(self.tokens)}
+        self.times = {numbers[a] << 32 | numbers[b]: time for (a, b), time in self.removed.items() if a in numbers and b in numbers}
+        halves = [self.halves.get(t) for t in self.tokens]
+        self.left = array("q", [numbers[h[0]] if h else -1 for h in halves])
+        self.right = array("q", [numbers[h[1]] if h else -1 for h in halves])
+        self.born = array("q", [h[2] if h else 1 << 60 for h in halves])
+        del self.removed, self.halves, self.made
         self.labels = byte_labels()
 
     def gadget(self, a: str, b: str, time: int) -> None:
@@ -108,31 +114,30 @@ class Automaton:
             for y, y_until in ys
         )
 
-    def numbered(self, t: int, side: int) -> list[tuple[int, int]]:
-        """The spine of a token by number, of those with merges only."""
-        found = self.spines[side].get(t)
-        if found is None:
-            numbers = self.numbers
-            found = [(numbers[x], until) for x, until in self.spine(self.tokens[t], side) if x in numbers]
-            self.spines[side][t] = found
-        return found
-
     def has_arc(self, t: int, u: int) -> bool:
         """Whether the arc u leaves state(t), tokens by number. As arc_at, after all gadgets."""
         key = t << 32 | u
         known = self.arcs.get(key)
         if known is None:
-            times, ys, known = self.times, self.numbered(u, 0), True
-            for x, x_until in self.numbered(t, 1):
-                for y, y_until in ys:
-                    time = times.get(x << 32 | y)
-                    if time is not None and time < x_until and time <= y_until:
-                        known = False
-            if len(self.arcs) >= 300_000:
+            known = self.stays(t, u)
+            if len(self.arcs) >= 150_000:
                 self.arcs.clear()
             self.arcs[key] = known
         return known
 
+    def stays(self, t: int, u: int) -> bool:
+        times, left, right, born = self.times, self.left, self.right, self.born
+        x, x_until = t, 1 << 60
+        while x >= 0:
+            y, y_until = u, 1 << 60
+            while y >= 0:
+                time = times.get(x << 32 | y)
+                if time is not None and time < x_until and time <= y_until:
+                    return False
+                y, y_until = left[y], born[y]
+            x, x_until = right[x], born[x]
+        return True
+
     def add(self, token: str, symbols: list[str]) -> None:
         """The token's path in the table of transitions: from a node, by the number of a symbol, to a node."""
         node = 0
@@ -144,6 +149,10 @@ class Automaton:
             node = self.moves[key]
         self.ends[node] = len(self.tokens)
         self.tokens.append(token)
+        if self.left is not None:  # a symbol that no merge has
+            for half in (self.left, self.right):
+                half.append(-1)
+            self.born.append(1 << 60)
 
     def matches(self, codes: list[int], at: int) -> list[tuple[int, int]]:
         """The tokens that can start there, with their ends, the longest last."""
@@ -433,6 +442,21 @@ class TokenCounter:
         return len(parts) - 1 + sum(map(self.count_plain, parts))
 
 
+def round_trip_column(df: DataFrame, data, text: str = "text", ids: str = "token_ids", decoded: str = "decoded", keep: bool = True) -> DataFrame:
+    """encode_column and decode_column of its ids, in one Python process for each task."""
+
+    def make():
+        t, labels = loaded(WordTokenizer, data), loaded(TokenLabels, data)
+
+        def run(texts):
+            packed = [t.encode(x or "") for x in texts]
+            return [packed, [labels.decode(x) for x in packed]]
+
+        return run
+
+    return map_column(df, text, [(ids, "binary", pa.binary()), (decoded, "string", pa.string())], make, keep)
+
+
 def count_column(df: DataFrame, data, text: str = "text", count: str = "n_tokens", keep: bool = True) -> DataFrame:
     """Appends the number of tokens of each text, special strings inside of it as one. A null text counts as empty. data: tokenizer_data()."""
 

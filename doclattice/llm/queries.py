@@ -59,9 +59,9 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.conversation_digests(chat_format.format_conversations(rows.unionByName(hard)))
 
 
-def bpe_digests(encoded: DataFrame, data) -> DataFrame:
+def bpe_digests(encoded: DataFrame) -> DataFrame:
     """doc_id and digests of packed ids and of what they decode to."""
-    return bpe.decode_column(encoded, data).select(
+    return encoded.select(
         "doc_id",
         F.expr("octet_length(token_ids) div 4").alias("n_tokens"),
         F.sha2("token_ids", 256).alias("ids_sha256"),
@@ -74,7 +74,7 @@ def op9_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     data = bpe.tokenizer_data(spark, tokenizer_path("word_bpe_49k.json"))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return bpe_digests(bpe.encode_column(docs, data, keep=False), data)
+    return bpe_digests(bpe.round_trip_column(docs, data, keep=False))
 
 
 @query()
