@@ -27,9 +27,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without their sources' boilerplate lines."""
+    """All documents, without their sources' boilerplate lines; copies, which go only after this stage, count as one page."""
     prepare(spark)
-    cleaned = line_dedup.drop_boilerplate(docs.select(*COLUMNS))
+    cleaned = line_dedup.drop_boilerplate(docs.select(*COLUMNS), copies=False)
     return cleaned.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 

@@ -15,7 +15,10 @@ of all pages is dealt over many tasks.
 Lines are parts between line feeds; lines without a character other than white
 space are neither counted nor dropped. A null text stays null and a page with
 it counts in its host's total. Null hosts form one host. Repeated rows are
-pages of their own. Empty tables give no rows. Extra columns pass through.
+pages of their own; with copies=False, rows of a host with one text count as
+one page, in the lines' counts and in the total, so that copies of a document
+do not make its lines boilerplate. Empty tables give no rows. Extra columns
+pass through.
 """
 
 from __future__ import annotations
@@ -34,12 +37,15 @@ def line_hash(line: Column) -> Column:
     return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit(17), line).alias("b"))
 
 
-def host_lines(pages: DataFrame, ratio: float, min_pages: int, text: str, host: str) -> DataFrame:
+def host_lines(pages: DataFrame, ratio: float, min_pages: int, text: str, host: str, copies: bool = True) -> DataFrame:
     """host, lines: the hashes of each host's boilerplate."""
-    totals = pages.groupBy(F.col(host).alias("host")).agg(F.count(F.lit(1)).alias("pages"))
     held = F.array_distinct(F.transform(F.filter(F.split(text, "\n"), lambda x: F.rlike(x, F.lit(WORD))), line_hash))
+    rows = pages.select(F.col(host).alias("host"), F.md5(text).alias("digest"), held.alias("held"))
+    if not copies:
+        rows = rows.groupBy("host", "digest").agg(F.first("held").alias("held"))
+    totals = rows.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     counts = (
-        pages.select(F.col(host).alias("host"), F.explode(held).alias("line"))
+        rows.select("host", F.explode("held").alias("line"))
         .groupBy("host", "line")
         .agg(F.count(F.lit(1)).alias("n"))
         .where(F.col("n") >= min_pages)
@@ -50,10 +56,11 @@ def host_lines(pages: DataFrame, ratio: float, min_pages: int, text: str, host:
 
 
 def drop_boilerplate(
-    pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES, text: str = "text", host: str = "source", salts: int = SALTS, broadcast_hashes: int = BROADCAST_HASHES
+    pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES, text: str = "text", host: str = "source", salts: int = SALTS, broadcast_hashes: int = BROADCAST_HASHES,
+    copies: bool = True,
 ) -> DataFrame:
     """pages with the text cleaned, and line_count and dropped_count (long) appended."""
-    found = host_lines(pages, ratio, min_pages, text, host).checkpoint()
+    found = host_lines(pages, ratio, min_pages, text, host, copies).checkpoint()
     size = found.agg(F.coalesce(F.sum(F.size("lines")), F.lit(0)), F.count(F.lit(1))).first()
     found = found.select(F.col("host").alias("__host"), F.col("lines").alias("__lines"))
     if size[0] + size[1] <= broadcast_hashes:

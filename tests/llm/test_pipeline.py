@@ -70,3 +70,14 @@ def test_hard_rows(spark, sf_dir):
     assert sorted(str(r.doc_id) for r in P.encode(spark, mixed, sf_dir).collect()) == sorted(str(r.doc_id) for r in mixed.collect())
     for _, stage in P.STAGES:
         assert stage(spark, docs.limit(0), sf_dir).count() == 0
+
+
+def test_copies_of_a_document_leave_one(spark, sf_dir):
+    word = lambda i, j: f"w{i}x{j}"
+    own = lambda i: "\n".join(" ".join(word(i, 10 * k + j) for j in range(10)) for k in range(8))
+    rows = [(i, "head line\n" + own(i if i > 20 else 0), "en", "s", 1) for i in range(60)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    clean = P.lines(spark, docs, sf_dir)
+    assert {r.doc_id: r.text for r in clean.collect()} == {i: own(i if i > 20 else 0) for i in range(60)}
+    single = P.near_duplicates(spark, clean, sf_dir)
+    assert {r.doc_id: r.text for r in single.collect()} == {i: own(i) for i in [0, *range(21, 60)]}
