@@ -15,17 +15,32 @@ def unit_vectors(rows: DataFrame, vector: str) -> DataFrame:
     return rows.withColumn("__n", n).where("__n > 0").withColumn(vector, F.transform(vector, lambda x: x.cast("double") / F.col("__n"))).drop("__n")
 
 
-def top_k(queries: DataFrame, points: DataFrame, k: int, floor: float, query_key: str, point_key: str, by: list[str] | None = None) -> DataFrame:
+#: Most query vectors, about, that are sent to the points at once.
+BLOCK_QUERIES = 1000
+
+
+def top_k(
+    queries: DataFrame, points: DataFrame, k: int, floor: float, query_key: str, point_key: str, by: list[str] | None = None, block: int = BLOCK_QUERIES
+) -> DataFrame:
     """For each query vector q the k points p of highest cosine of at least the floor; ties by key.
 
-    queries is a stated set (its size does not grow with the points), so it is
-    sent to the points, which stay where they are; the rank is cut within each
-    task before rows are exchanged.
+    queries may grow with the points: they are counted, dealt into blocks by a
+    hash of their key, and sent to the points, which stay where they are, block
+    by block; the rank is cut within each task before rows are exchanged.
+    Lengths are taken once for each row, before pairs are made.
     """
-    pairs = points.join(F.broadcast(queries), by) if by else points.crossJoin(F.broadcast(queries))
-    scored = pairs.withColumn("score", M.cosine(F.col("q"), F.col("p"))).where(F.col("score") >= floor)
+    length = lambda v: F.sqrt(M.dot(F.col(v), F.col(v)))
+    queries, points = queries.withColumn("__q", length("q")), points.withColumn("__p", length("p"))
     over = Window.partitionBy(query_key).orderBy(F.col("score").desc(), F.col(point_key))
-    return scored.withColumn("rank", F.row_number().over(over)).where(F.col("rank") <= k).drop("q", "p")
+    blocks = max(1, -(-queries.count() // block))
+    found = None
+    for b in range(blocks):
+        sent = F.broadcast(queries.where(F.pmod(F.xxhash64(query_key), F.lit(blocks)) == b) if blocks > 1 else queries)
+        pairs = points.join(sent, by) if by else points.crossJoin(sent)
+        scored = pairs.withColumn("score", M.ratio(M.dot(F.col("q"), F.col("p")), F.col("__q") * F.col("__p"))).where(F.col("score") >= floor)
+        top = scored.withColumn("rank", F.row_number().over(over)).where(F.col("rank") <= k).drop("q", "p", "__q", "__p")
+        found = top if found is None else found.unionByName(top)
+    return found
 
 
 def mean_vectors(rows: DataFrame, by: list[str], vector: str) -> DataFrame:
