@@ -151,6 +151,18 @@ def t23_toc_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", A.toc_share(text).alias("is_toc"))
 
 
+@operator(
+    r"""WITH t AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '1.0 FIRST PART ....... 4' || chr(10) || '2.0 Second   9' || chr(10) || '2.1 Third part' || chr(10) || 'other text ' || doc_id ELSE text END AS t FROM documents),
+    l AS (SELECT doc_id, t, list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(x)), lambda x: length(x) >= 5) AS l FROM t),
+    n AS (SELECT doc_id, t, l, len(list_filter(l, lambda x: regexp_matches(x, '^[0-9]+\.?[0-9]*\s+.+[.…·\-_]{3,}\s*[0-9]+\s*$|^[0-9]+\.?[0-9]*\s+.+\s{3,}[0-9]+\s*$|^[0-9]+\.[0-9]+\s+[A-Z]'))) AS n FROM l)
+    SELECT doc_id, length(t) >= 50 AND n >= 3 AND n > 0.5 * len(l) AS is_toc FROM n"""
+)
+def t23_toc_regions_whole_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    toc = F.concat(F.lit("1.0 FIRST PART ....... 4\n2.0 Second   9\n2.1 Third part\nother text "), F.col("doc_id"))
+    text = F.when(F.col("doc_id") % 3 == 0, toc).otherwise(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", A.toc_share(text).alias("is_toc"))
+
+
 @operator(
     """SELECT doc_id, md5(CASE WHEN length(w) > 2000 THEN left(w, 2000) || '...' ELSE w END) AS digest, length(w) AS whole FROM (
       SELECT doc_id, concat_ws(chr(10) || chr(10), CASE WHEN doc_id % 2 = 0 THEN 'Description: part ' || doc_id END, 'Caption: ' || source, 'Context: ' || text, CASE WHEN doc_id % 3 = 0 THEN 'Tags: ' || lang END) AS w FROM documents)"""

@@ -378,6 +378,11 @@ def r19_query_rewrites(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.slice(T.words(head), 1, 10), " ").alias("short"), F.replace(head, F.lit(" the "), F.lit(" a ")).alias("variant"))
 
 
+@operator("SELECT doc_id, array_to_string(regexp_extract_all(text, '\\S+')[1:10], ' ') AS short, replace(text, ' the ', ' a ') AS variant FROM documents")
+def r19_query_rewrites_whole_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.slice(T.words(F.col("text")), 1, 10), " ").alias("short"), F.replace("text", F.lit(" the "), F.lit(" a ")).alias("variant"))
+
+
 @operator("SELECT sha256(html) AS file_hash, count(*) AS files, sum(strlen(html))::BIGINT AS bytes FROM pages GROUP BY 1")
 def s5_s15_storage_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").groupBy(F.sha2("html", 256).alias("file_hash")).agg(F.count(F.lit(1)).alias("files"), F.sum(F.octet_length("html")).alias("bytes"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from doclattice.functions import ids
 from doclattice.functions import text as T
 from doclattice.operators import chunking, structure
+from doclattice.llm.common import ARROW_BYTES
 from doclattice.plans.base import LINES, NUMBERED, SECTIONS, operator
 from doclattice.sources.tables import lines, numbered_sections, sections, table
 
@@ -140,6 +141,13 @@ def f1_f16_text_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@operator(
+    r"""SELECT doc_id, regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '[\x00-\x09\x0B-\x1F]', '', 'g') AS clean, left(regexp_replace(text, '[^A-Za-z0-9_\-.]', '_', 'g'), 100) AS name FROM documents"""
+)
+def f1_f16_text_functions_whole_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", T.strip_controls(F.col("text")).alias("clean"), T.safe_name(F.col("text")).alias("name"))
+
+
 @operator(
     r"""WITH s AS (SELECT doc_id, list_distinct(list_filter(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i+1] || ' ' || w[i+2]) ELSE [] END, lambda p: length(p) > 10)) AS p
       FROM (SELECT doc_id, regexp_extract_all(lower(replace(text, 'ß', 'ss')), '\S+') AS w FROM documents))
@@ -204,6 +212,15 @@ def t19_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 MATRIX = "m AS (SELECT doc_id, list_transform(list_filter(string_split(text, chr(10)), lambda x: true), lambda x: string_split(left(x, 120), ' ')) AS m FROM documents)"
+WHOLE_MATRIX = MATRIX.replace("left(x, 120)", "x")
+VALID = """s AS (SELECT doc_id, m, list_transform(m, lambda r: len(r)) AS sizes, list_filter(flatten(m), lambda c: trim(c) <> '') AS cells FROM m)
+    SELECT doc_id, len(m)::INT AS n_rows, (len(m) >= 2 AND list_max(sizes) - list_min(sizes) <= 0.4 * list_max(sizes) AND list_sum(sizes) >= 2 * len(m) AND len(cells) >= 0.25 * list_sum(sizes)
+      AND len(cells) >= 4 AND list_sum(list_transform(cells, lambda c: length(c))) <= 150 * len(cells)) AS valid FROM s"""
+
+
+def valid_tables(spark: SparkSession, sf_dir: str, read) -> DataFrame:
+    m = F.transform(F.split("text", "\n"), lambda x: F.split(read(x), " "))
+    return table(spark, sf_dir, "documents").select("doc_id", m.alias("m")).select("doc_id", F.size("m").alias("n_rows"), chunking.valid_matrix(F.col("m")).alias("valid"))
 
 
 @operator(
@@ -212,13 +229,19 @@ MATRIX = "m AS (SELECT doc_id, list_transform(list_filter(string_split(text, chr
       AND len(cells) >= 4 AND list_sum(list_transform(cells, lambda c: length(c))) <= 150 * len(cells)) AS valid FROM s"""
 )
 def p17_valid_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = F.transform(F.split("text", "\n"), lambda x: F.split(F.left(x, F.lit(120)), " "))
-    return table(spark, sf_dir, "documents").select("doc_id", m.alias("m")).select("doc_id", F.size("m").alias("n_rows"), chunking.valid_matrix(F.col("m")).alias("valid"))
+    return valid_tables(spark, sf_dir, lambda x: F.left(x, F.lit(120)))
+
+
+@operator(f"WITH {WHOLE_MATRIX}, {VALID}")
+def p17_valid_tables_whole_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return valid_tables(spark, sf_dir, lambda x: x)
 
 
 @operator()
 def t3_t5_table_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = F.transform(F.split("text", "\n"), lambda x: F.split(F.left(x, F.lit(400)), " "))
+    m = F.transform(F.split("text", "\n"), lambda x: F.split(x, " "))
+    # Rows padded to the longest line of a text take many times its bytes, so batches are bounded by bytes.
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     rows = table(spark, sf_dir, "documents").select("doc_id", chunking.trim_matrix(m).alias("m"))
     return rows.select("doc_id", F.posexplode(chunking.table_chunks("m")).alias("chunk_index", "chunk")).select("doc_id", "chunk_index", F.left("chunk", F.lit(500)).alias("text_preview"), F.length("chunk").alias("text_length"))
 

@@ -18,3 +18,22 @@ def test_top_k_in_blocks(spark, sf_dir, block):
     q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q_id"), F.col("p").alias("q"))
     whole = search.top_k(q, e, 5, 0.1, "q_id", "vec_id").collect()
     assert {r.q_id for r in whole} == set(range(0, 500, 50)) and sorted(search.top_k(q, e, 5, 0.1, "q_id", "vec_id", block=block).collect()) == sorted(whole)
+
+
+def test_table_chunks_hold_whole_lines(spark, tmp_path):
+    lines = [" ".join(f"c{i}x{j}" for j in range(300)) for i in range(3)]
+    spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = registry.queries()["t3_t5_table_chunks"](spark, str(tmp_path)).collect()
+    assert [r.text_length for r in got] == [len("\n".join(x.replace(" ", " | ") for x in lines))]
+
+
+def test_whole_texts_decide(spark, tmp_path):
+    far = "x" * 400 + " "
+    toc = "\n".join(["pad words " * 40] + [f"{i}.0 Part of it ..... {i}" for i in range(1, 9)])
+    rows = [(1, far + "the end"), (2, toc), (4, "\n".join([" ".join(["word"] * 40), " ".join(["word"] * 23)]))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    ask = lambda name: {r.doc_id: r for r in registry.queries()[name + "_whole_text"](spark, str(tmp_path)).collect()}
+    assert ask("t23_toc_regions")[2].is_toc
+    assert ask("f1_f16_text_functions")[1].clean == far + "the end"
+    assert ask("r19_query_rewrites")[1].short == far + "the end" and ask("r19_query_rewrites")[1].variant == far + "a end"
+    assert ask("p17_valid_tables")[4].valid is False
