@@ -85,8 +85,8 @@ def r4_r5_r7_unit_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH {BOXES}, t AS (SELECT doc_id, page, box_id, x1 - x0 AS w FROM boxes WHERE kind = 'table' AND doc_id < 5)
     SELECT doc_id, page, box_id, box_id || '_chunk_' || i AS chunk_id, i::INT AS chunk_index, n::INT AS total_chunks FROM (SELECT *, greatest(1, floor(w / 100))::INT AS n, unnest(range(greatest(1, floor(w / 100))::BIGINT)) AS i FROM t)"""
 )
-def t31_table_nodes_and_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = boxes(spark, sf_dir).where("kind = 'table' AND doc_id < 5")
+def t31_table_nodes_and_chunks(spark: SparkSession, sf_dir: str, rows: str = "kind = 'table' AND doc_id < 5") -> DataFrame:
+    b = boxes(spark, sf_dir).where(rows)
     n = F.greatest(F.lit(1), F.floor((F.col("box.x1") - F.col("box.x0")) / 100)).cast("int")
     spread = b.withColumn("total_chunks", n).withColumn("chunk_index", F.explode(F.sequence(F.lit(0), F.col("total_chunks") - 1)))
     return spread.select("doc_id", "page", "box_id", F.concat("box_id", F.lit("_chunk_"), "chunk_index").alias("chunk_id"), "chunk_index", "total_chunks")

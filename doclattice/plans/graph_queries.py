@@ -110,8 +110,8 @@ def j12_o5_e9_f24_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WITH e AS (SELECT DISTINCT l_suppkey AS src, l_partkey % 50 AS dst FROM lineitem WHERE l_linenumber = 1)
     SELECT src, dst FROM e UNION SELECT dst, src FROM e"""
 )
-def j13_u10_undirected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select(F.col("l_suppkey").alias("src"), (F.pmod("l_partkey", F.lit(50))).alias("dst"))
+def j13_u10_undirected(spark: SparkSession, sf_dir: str, rows: str = "l_linenumber = 1") -> DataFrame:
+    e = table(spark, sf_dir, "lineitem").where(rows).select(F.col("l_suppkey").alias("src"), (F.pmod("l_partkey", F.lit(50))).alias("dst"))
     return graph.both_ways(e)
 
 

@@ -50,9 +50,8 @@ def r18_r19_u6_query_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     rf"""WITH {LINES} SELECT doc_id, line_no, CASE WHEN regexp_matches(line, '\btable\s+\w+', 'i') THEN 'table' WHEN regexp_matches(line, '\b(?:figure|fig\.?|diagram|drawing|dwg\.?|schema|schematic)\s+[0-9]+', 'i') THEN 'figure' END AS kind,
       regexp_matches(line, '^\s*[0-9]+\s*$') OR (regexp_matches(lower(line), 'page|chapter|section|copyright|©|reserved') AND length(line) < 100) AS noise FROM lines WHERE line_no % 7 = 3"""
 )
-def t22_t27_p21_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = lines(spark, sf_dir).where("line_no % 7 = 3")
-    return rows.select("doc_id", "line_no", A.caption_kind(F.col("line")).alias("kind"), A.is_noise(F.col("line")).alias("noise"))
+def t22_t27_p21_captions(spark: SparkSession, sf_dir: str, rows: str = "line_no % 7 = 3") -> DataFrame:
+    return lines(spark, sf_dir).where(rows).select("doc_id", "line_no", A.caption_kind(F.col("line")).alias("kind"), A.is_noise(F.col("line")).alias("noise"))
 
 
 @operator(
@@ -81,9 +80,9 @@ def j9_e7_e11_part_of_system(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WITH h AS (SELECT vec_id, label AS doc FROM embeddings WHERE vec_id % 3 = 0), n AS (SELECT doc_id, source, n_chars FROM documents WHERE doc_id % 2 = 0)
     SELECT vec_id, coalesce(source, 'label ' || doc) AS title, n_chars FROM h LEFT JOIN n ON vec_id = doc_id"""
 )
-def j16_p25_hydrate_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = table(spark, sf_dir, "embeddings").where("vec_id % 3 = 0").select("vec_id", F.col("label").alias("doc"))
-    n = table(spark, sf_dir, "documents").where("doc_id % 2 = 0").select("doc_id", "source", "n_chars")
+def j16_p25_hydrate_hits(spark: SparkSession, sf_dir: str, vectors: str = "vec_id % 3 = 0", docs: str = "doc_id % 2 = 0") -> DataFrame:
+    h = table(spark, sf_dir, "embeddings").where(vectors).select("vec_id", F.col("label").alias("doc"))
+    n = table(spark, sf_dir, "documents").where(docs).select("doc_id", "source", "n_chars")
     return h.join(n, F.col("vec_id") == F.col("doc_id"), "left").select("vec_id", F.coalesce("source", F.concat(F.lit("label "), "doc")).alias("title"), "n_chars")
 
 
@@ -91,10 +90,10 @@ def j16_p25_hydrate_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WITH e AS (SELECT p_partkey AS e, p_name FROM part WHERE p_partkey % 10 = 0), m AS (SELECT l_partkey AS e, l_orderkey AS o FROM lineitem WHERE l_linenumber = 2)
     SELECT e.e, m.o, o_custkey AS section_id FROM e JOIN m ON e.e = m.e LEFT JOIN orders ON m.o = o_orderkey AND o_orderstatus = 'F' WHERE o_custkey IS NOT NULL"""
 )
-def j6_optional_then_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+def j6_optional_then_filtered(spark: SparkSession, sf_dir: str, parts: str = "p_partkey % 10 = 0", items: str = "l_linenumber = 2") -> DataFrame:
     """Optional sections, of which the missing ones go."""
-    e = table(spark, sf_dir, "part").where("p_partkey % 10 = 0").select(F.col("p_partkey").alias("e"))
-    m = table(spark, sf_dir, "lineitem").where("l_linenumber = 2").select(F.col("l_partkey").alias("e"), F.col("l_orderkey").alias("o"))
+    e = table(spark, sf_dir, "part").where(parts).select(F.col("p_partkey").alias("e"))
+    m = table(spark, sf_dir, "lineitem").where(items).select(F.col("l_partkey").alias("e"), F.col("l_orderkey").alias("o"))
     o = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("o"), F.col("o_custkey").alias("section_id"))
     return e.join(m, "e").join(o, "o", "left").where("section_id IS NOT NULL").select("e", "o", "section_id")
 
@@ -120,9 +119,9 @@ def j19_toc_to_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH {SECTIONS}, c AS (SELECT doc_id, upper(trim(title)) AS t, page_start, page_end FROM sections WHERE title <> '' AND section_no % 2 = 1)
     SELECT doc_id, t AS title, min(page_start) AS start_page, max(page_end) AS end_page, count(*) AS sightings FROM c GROUP BY doc_id, t"""
 )
-def t13_t14_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
+def t13_t14_chapters(spark: SparkSession, sf_dir: str, rows: str = "title <> '' AND section_no % 2 = 1") -> DataFrame:
     """Chapters by title: first page, and the last page of later sightings."""
-    c = sections(spark, sf_dir).where("title <> '' AND section_no % 2 = 1")
+    c = sections(spark, sf_dir).where(rows)
     return c.groupBy("doc_id", F.upper(F.trim("title")).alias("title")).agg(F.min("page_start").alias("start_page"), F.max("page_end").alias("end_page"), F.count(F.lit(1)).alias("sightings"))
 
 
@@ -177,10 +176,10 @@ def t28_t29_t30_figure_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WITH c AS (SELECT l_orderkey, l_linenumber, l_quantity, list_filter(['pdf' || CASE WHEN l_quantity > 40 THEN '' END, CASE WHEN l_discount > 0.05 THEN 'model' END, 'text'], lambda x: x IS NOT NULL) AS c FROM lineitem WHERE l_orderkey < 500)
     SELECT c[1] AS result, count(*) AS n FROM c GROUP BY 1"""
 )
-def t24_t25_first_valid_result(spark: SparkSession, sf_dir: str) -> DataFrame:
+def t24_t25_first_valid_result(spark: SparkSession, sf_dir: str, rows: str = "l_orderkey < 500") -> DataFrame:
     """Candidates by priority: the file's own table, the model's, else text."""
     pick = F.coalesce(F.when(F.col("l_quantity") > 40, "pdf"), F.when(F.col("l_discount") > 0.05, "model"), F.lit("text"))
-    return table(spark, sf_dir, "lineitem").where("l_orderkey < 500").groupBy(pick.alias("result")).agg(F.count(F.lit(1)).alias("n"))
+    return table(spark, sf_dir, "lineitem").where(rows).groupBy(pick.alias("result")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @operator(

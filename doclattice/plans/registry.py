@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from doclattice.plans import answer_queries, base, graph_queries, more_queries, search_queries, structure_queries  # noqa: F401
+from doclattice.plans import answer_queries, base, graph_queries, more_queries, search_queries, structure_queries, whole_queries  # noqa: F401
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -149,11 +149,11 @@ HITS = """hits AS (SELECT b.vec_id AS hit_id, b.label AS doc, b.vec_id // 5 AS s
   list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS score FROM embeddings b, (SELECT embedding FROM embeddings WHERE vec_id = 3) a WHERE b.vec_id % 7 <> 3)"""
 
 
-def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+def hits(spark: SparkSession, sf_dir: str, others: str = "vec_id % 7 <> 3") -> DataFrame:
     e = points(spark, sf_dir)
     q = e.where("vec_id = 3").select(F.col("embedding").alias("q"))
     k = F.col("vec_id") % 3
-    return e.where("vec_id % 7 <> 3").crossJoin(F.broadcast(q)).select(
+    return e.where(others).crossJoin(F.broadcast(q)).select(
         F.col("vec_id").alias("hit_id"), F.col("label").alias("doc"), F.floor(F.col("vec_id") / 5).alias("section"),
         F.when(k == 0, "text").when(k == 1, "table").otherwise("schema").alias("kind"), M.cosine(F.col("q"), F.col("embedding")).alias("score"),
     )
@@ -165,7 +165,7 @@ def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     f AS (SELECT doc, section, source, CASE WHEN source = 'schema' THEN 0.5::DOUBLE + 0.3::DOUBLE * imp ELSE 0.7::DOUBLE * top + 0.2::DOUBLE * imp END AS final FROM j)
     SELECT doc, section, source, round(final, 6) AS final FROM f ORDER BY round(final, 9) DESC, doc, section LIMIT 5"""
 )
-def r9_a7_o7_j22_anchor_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+def r9_a7_o7_j22_anchor_sections(spark: SparkSession, sf_dir: str, hits=hits) -> DataFrame:
     """Sections by best hit and importance; a missing or zero importance counts as 0.5."""
     g = hits(spark, sf_dir).groupBy("doc", "section").agg(F.max("score").alias("top"), F.min_by("kind", "hit_id").alias("source"))
     stored = F.when(F.col("section") % 4 == 0, 0.5).otherwise((F.col("section") % 10) / 10.0)
@@ -178,7 +178,7 @@ def r9_a7_o7_j22_anchor_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH {HITS}, t AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY score DESC, hit_id) AS k FROM hits WHERE kind <> 'text' QUALIFY k <= 5)
     SELECT doc, round(sum(score), 6) AS vote, count(*) AS n FROM t GROUP BY doc ORDER BY round(sum(score), 9) DESC, doc LIMIT 1"""
 )
-def a8_r10_r11_primary_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+def a8_r10_r11_primary_document(spark: SparkSession, sf_dir: str, hits=hits) -> DataFrame:
     over = Window.partitionBy("kind").orderBy(F.col("score").desc(), "hit_id")
     top = hits(spark, sf_dir).where("kind <> 'text'").withColumn("k", F.row_number().over(over)).where("k <= 5")
     vote = top.groupBy("doc").agg(F.sum("score").alias("vote"), F.count(F.lit(1)).alias("n")).orderBy(F.round("vote", 9).desc(), "doc").limit(1)
@@ -190,7 +190,7 @@ def a8_r10_r11_primary_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     m AS (SELECT doc, 0.8::DOUBLE + 0.4::DOUBLE * (0.3::DOUBLE * least(1.0::DOUBLE, n / 5.0::DOUBLE) + 0.4::DOUBLE * mean + 0.3::DOUBLE * 0.5::DOUBLE) AS mult FROM r)
     SELECT hit_id, h.doc, kind, round(least(1.0::DOUBLE, score * mult), 6) AS boosted FROM h JOIN m ON h.doc = m.doc"""
 )
-def r15_a9_document_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
+def r15_a9_document_boost(spark: SparkSession, sf_dir: str, hits=hits) -> DataFrame:
     h = hits(spark, sf_dir).where("score > 0")
     m = h.groupBy("doc").agg((0.8 + 0.4 * (0.3 * F.least(F.lit(1.0), F.count(F.lit(1)) / 5.0) + 0.4 * F.avg("score") + 0.3 * F.lit(0.5))).alias("mult"))
     return h.join(m, "doc").select("hit_id", "doc", "kind", F.round(F.least(F.lit(1.0), F.col("score") * F.col("mult")), 6).alias("boosted"))
@@ -200,7 +200,7 @@ def r15_a9_document_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH {HITS}, f AS (SELECT *, row_number() OVER (PARTITION BY kind, section ORDER BY score DESC, hit_id) AS d FROM hits QUALIFY d = 1), k AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY score DESC, hit_id) AS k FROM f)
     SELECT hit_id, doc, kind, k FROM k WHERE k <= CASE kind WHEN 'text' THEN 4 WHEN 'table' THEN 3 ELSE 2 END"""
 )
-def o9_r14_w7_context_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
+def o9_r14_w7_context_budgets(spark: SparkSession, sf_dir: str, hits=hits) -> DataFrame:
     """One hit for each section and kind, then the budgets of a mixed question: 4 texts, 3 tables, 2 figures."""
     from itertools import chain
 
@@ -211,7 +211,7 @@ def o9_r14_w7_context_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @operator(f"WITH {HITS} SELECT hit_id, kind, round(CASE WHEN section IN (SELECT vec_id // 5 FROM embeddings WHERE vec_id % 11 = 0) THEN least(1.0::DOUBLE, score * 1.5::DOUBLE) ELSE score END, 6) AS score FROM hits")
-def j23_p11_boost_by_section(spark: SparkSession, sf_dir: str) -> DataFrame:
+def j23_p11_boost_by_section(spark: SparkSession, sf_dir: str, hits=hits) -> DataFrame:
     found = points(spark, sf_dir).where("vec_id % 11 = 0").select(F.floor(F.col("vec_id") / 5).alias("section"), F.lit(True).alias("hit")).distinct()
     boosted = F.when(F.coalesce("hit", F.lit(False)), F.least(F.lit(1.0), F.col("score") * 1.5)).otherwise(F.col("score"))
     return hits(spark, sf_dir).join(found, "section", "left").select("hit_id", "kind", F.round(boosted, 6).alias("score"))
@@ -221,9 +221,9 @@ def j23_p11_boost_by_section(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH {HITS}, c AS (SELECT hit_id, kind, row_number() OVER (PARTITION BY kind ORDER BY hit_id) AS i FROM hits WHERE hit_id < 60)
     SELECT string_agg('[' || CASE kind WHEN 'text' THEN 'T' WHEN 'table' THEN 'TABLE' ELSE 'DIAGRAM' END || i || '] ' || hit_id, chr(10) ORDER BY hit_id) AS context FROM c"""
 )
-def r20_a16_context_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+def r20_a16_context_text(spark: SparkSession, sf_dir: str, hits=hits, first: str = "hit_id < 60") -> DataFrame:
     """The context of one question: a bounded list of labelled parts, in order."""
-    c = hits(spark, sf_dir).where("hit_id < 60").withColumn("i", F.row_number().over(Window.partitionBy("kind").orderBy("hit_id")))
+    c = hits(spark, sf_dir).where(first).withColumn("i", F.row_number().over(Window.partitionBy("kind").orderBy("hit_id")))
     label = F.when(F.col("kind") == "text", "T").when(F.col("kind") == "table", "TABLE").otherwise("DIAGRAM")
     part = F.struct("hit_id", F.concat(F.lit("["), label, F.col("i"), F.lit("] "), F.col("hit_id")).alias("t"))
     return c.agg(F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda x: x["t"]), "\n").alias("context"))
@@ -232,7 +232,7 @@ def r20_a16_context_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @operator(
     f"""WITH {HITS} SELECT kind, hit_id FROM hits WHERE score > 0.3 UNION ALL SELECT 'seen' AS kind, hit_id FROM hits WHERE score > 0.2 AND hit_id NOT IN (SELECT hit_id FROM hits WHERE score > 0.3)"""
 )
-def u2_u3_u9_append_unseen(spark: SparkSession, sf_dir: str) -> DataFrame:
+def u2_u3_u9_append_unseen(spark: SparkSession, sf_dir: str, hits=hits) -> DataFrame:
     h = hits(spark, sf_dir)
     first = h.where("score > 0.3").select("kind", "hit_id")
     more = h.where("score > 0.2").join(first, "hit_id", "left_anti").select(F.lit("seen").alias("kind"), "hit_id")

@@ -1,0 +1,46 @@
+"""Queries over whole tables beside those whose given SQL reads a part of the ids.
+
+The given SQL stays as it is; here the same plan runs without the id and modulo
+filters, and its SQL is the given one without them.
+"""
+
+from __future__ import annotations
+
+import functools
+
+from doclattice.plans import answer_queries, graph_queries, more_queries, search_queries
+from doclattice.plans.base import ORACLE_SQL, operator
+
+
+def whole(query, without: list[tuple[str, str]], **given) -> None:
+    """Registers query as <name>_whole_table, with these arguments and its SQL so changed."""
+    sql = ORACLE_SQL[query.__name__]
+    for old, new in without:
+        if old not in sql:
+            raise ValueError(f"{query.__name__}: {old} is not in its SQL")
+        sql = sql.replace(old, new)
+    run = functools.partial(query.__wrapped__, **given)
+    run.__name__ = f"{query.__name__}_whole_table"
+    operator(sql)(run)
+
+
+ITSELF = ("WHERE b.vec_id % 7 <> 3", "WHERE b.vec_id <> 3")
+all_hits = functools.partial(search_queries.hits, others="vec_id <> 3")
+
+for ask in (
+    search_queries.r9_a7_o7_j22_anchor_sections,
+    search_queries.a8_r10_r11_primary_document,
+    search_queries.r15_a9_document_boost,
+    search_queries.o9_r14_w7_context_budgets,
+    search_queries.j23_p11_boost_by_section,
+    search_queries.u2_u3_u9_append_unseen,
+):
+    whole(ask, [ITSELF], hits=all_hits)
+whole(search_queries.r20_a16_context_text, [ITSELF, (" WHERE hit_id < 60", "")], hits=all_hits, first="true")
+whole(more_queries.t24_t25_first_valid_result, [(" WHERE l_orderkey < 500", "")], rows="true")
+whole(answer_queries.t31_table_nodes_and_chunks, [(" AND doc_id < 5", "")], rows="kind = 'table'")
+whole(more_queries.t22_t27_p21_captions, [("FROM lines WHERE line_no % 7 = 3", "FROM lines")], rows="true")
+whole(more_queries.j6_optional_then_filtered, [(" WHERE p_partkey % 10 = 0", ""), (" WHERE l_linenumber = 2", "")], parts="true", items="true")
+whole(more_queries.j16_p25_hydrate_hits, [(" WHERE vec_id % 3 = 0", ""), (" WHERE doc_id % 2 = 0", "")], vectors="true", docs="true")
+whole(graph_queries.j13_u10_undirected, [(" WHERE l_linenumber = 1", "")], rows="true")
+whole(more_queries.t13_t14_chapters, [(" AND section_no % 2 = 1", "")], rows="title <> ''")

@@ -37,3 +37,13 @@ def test_whole_texts_decide(spark, tmp_path):
     assert ask("f1_f16_text_functions")[1].clean == far + "the end"
     assert ask("r19_query_rewrites")[1].short == far + "the end" and ask("r19_query_rewrites")[1].variant == far + "a end"
     assert ask("p17_valid_tables")[4].valid is False
+
+
+def test_whole_tables_are_counted(spark, sf_dir):
+    ask = lambda name: registry.queries()[name + "_whole_table"](spark, sf_dir)
+    size = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet").count()
+    assert ask("t24_t25_first_valid_result").agg(F.sum("n")).first()[0] == size("lineitem")
+    assert ask("j16_p25_hydrate_hits").count() == size("embeddings")
+    assert ask("j23_p11_boost_by_section").count() == size("embeddings") - 1
+    assert ask("t31_table_nodes_and_chunks").select("doc_id").distinct().count() == 50
+    assert {0, 1, 2, 3} <= {r.line_no for r in ask("t22_t27_p21_captions").select("line_no").distinct().collect()}
