@@ -1,34 +1,48 @@
-"""Byte-pair encoding by a tokenization automaton.
+"""Byte-pair encoding by a tokenization automaton, and token counts.
 
-The automaton reads *tokens*; it accepts exactly those token sequences that the
-merge list yields for the text that they spell. It is compiled from one state
-with a loop for every base symbol, by one gadget per merge, in merge order. The
-gadget of a merge (a, b) sends the arcs labelled a to a copy of their target
-that lacks the arc b, and lets every state with an arc a have an arc ab to
-where b led from there.
+The automaton over tokens accepts exactly those token sequences that the merge
+list yields for the text that they spell. It is compiled from one state with a
+loop for every base symbol, by one gadget per merge, in merge order. The gadget
+of a merge (a, b) sends the arcs labelled a to a copy of their target that lacks
+the arc b, and lets every state with an arc a have an arc ab to where b led from
+there.
 
 All arcs with one label lead to one state, so a state is named by the token that
 enters it. A copy differs from what it was copied from by one missing arc, so
 states are stored as such differences: state(t) = state(right half of t) as it
-was when t was made, less the arcs removed later. Hence the table holds one
-entry for each merge, whatever the size of the vocabulary, and an arc u leaves
-state(t) unless some merge (x, y) with x on the right spine of t and y on the
-left spine of u came before the merges that grow x and y further.
-
-For every prefix of a word exactly one accepted sequence spells it. Encoding
-follows the table of transitions from symbol to symbol, takes the longest token
-that the state has an arc for, and goes back where none leads on. Decoding emits
-the labels of the arcs.
+was when t was made, less the arcs removed later. Hence the overlay rows are one
+for each merge (49,000), where the full table would have 49,000 x 49,000 arcs,
+and an arc u leaves state(t) unless some merge (x, y) with x on the right spine
+of t and y on the left spine of u came before the merges that grow x and y
+further.
+
+Words are read symbol by symbol. A state of the symbol automaton is the set of
+(state of the token automaton, place in the trie of tokens) that the symbols so
+far can have led to; it is determinised as words ask for it, and its table of
+transitions is kept (bounded, see MOST: when it is full it starts anew, which
+changes the speed only). Every prefix of a word is spelled by exactly one
+accepted sequence, so each state names the one token that ends there: one table
+step for each symbol, nothing is tried and taken back, and the tokens are read
+off from the end of the word by their lengths. Decoding emits the labels of the
+arcs.
 
 What lies between white space, and the pieces of it, are looked up in tables of
 what the worker has encoded before. The tables are bounded (see Known); they
 change the speed only.
+
+Handling, for encode_column, decode_column, round_trip_column and count_column:
+a null text counts as empty and has no tokens (decoding: null for null). Texts of
+any length are read whole; words of any length too, as the tables' bounds hold
+within a word. Repeated rows stay rows of their own with equal values; nothing
+is ordered, so ties play no part. Empty tables give no rows. Other columns pass
+through, but for columns named like a new one, which are replaced.
 """
 
 from __future__ import annotations
 
 import heapq
 import json
+import os
 import re
 import unicodedata
 from array import array
@@ -44,6 +58,8 @@ SPACES = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Characters that Python's split() takes for white space besides these.
 ODD = re.compile("[\x1c-\x1f]")
 CHUNK = re.compile(f"[^{SPACES}]+")
+RUN = re.compile(f"[{SPACES}]{{2}}")
+LONE = re.compile(f"(?<=[^{SPACES}]) (?=[^{SPACES}])")
 
 
 def byte_labels() -> list[str]:
@@ -70,8 +86,9 @@ class Automaton:
         self.arcs: dict[int, bool] = {}
         self.left = None
         self.tokens: list[str] = []
+        self.sizes: list[int] = []
         self.symbols: dict[str, int] = {}
-        self.moves: dict[int, int] = {}
+        self.trie: dict[int, int] = {}
         self.ends = [-1]
         split: dict[str, list[str]] = {}
         for t, (a, b, _) in self.halves.items():
@@ -89,6 +106,11 @@ class Automaton:
         self.born = array("q", [h[2] if h else 1 << 60 for h in halves])
         del self.removed, self.halves, self.made
         self.labels = byte_labels()
+        self.moves: dict[int, int] = {}
+        self.numbers: dict[bytes, int] = {}
+        self.sets: list[bytes] = []
+        self.last: list[int] = []
+        self.reset()
 
     def gadget(self, a: str, b: str, time: int) -> None:
         """state(a) loses the arc b; the token ab enters what b entered. Without an arc b there, nothing happens."""
@@ -139,60 +161,78 @@ class Automaton:
         return True
 
     def add(self, token: str, symbols: list[str]) -> None:
-        """The token's path in the table of transitions: from a node, by the number of a symbol, to a node."""
+        """The token's path in the trie: from a node, by the number of a symbol, to a node."""
         node = 0
         for s in symbols:
             key = node << 20 | self.symbols.setdefault(s, len(self.symbols))
-            if key not in self.moves:
-                self.moves[key] = len(self.ends)
+            if key not in self.trie:
+                self.trie[key] = len(self.ends)
                 self.ends.append(-1)
-            node = self.moves[key]
+            node = self.trie[key]
         self.ends[node] = len(self.tokens)
         self.tokens.append(token)
+        self.sizes.append(len(symbols))
         if self.left is not None:  # a symbol that no merge has
             for half in (self.left, self.right):
                 half.append(-1)
             self.born.append(1 << 60)
 
-    def matches(self, codes: list[int], at: int) -> list[tuple[int, int]]:
-        """The tokens that can start there, with their ends, the longest last."""
-        node, out, moves, ends = 0, [], self.moves, self.ends
-        for i in range(at, len(codes)):
-            node = moves.get(node << 20 | codes[i])
-            if node is None:
-                break
-            if (u := ends[node]) >= 0:
-                out.append((u, i + 1))
-        return out
+    #: Most transitions between symbols that are kept.
+    MOST = 150_000
+
+    def reset(self) -> None:
+        """Only the start: no token yet, the root of the trie."""
+        self.moves.clear()
+        self.numbers.clear()
+        del self.sets[:], self.last[:]
+        self.start = self.number(array("q", [-1 << 24]).tobytes(), -1)
+
+    def number(self, places: bytes, ended: int) -> int:
+        """The number of a set of places, the last of which is where a token ended."""
+        n = self.numbers.get(places)
+        if n is None:
+            n = self.numbers[places] = len(self.sets)
+            self.sets.append(places)
+            self.last.append(ended)
+        return n
 
-    def encode(self, symbols: list[str]) -> list[str]:
-        """The tokens of a word given by its base symbols.
+    def step(self, at: int, code: int) -> int:
+        """The transition, determinised. A place is a token (-1: none) and a node of the trie."""
+        places, ended = array("q"), -1
+        trie, ends = self.trie, self.ends
+        for place in array("q", self.sets[at]):
+            to = trie.get((place & 0xFFFFFF) << 20 | code)
+            if to is not None:
+                token, u = place >> 24, ends[to]
+                if u >= 0 and (token < 0 or self.has_arc(token, u)):
+                    ended = u
+                places.append(token << 24 | to)
+        places.append(ended << 24)
+        if len(self.moves) >= self.MOST:
+            self.reset()
+            return self.number(places.tobytes(), ended)
+        to = self.moves[at << 20 | code] = self.number(places.tobytes(), ended)
+        return to
 
-        Every path of arcs from the start spells a prefix and is the one for that
-        prefix, so a place that has been left for lack of an arc is not seen again.
-        """
-        if any(s not in self.symbols for s in symbols):
+    def encode(self, symbols: list[str]) -> list[str]:
+        """The tokens of a word given by its base symbols: one step of the table for each, then the tokens from the end."""
+        codes = list(map(self.symbols.get, symbols))
+        if None in codes:
             for s in symbols:
                 if s not in self.symbols:
                     self.add(s, [s])
-        codes = [self.symbols[s] for s in symbols]
-        n, path, arcs = len(codes), [], self.arcs
-        at, stack = 0, [self.matches(codes, 0)] if codes else []
-        while at < n:
-            for_now = stack[-1]
-            while for_now:
-                u, end = for_now.pop()
-                ok = not path or arcs.get(path[-1] << 32 | u)
-                if ok or (ok is None and self.has_arc(path[-1], u)):
-                    path.append(u)
-                    at = end
-                    if at < n:
-                        stack.append(self.matches(codes, at))
-                    break
-            else:
-                stack.pop()
-                path.pop()
-        return [self.tokens[u] for u in path]
+            codes = [self.symbols[s] for s in symbols]
+        at, moves, last, ended = self.start, self.moves, self.last, []
+        for c in codes:
+            to = moves.get(at << 20 | c)
+            at = self.step(at, c) if to is None else to
+            ended.append(last[at])
+        out, i, sizes = [], len(codes), self.sizes
+        while i:
+            u = ended[i - 1]
+            out.append(self.tokens[u])
+            i -= sizes[u]
+        return out[::-1]
 
     def encode_bytes(self, piece: str) -> list[str]:
         symbols = [self.labels[b] for b in piece.encode("utf-8", "surrogatepass")]
@@ -201,6 +241,25 @@ class Automaton:
         return self.encode(symbols)
 
 
+def added_tokens(spec: dict) -> tuple[dict[str, int], regex.Pattern | None, str]:
+    """A file's special strings with their ids, a pattern that finds them in raw text, and what all of them begin with."""
+    found = {t["content"]: t["id"] for t in spec["added_tokens"]}
+    if any(t.get(k) for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError("special strings that depend on what is around them are not handled")
+    at = regex.compile("|".join(map(regex.escape, sorted(found, key=len, reverse=True)))) if found else None
+    return found, at, os.path.commonprefix(list(found))
+
+
+def checked_model(spec: dict, suffix: str = "") -> dict:
+    """The file's model, if it is byte-level and can spell every byte."""
+    model = spec["model"]
+    if any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges")):
+        raise ValueError("a kind of merges that is not handled")
+    if missing := [c for c in byte_labels() if c not in model["vocab"] or c + suffix not in model["vocab"]]:
+        raise ValueError(f"the vocabulary lacks bytes: {missing[:5]}")
+    return model
+
+
 class Known(dict):
     """Values by key, the most recent 1 or 2 times MOST of them: when full, it becomes the older generation, which what is asked for leaves again."""
 
@@ -229,11 +288,12 @@ class WordTokenizer:
 
     def __init__(self, data: bytes) -> None:
         spec = json.loads(data)
-        model = spec["model"]
+        model = checked_model(spec, spec["model"].get("end_of_word_suffix") or "")
+        if [n["type"] for n in spec["normalizer"]["normalizers"]] != ["NFC", "Replace", "Lowercase"]:
+            raise ValueError("a kind of normalisation that is not handled")
         self.ids: dict[str, int] = model["vocab"]
         self.automaton = Automaton([tuple(m) if not isinstance(m, str) else tuple(m.split(" ")) for m in model["merges"]], model.get("end_of_word_suffix") or "")
-        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.special_at = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
+        self.special, self.special_at, self.begins = added_tokens(spec)
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pieces = regex.compile(split["pattern"]["Regex"].replace(r"\s", SPACES))
         self.chunks, self.words = Known(self.encode_chunk), Known(self.encode_piece)
@@ -246,7 +306,7 @@ class WordTokenizer:
         return text.lower() if "Σ" not in text else text.replace("Σ", "σ").lower()
 
     def encode_piece(self, piece: str) -> bytes:
-        return np.array([self.ids[t] for t in self.automaton.encode_bytes(piece) if t in self.ids], "<u4").tobytes()
+        return np.array([self.ids[t] for t in self.automaton.encode_bytes(piece)], "<u4").tobytes()
 
     def encode_chunk(self, chunk: str) -> bytes:
         low = self.lower(chunk)
@@ -262,7 +322,7 @@ class WordTokenizer:
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        if self.special_at is None or "<|" not in text:
+        if self.special_at is None or self.begins not in text:
             return self.encode_plain(text)
         out, at = [], 0
         for m in self.special_at.finditer(text):
@@ -369,12 +429,15 @@ class TokenCounter:
 
     def __init__(self, data: bytes) -> None:
         spec = json.loads(data)
-        model = spec["model"]
+        model = checked_model(spec)
+        before = spec["pre_tokenizer"]
+        if before["type"] != "ByteLevel" or not before["use_regex"] or before["add_prefix_space"] or spec["normalizer"]:
+            raise ValueError("a kind of pre-tokens that is not handled")
         merges = [tuple(m) if not isinstance(m, str) else tuple(m.split(" ")) for m in model["merges"]]
         self.ranks = {m: i for i, m in enumerate(merges)}
         self.labels = byte_labels()
-        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.special_at = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
+        self.special, self.special_at, self.begins = added_tokens(spec)
+        # Fixed value: the library's own pattern for files that say use_regex; such files do not hold it.
         split = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         self.pieces = regex.compile(split.replace(r"[^\s", "[^" + SPACES).replace(r"\s", f"[{SPACES}]").replace(r"\S", f"[^{SPACES}]"))
         byte = {c: b for b, c in enumerate(self.labels)}
@@ -428,15 +491,15 @@ class TokenCounter:
         return sum(map(words.__getitem__, self.pieces.findall(text)))
 
     def count_plain(self, text: str) -> int:
-        """Spaces part pre-tokens and go with what follows; only of several in a row do the others stand together, so such texts are split as a whole."""
-        if "  " in text or not text:
-            return self.count_pieces(text)
-        first, *rest = text.split(" ")
+        """A space between two characters that aren't white space begins a pre-token; runs of white space are split with what is around them."""
+        if not text:
+            return 0
+        first, *rest = text.split(" ") if RUN.search(text) is None else LONE.split(text)
         known = self.chunks
         return (known[first] if first else 0) + sum([known[c] for c in map(" ".__add__, rest)])
 
     def count(self, text: str) -> int:
-        if self.special_at is None or "<|" not in text:
+        if self.special_at is None or self.begins not in text:
             return self.count_plain(text)
         parts = self.special_at.split(text)
         return len(parts) - 1 + sum(map(self.count_plain, parts))

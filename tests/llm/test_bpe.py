@@ -18,9 +18,9 @@ HARD = [
 def texts():
     rng = random.Random(3)
     out = list(HARD)
-    for letters in ("aeinst ", "ab '\n\t s  t,.12é", "abcdefghijklmnopqrstuvwxyz'’.,!éèßñ 0123\n\tΣ<|>"):
-        out += ["".join(rng.choice(letters) for _ in range(rng.randrange(200))) for _ in range(150)]
-    return out
+    for letters in (" \xa0ab", " \t\n\r\x0b\x0c\x1c\x85\xa0\u1680\u2000\u200a\u200b\u2028\u202f\u205f\u3000ab'", "aeinst ", "ab '\n\t s  t,.12é", "abcdefghijklmnopqrstuvwxyz'’.,!éèßñ 0123\n\tΣ<|>"):
+        out += ["".join(rng.choice(letters) for _ in range(rng.randrange(200))) for _ in range(400)]
+    return out + ["b \xa0 \xa0 ", "a\n \nb", " \xa0x <|endoftext|> \xa0"]
 
 
 def read(name):
@@ -90,7 +90,55 @@ def test_query_digests(spark, sf_dir):
     text = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     got = queries.op9_bpe_automaton(spark, sf_dir).collect()
     assert len(got) == len(text)
-    for r in got[:60]:
+    for r in got:
         e = lib.encode(text[r.doc_id], add_special_tokens=False)
         assert r.n_tokens == len(e.ids) and r.ids_sha256 == hashlib.sha256(np.array(e.ids, "<u4").tobytes()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(lib.decode(e.ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_words_longer_than_the_table(monkeypatch):
+    own = bpe.WordTokenizer(read("word_bpe_49k.json"))
+    rng = random.Random(4)
+    word = "".join(rng.choice("abcdefghinorst") for _ in range(5000))
+    whole = own.automaton.encode_bytes(word)
+    monkeypatch.setattr(bpe.Automaton, "MOST", 40)
+    own.automaton.reset()
+    assert own.automaton.encode_bytes(word) == whole and len(own.automaton.moves) <= 40
+
+
+def test_one_step_for_each_symbol(monkeypatch):
+    """A word that the table knows asks for no new transition: nothing is tried and taken back."""
+    own = bpe.WordTokenizer(read("word_bpe_49k.json")).automaton
+    first = own.encode_bytes("straightforwardness")
+    monkeypatch.setattr(bpe.Automaton, "step", None)
+    assert own.encode_bytes("straightforwardness") == first
+
+
+@pytest.mark.parametrize("change", [{"unk_token": "?"}, {"vocab": {"a": 0}}])
+def test_files_that_are_not_handled(change):
+    import json
+
+    spec = json.loads(read("byte_bpe_50k.json"))
+    spec["model"] |= change
+    with pytest.raises(ValueError):
+        bpe.TokenCounter(json.dumps(spec).encode())
+
+
+def test_count_query_equals_library(spark, sf_dir):
+    lib = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
+    text = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    got = queries.op10_token_counts(spark, sf_dir).collect()
+    assert len(got) == len(text)
+    for r in got:
+        n = len(lib.encode(text[r.doc_id] or "", add_special_tokens=False).ids)
+        assert (r.n_bytes, r.n_tokens, r.over_limit) == (len((text[r.doc_id] or "").encode()), n, n > 1024)
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_count_column(spark, empty):
+    data = bpe.tokenizer_data(spark, tokenizer_path("byte_bpe_50k.json"))
+    lib = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
+    rows = [] if empty else [(1, None, "x"), (None, "Hello hello", "x"), (2, "", "x"), (2, "", "x"), (3, "a b \xa0 " * 40_000, "x")]
+    docs = queries.prepare(spark) and spark.createDataFrame(rows, "doc_id long, text string, n_tokens string")
+    got = sorted(((r.doc_id, r.n_tokens) for r in bpe.count_column(docs, data).collect()), key=str)
+    assert got == sorted(((i, len(lib.encode(t or "", add_special_tokens=False).ids)) for i, t, _ in rows), key=str)
