@@ -1,27 +1,41 @@
 """N-gram Jaccard join by a MinHash LSH forest, with exact verification.
 
-Each distinct text becomes the set of its 5-word shingles and TREES signatures
-of DEPTH MinHash values. A tree of the forest is the sorted prefix trie of one
-signature. Matching starts at the whole signature; the matched prefix is
-shortened, for all trees at once, until the expected share of pairs at the
-threshold that meet in a common prefix of some tree reaches the target recall
-(prefix_length). Texts that meet are candidates; a pair is compared once, in
-the first tree in which it meets, by the exact Jaccard similarity of the sets.
-
-Bounded work for hot groups: exact copies are one text. A trie node with many
-texts is cut into blocks by a hash, and each pair of blocks is a task group of
-its own, of at most about BLOCK_TEXTS and BLOCK_BYTES; similar pairs are never
-written as rows: a group reports for each text its number of links and the
-smallest text of its linked component there. Components across groups come from
-alternating large-star and small-star steps over those edges, cut by checkpoint.
+Each distinct text becomes the set of its 5-word shingles and TREES labels. A
+label is the signature of one tree: DEPTH MinHash values of a byte each, the
+first one highest, so labels in order are a sorted prefix trie and two texts
+meet as deep in it as their labels have leading bytes in common.
+
+Matching starts at whole labels (depth DEPTH) and shortens the matched prefix
+byte by byte. At each depth the texts of a trie node are compared exactly: a
+pair is compared once, at the greatest depth at which it meets in any tree, in
+the first such tree. From the similarities found so far each text estimates its
+own recall: a pair of similarity J meets at depth d with probability
+p = 1 - (1 - J^d)^TREES, so the links found stand for the sum of 1 / p links. A
+text whose estimate reaches the target is settled and looks no further; pairs of
+two settled texts are not compared at shorter prefixes, so dense nodes stay deep.
+Texts with few or distant partners go on, to the shortest prefix at which a pair
+at the threshold itself meets with the target probability (prefix_length). Only
+texts that share a node of that depth with another one take part at all.
+
+Bounded work for hot groups: exact copies are one text. Counts of nodes are
+aggregated before they are shuffled; nodes with more than HOT_TEXTS texts are
+met by a broadcast of those nodes, never by a shuffle on the node. A node with
+many texts is cut into blocks by a hash, and each pair of blocks with an
+unsettled text is a task group of its own, of at most about BLOCK_TEXTS and
+BLOCK_BYTES; similar pairs are never written as rows: a group reports for each
+text its number of links and the smallest text of its linked component there.
+Components across groups come from alternating large-star and small-star steps
+over those edges, cut by checkpoint. As n_links is exact among what meets, m
+distinct near copies of one text are compared in m^2 / 2 pairs; they are dealt
+over (m / BLOCK_TEXTS)^2 / 2 groups.
 
 Results for texts: digest, rep (smallest doc_id), n (copies), links (similar
 documents: other copies, and all copies of similar texts), root (the class).
 Texts without words have no shingles and link to nothing, copies of them
 included; texts of fewer words than a shingle are one shingle. A null text
 counts as empty. A null doc_id never becomes the class id of a class with
-others. Repeated rows are copies. Empty tables give no rows. Extra columns are
-ignored.
+others. Repeated rows are copies. Very long texts are one row of a block of
+their own. Empty tables give no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +43,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from doclattice.llm.bpe import slices
@@ -38,6 +52,10 @@ from doclattice.llm.common import WORD
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.998
 TREES, DEPTH = 16, 8
 BLOCK_TEXTS, BLOCK_BYTES = 512, 8 << 20
+#: Most rows (under 40 bytes each) of nodes or digests that are broadcast, by count; more are joined by a shuffle.
+BROADCAST_ROWS = 200_000
+#: A node with more texts isn't shuffled as a key; there are at most TREES / HOT_TEXTS such nodes for each text.
+HOT_TEXTS = 100_000
 _ODD = np.random.RandomState(20).randint(1, 2**62, TREES * DEPTH, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -68,16 +86,17 @@ def shingles(text: str, size: int = SHINGLE) -> np.ndarray:
     return np.unique(h)
 
 
-def signature(h: np.ndarray, length: int) -> np.ndarray:
-    """One key for each tree: a hash of the tree's number and the first values of its signature."""
-    used = _ODD.reshape(TREES, DEPTH)[:, :length].ravel()
-    low = np.full(used.size, np.iinfo(np.uint64).max, np.uint64)
+def labels(h: np.ndarray) -> np.ndarray:
+    """A label for each tree: the low byte of each of its MinHash values, the first one highest."""
+    low = np.full(_ODD.size, np.iinfo(np.uint64).max, np.uint64)
     for a in range(0, len(h), 2048):
-        np.minimum(low, (h[a : a + 2048, None] * used).min(0), out=low)
-    key = np.arange(1, TREES + 1, dtype=np.uint64) * _MIX
-    for column in low.reshape(TREES, length).T:
-        key = mixed(key ^ column)
-    return key.astype(np.int64)
+        np.minimum(low, (h[a : a + 2048, None] * _ODD).min(0), out=low)
+    return (mixed(low) & np.uint64(255)).astype(np.uint8).reshape(TREES, DEPTH).view(">i8").ravel().astype(np.int64)
+
+
+def meeting(similarity: np.ndarray, depth: int, trees: int = TREES) -> np.ndarray:
+    """The probability that pairs of this similarity meet in a prefix of that length in some tree."""
+    return 1 - (1 - similarity**depth) ** trees
 
 
 def with_digest(docs: DataFrame) -> DataFrame:
@@ -85,21 +104,44 @@ def with_digest(docs: DataFrame) -> DataFrame:
     return docs.withColumn("digest", F.when(F.rlike("text", F.lit(WORD)), F.unhex(F.md5("text"))))
 
 
-def signed_texts(docs: DataFrame, length: int) -> DataFrame:
-    """digest, rep, n, bytes, keys of every distinct text."""
-    schema = pa.schema([("digest", pa.binary()), ("doc_id", pa.int64()), ("bytes", pa.int64()), ("keys", pa.list_(pa.int64()))])
+def signed_texts(docs: DataFrame) -> DataFrame:
+    """digest, rep, n, bytes, labels of every distinct text."""
+    schema = pa.schema([("digest", pa.binary()), ("doc_id", pa.int64()), ("bytes", pa.int64()), ("labels", pa.list_(pa.int64()))])
 
     def run(batches):
         for whole in batches:
             for b in slices(whole, "text"):
                 texts = b["text"].to_pylist()
-                keys = [signature(shingles(t), length) for t in texts]
+                found = [labels(shingles(t)) for t in texts]
                 yield pa.RecordBatch.from_arrays(
-                    [b["digest"], b["doc_id"], pa.array([len(t.encode("utf-8", "surrogatepass")) for t in texts], pa.int64()), pa.array(keys, schema.field("keys").type)], schema=schema
+                    [b["digest"], b["doc_id"], pa.array([len(t.encode("utf-8", "surrogatepass")) for t in texts], pa.int64()), pa.array(found, schema.field("labels").type)], schema=schema
                 )
 
-    signed = docs.where("digest IS NOT NULL").select("digest", "doc_id", "text").mapInArrow(run, "digest binary, doc_id long, bytes long, keys array<long>")
-    return signed.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.max("bytes").alias("bytes"), F.max("keys").alias("keys"))
+    signed = docs.where("digest IS NOT NULL").select("digest", "doc_id", "text").mapInArrow(run, "digest binary, doc_id long, bytes long, labels array<long>")
+    return signed.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.max("bytes").alias("bytes"), F.max("labels").alias("labels"))
+
+
+def prefix(depth: int) -> Column:
+    return F.shiftrightunsigned("label", 64 - 8 * depth)
+
+
+def at_nodes(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """rows joined to nodes (tree, prefix, m and more; checkpointed). Few nodes are broadcast; else only those of many texts are, and the others are joined by a shuffle."""
+    by = ["tree", "prefix"]
+    if nodes.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(nodes), by)
+    hot = nodes.where(F.col("m") > HOT_TEXTS)
+    if hot.isEmpty():
+        return rows.join(nodes, by)
+    cold = rows.join(F.broadcast(hot.select(*by)), by, "left_anti").join(nodes.where(F.col("m") <= HOT_TEXTS), by)
+    return rows.join(F.broadcast(hot), by).unionByName(cold)
+
+
+def forest(texts: DataFrame, least: int) -> DataFrame:
+    """digest, n, bytes, labels, tree, label of the texts that share a node at the shortest prefix with another text."""
+    met = texts.select("digest", "n", "bytes", "labels", F.posexplode("labels").alias("tree", "label")).withColumn("prefix", prefix(least))
+    nodes = met.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("m")).where("m > 1").checkpoint()
+    return at_nodes(met, nodes).drop("prefix", "m")
 
 
 def groups_of(batches, names: list[str]):
@@ -121,19 +163,25 @@ def groups_of(batches, names: list[str]):
         yield rest
 
 
-def first_met(group: pa.Table) -> np.ndarray:
-    """For each pair of the group whether this tree is the first in which it meets, and the blocks are the group's."""
-    keys = np.stack(group["keys"].to_pylist()).astype(np.int64)
+def first_met(group: pa.Table, depth: int) -> np.ndarray:
+    """For each pair of the group whether it meets nowhere deeper, in no earlier tree as deep, and the blocks are the group's."""
+    found = np.stack(group["labels"].to_pylist()).astype(np.int64).view(np.uint64)
+    at = lambda d: found >> np.uint64(64 - 8 * d)
     tree, block = group["tree"][0].as_py(), group["block"].to_numpy()
-    pair = keys[:, None, tree] == keys[None, :, tree]
-    for t in range(tree):
-        pair &= keys[:, None, t] != keys[None, :, t]
     i, j = group["i"][0].as_py(), group["j"][0].as_py()
-    return np.triu(pair, 1) if i == j else pair & (block == i)[:, None] & (block == j)[None, :]
+    n = len(found)
+    pair = np.triu(np.ones((n, n), bool), 1) if i == j else (block == i)[:, None] & (block == j)[None, :]
+    for t in range(tree):
+        own = at(depth)[:, t]
+        pair &= own[:, None] != own[None, :]
+    for t in range(TREES if depth < DEPTH else 0):
+        own = at(depth + 1)[:, t]
+        pair &= own[:, None] != own[None, :]
+    return pair
 
 
-def similar(sets: list[np.ndarray], pair: np.ndarray, threshold: float) -> list[tuple[int, np.ndarray]]:
-    """For each row the columns among its pairs with at least that Jaccard similarity."""
+def similar(sets: list[np.ndarray], pair: np.ndarray, threshold: float) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """For each row the columns among its pairs with at least that Jaccard similarity, and the similarities."""
     sizes = np.array([len(s) for s in sets])
     _, ids = np.unique(np.concatenate(sets), return_inverse=True)
     starts = np.concatenate([[0], np.cumsum(sizes)])
@@ -152,15 +200,17 @@ def similar(sets: list[np.ndarray], pair: np.ndarray, threshold: float) -> list[
         flags[mine] = 0
         hit = both >= threshold * (sizes[a] + sizes[partners] - both) - 1e-9
         if hit.any():
-            out.append((a, partners[hit]))
+            out.append((a, partners[hit], both[hit] / (sizes[a] + sizes[partners] - both)[hit]))
     return out
 
 
-def linked(group: pa.Table, threshold: float) -> pa.RecordBatch | None:
-    """digest, links, root of the group's texts with links."""
+def linked(group: pa.Table, depth: int, least: int, threshold: float) -> pa.RecordBatch | None:
+    """digest, links, root, pairs and the pairs that those stand for at each depth, of the group's texts with links."""
     sets = [shingles(t) for t in group["text"].to_pylist()]
     n, digest = group["n"].to_numpy(), group["digest"].to_pylist()
-    links, root = np.zeros(len(sets), np.int64), list(range(len(sets)))
+    links, pairs, root = np.zeros(len(sets), np.int64), np.zeros(len(sets), np.int64), list(range(len(sets)))
+    depths = range(least, DEPTH + 1)
+    stand_for = np.zeros((len(depths), len(sets)))
 
     def find(x):
         while root[x] != x:
@@ -168,9 +218,15 @@ def linked(group: pa.Table, threshold: float) -> pa.RecordBatch | None:
             x = root[x]
         return x
 
-    for a, partners in similar(sets, first_met(group), threshold):
+    for a, partners, similarity in similar(sets, first_met(group, depth), threshold):
         links[a] += n[partners].sum()
         links[partners] += n[a]
+        pairs[a] += len(partners)
+        pairs[partners] += 1
+        for k, d in enumerate(depths):
+            more = 1 / meeting(similarity, d)
+            stand_for[k, a] += more.sum()
+            stand_for[k, partners] += more
         for b in partners.tolist():
             x, y = find(a), find(b)
             if x != y:
@@ -179,42 +235,69 @@ def linked(group: pa.Table, threshold: float) -> pa.RecordBatch | None:
     hit = np.nonzero(links)[0].tolist()
     if not hit:
         return None
-    return pa.RecordBatch.from_arrays(
-        [pa.array([digest[i] for i in hit], pa.binary()), pa.array(links[hit]), pa.array([digest[find(i)] for i in hit], pa.binary())], names=["digest", "links", "root"]
-    )
+    columns = {"digest": pa.array([digest[i] for i in hit], pa.binary()), "links": pa.array(links[hit]), "root": pa.array([digest[find(i)] for i in hit], pa.binary()), "pairs": pa.array(pairs[hit])}
+    return pa.RecordBatch.from_pydict(columns | {f"at{d}": pa.array(stand_for[k, hit]) for k, d in enumerate(depths)})
 
 
-def candidate_members(texts: DataFrame) -> DataFrame:
-    """Rows (key, i, j, tree, block, digest, keys, n) of texts that meet others first in that tree, by pairs of blocks."""
-    met = texts.select("digest", "n", "bytes", "keys", F.posexplode("keys").alias("tree", "key"))
-    counts = met.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.sum("bytes").alias("b")).where("m > 1")
-    blocks = F.greatest(F.ceil(F.col("m") / BLOCK_TEXTS), F.ceil(F.col("b") / BLOCK_BYTES)).cast("int")
-    dealt = met.join(counts, "key").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
-    paired = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "tree", "block", "digest", "n", "keys"
+def members_at(rows: DataFrame, depth: int) -> DataFrame:
+    """Rows (tree, prefix, i, j, block, digest, n, labels) of texts that meet others first at that depth, by pairs of blocks. rows: forest() and open, false for settled texts."""
+    rows = rows.withColumn("prefix", prefix(depth))
+    below = prefix(min(depth + 1, DEPTH))
+    is_open = F.col("open")
+    nodes = rows.groupBy("tree", "prefix").agg(
+        F.count(F.lit(1)).alias("m"), F.count_if(is_open).alias("m_open"), F.sum("bytes").alias("b"), F.sum(F.when(is_open, F.col("bytes")).otherwise(0)).alias("b_open"), F.min(below).alias("first"), F.max(below).alias("last")
     )
+    nodes = nodes.where((F.col("m") > 1) & (F.col("m_open") > 0) & (F.lit(depth == DEPTH) | (F.col("first") != F.col("last"))))
+    blocks = lambda m, b: F.greatest(F.ceil(m / BLOCK_TEXTS), F.ceil(b / BLOCK_BYTES)).cast("int")
+    nodes = nodes.select("tree", "prefix", "m", blocks(F.col("m_open"), F.col("b_open")).alias("opened"), blocks(F.col("m") - F.col("m_open"), F.col("b") - F.col("b_open")).alias("settled")).checkpoint()
+    # Blocks of open texts come first; a block of settled ones meets those only.
+    own = F.when(is_open, F.pmod(F.xxhash64("digest"), F.col("opened"))).otherwise(F.col("opened") + F.pmod(F.xxhash64("digest"), F.greatest("settled", F.lit(1))))
+    others = F.when(is_open, F.col("opened") + F.col("settled")).otherwise(F.col("opened"))
+    dealt = at_nodes(rows, nodes).withColumn("block", own.cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), (others - 1).cast("int"))))
+    paired = dealt.select("tree", "prefix", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "digest", "n", "labels")
 
     def run(batches):
-        for g in groups_of(batches, ["key", "i", "j"]):
-            pair = first_met(g)
+        for g in groups_of(batches, ["tree", "prefix", "i", "j"]):
+            pair = first_met(g, depth)
             keep = pair.any(0) | pair.any(1)
             if keep.any():
                 yield from g.filter(pa.array(keep)).combine_chunks().to_batches()
 
-    return paired.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, paired.schema)
+    by = ["tree", "prefix", "i", "j"]
+    return paired.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, paired.schema)
 
 
-def verified_links(docs: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
-    """digest, links, root for each group in which a text has links."""
-    one = docs.where("digest IS NOT NULL").groupBy("digest").agg(F.first("text").alias("text"))
-    rows = members.join(one, "digest")
+def verified_links(docs: DataFrame, members: DataFrame, depth: int, least: int, threshold: float) -> DataFrame:
+    """linked() for each group of members (checkpointed). Of the texts, only the members' are moved, where those are few enough to be named by a broadcast."""
+    asked = members.select("digest").distinct()
+    texts = docs.where("digest IS NOT NULL").select("digest", "text")
+    texts = texts.join(F.broadcast(asked) if asked.count() <= BROADCAST_ROWS else asked, "digest", "left_semi")
+    rows = members.join(texts.groupBy("digest").agg(F.first("text").alias("text")), "digest")
+    by = ["tree", "prefix", "i", "j"]
 
     def run(batches):
-        for g in groups_of(batches, ["key", "i", "j"]):
-            if (out := linked(g, threshold)) is not None:
+        for g in groups_of(batches, by):
+            if (out := linked(g, depth, least, threshold)) is not None:
                 yield out
 
-    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "digest binary, links long, root binary")
+    schema = "digest binary, links long, root binary, pairs long, " + ", ".join(f"at{d} double" for d in range(least, DEPTH + 1))
+    return rows.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, schema)
+
+
+def forest_links(docs: DataFrame, texts: DataFrame, threshold: float, recall: float) -> DataFrame:
+    """digest, links, root, by groups: from whole labels to shorter prefixes, until each text's recall is reached."""
+    least = prefix_length(threshold, recall)
+    trees = forest(texts, least).checkpoint()
+    rows, found = trees.withColumn("open", F.lit(True)), None
+    for depth in range(DEPTH, least - 1, -1):
+        members = members_at(rows, depth).checkpoint()
+        new = verified_links(docs, members, depth, least, threshold).checkpoint()
+        found = new if found is None else found.unionByName(new)
+        if depth > least:
+            done = found.groupBy("digest").agg(F.sum("pairs").alias("pairs"), F.sum(f"at{depth}").alias("all")).where(F.col("pairs") >= recall * F.col("all")).select("digest", F.lit(False).alias("go_on")).checkpoint()
+            few = done.count() <= BROADCAST_ROWS
+            rows = trees.join(F.broadcast(done) if few else done, "digest", "left").withColumn("open", F.coalesce("go_on", F.lit(True))).drop("go_on")
+    return found.select("digest", "links", "root")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -246,8 +329,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_texts(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """docs (doc_id, text, digest) -> digest, rep, n, links, root of every distinct text with words."""
-    texts = signed_texts(docs, prefix_length(threshold, recall)).checkpoint()
-    found = verified_links(docs, candidate_members(texts), threshold).checkpoint()
+    texts = signed_texts(docs).checkpoint()
+    found = forest_links(docs, texts, threshold, recall)
     roots = components(found.select(F.col("digest").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("digest"), "root")
     links = found.groupBy("digest").agg(F.sum("links").alias("links"))
     joined = texts.select("digest", "rep", "n").join(links, "digest", "left").join(roots, "digest", "left")

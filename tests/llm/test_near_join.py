@@ -74,15 +74,71 @@ def test_prefix_is_shortened_to_the_recall():
     assert 1 - (1 - 0.8**k) ** N.TREES >= N.RECALL > 1 - (1 - 0.8 ** (k + 1)) ** N.TREES
 
 
+def signed(h, depth):
+    return N.labels(h).view(np.uint64) >> np.uint64(64 - 8 * depth)
+
+
 def test_measured_recall_at_the_threshold():
     rng, found = np.random.RandomState(3), 0
     for _ in range(400):
         h = N.mixed(rng.randint(0, 2**62, 110).astype(np.uint64))
         a, b = np.sort(h[:100]), np.sort(np.concatenate([h[:88], h[100:]]))  # 88 of 110: 0.8
-        found += (N.signature(a, N.prefix_length()) == N.signature(b, N.prefix_length())).any()
+        found += (signed(a, N.prefix_length()) == signed(b, N.prefix_length())).any()
     assert found >= 0.985 * 400
 
 
+def test_labels_meet_as_often_as_estimated():
+    """Depth by depth, for pairs of similarity 0.8: the share that meets is the one that estimates rest on."""
+    rng, met = np.random.RandomState(5), np.zeros(N.DEPTH + 1)
+    for _ in range(300):
+        h = N.mixed(rng.randint(0, 2**62, 110).astype(np.uint64))
+        a, b = np.sort(h[:100]), np.sort(np.concatenate([h[:88], h[100:]]))
+        for d in range(5, N.DEPTH + 1):
+            met[d] += (signed(a, d) == signed(b, d)).any()
+    for d in range(5, N.DEPTH + 1):
+        assert met[d] / 300 == pytest.approx(N.meeting(np.array([0.8]), d)[0], abs=0.04)
+
+
+def test_dense_texts_settle_deep_and_lose_no_link(spark, monkeypatch):
+    """A cluster of close copies is settled at whole labels: its pairs aren't met again at shorter prefixes; a distant copy still finds all of it."""
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    base = [word() for _ in range(400)]
+    rows = []
+    for i in range(80):
+        t = list(base)
+        t[rng.randrange(400)] = word()
+        rows.append((i, " ".join(t)))
+    far = list(base)
+    for k in range(0, 400, 60):
+        far[k] = word()
+    rows.append((80, " ".join(far)))
+    queries.prepare(spark)
+    asked, plain = {}, N.members_at
+    monkeypatch.setattr(N, "members_at", lambda r, d: asked.setdefault(d, plain(r, d).checkpoint()))
+    df = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], SCHEMA)
+    got = sorted(((r.doc_id, r.class_id, r.n_links) for r in N.join_documents(df).collect()), key=str)
+    assert got == brute(rows)
+    assert asked[N.DEPTH].count() > 80 and all(asked[d].where("i = j").select("digest").distinct().count() <= 2 for d in asked if d < N.DEPTH)
+
+
+@pytest.mark.parametrize("hot", [0, 10**9])
+def test_nodes_beyond_the_broadcast(spark, monkeypatch, hot):
+    monkeypatch.setattr(N, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(N, "HOT_TEXTS", 5 if not hot else hot)
+    queries.prepare(spark)
+    rows = corpus()
+    df = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], SCHEMA)
+    assert sorted(((r.doc_id, r.class_id, r.n_links) for r in N.join_documents(df).collect()), key=str) == brute(rows)
+
+
+def test_query(spark, sf_dir):
+    """Over the whole smallest table, against all pairs."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    got = sorted(((r.doc_id, r.class_id, r.n_links) for r in queries.op3_jaccard_join(spark, sf_dir).collect()), key=str)
+    assert got == brute(rows)
+
+
 def test_components_of_paths_and_stars(spark):
     queries.prepare(spark)
     path = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7)]
