@@ -30,6 +30,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from doclattice.llm.common import let
+
 START, END = "<|im_start|>", "<|im_end|>"
 #: Any control string: none may stand inside a text.
 CONTROL = r"<\|[A-Za-z0-9_]+\|>"
@@ -85,6 +87,17 @@ def loss_mask(formatted: Column, role: str = "assistant") -> Column:
     return F.flatten(F.transform(pieces, runs))
 
 
+def masked_text(formatted: Column, mask: Column) -> Column:
+    """All text under a loss_mask(), unescaped: each turn's run is cut out of the rendered string by the run lengths alone."""
+    pieces = F.slice(F.split(formatted, F.lit(r"<\|im_start\|>"), F.lit(-1)), 2, 2**30)
+
+    def cut(m: Column, piece: Column, i: Column) -> Column:
+        head, run = F.get(m, 3 * i), F.get(m, 3 * i + 1)
+        return F.when(run["loss"], unescape(F.substring(piece, (head["chars"] - len(START) + 1).cast("int"), run["chars"].cast("int"))))
+
+    return let(mask, lambda m: F.array_join(F.transform(pieces, lambda p, i: cut(m, p, i)), ""))
+
+
 def format_conversations(conversations: DataFrame) -> DataFrame:
     """One row per conversation: conv_id, formatted, escape_level."""
     rows = conversations.select(
@@ -126,12 +139,13 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
 def conversation_digests(formatted: DataFrame) -> DataFrame:
     """Digests of formatted conversations, computed from the rendered strings alone."""
-    found = formatted.select("conv_id", "formatted", parse(F.col("formatted")).alias("turns"))
+    text = F.col("formatted")
+    found = formatted.select("conv_id", "formatted", parse(text).alias("turns"), masked_text(text, loss_mask(text)).alias("loss"))
     spoken = found.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
         F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "").alias("all"),
-        F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "").alias("loss"),
+        "loss",
         F.length("formatted").cast("long").alias("formatted_chars"),
     )
     return spoken.select(

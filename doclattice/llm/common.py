@@ -20,14 +20,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Lets Python workers import this package, bounds Arrow batches by bytes, and sets a checkpoint folder where the session names none."""
+    """Lets Python workers import this package, bounds Arrow batches by bytes, and sets the checkpoint folder that the session names.
+
+    A session without one gets its own only where all of Spark is one process (master local); elsewhere the folder
+    has to be shared, so its lack is an error.
+    """
     sc = spark.sparkContext
     paths = sc.environment.get("PYTHONPATH", "")
     if ROOT not in paths.split(os.pathsep):
         sc.environment["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, paths) if x)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints")
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints")
     return spark
 
 

@@ -2,8 +2,9 @@
 
 Pages are grouped by host. For each line of a host, the pages of the host that
 hold it, divided by all pages of the host, make its ratio; a line whose ratio
-exceeds the limit, and that at least min_pages pages hold, is boilerplate and
-is dropped from every page of that host. What is left keeps its order.
+exceeds the limit is boilerplate and is dropped from every page of that host. A
+line that a single page holds is no line in common, whatever its ratio (on a
+host of one page each line would have the ratio 1). What is left keeps its order.
 
 A host's boilerplate is a small set: pages with L lines on average have at most
 L / limit lines above the limit. It is gathered as one array of 128-bit line
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from doclattice.llm.common import WORD, let
 
-RATIO, MIN_PAGES, SALTS = 0.05, 3, 32
+RATIO, SALTS = 0.05, 32
 #: Most line hashes in all that are broadcast (16 bytes each).
 BROADCAST_HASHES = 250_000
 
@@ -37,7 +38,7 @@ def line_hash(line: Column) -> Column:
     return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit(17), line).alias("b"))
 
 
-def host_lines(pages: DataFrame, ratio: float, min_pages: int, text: str, host: str, copies: bool = True) -> DataFrame:
+def host_lines(pages: DataFrame, ratio: float, text: str, host: str, copies: bool = True) -> DataFrame:
     """host, lines: the hashes of each host's boilerplate."""
     held = F.array_distinct(F.transform(F.filter(F.split(text, "\n"), lambda x: F.rlike(x, F.lit(WORD))), line_hash))
     rows = pages.select(F.col(host).alias("host"), F.md5(text).alias("digest"), held.alias("held"))
@@ -48,7 +49,7 @@ def host_lines(pages: DataFrame, ratio: float, min_pages: int, text: str, host:
         rows.select("host", F.explode("held").alias("line"))
         .groupBy("host", "line")
         .agg(F.count(F.lit(1)).alias("n"))
-        .where(F.col("n") >= min_pages)
+        .where("n > 1")
     )
     t = totals.withColumnRenamed("host", "of")
     above = counts.join(t, F.col("host").eqNullSafe(F.col("of"))).where(F.col("n") > ratio * F.col("pages"))
@@ -56,11 +57,11 @@ def host_lines(pages: DataFrame, ratio: float, min_pages: int, text: str, host:
 
 
 def drop_boilerplate(
-    pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES, text: str = "text", host: str = "source", salts: int = SALTS, broadcast_hashes: int = BROADCAST_HASHES,
+    pages: DataFrame, ratio: float = RATIO, text: str = "text", host: str = "source", salts: int = SALTS, broadcast_hashes: int = BROADCAST_HASHES,
     copies: bool = True,
 ) -> DataFrame:
     """pages with the text cleaned, and line_count and dropped_count (long) appended."""
-    found = host_lines(pages, ratio, min_pages, text, host, copies).checkpoint()
+    found = host_lines(pages, ratio, text, host, copies).checkpoint()
     size = found.agg(F.coalesce(F.sum(F.size("lines")), F.lit(0)), F.count(F.lit(1))).first()
     found = found.select(F.col("host").alias("__host"), F.col("lines").alias("__lines"))
     if size[0] + size[1] <= broadcast_hashes:

@@ -6,21 +6,23 @@ source's size and the excess is shared again by weight until none is above.
 That fixed point is found in one pass over the sources ordered by the level at
 which each reaches its cap.
 
-Taking: documents of a source stand in a fixed order (by md5 of doc_id, then
-size). Each is taken as often as the target holds the whole source, and once
-more while the running sum of sizes is within the rest, to the nearest document.
-Running sums are made in two steps, within buckets of the md5 and over the
-buckets' sums, so a source with a third of all rows is dealt over 4096 tasks.
+Offsets: documents of a source stand in a fixed order (by md5 of doc_id, then
+size), again and again up to ``cap`` times; the offset of a copy is the sum of
+sizes before its middle. Running sums are made in two steps, within buckets of
+the md5 and over the buckets' sums, so a source with a third of all rows is
+dealt over 4096 tasks.
 
 Positions: a source's weight over training time is a piecewise linear schedule.
-Its integral, scaled to the target, is the demand up to a time; a document at
-cumulative offset c stands where the demand reaches c, found by inverting the
-integral (a quadratic on each piece). The mix is range-partitioned and sorted
-by position.
+Its integral, scaled to the target, is the demand up to a time; a copy at offset
+c stands where the demand reaches c, found by inverting the integral (a quadratic
+on each piece). The demand ends at the target, so a copy whose offset lies beyond
+has no position: it is not taken. What the mix takes of a document is the number
+of its positions times its size. The mix is range-partitioned and sorted by
+position.
 
 A null text has size 0. Sources of size 0 have target 0. Repeated rows are
-documents of their own. Rows with a null doc_id sort as the empty text. An
-empty table gives no rows. Extra columns are ignored.
+documents of their own. Rows with a null doc_id are ordered by the md5 of their
+text instead. An empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from doclattice.llm.common import count_words
+from doclattice.llm.common import count_words, let
 
 WEIGHTS, SHARE, CAP = (5, 2, 1), 1.5, 2
 #: Weight at training times from 0 to 1, by rank of the source modulo their number.
@@ -60,13 +62,14 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap:
 
 
 def sized(docs: DataFrame, *more: str) -> DataFrame:
-    return docs.select("doc_id", "source", count_words(F.col("text")).alias("size"), *more)
+    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.md5(F.coalesce("text", F.lit(""))))))
+    return docs.select("doc_id", "source", count_words(F.col("text")).alias("size"), key.alias("key"), *more)
 
 
 def offsets(docs: DataFrame, sources: DataFrame) -> DataFrame:
     """sized() -> and the source's columns, start: the sizes before it in its source's order."""
-    more = [c for c in docs.columns if c not in ("doc_id", "source", "size")]
-    keyed = docs.withColumn("key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))).withColumn("bucket", F.substring("key", 1, 3))
+    more = [c for c in docs.columns if c not in ("doc_id", "source", "size", "key")]
+    keyed = docs.withColumn("bucket", F.substring("key", 1, 3))
     sums = keyed.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     over = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(F.col("source").alias("of"), F.col("bucket").alias("in"), F.coalesce(F.sum("bucket_size").over(over), F.lit(0)).alias("before"))
@@ -79,14 +82,6 @@ def offsets(docs: DataFrame, sources: DataFrame) -> DataFrame:
     )
 
 
-def with_taken(docs: DataFrame, cap: int = CAP) -> DataFrame:
-    """offsets() -> and times: how often the mix takes the document, and taken: the words of that."""
-    whole = F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(cap))
-    rest = F.col("target") - whole * F.col("source_size")
-    times = F.when(F.col("size") == 0, F.lit(0)).otherwise(F.least(whole + F.when(2 * F.col("start") + F.col("size") <= 2 * rest, 1).otherwise(0), F.lit(cap)))
-    return docs.withColumn("times", times.cast("long")).withColumn("taken", (F.col("times") * F.col("size")).cast("long"))
-
-
 def position(share: Column, schedule) -> Column:
     """Where the integral of a piecewise linear schedule reaches this share of its whole."""
     area = sum((t1 - t0) * (w0 + w1) / 2 for (t0, w0), (t1, w1) in zip(schedule, schedule[1:]))
@@ -104,30 +99,42 @@ def position(share: Column, schedule) -> Column:
     return out
 
 
-def placed(taken: DataFrame, schedules=SCHEDULES, untaken: bool = False) -> DataFrame:
+def with_taken(docs: DataFrame, schedules=SCHEDULES, cap: int = CAP) -> DataFrame:
+    """offsets() -> and positions: where each copy that the mix takes stands, times: their number, and taken: the words of that."""
+
+    def place(copy: Column) -> Column:
+        offset = F.col("start") + F.col("size") / 2 + (copy - 1) * F.col("source_size")
+        chain = lambda share: F.coalesce(*(F.when(F.col("rank") % len(schedules) == k, position(share, s)) for k, s in enumerate(schedules)))
+        return F.when((F.col("size") > 0) & (offset <= F.col("target")), let(offset / F.nullif(F.col("target"), F.lit(0.0)), chain))
+
+    positions = F.filter(F.transform(F.sequence(F.lit(1), F.lit(cap)), place), lambda p: p.isNotNull())
+    times = F.size("positions").cast("long")
+    return docs.withColumn("positions", positions).withColumn("times", times).withColumn("taken", F.col("times") * F.col("size"))
+
+
+def placed(taken: DataFrame, untaken: bool = False) -> DataFrame:
     """with_taken() -> a row for each time that a document is taken, with copy (from 1) and position.
 
     untaken: documents that the mix doesn't take have a row with copy 0 and no position.
     """
-    copies = F.sequence(F.when(F.col("times") > 0, 1).otherwise(0), F.col("times").cast("int"))
-    each = (taken if untaken else taken.where("times > 0")).withColumn("copy", F.explode(copies))
-    share = F.least((F.col("start") + F.col("size") / 2 + (F.col("copy") - 1) * F.col("source_size")) / F.nullif(F.col("target"), F.lit(0.0)), F.lit(1.0))
-    place = None
-    for k, s in enumerate(schedules):
-        value = position(share, s)
-        place = F.when(F.col("rank") % len(schedules) == k, value) if place is None else place.when(F.col("rank") % len(schedules) == k, value)
-    return each.withColumn("position", F.when(F.col("copy") > 0, place)).drop("start", "rank", "times")
+    explode = F.posexplode_outer if untaken else F.posexplode
+    each = taken.select("*", explode("positions").alias("copy", "position"))
+    return each.withColumn("copy", F.coalesce(F.col("copy") + 1, F.lit(0))).drop("start", "rank", "times", "positions")
 
 
-def curriculum(taken: DataFrame, schedules=SCHEDULES, partitions: int | None = None, untaken: bool = False) -> DataFrame:
+def curriculum(taken: DataFrame, partitions: int | None = None, untaken: bool = False) -> DataFrame:
     """placed(), range-sorted by position; rows without one come first."""
-    rows = placed(taken, schedules, untaken)
-    dealt = rows.repartitionByRange(partitions, "position", "key", "copy") if partitions else rows.repartitionByRange("position", "key", "copy")
-    return dealt.sortWithinPartitions("position", "key", "copy")
+    rows = placed(taken, untaken)
+    return sorted_by(rows, "position", "key", "copy", partitions=partitions)
+
+
+def sorted_by(rows: DataFrame, *order: str, partitions: int | None = None) -> DataFrame:
+    dealt = rows.repartitionByRange(partitions, *order) if partitions else rows.repartitionByRange(*order)
+    return dealt.sortWithinPartitions(*order)
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
-    """Every document with its source's size and target, times and taken."""
+def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP, schedules=SCHEDULES) -> DataFrame:
+    """Every document with its source's size and target, positions, times and taken."""
     sizes = sized(docs)
     sources = source_targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap)
-    return with_taken(offsets(sizes, sources), cap)
+    return with_taken(offsets(sizes, sources), schedules, cap)

@@ -7,8 +7,8 @@ is grown on two thirds of the rows that no earlier rule covers, by the
 condition of highest gain, until it covers no accepted row; it is pruned on the
 other third by dropping final conditions while that raises (p - n) / (p + n).
 A rule that is not precise enough on both parts is discarded, and the next one
-starts from another statistic; the list ends when none is left. What no rule
-covers is kept. The list becomes one chain of Spark conditions.
+starts from another statistic; the list ends when none is left: neither rules nor
+conditions are capped. What no rule covers is kept. The list becomes one chain of Spark conditions.
 
 All statistics are DataFrame functions over whole texts, linear or
 linearithmic in the text's length. A null text counts as empty: no words, and
@@ -128,15 +128,15 @@ def worth(rule: list[Condition], rows: list[dict]) -> float:
     return (2 * sum(hit) - len(hit)) / len(hit) if hit else -1.0
 
 
-def learn_list(rows: list[dict], stats: list[str] = STATS, most: int = 12, precision: float = 0.9, least: int = 3) -> list[list[Condition]]:
+def learn_list(rows: list[dict], stats: list[str] = STATS, precision: float = 0.9, least: int = 3) -> list[list[Condition]]:
     """Sequential covering. rows: statistics and "reject" (0 or 1), in an order that says nothing."""
     rules: list[list[Condition]] = []
     left, tried = list(rows), set()
-    while len(rules) < most and (open_stats := [s for s in stats if s not in tried]):
+    while open_stats :=  [s for s in stats if s not in tried]:
         grow, prune = [r for i, r in enumerate(left) if i % 3], left[::3]
         rule: list[Condition] = []
         inside = grow
-        while len(rule) < 4 and (c := best_condition(inside, stats if rule else open_stats)):
+        while c := best_condition(inside, stats if rule else open_stats):
             rule.append(c)
             inside = [r for r in inside if c.holds(r)]
         if not rule:

@@ -100,7 +100,7 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     held AS (SELECT source, unnest(list_distinct(list_filter(lines, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))) AS line FROM pages),
     boiler AS (
       SELECT h.source, h.line FROM held h JOIN totals t ON h.source IS NOT DISTINCT FROM t.source
-      GROUP BY h.source, h.line, t.pages HAVING count(*) >= 3 AND count(*) > 0.05::DOUBLE * t.pages),
+      GROUP BY h.source, h.line, t.pages HAVING count(*) > 1 AND count(*) > 0.05::DOUBLE * t.pages),
     per_host AS (SELECT source, list(line) AS dropped FROM boiler GROUP BY source),
     kept AS (
       SELECT doc_id, p.source, lines, list_filter(lines, lambda x: NOT list_contains(coalesce(b.dropped, []), x)) AS left_lines
@@ -132,19 +132,24 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
       SELECT source, source_size, CASE WHEN source_size = 0 THEN 0.0::DOUBLE
         ELSE least(coalesce((SELECT final_rate FROM final) * weight, 2.0::DOUBLE * source_size), 2.0::DOUBLE * source_size) END AS target FROM rated),
     placed AS (
-      SELECT d.doc_id, d.size, t.source_size, t.target, least(floor(t.target / t.source_size), 2)::BIGINT AS whole,
+      SELECT d.doc_id, d.size, t.source_size, t.target, t.rank, least(floor(t.target / t.source_size), 2)::BIGINT AS whole,
         coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
       FROM docs d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source)
     SELECT doc_id, size, source_size, target, CASE WHEN size = 0 THEN 0 ELSE
-      size * least(whole + CASE WHEN 2 * start + size <= 2 * (target - whole * source_size) THEN 1 ELSE 0 END, 2) END::BIGINT AS taken
+      size * least(whole + CASE WHEN 2 * start + size <= 2 * (target - whole * source_size) THEN 1 ELSE 0 END, 2) END::BIGINT AS taken,
+      -- Inverse integrals of the schedules 1.5 - t, 1 and 0.25 + 1.5 t over training time.
+      CASE WHEN size > 0 AND whole > 0 OR size > 0 AND 2 * start + size <= 2 * target THEN round(CASE rank % 3
+        WHEN 0 THEN 1.5::DOUBLE - sqrt(2.25::DOUBLE - 2 * (start + size / 2) / target)
+        WHEN 1 THEN (start + size / 2) / target
+        ELSE (sqrt(0.0625::DOUBLE + 3 * (start + size / 2) / target) - 0.25::DOUBLE) / 1.5::DOUBLE END, 9) END AS "position"
     FROM placed
     """
 )
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
-    mixed = mixing.mix(table(spark, sf_dir, "documents"))
-    ordered = mixing.curriculum(mixed, untaken=True)
-    return ordered.where("copy <= 1").select("doc_id", "size", "source_size", "target", "taken")
+    mixed = mixing.mix(table(spark, sf_dir, "documents")).withColumn("position", F.get("positions", F.lit(0)))
+    ordered = mixing.sorted_by(mixed, "position", "key")
+    return ordered.select("doc_id", "size", "source_size", "target", "taken", F.round("position", 9).alias("position"))
 
 
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"

@@ -9,9 +9,10 @@ and returns the name; the names that came back are the archive (kept by
 checkpoint()), so a file left by a lost or repeated task is not read.
 
 Reader: files are cut into byte ranges without regard to records. A task reads
-its range, scans it for gzip magic, and validates each candidate by decoding the
-member's start, which must be a WARC version line; data inside of a member that
-looks like magic fails that. A task owns the records that start inside of its
+its range, scans it for gzip magic, and validates each candidate by decoding it: a
+version line first, then a header that ends in a blank line and names a known
+type, an id and a length in digits that the member's data has; data inside of a
+member that looks like magic fails that. A task owns the records that start inside of its
 range, and reads on past the range's end to complete the last one.
 
 Nulls: a null html is an empty payload. A null page_id never stands for others
@@ -36,9 +37,12 @@ from pyspark.sql import functions as F
 
 MAGIC = b"\x1f\x8b\x08"
 VERSION = b"WARC/1.0\r\n"
+TYPES = {b"response", b"revisit", b"request", b"warcinfo", b"resource", b"metadata", b"conversion", b"continuation"}
 #: A candidate member must show the version line within so many compressed bytes.
 HEAD = 512
 BLOCK = 1 << 20
+#: Most tasks of the reader; with more ranges than that, tasks read several.
+MOST_TASKS = 20_000
 #: Most digests of equal payloads that are broadcast, about 150 bytes each; more are joined by a shuffle.
 BROADCAST_DIGESTS = 100_000
 
@@ -107,7 +111,10 @@ def gzip_member(data: bytes) -> bytes:
 
 def open_folder(uri: str):
     """A pyarrow file system and the path in it, for local and remote URIs alike."""
-    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith(("file:", "/")) else f"file://{uri}")
+    scheme, mark, rest = uri.partition("://")
+    if mark:  # pyarrow knows Hadoop's S3 schemes by their plain name
+        return fs.FileSystem.from_uri(f"{ {'s3a': 's3', 's3n': 's3'}.get(scheme, scheme) }://{rest}")
+    return fs.FileSystem.from_uri(uri if uri.startswith(("file:", "/")) else f"file://{uri}")
 
 
 def write_archive(records: DataFrame, folder: str) -> DataFrame:
@@ -144,6 +151,15 @@ class Buffered:
         return self.data[position - self.at : position - self.at + size]
 
 
+def sound(member: bytes) -> bool:
+    """Whether an inflated member is a WARC record, by its header."""
+    head, end, body = member.partition(b"\r\n\r\n")
+    lines = head.split(b"\r\n")
+    fields = {k.strip().lower(): v.strip() for k, mark, v in (x.partition(b":") for x in lines[1:]) if mark}
+    length = fields.get(b"content-length", b"")
+    return bool(end) and lines[0] + b"\r\n" == VERSION and fields.get(b"warc-type") in TYPES and b"warc-record-id" in fields and length.isdigit() and int(length) <= len(body)
+
+
 def member_at(read, at: int) -> tuple[bytes, int] | None:
     """The inflated member that starts there and where it ends; None if none does or it isn't a WARC record's."""
     d, parts, size = zlib.decompressobj(31), [], HEAD
@@ -162,7 +178,8 @@ def member_at(read, at: int) -> tuple[bytes, int] | None:
                     return None
     except zlib.error:
         return None
-    return (b"".join(parts), at - len(d.unused_data)) if seen >= len(VERSION) else None
+    whole = b"".join(parts)
+    return (whole, at - len(d.unused_data)) if sound(whole) else None
 
 
 def members(read, start: int, end: int, block: int = BLOCK):
@@ -219,7 +236,9 @@ def read_archive(spark: SparkSession, manifest: DataFrame, folder: str, split: i
                         yield pa.RecordBatch.from_pylist([{k: x[k] for k, _ in fields} for x in rows], schema=pa.schema(fields))
 
     ranges = manifest.select("file", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split).cast("long"))).alias("start"))
-    return ranges.repartition("file", "start").mapInArrow(run, schema)
+    # A stated number of tasks: ranges are small rows, which would be gathered into one task by their size.
+    tasks = min(max(1, ranges.count()), MOST_TASKS)
+    return ranges.repartition(tasks, "file", "start").mapInArrow(run, schema)
 
 
 def archive_folder(spark: SparkSession) -> str:

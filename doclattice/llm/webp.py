@@ -848,7 +848,8 @@ def store(data: bytes) -> bytes:
     r, g, b, a = (raw[k::4].astype(np.uint32) for k in range(4))
     argb = a << 24 | r << 16 | g << 8 | b
     n = len(argb)
-    if n <= 16 or (len(np.unique(argb[:256])) <= 128 and n >= 8 * (few := len(np.unique(argb))) and few <= 256):
+    colours = len(np.unique(argb))
+    if n <= 16 or (colours <= 256 and n >= 8 * colours):
         return encode(argb, width, height, (PALETTE,))
     return encode(argb, width, height, cache_bits=8 if n >= 4096 else 0)
 

@@ -49,6 +49,7 @@ def test_targets_and_taken(spark):
 def test_positions_follow_the_schedules(spark):
     mixed = M.mix(spark.createDataFrame(rows(4000), SCHEMA))
     got = M.curriculum(mixed, partitions=4).collect()
+    assert all(len(r.positions) == r.times for r in mixed.collect())
     at = [r.position for r in got]
     assert at == sorted(at) and 0 <= at[0] and at[-1] <= 1
     assert sum(r.size for r in got) == sum(r.taken for r in mixed.collect())

@@ -53,6 +53,22 @@ def test_learned_model_finds_terms_stems_and_misspellings():
     assert score("")[0] == score(None)[0] == score(clean)[0] < 0.5
     assert [h[3] for h in score("they said “slurword” there")[1]] == [True] and [h[3] for h in score("you slurword")[1]] == [False]
     assert 0 <= score("slurword " * 20_000)[0] <= 1
+    used, base = score(clean + " they have slurword there")[0], score(clean)[0]
+    assert base < score(clean + " they have “slurword” there")[0] < used and score(clean + " she said slurword there")[0] < used
+    assert min(model.weights[1:]) >= 0
+
+
+def test_no_list_of_terms_is_cut():
+    """400 toxic words, each in documents of its own, all become terms."""
+    words = ["".join(chr(97 + (k // 26**j) % 26) for j in range(3)) + "zq" for k in range(400)]
+    rows = [(f"some plain text {w}", 1) for w in words for _ in range(6)] + [("some plain text", 0)] * 20_000
+    assert set(words) <= set(X.learn(rows).lexicon.terms)
+
+
+def test_sample_is_bounded_by_bytes(spark):
+    docs = spark.createDataFrame([(i, "word " * 200) for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    assert X.training_rows(docs, labels, most_bytes=10_000).count() == 10
 
 
 @pytest.mark.parametrize("rows", [[], [("a", 1)], [("a", 0), (None, 0)]])
@@ -62,7 +78,7 @@ def test_one_kind_of_labels(rows):
 
 
 def test_columns_and_query(spark, sf_dir):
-    model = spark.sparkContext.broadcast(X.Model(X.Lexicon({"badword": False}), [-1.0, 3.0] + [0.0] * 6))
+    model = spark.sparkContext.broadcast(X.Model(X.Lexicon({"badword": False}), [-1.0, 3.0] + [0.0] * (len(X.FEATURES) - 1)))
     rows = [(1, None, "x", 1), (None, "a Badword", "x", 1), (1, "", "x", 1), (1, "", "x", 1)]
     got = X.score_column(queries.prepare(spark) and spark.createDataFrame(rows, SCHEMA), model).collect()
     assert len(got) == 4 and sorted(r.score > 0.5 for r in got) == [False, False, False, True]
@@ -71,3 +87,11 @@ def test_columns_and_query(spark, sf_dir):
     assert len(out) == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
     for r in out:
         assert 0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+
+
+def test_held_out_rows_are_told_apart(spark):
+    """Area under the curve of the query's scores over the labelled rows of the held-out fold."""
+    sf_dir = "/root/testdata/sf0.1"
+    out = queries.op7_toxicity(spark, sf_dir).where("held_out").join(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id").select("score", "toxic").collect()
+    bad, good = [r.score for r in out if r.toxic], [r.score for r in out if r.toxic == 0]
+    assert len(bad) > 50 and sum((b > g) + 0.5 * (b == g) for b in bad for g in good) / len(bad) / len(good) >= 0.96
