@@ -32,6 +32,48 @@ QUALIFIERS = [
 ]
 
 
+VISUAL_WORDS = ["diagram", "drawing", "schematic", "figure", "layout", "schema", "image", "picture", "visual"]
+SPEC_WORDS = ["specification", "parameter", "spec", "value", "rating", "dimension", "capacity"]
+RELEVANCE_STOP_WORDS = ["the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for"]
+INTENTS = ["text", "table", "schema", "mixed"]
+TOOLS = ["text", "tables", "figures", "entities"]
+
+
+def routed(response: Column, question: Column, has_entities: Column) -> Column:
+    """struct<intent, tools> of a model's answer: the intent on its first line that isn't blank, a JSON list of tools on the second.
+
+    Without either, the tools decide the intent. Tools that aren't known go, and entities where the question names none that is known. Then the intent,
+    words of the question and known entities each add the tools that they call for; tools are a set.
+    """
+    lines = F.filter(F.transform(F.split(response, "\n"), T.strip), lambda x: x != "")
+    first, second = F.lower(F.get(lines, F.lit(0))), F.get(lines, F.lit(1))
+    named = F.when(first.isin(INTENTS), first)
+    listed = F.when(F.startswith(second, F.lit("[")) & F.endswith(second, F.lit("]")), F.from_json(second, "array<string>"))
+    asked = F.coalesce(listed, F.array().cast("array<string>"))
+    holds = lambda t: F.array_contains(asked, F.lit(t))
+    inferred = F.when(holds("tables") & holds("figures"), "mixed").when(holds("figures"), "schema").when(holds("tables"), "table").otherwise("text")
+    intent = F.when(named.isNotNull() & (F.size(asked) > 0), named).otherwise(inferred)
+    chosen = F.filter(asked, lambda t: t.isin(TOOLS) & ((t != "entities") | has_entities))
+    low = F.lower(question)
+    forced = F.array(
+        F.when(intent.isin("table", "mixed") | T.any_of(low, SPEC_WORDS), F.lit("tables")),
+        F.when(intent.isin("schema", "mixed") | T.any_of(low, VISUAL_WORDS), F.lit("figures")),
+        F.when(has_entities, F.lit("entities")),
+    )
+    return F.struct(intent.alias("intent"), F.array_sort(F.array_union(chosen, F.filter(forced, lambda t: t.isNotNull()))).alias("tools"))
+
+
+def corrected_intent(intent: Column, tables: Column, figures: Column) -> Column:
+    """mixed, where entities were found in tables for a text question, or in figures for a text or table question."""
+    return F.when(((tables > 0) & (intent == "text")) | ((figures > 0) & intent.isin("text", "table")), "mixed").otherwise(intent)
+
+
+def is_tabular(answer: Column) -> Column:
+    """Whether an answer looks like rows of a table: numbered lines, bullets with three colons, or six lines."""
+    count = lambda c: F.length(answer) - F.length(F.replace(answer, F.lit(c), F.lit("")))
+    return F.rlike(answer, F.lit(r"\n\s*[0-9]+[).]\s+")) | (F.rlike(answer, F.lit(r"\n\s*[-•]\s+")) & (count(":") >= 3)) | (count("\n") >= 5)
+
+
 def retry_reason(answer: Column, question: Column, context_items: Column) -> Column:
     """Why an answer should be tried again; empty if it is good."""
     low, short = F.lower(answer), F.length(F.trim(answer))

@@ -54,6 +54,11 @@ def any_of(text: Column, words: list[str]) -> Column:
     return found
 
 
+def strip(text: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def collapse_spaces(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
@@ -90,11 +95,11 @@ def short_title(raw: Column) -> Column:
     head = F.left(t, F.lit(77))
     space = F.length(head) - F.instr(F.reverse(head), " ")
     head = F.when((F.instr(head, " ") > 0) & (space > 40), F.substring(head, F.lit(1), space)).otherwise(head)
-    return F.trim(F.when(F.length(t) > 80, F.concat(F.regexp_replace(head, r"[.,;:]+$", ""), F.lit("..."))).otherwise(t))
+    return strip(F.when(F.length(t) > 80, F.concat(F.regexp_replace(head, r"[.,;:]+$", ""), F.lit("..."))).otherwise(t))
 
 
 def is_junk_title(title: Column) -> Column:
-    low = F.trim(F.lower(title))
+    low = strip(F.lower(title))
     return F.coalesce((F.length(low) < 3) | any_of(low, JUNK_TITLES), F.lit(True))
 
 

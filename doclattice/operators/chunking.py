@@ -1,34 +1,38 @@
-"""Chunking of texts and tables: sequential rules, each in one Arrow function."""
+"""Chunking of texts and tables."""
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 CHUNK, OVERLAP, SEARCH = 1600, 400, 200
-ENDS = ".!?\n"
+SENTENCE_END = re.compile(r"[.!?\n]")
+
+
+def cuts(text: str, size: int = CHUNK, overlap: int = OVERLAP, search: int = SEARCH):
+    """[start, end) of overlapping chunks. A chunk ends after the sentence end nearest to its size, the first of two equally near ones, if one is within reach."""
+    after = [m.end() for m in SENTENCE_END.finditer(text)]
+    n, a = len(text), 0
+    while a + size < n:
+        aim = a + size
+        k = bisect_left(after, aim)  # after[k - 1] < aim <= after[k]
+        z = min((e for e in after[max(k - 1, 0) : k + 1] if aim - search < e <= aim + search), key=lambda e: abs(e - aim), default=aim)
+        yield a, z
+        if z == n:
+            return
+        a = z - overlap
+    if n:
+        yield a, n
 
 
 def chunk_spans(text: str, size: int = CHUNK, overlap: int = OVERLAP, search: int = SEARCH) -> list[tuple[int, int]]:
-    """[start, end) of overlapping chunks that end after the sentence end nearest to the size, if one is near."""
-    out, start, n = [], 0, len(text)
-    while start < n:
-        target = start + size
-        end = min(target, n)
-        if end < n:
-            near = None
-            for i in range(max(end - search, start), min(end + search, n)):
-                if text[i] in ENDS and (near is None or abs(i + 1 - target) < abs(near - target)):
-                    near = i + 1
-            end = near or end
-        if text[start:end].strip():
-            out.append((start, end))
-        if end == n:
-            break
-        start = max(0, end - overlap)
-    return out
+    """cuts() without blank chunks."""
+    return [(a, z) for a, z in cuts(text, size, overlap, search) if not text[a:z].isspace()]
 
 
 CHUNKS = ArrayType(
@@ -38,7 +42,11 @@ CHUNKS = ArrayType(
 
 @F.pandas_udf(CHUNKS)
 def text_chunks(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: [{"index": i, "char_start": a, "char_end": z, "text": t[a:z].strip()} for i, (a, z) in enumerate(chunk_spans(t or ""))])
+    """Each cut depends on the one before, so a text is read in one go."""
+    out = []
+    for t in texts.fillna(""):
+        out.append([{"index": i, "char_start": a, "char_end": z, "text": t[a:z].strip()} for i, (a, z) in enumerate(chunk_spans(t))])
+    return pd.Series(out)
 
 
 def chunk_documents(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -62,53 +70,79 @@ def chunk_page(first: Column, last: Column, start: Column, end: Column, length:
     return F.least(F.greatest(first + F.floor((start + end) / 2 / length * pages), first), last).cast("int") + 1
 
 
-def pack_rows(rows: list[str], most: int, joiner: str = "\n", cost=len, extra: int = 0) -> list[str]:
-    """Rows joined greedily while the sum of costs stays within ``most``."""
-    out, part, used = [], [], 0
-    for r in rows:
-        c = cost(r) + extra
-        if part and used + c > most:
-            out.append(joiner.join(part))
-            part, used = [], 0
-        part.append(r)
-        used += c
-    return [*out, joiner.join(part)] if part else out
+def packed(rows: Column, most: int, cost, empty: str, joiner: str = "\n") -> Column:
+    """array<string> joined greedily into fewer ones while the sum of costs stays within ``most``; a row that costs more stands alone. Without rows: ``empty``."""
+    state = lambda out, part, used: F.struct(out.alias("out"), part.alias("part"), used.cast("long").alias("used"))
+    start = state(F.array().cast("array<string>"), F.lit(None).cast("string"), F.lit(0))
+
+    def add(s: Column, r: Column) -> Column:
+        full = s["part"].isNotNull() & (s["used"] + cost(r) > most)
+        longer = F.when(s["part"].isNull(), r).otherwise(F.concat(s["part"], F.lit(joiner), r))
+        return F.when(full, state(F.concat(s["out"], F.array(s["part"])), r, cost(r))).otherwise(state(s["out"], longer, s["used"] + cost(r)))
+
+    return F.aggregate(rows, start, add, lambda s: F.concat(s["out"], F.array(F.coalesce(s["part"], F.lit(empty)))))
 
 
-def matrix_chunks(matrix: list[list[str]], tokens: int = 4000) -> list[str]:
-    """Cells joined by bars, rows packed to so many tokens of four characters; a longer row is cut."""
-    rows = [" | ".join(" ".join((c or "").split()) for c in r) for r in matrix]
-    return pack_rows([r[: tokens * 4] for r in rows], tokens, cost=lambda r: len(r) // 4) or [""]
+def bound(value: Column, body) -> Column:
+    """body of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
 
 
-def record_chunks(csv: str, most: int = 500) -> list[str]:
-    """Rows of a comma-separated text as "header: value" pairs without blanks, packed to so many characters."""
-    lines = [x for x in csv.strip().split("\n") if x.strip()]
-    if not lines:
-        return ["[Empty table]"]
-    header, *rows = ([c.strip() for c in x.split(",")] for x in lines)
-    if not rows:
-        return ["Table columns: " + ", ".join(header)]
-    texts = [", ".join(f"{h}: {v}" for h, v in zip(header, r) if v) for r in rows]
-    return pack_rows([t for t in texts if t], most, extra=1) or ["[Empty table]"]
+def is_blank(c: Column) -> Column:
+    return F.rlike(F.coalesce(c, F.lit("")), F.lit(r"^\s*$"))
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def table_chunks(matrices: pd.Series) -> pd.Series:
-    return matrices.map(lambda m: matrix_chunks([list(r) for r in m] if m is not None else []))
+def filled_rows(m: Column) -> Column:
+    return F.filter(m, lambda r: ~F.forall(r, is_blank))
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def csv_chunks(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: record_chunks(t or ""))
+def filled_width(m: Column) -> Column:
+    """Up to the last column that isn't blank in all rows."""
+    last = lambda r: F.coalesce(F.array_max(F.transform(r, lambda c, i: F.when(~is_blank(c), i + 1))), F.lit(0))
+    return F.coalesce(F.array_max(F.transform(m, last)), F.lit(0))
 
 
 def trim_matrix(m: Column) -> Column:
     """Without blank rows, padded to one width, without blank columns at the end."""
-    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
-    filled = F.filter(m, lambda r: ~F.forall(r, blank))
-    width = F.coalesce(F.array_max(F.transform(filled, lambda r: F.coalesce(F.array_max(F.transform(r, lambda c, i: F.when(~blank(c), i + 1))), F.lit(0)))), F.lit(0))
-    return F.transform(filled, lambda r: F.transform(F.sequence(F.lit(1), width), lambda i: F.coalesce(F.get(r, i - 1), F.lit(""))))
+    rows = filled_rows(m)
+    width = filled_width(rows)
+    return F.transform(rows, lambda r: F.transform(F.sequence(F.lit(1), width), lambda i: F.coalesce(F.get(r, i - 1), F.lit(""))))
+
+
+def table_chunks(m: Column, tokens: int = 4000) -> Column:
+    """Texts of a matrix, trimmed as by trim_matrix: cells joined by bars, rows packed to so many tokens of four characters; a longer row is cut.
+
+    Padding is written as text at once, so that one long row does not make cells for all others.
+    """
+    bar = " | "
+    cell = lambda c: F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), r"^\s+|\s+$", ""), r"\s+", " ")
+
+    def line(r: Column, width: Column) -> Column:
+        pad = F.least(F.greatest(width - F.size(r), F.lit(0)), F.lit(tokens * 4))
+        return F.left(F.concat(F.array_join(F.transform(F.slice(r, F.lit(1), F.greatest(width, F.lit(1))), cell), bar), F.repeat(F.lit(bar), pad)), F.lit(tokens * 4))
+
+    lines = lambda rows: bound(filled_width(rows), lambda width: F.transform(rows, lambda r: line(r, width)))
+    return packed(bound(filled_rows(m), lines), tokens, lambda r: F.floor(F.length(r) / 4), "")
+
+
+def record_chunks(csv: Column, most: int = 500) -> Column:
+    """Rows of a comma-separated text as "header: value" pairs without blanks, packed to so many characters, a line feed for each row included."""
+    strip = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    lines = F.filter(F.split(F.coalesce(csv, F.lit("")), "\n"), lambda x: ~is_blank(x))
+    cells = F.transform(lines, lambda x: F.transform(F.split(x, ","), strip))
+
+    def texts(all_rows: Column) -> Column:
+        header = F.get(all_rows, F.lit(0))
+        pair = lambda r: F.transform(F.slice(r, F.lit(1), F.size(header)), lambda v, i: F.when(v != "", F.concat(F.get(header, i), F.lit(": "), v)))
+        rows = F.transform(F.slice(all_rows, 2, 2**30), lambda r: F.array_join(pair(r), ", "))
+        chunks = packed(F.filter(rows, lambda t: t != ""), most, lambda t: F.length(t) + 1, "[Empty table]")
+        return (
+            F.when(F.size(all_rows) == 0, F.array(F.lit("[Empty table]")))
+            .when(F.size(all_rows) == 1, F.array(F.concat(F.lit("Table columns: "), F.array_join(header, ", "))))
+            .otherwise(chunks)
+        )
+
+    return bound(cells, texts)
 
 
 def valid_matrix(m: Column) -> Column:

@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
+from doclattice.functions.answers import QUALIFIERS
+from doclattice.operators.small import sent
+
 # What the letters of equipment tags stand for.
 PREFIX_TYPES = {
     "P": "pump", "V": "valve", "TK": "tank", "HE": "heat_exchanger", "FLT": "filter", "SEP": "separator",
@@ -34,8 +39,8 @@ def component_code(kind: Column, name: Column) -> Column:
 
 
 def dictionary_hits(texts: DataFrame, key: str, text: str, keywords: DataFrame) -> DataFrame:
-    """key, code of every keyword that a text holds, in lower case and as a substring. keywords: a dictionary of fixed size."""
-    pairs = texts.select(key, F.lower(text).alias("__low")).join(F.broadcast(keywords), F.contains(F.col("__low"), F.col("keyword")))
+    """key, code of every keyword that a text holds, in lower case and as a substring. keywords: a dictionary, whose size is checked."""
+    pairs = texts.select(key, F.lower(text).alias("__low")).join(sent(keywords, only=True), F.contains(F.col("__low"), F.col("keyword")))
     return pairs.select(key, "code").distinct()
 
 
@@ -44,27 +49,46 @@ COMPONENTS = ArrayType(
 )
 
 
-def find_components(text: str, patterns: list[tuple[str, str]]) -> list[dict]:
-    """Components in order of the patterns: up to two words before a pattern and it; spans that overlap accepted ones are skipped."""
-    taken: list[tuple[int, int]] = []
-    seen, out = set(), []
-    for kind, pattern in patterns:
-        for m in re.finditer(rf"\b((?:\w+\s+)?(?:\w+\s+)?){pattern}s?\b", text, re.IGNORECASE):
-            if any(m.start() < z and a < m.end() for a, z in taken):
-                continue
-            name = " ".join(m[0].split()[-3:])
-            code = f"comp_{kind}_{re.sub(r'[^a-z0-9]+', '_', name.lower()).strip('_')}"[:40]
-            if len(name) < 3 or code in seen:
-                continue
-            taken.append(m.span())
-            seen.add(code)
-            out.append({"name": name, "kind": kind, "code": code, "position": m.start()})
-    return out
+class ComponentFinder:
+    """Components in texts. patterns: (kind, pattern) by priority; a component is a match with up to two words before it."""
+
+    def __init__(self, patterns: list[tuple[str, str]]) -> None:
+        self.patterns = [(kind, re.compile(rf"\b((?:\w+\s+)?(?:\w+\s+)?){p}s?\b", re.IGNORECASE)) for kind, p in patterns]
+        self.qualifiers = frozenset(QUALIFIERS)
+
+    def clean(self, name: str) -> str:
+        """As functions.answers.clean_component: the last word after its known qualifiers, three at most."""
+        *before, last = name.split() or [""]
+        kept = [q for q in before if q.lower() in self.qualifiers or (q.isupper() and len(q) <= 4)]
+        out = " ".join([*kept[-3:], last])
+        return out if len(out) >= 3 or not before else ""
+
+    def candidates(self, text: str):
+        """(start, end, kind, name, code) in order of the patterns and, within one, of the text."""
+        for kind, pattern in self.patterns:
+            for m in pattern.finditer(text):
+                name = self.clean(m[0])
+                slug = re.sub(r"\s+", "_", re.sub(r"[^a-z0-9\s]", "", name.lower()).strip())
+                yield *m.span(), kind, name, f"comp_{kind}_{slug}"[:40]
+
+    def __call__(self, text: str) -> list[dict]:
+        """The candidates, each unless its name is short, its code is known or it overlaps one that came first. Kept spans are disjoint, so in order only two of them can overlap a new one."""
+        starts, ends, by_code = [], [], {}
+        for start, end, kind, name, code in self.candidates(text):
+            k = bisect_left(starts, start)
+            apart = (k == 0 or ends[k - 1] <= start) and (k == len(starts) or starts[k] >= end)
+            if apart and len(name) >= 3 and code not in by_code:
+                starts.insert(k, start)
+                ends.insert(k, end)
+                by_code[code] = {"name": name, "kind": kind, "code": code, "position": start}
+        return list(by_code.values())
 
 
 def components(patterns: list[tuple[str, str]]):
     @F.pandas_udf(COMPONENTS)
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: find_components(t or "", patterns))
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        find = ComponentFinder(patterns)
+        for texts in batches:
+            yield pd.Series([find(t) for t in texts.fillna("")])
 
     return run

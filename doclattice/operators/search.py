@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
 
 from doclattice.functions import maths as M
 from doclattice.functions import text as T
+from doclattice.operators.small import sent
 
 
 def unit_vectors(rows: DataFrame, vector: str) -> DataFrame:
@@ -20,9 +25,9 @@ BLOCK_QUERIES = 1000
 
 
 def top_k(
-    queries: DataFrame, points: DataFrame, k: int, floor: float, query_key: str, point_key: str, by: list[str] | None = None, block: int = BLOCK_QUERIES
+    queries: DataFrame, points: DataFrame, k: int, floor: float, query_key: str, point_key: str, by: list[str] | None = None, block: int = BLOCK_QUERIES, each: list[str] = (), others: bool = False
 ) -> DataFrame:
-    """For each query vector q the k points p of highest cosine of at least the floor; ties by key.
+    """For each query vector q the k points p of highest cosine of at least the floor; ties by key. each: k points for each value of these. others: not the point of the query's own key.
 
     queries may grow with the points: they are counted, dealt into blocks by a
     hash of their key, and sent to the points, which stay where they are, block
@@ -31,39 +36,97 @@ def top_k(
     """
     length = lambda v: F.sqrt(M.dot(F.col(v), F.col(v)))
     queries, points = queries.withColumn("__q", length("q")), points.withColumn("__p", length("p"))
-    over = Window.partitionBy(query_key).orderBy(F.col("score").desc(), F.col(point_key))
+    over = Window.partitionBy(query_key, *each).orderBy(F.col("score").desc(), F.col(point_key))
     blocks = max(1, -(-queries.count() // block))
     found = None
     for b in range(blocks):
         sent = F.broadcast(queries.where(F.pmod(F.xxhash64(query_key), F.lit(blocks)) == b) if blocks > 1 else queries)
         pairs = points.join(sent, by) if by else points.crossJoin(sent)
+        if others:
+            pairs = pairs.where(F.col(query_key) != F.col(point_key))
         scored = pairs.withColumn("score", M.ratio(M.dot(F.col("q"), F.col("p")), F.col("__q") * F.col("__p"))).where(F.col("score") >= floor)
         top = scored.withColumn("rank", F.row_number().over(over)).where(F.col("rank") <= k).drop("q", "p", "__q", "__p")
         found = top if found is None else found.unionByName(top)
     return found
 
 
-def mean_vectors(rows: DataFrame, by: list[str], vector: str) -> DataFrame:
-    """The plain mean of each group's vectors, by place."""
-    each = rows.select(*by, F.posexplode(vector).alias("i", "x")).groupBy(*by, "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    return each.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias(vector))
+def mean_vectors(rows: DataFrame, by: list[str], vector: str, size: int | None = None) -> DataFrame:
+    """The plain mean of each group's vectors, place by place: partial sums before the shuffle. size: of the vectors; read from a row if not given."""
+    if size is None:
+        one = rows.where(F.col(vector).isNotNull()).select(F.size(vector)).first()
+        size = one[0] if one else 0
+    means = [F.avg(F.get(vector, F.lit(i)).cast("double")) for i in range(size)]
+    return rows.groupBy(*by).agg(F.array(*means).alias(vector))
+
+
+#: Rows of a side of a block of vectors.
+BLOCK_VECTORS = 2048
+
+
+def top_by_blocks(sources: DataFrame, targets: DataFrame, by: str, source: str, unlike: str, target: str, k: int, block: int = BLOCK_VECTORS) -> DataFrame:
+    """by, source, unlike, target, score: for each vector q of sources the k vectors p of targets of highest cosine with an equal ``by`` and another ``unlike``; ties by target.
+
+    A group of many vectors is dealt into blocks, and each pair of blocks is a matrix product of its own, of which k rows for each source are left.
+    Sizes of groups are sent where they exceed a block, which a share of 1 / block of the rows at most can.
+    """
+
+    def dealt(rows, key):
+        many = rows.groupBy(F.col(by).alias("of")).agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > block).select("of", F.ceil(F.col("m") / block).cast("int").alias("blocks"))
+        joined = rows.join(sent(many), F.col(by).eqNullSafe(F.col("of")), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        return joined.withColumn("block", F.pmod(F.xxhash64(key), F.col("blocks")).cast("int")).drop("of"), many
+
+    s, many_s = dealt(sources, source)
+    t, many_t = dealt(targets, target)
+
+    def spread(rows, many, mine, other):
+        n = many.select(F.col("of"), F.col("blocks").alias("others"))
+        joined = rows.join(sent(n), F.col(by).eqNullSafe(F.col("of")), "left").withColumn("others", F.coalesce("others", F.lit(1)))
+        return joined.withColumnRenamed("block", mine).withColumn(other, F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
+
+    null = lambda c, like: F.lit(None).cast(like.schema[c].dataType).alias(c)
+    left = spread(s, many_t, "i", "j").select(by, "i", "j", source, unlike, null(target, targets), F.col("q").alias("v"))
+    right = spread(t, many_s, "j", "i").select(by, "i", "j", null(source, sources), unlike, target, F.col("p").alias("v"))
+    out = T_.StructType([sources.schema[by], sources.schema[source], T_.StructField(f"of_{unlike}", targets.schema[unlike].dataType), targets.schema[target], T_.StructField("score", T_.DoubleType())])
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        is_source = group[target].isna().to_numpy()
+        a, b = group[is_source], group[~is_source].sort_values(target)
+        if a.empty or b.empty:
+            return pd.DataFrame(columns=out.names)
+        unit = lambda vs: np.stack([np.asarray(v, float) for v in vs])
+        q, p = unit(a["v"]), unit(b["v"])
+        length = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(p, axis=1)[None, :]
+        score = np.divide(q @ p.T, length, out=np.zeros_like(length), where=length > 0)
+        score[a[unlike].to_numpy()[:, None] == b[unlike].to_numpy()[None, :]] = -np.inf
+        best = np.argsort(-score, axis=1, kind="stable")[:, :k]
+        rows, cols = np.repeat(np.arange(len(a)), best.shape[1]), best.ravel()
+        found = pd.DataFrame({by: a[by].to_numpy()[rows], source: a[source].to_numpy()[rows], f"of_{unlike}": b[unlike].to_numpy()[cols], target: b[target].to_numpy()[cols], "score": score[rows, cols]})
+        return found[found["score"] > -np.inf]
+
+    each = left.unionByName(right).groupBy(by, "i", "j").applyInPandas(run, out)
+    over = Window.partitionBy(by, source).orderBy(F.col("score").desc(), target)
+    return each.withColumn("k", F.row_number().over(over)).where(F.col("k") <= k)
 
 
 def inverted_index(docs: DataFrame, key: str, text: str) -> DataFrame:
     """term, key, tf, length: term counts of lower-case ASCII words."""
-    terms = docs.select(key, F.explode(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
-    sizes = docs.select(key, F.size(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))).alias("length"))
-    return terms.join(sizes, key)
+    words = docs.select(key, F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0)).alias("words"))
+    terms = words.select(key, F.size("words").alias("length"), F.explode("words").alias("term"))
+    return terms.groupBy(key, "term", "length").agg(F.count(F.lit(1)).alias("tf")).select(key, "term", "tf", "length")
 
 
-def bm25(docs: DataFrame, key: str, text: str, query: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """key, score of the documents with a query term."""
-    tokens = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
+def term_counts(docs: DataFrame, key: str, text: str, query: list[str]) -> DataFrame:
+    """key, length, tf0, tf1, ...: narrow rows, kept (in memory or on disk) as statistics and scores both read them, so that texts are read once."""
+    low = F.lower(text)
+    word = "|".join(query)
+    held = docs.select(key, F.regexp_count(low, F.lit("[a-z0-9]+")).alias("length"), F.regexp_extract_all(low, F.lit(rf"(?<![a-z0-9])(?:{word})(?![a-z0-9])"), F.lit(0)).alias("held"))
+    count_of = lambda term: F.size(F.filter("held", lambda w: w == F.lit(term)))
+    return held.select(key, "length", *(count_of(t).alias(f"tf{i}") for i, t in enumerate(query))).persist(StorageLevel.MEMORY_AND_DISK)
 
-    def count_of(term):
-        return F.size(F.filter(tokens, lambda w: w == F.lit(term)))
 
-    sized = docs.select(key, F.size(tokens).alias("length"), *(count_of(t).alias(f"tf{i}") for i, t in enumerate(query)))
+def bm25(docs: DataFrame, key: str, text: str, query: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """key, score of the documents with a query term (terms of ASCII letters and digits in lower case)."""
+    sized = term_counts(docs, key, text, query)
     stats = sized.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"), *(F.sum((F.col(f"tf{i}") > 0).cast("int")).alias(f"df{i}") for i in range(len(query))))
     score = F.lit(0.0)
     for i in range(len(query)):
@@ -82,9 +145,11 @@ def normalised(rows: DataFrame, most: float = 0.4) -> DataFrame:
 def overlap_scores(answers: DataFrame, contexts: DataFrame, answer_key: str, context_key: str) -> DataFrame:
     """For each answer and context the share of the answer's phrases that the context has, where there are any.
 
-    By an inverted join on phrases: pairs without a common phrase are never made.
+    By an inverted join on phrases: pairs without a common phrase are never made. The answers' phrases go to the contexts if they are few enough to be
+    sent, so that of the contexts' phrases only common ones are shuffled.
     """
     a = answers.select(answer_key, F.explode(T.shingles(F.col("answer"))).alias("phrase"))
     c = contexts.select(context_key, F.explode(T.shingles(F.col("context"))).alias("phrase"))
     sizes = answers.select(answer_key, F.size(T.shingles(F.col("answer"))).alias("phrases"))
-    return a.join(c, "phrase").groupBy(answer_key, context_key).agg(F.count(F.lit(1)).alias("common")).join(sizes, answer_key).withColumn("overlap", F.col("common") / F.col("phrases"))
+    common = c.join(sent(a), "phrase").groupBy(answer_key, context_key).agg(F.count(F.lit(1)).alias("common"))
+    return common.join(sent(sizes), answer_key).withColumn("overlap", F.col("common") / F.col("phrases"))

@@ -56,21 +56,21 @@ def as_of(left: DataFrame, right: DataFrame, by: list[str], at: str, value: str)
 
 def toc_entries(rows: DataFrame) -> DataFrame:
     """Entries of a table of contents from its lines: line_no, title, level, page. The first pattern that fits a line decides."""
-    line = F.trim("line")
+    line = T.strip(F.col("line"))
     dotted = lambda g: F.regexp_extract(line, r"^(.+?)\s*[.…·\-_]{3,}\s*([0-9]+)\s*$", g)
     spaced = lambda g: F.regexp_extract(line, r"^([0-9]+(?:\.[0-9]+)*)\s+(.+?)\s{2,}([0-9]+)\s*$", g)
     plain = lambda g: F.regexp_extract(line, r"^(.+?)\s{2,}([0-9]+)\s*$", g)
     bare = lambda g: F.regexp_extract(line, r"^([0-9]+(?:\.[0-9]+)*)\s+([A-Z\s&]+)$", g)
     depth = lambda n: F.length(n) - F.length(F.replace(n, F.lit("."), F.lit(""))) + 1
     entry = lambda title, level, page: F.struct(title.alias("title"), level.cast("int").alias("level"), page.cast("int").alias("page"))
-    title3 = F.trim(plain(1))
+    title3 = T.strip(plain(1))
     ok3 = (F.length(plain(1)) > 5) & ~F.rlike(title3, F.lit(r"^[A-Z0-9]{2,}-[0-9]+\s")) & ~F.rlike(title3, F.lit(r"\([0-9]+\)\s*$")) & (~F.rlike(title3, F.lit("^[0-9]")) | F.rlike(title3, F.lit(r"^[0-9]+\.")))
-    title4 = F.trim(bare(2))
+    title4 = T.strip(bare(2))
     ok4 = (F.length(title4) >= 10) & (F.size(T.words(title4)) >= 2)
     found = (
         F.when(F.length(line) < 5, None)
-        .when(dotted(2) != "", entry(F.trim(dotted(1)), T.toc_level(F.trim(dotted(1))), dotted(2)))
-        .when(spaced(3) != "", entry(F.concat_ws(" ", spaced(1), F.trim(spaced(2))), depth(spaced(1)), spaced(3)))
+        .when(dotted(2) != "", entry(T.strip(dotted(1)), T.toc_level(T.strip(dotted(1))), dotted(2)))
+        .when(spaced(3) != "", entry(F.concat_ws(" ", spaced(1), T.strip(spaced(2))), depth(spaced(1)), spaced(3)))
         .when((plain(2) != "") & ok3, entry(title3, T.toc_level(title3), plain(2)))
         .when((bare(1) != "") & ok4, entry(F.concat_ws(" ", bare(1), title4), depth(bare(1)), F.col("page") + 1))
     )

@@ -2,27 +2,71 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from doclattice.functions import maths as M
 from doclattice.functions import text as T
 from doclattice.operators import entities, graph
+from doclattice.operators.small import sent
 from doclattice.plans.base import BOXES, SECTIONS, operator
-from doclattice.plans.graph_queries import TAGGED, section_tags
 from doclattice.sources.tables import boxes, sections, table
 
 VIEWS = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"]
 
 
+#: Parts of a parsed query that only read, by class name; anything else is refused, commands and table functions included.
+READS = frozenset(
+    "Project Filter Sort GlobalLimit LocalLimit Offset Aggregate Distinct Union Except Intersect Join SubqueryAlias UnresolvedSubqueryColumnAliases UnresolvedHaving"
+    " UnresolvedWith UnresolvedRelation OneRowRelation UnresolvedInlineTable WithWindowDefinition Window".split()
+)
+#: Functions that call into the host.
+HOST_FUNCTIONS = frozenset(["reflect", "java_method", "try_reflect"])
+
+
+def parts(seq) -> list:
+    return [seq.apply(i) for i in range(seq.size())]
+
+
+def relations(plan, known: frozenset = frozenset()) -> set[str]:
+    """Names of the tables that a parsed plan reads, in sub-queries too, but for its own common table expressions; an error for whatever does more than read."""
+    kind = plan.getClass().getSimpleName()
+    if kind not in READS:
+        raise ValueError(f"only queries are allowed, not {kind}")
+    if kind == "UnresolvedRelation":
+        names = parts(plan.multipartIdentifier())
+        if len(names) != 1:
+            raise ValueError(f"no path, catalog or schema may be named: {names}")
+        return set() if names[0].lower() in known else {names[0]}
+    found: set[str] = set()
+    if kind == "UnresolvedWith":
+        for made in parts(plan.cteRelations()):
+            found |= relations(made._2(), known)
+            known = known | {made._1().lower()}
+    for child in parts(plan.children()):
+        found |= relations(child, known)
+    for expression in parts(plan.expressions()):
+        found |= expression_relations(expression, known)
+    return found
+
+
+def expression_relations(expression, known: frozenset) -> set[str]:
+    kind = expression.getClass().getSimpleName()
+    found: set[str] = set()
+    if kind == "UnresolvedFunction":
+        names = parts(expression.nameParts())
+        if len(names) != 1 or names[0].lower() in HOST_FUNCTIONS:
+            raise ValueError(f"a function that is not allowed: {names}")
+    if kind in ("ScalarSubquery", "Exists", "ListQuery", "LateralSubquery", "InSubquery"):
+        found |= relations(expression.query().plan() if kind == "InSubquery" else expression.plan(), known)
+    for child in parts(expression.children()):
+        found |= expression_relations(child, known)
+    return found
+
+
 def read_only(spark: SparkSession, sf_dir: str, sql: str, tables: list[str]) -> DataFrame:
-    """A query text over allow-listed views only: Spark's own parser decides what it is and what it reads."""
-    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
-    if not plan.getClass().getSimpleName().startswith(("Project", "GlobalLimit", "Sort", "Aggregate", "Distinct", "UnresolvedWith", "Union", "UnresolvedHaving", "Filter")):
-        raise ValueError("only queries are allowed")
-    used = set(re.findall(r"UnresolvedRelation \[([^\],]+)\]", plan.toString()))
+    """A query text over allow-listed views only: Spark's own parser decides what it is, and its plan, walked with all sub-queries, what it reads."""
+    used = relations(spark._jsparkSession.sessionState().sqlParser().parsePlan(sql))
     if not used <= set(tables):
         raise ValueError(f"tables that are not allowed: {sorted(used - set(tables))}")
     for name in used:
@@ -60,33 +104,21 @@ def f10_f11_title_case_and_fences(spark: SparkSession, sf_dir: str) -> DataFrame
     k AS (SELECT * FROM (VALUES ('ring', 'sys_ring'), ('hot', 'sys_heat')) AS k(word, code))
     SELECT DISTINCT q::INT AS q, code FROM t JOIN a ON tok = abbr UNION SELECT q, code FROM q JOIN k ON contains(lower(question), word)"""
 )
-def e8_r4_question_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+def e8_question_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Abbreviations among a question's upper-cased words, and keywords in it. Questions and dictionaries are stated lists."""
     q = spark.sql("SELECT posexplode(array('is the fo line hot', 'where is the ring of HE', 'no match')) AS (q, question)")
     a = spark.sql("SELECT * FROM VALUES ('FO', 'sys_fuel'), ('HE', 'sys_heat'), ('IS', 'sys_is') AS a(tok, code)")
     k = spark.sql("SELECT * FROM VALUES ('ring', 'sys_ring'), ('hot', 'sys_heat') AS k(keyword, code)")
     tokens = q.select("q", F.explode(F.regexp_extract_all(F.upper("question"), F.lit(r"\b[A-Z]{2,5}\b"), F.lit(0))).alias("tok"))
-    return tokens.join(F.broadcast(a), "tok").select("q", "code").union(entities.dictionary_hits(q, "q", "question", k)).distinct()
-
-
-@operator(
-    f"""WITH {TAGGED}, q AS (SELECT unnest(['P-103', 'P-110']) AS tag), s AS (SELECT tag, doc_id, section_no FROM tags WHERE tag IN (SELECT tag FROM q)),
-    n AS (SELECT tag, count(*) AS n_sections, count(DISTINCT doc_id) AS n_docs, min(doc_id) AS first_doc FROM s GROUP BY tag)
-    SELECT tag, n_sections, n_docs, first_doc, CASE WHEN n_sections >= 10 THEN 0.6::DOUBLE ELSE 0.3::DOUBLE END AS score FROM n"""
-)
-def r4_r5_r7_unit_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Units named in a question with what describes them, and fixed scores by kind of match."""
-    tags = section_tags(sections(spark, sf_dir)).where(F.col("tag").isin("P-103", "P-110"))
-    n = tags.groupBy("tag").agg(F.count(F.lit(1)).alias("n_sections"), F.countDistinct("doc_id").alias("n_docs"), F.min("doc_id").alias("first_doc"))
-    return n.withColumn("score", F.when(F.col("n_sections") >= 10, 0.6).otherwise(0.3))
+    return tokens.join(sent(a), "tok").select("q", "code").union(entities.dictionary_hits(q, "q", "question", k)).distinct()
 
 
 @operator(
-    f"""WITH {BOXES}, t AS (SELECT doc_id, page, box_id, x1 - x0 AS w FROM boxes WHERE kind = 'table' AND doc_id < 5)
+    f"""WITH {BOXES}, t AS (SELECT doc_id, page, box_id, x1 - x0 AS w FROM boxes WHERE kind = 'table')
     SELECT doc_id, page, box_id, box_id || '_chunk_' || i AS chunk_id, i::INT AS chunk_index, n::INT AS total_chunks FROM (SELECT *, greatest(1, floor(w / 100))::INT AS n, unnest(range(greatest(1, floor(w / 100))::BIGINT)) AS i FROM t)"""
 )
-def t31_table_nodes_and_chunks(spark: SparkSession, sf_dir: str, rows: str = "kind = 'table' AND doc_id < 5") -> DataFrame:
-    b = boxes(spark, sf_dir).where(rows)
+def t31_table_nodes_and_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = boxes(spark, sf_dir).where("kind = 'table'")
     n = F.greatest(F.lit(1), F.floor((F.col("box.x1") - F.col("box.x0")) / 100)).cast("int")
     spread = b.withColumn("total_chunks", n).withColumn("chunk_index", F.explode(F.sequence(F.lit(0), F.col("total_chunks") - 1)))
     return spread.select("doc_id", "page", "box_id", F.concat("box_id", F.lit("_chunk_"), "chunk_index").alias("chunk_id"), "chunk_index", "total_chunks")
@@ -115,10 +147,10 @@ def r24_intent_compliance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.groupBy("q", "kind").agg(F.coalesce(F.min(F.when(F.col("hit") % 9 == 0, F.col("hit"))), F.min("hit")).alias("hit"))
 
 
-@operator("SELECT doc_id, source FROM documents WHERE source = 'src2' ORDER BY doc_id LIMIT 20 OFFSET 10")
+@operator("SELECT doc_id, source FROM documents WHERE lang = 'en' ORDER BY doc_id LIMIT 20 OFFSET 10")
 def s20_o16_scroll(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One page of a scan with a filter, in the order of the key."""
-    return table(spark, sf_dir, "documents").where("source = 'src2'").select("doc_id", "source").orderBy("doc_id").offset(10).limit(20)
+    return table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", "source").orderBy("doc_id").offset(10).limit(20)
 
 
 @operator(

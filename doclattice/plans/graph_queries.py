@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,20 +17,22 @@ tags AS (SELECT DISTINCT doc_id, section_no, unnest(regexp_extract_all(content,
 """
 
 
-def section_tags(s: DataFrame) -> DataFrame:
-    return s.select("doc_id", "section_no", F.explode(entities.equipment_tags(F.col("content"))).alias("t")).select("doc_id", "section_no", "t.tag", "t.code", "t.kind")
+def section_tags(s: DataFrame, *more: str) -> DataFrame:
+    return s.select("doc_id", "section_no", *more, F.explode(entities.equipment_tags(F.col("content"))).alias("t")).select("doc_id", "section_no", *more, "t.tag", "t.code", "t.kind")
 
 
 def describing_sections(s: DataFrame, tags: list[str], most: int = 10) -> DataFrame:
-    """Sections that describe a unit: a boost for the title times one more than the mentions; the best by importance then."""
+    """Sections that describe a unit: a boost for the title times one more than the mentions; the best by importance then.
+
+    The stated units are looked for before a section's tags are spread, and title and content travel with them: sections are read once, without a join.
+    """
     from doclattice.functions import text as T
 
-    wanted = s.sparkSession.createDataFrame([(t,) for t in tags], "tag string")
-    edges = section_tags(s).join(F.broadcast(wanted), "tag")
-    joined = edges.join(s, ["doc_id", "section_no"])
+    wanted = F.filter(F.array(*map(F.lit, tags)), lambda t: F.exists(entities.equipment_tags(F.col("content")), lambda x: x["tag"] == t))
+    edges = s.where(F.rlike("content", F.lit("|".join(map(re.escape, tags))))).select("doc_id", "section_no", "title", "content", F.explode(wanted).alias("tag"))
     mentions = F.size(F.split(F.lower("content"), F.concat(F.lit(r"\Q"), F.lower("tag"), F.lit(r"\E")))) - 1
     boost = F.when(F.contains(F.lower("title"), F.lower("tag")), 100).otherwise(1)
-    scored = joined.withColumn("mention_count", mentions).where("mention_count > 0").withColumn("relevance", boost * (1 + F.col("mention_count"))).withColumn("importance", F.round(T.importance(F.col("content")), 6))
+    scored = edges.withColumn("mention_count", mentions).where("mention_count > 0").withColumn("relevance", boost * (1 + F.col("mention_count"))).withColumn("importance", F.round(T.importance(F.col("content")), 6))
     return scored.select("tag", "doc_id", "section_no", "title", "mention_count", "relevance", "importance").orderBy(F.col("relevance").desc(), F.col("importance").desc(), "doc_id", "section_no", "tag").limit(most)
 
 
@@ -107,11 +111,11 @@ def j12_o5_e9_f24_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @operator(
-    """WITH e AS (SELECT DISTINCT l_suppkey AS src, l_partkey % 50 AS dst FROM lineitem WHERE l_linenumber = 1)
+    """WITH e AS (SELECT DISTINCT l_suppkey AS src, l_partkey % 50 AS dst FROM lineitem)
     SELECT src, dst FROM e UNION SELECT dst, src FROM e"""
 )
-def j13_u10_undirected(spark: SparkSession, sf_dir: str, rows: str = "l_linenumber = 1") -> DataFrame:
-    e = table(spark, sf_dir, "lineitem").where(rows).select(F.col("l_suppkey").alias("src"), (F.pmod("l_partkey", F.lit(50))).alias("dst"))
+def j13_u10_undirected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("src"), (F.pmod("l_partkey", F.lit(50))).alias("dst"))
     return graph.both_ways(e)
 
 
@@ -277,12 +281,19 @@ def e6_component_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", entities.component_code(F.element_at(F.split("p_name", " "), 2), F.col("p_name")).alias("code"))
 
 
+COMPONENTS = [("ring", "ring"), ("bolt", "bolt"), ("gear", "gear"), ("rod", "rod")]
+
+
+def component_texts(parts: DataFrame) -> DataFrame:
+    """A text of two components for each part."""
+    return parts.select("p_partkey", F.concat(F.lit("Check the main "), "p_name", F.lit(" and then the HFO "), "p_name", F.lit("s of it")).alias("text"))
+
+
 @operator()
 def e3_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Components in texts made of part names."""
-    named = table(spark, sf_dir, "part").groupBy(F.pmod("p_partkey", F.lit(50)).alias("k")).agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(" ", F.lit("the"), "p_name", F.lit("and")))), " ").alias("text"))
-    found = entities.components([("ring", "ring"), ("bolt", "bolt"), ("gear", "gear"), ("rod", "rod")])
-    return named.select("k", F.explode(found("text")).alias("c")).select("k", "c.*")
+    """Components in texts made of part names, cleaned of words that are no qualifiers."""
+    found = entities.components(COMPONENTS)
+    return component_texts(table(spark, sf_dir, "part")).select("p_partkey", F.explode(found("text")).alias("c")).select("p_partkey", "c.*")
 
 
 @operator(

@@ -8,9 +8,16 @@ from pyspark.sql import functions as F
 from doclattice.functions import answers as A
 from doclattice.functions import maths as M
 from doclattice.functions import text as T
-from doclattice.plans.base import LINES, SECTIONS, operator
+from doclattice.operators import chunking, graph
+from doclattice.operators.small import sent
+from doclattice.plans.base import BOXES, LINES, SECTIONS, operator
+from doclattice.plans.structure_queries import MATRIX
 from doclattice.sources import files
-from doclattice.sources.tables import lines, sections, table
+from doclattice.sources.tables import boxes, lines, sections, table
+
+VALID_MATRICES = f"""{MATRIX}, sz AS (SELECT doc_id, m, list_transform(m, lambda r: len(r)) AS sizes, list_filter(flatten(m), lambda c: trim(c) <> '') AS cells FROM m),
+v AS (SELECT doc_id, coalesce(len(m) >= 2 AND list_max(sizes) - list_min(sizes) <= 0.4 * list_max(sizes) AND list_sum(sizes) >= 2 * len(m) AND len(cells) >= 0.25 * list_sum(sizes)
+  AND len(cells) >= 4 AND list_sum(list_transform(cells, lambda c: length(c))) <= 150 * len(cells), false) AS valid FROM sz)"""
 
 
 @operator(
@@ -26,32 +33,12 @@ def r17_retry_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", A.retry_reason(a, q, F.col("conv_id") % 6).alias("reason"))
 
 
-QUESTIONS = ["What is the cause of low suction pressure at P-101?", "How does the fuel pump P-102 start", "WHY are FO and 12V lines hot?", "Cooling of the main engine", "hello"]
-Q_SQL = "q AS (SELECT unnest(range(5)) AS q, unnest([" + ", ".join("'" + x + "'" for x in QUESTIONS) + "]) AS question)"
-
-
-def questions(spark: SparkSession) -> DataFrame:
-    return spark.range(1).select(F.posexplode(F.array(*map(F.lit, QUESTIONS))).alias("q", "question"))
-
-
-@operator(
-    rf"""WITH {Q_SQL} SELECT q::INT AS q, CASE WHEN contains(lower(question), 'pump') THEN regexp_replace(lower(question), '\bpump\b', 'pumping unit', 'g') WHEN contains(lower(question), 'cause') THEN regexp_replace(lower(question), '\bcause\b', 'reason', 'g')
-      WHEN contains(lower(question), 'cooling') THEN regexp_replace(lower(question), '\bcooling\b', 'cooler', 'g') END AS expanded,
-      array_to_string(list_concat(list_filter(regexp_extract_all(lower(question), '\S+'), lambda w: length(w) > 2 AND NOT list_contains(['what','how','why','when','where','which','who','is','are','does','do','can','the','a','an'], w)),
-        list_transform(regexp_extract_all(question, '\b[A-Z]{{2,}}[-]?[0-9]*\b|\b[0-9]+[A-Z]+\b'), lambda c: lower(c)))[1:10], ' ') AS rephrased,
-      array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(lower(question), '\b[a-z0-9_]{{3,}}\b'), lambda w: NOT list_contains(['the','and','for','are','what','how','when','where','why','does'], w)))), ',') AS words FROM q"""
-)
-def r18_r19_u6_query_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = F.col("question")
-    return questions(spark).select("q", A.expanded(q).alias("expanded"), A.rephrased(q).alias("rephrased"), F.array_join(A.query_words(q), ",").alias("words"))
-
-
 @operator(
     rf"""WITH {LINES} SELECT doc_id, line_no, CASE WHEN regexp_matches(line, '\btable\s+\w+', 'i') THEN 'table' WHEN regexp_matches(line, '\b(?:figure|fig\.?|diagram|drawing|dwg\.?|schema|schematic)\s+[0-9]+', 'i') THEN 'figure' END AS kind,
-      regexp_matches(line, '^\s*[0-9]+\s*$') OR (regexp_matches(lower(line), 'page|chapter|section|copyright|©|reserved') AND length(line) < 100) AS noise FROM lines WHERE line_no % 7 = 3"""
+      regexp_matches(line, '^\s*[0-9]+\s*$') OR (regexp_matches(lower(line), 'page|chapter|section|copyright|©|reserved') AND length(line) < 100) AS noise FROM lines"""
 )
-def t22_t27_p21_captions(spark: SparkSession, sf_dir: str, rows: str = "line_no % 7 = 3") -> DataFrame:
-    return lines(spark, sf_dir).where(rows).select("doc_id", "line_no", A.caption_kind(F.col("line")).alias("kind"), A.is_noise(F.col("line")).alias("noise"))
+def t22_t27_p21_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines(spark, sf_dir).select("doc_id", "line_no", A.caption_kind(F.col("line")).alias("kind"), A.is_noise(F.col("line")).alias("noise"))
 
 
 @operator(
@@ -73,27 +60,27 @@ SYSTEMS = "(VALUES ('sys_ring', 'ring'), ('sys_bolt', 'bolt'), ('sys_heat', 'hot
 def j9_e7_e11_part_of_system(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A component is part of the systems whose name its own holds. Systems are a stated dictionary."""
     systems = spark.sql(f"SELECT * FROM {SYSTEMS}")
-    return table(spark, sf_dir, "part").join(F.broadcast(systems), F.contains(F.lower("p_name"), F.col("name"))).select("p_partkey", "code")
+    return table(spark, sf_dir, "part").join(sent(systems, only=True), F.contains(F.lower("p_name"), F.col("name"))).select("p_partkey", "code")
 
 
 @operator(
-    """WITH h AS (SELECT vec_id, label AS doc FROM embeddings WHERE vec_id % 3 = 0), n AS (SELECT doc_id, source, n_chars FROM documents WHERE doc_id % 2 = 0)
+    """WITH h AS (SELECT vec_id, label AS doc FROM embeddings), n AS (SELECT doc_id, source, n_chars FROM documents)
     SELECT vec_id, coalesce(source, 'label ' || doc) AS title, n_chars FROM h LEFT JOIN n ON vec_id = doc_id"""
 )
-def j16_p25_hydrate_hits(spark: SparkSession, sf_dir: str, vectors: str = "vec_id % 3 = 0", docs: str = "doc_id % 2 = 0") -> DataFrame:
-    h = table(spark, sf_dir, "embeddings").where(vectors).select("vec_id", F.col("label").alias("doc"))
-    n = table(spark, sf_dir, "documents").where(docs).select("doc_id", "source", "n_chars")
+def j16_p25_hydrate_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").alias("doc"))
+    n = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
     return h.join(n, F.col("vec_id") == F.col("doc_id"), "left").select("vec_id", F.coalesce("source", F.concat(F.lit("label "), "doc")).alias("title"), "n_chars")
 
 
 @operator(
-    """WITH e AS (SELECT p_partkey AS e, p_name FROM part WHERE p_partkey % 10 = 0), m AS (SELECT l_partkey AS e, l_orderkey AS o FROM lineitem WHERE l_linenumber = 2)
+    """WITH e AS (SELECT p_partkey AS e, p_name FROM part), m AS (SELECT l_partkey AS e, l_orderkey AS o FROM lineitem)
     SELECT e.e, m.o, o_custkey AS section_id FROM e JOIN m ON e.e = m.e LEFT JOIN orders ON m.o = o_orderkey AND o_orderstatus = 'F' WHERE o_custkey IS NOT NULL"""
 )
-def j6_optional_then_filtered(spark: SparkSession, sf_dir: str, parts: str = "p_partkey % 10 = 0", items: str = "l_linenumber = 2") -> DataFrame:
+def j6_optional_then_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Optional sections, of which the missing ones go."""
-    e = table(spark, sf_dir, "part").where(parts).select(F.col("p_partkey").alias("e"))
-    m = table(spark, sf_dir, "lineitem").where(items).select(F.col("l_partkey").alias("e"), F.col("l_orderkey").alias("o"))
+    e = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("e"))
+    m = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("e"), F.col("l_orderkey").alias("o"))
     o = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("o"), F.col("o_custkey").alias("section_id"))
     return e.join(m, "e").join(o, "o", "left").where("section_id IS NOT NULL").select("e", "o", "section_id")
 
@@ -116,12 +103,12 @@ def j19_toc_to_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @operator(
-    f"""WITH {SECTIONS}, c AS (SELECT doc_id, upper(trim(title)) AS t, page_start, page_end FROM sections WHERE title <> '' AND section_no % 2 = 1)
+    f"""WITH {SECTIONS}, c AS (SELECT doc_id, upper(trim(title)) AS t, page_start, page_end FROM sections WHERE title <> '')
     SELECT doc_id, t AS title, min(page_start) AS start_page, max(page_end) AS end_page, count(*) AS sightings FROM c GROUP BY doc_id, t"""
 )
-def t13_t14_chapters(spark: SparkSession, sf_dir: str, rows: str = "title <> '' AND section_no % 2 = 1") -> DataFrame:
+def t13_t14_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chapters by title: first page, and the last page of later sightings."""
-    c = sections(spark, sf_dir).where(rows)
+    c = sections(spark, sf_dir).where("title <> ''")
     return c.groupBy("doc_id", F.upper(F.trim("title")).alias("title")).agg(F.min("page_start").alias("start_page"), F.max("page_end").alias("end_page"), F.count(F.lit(1)).alias("sightings"))
 
 
@@ -138,25 +125,13 @@ def t16_fallback_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.join(headed, ["doc_id", "page"], "left_anti")
 
 
-@operator(
-    r"""WITH t AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '1.0 FIRST PART ....... 4' || chr(10) || '2.0 Second   9' || chr(10) || '2.1 Third part' || chr(10) || 'other text ' || doc_id ELSE left(text, 300) END AS t FROM documents),
-    l AS (SELECT doc_id, t, list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(x)), lambda x: length(x) >= 5) AS l FROM t),
-    n AS (SELECT doc_id, t, l, len(list_filter(l, lambda x: regexp_matches(x, '^[0-9]+\.?[0-9]*\s+.+[.…·\-_]{3,}\s*[0-9]+\s*$|^[0-9]+\.?[0-9]*\s+.+\s{3,}[0-9]+\s*$|^[0-9]+\.[0-9]+\s+[A-Z]'))) AS n FROM l)
-    SELECT doc_id, length(t) >= 50 AND n >= 3 AND n > 0.5 * len(l) AS is_toc FROM n"""
-)
-def t23_toc_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    toc = F.concat(F.lit("1.0 FIRST PART ....... 4\n2.0 Second   9\n2.1 Third part\nother text "), F.col("doc_id"))
-    text = F.when(F.col("doc_id") % 3 == 0, toc).otherwise(F.left("text", F.lit(300)))
-    return table(spark, sf_dir, "documents").select("doc_id", A.toc_share(text).alias("is_toc"))
-
-
 @operator(
     r"""WITH t AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '1.0 FIRST PART ....... 4' || chr(10) || '2.0 Second   9' || chr(10) || '2.1 Third part' || chr(10) || 'other text ' || doc_id ELSE text END AS t FROM documents),
     l AS (SELECT doc_id, t, list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(x)), lambda x: length(x) >= 5) AS l FROM t),
     n AS (SELECT doc_id, t, l, len(list_filter(l, lambda x: regexp_matches(x, '^[0-9]+\.?[0-9]*\s+.+[.…·\-_]{3,}\s*[0-9]+\s*$|^[0-9]+\.?[0-9]*\s+.+\s{3,}[0-9]+\s*$|^[0-9]+\.[0-9]+\s+[A-Z]'))) AS n FROM l)
     SELECT doc_id, length(t) >= 50 AND n >= 3 AND n > 0.5 * len(l) AS is_toc FROM n"""
 )
-def t23_toc_regions_whole_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+def t23_toc_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     toc = F.concat(F.lit("1.0 FIRST PART ....... 4\n2.0 Second   9\n2.1 Third part\nother text "), F.col("doc_id"))
     text = F.when(F.col("doc_id") % 3 == 0, toc).otherwise(F.col("text"))
     return table(spark, sf_dir, "documents").select("doc_id", A.toc_share(text).alias("is_toc"))
@@ -173,13 +148,41 @@ def t28_t29_t30_figure_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @operator(
-    """WITH c AS (SELECT l_orderkey, l_linenumber, l_quantity, list_filter(['pdf' || CASE WHEN l_quantity > 40 THEN '' END, CASE WHEN l_discount > 0.05 THEN 'model' END, 'text'], lambda x: x IS NOT NULL) AS c FROM lineitem WHERE l_orderkey < 500)
-    SELECT c[1] AS result, count(*) AS n FROM c GROUP BY 1"""
+    f"""WITH {VALID_MATRICES}, d AS (SELECT doc_id, string_split(text, chr(10)) AS l, text FROM documents),
+    c AS (SELECT d.doc_id, valid, len(list_filter(l, lambda x: trim(x) <> '' AND len(string_split(x, ',')) >= 2)) >= 2 AS csv, CASE d.doc_id % 3 WHEN 0 THEN 'TABLE' WHEN 1 THEN 'TEXT' ELSE 'SCHEMA' END AS verdict, length(trim(text)) AS chars FROM d JOIN v ON d.doc_id = v.doc_id)
+    SELECT doc_id, CASE WHEN valid THEN 'table from file' WHEN csv THEN 'table from model' WHEN verdict = 'TEXT' AND chars > 10 THEN 'text' WHEN verdict = 'SCHEMA' THEN 'figure' ELSE 'failed' END AS result FROM c"""
+)
+def t24_table_region_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What becomes of a table region: the file's own table if it is valid; else what the model read as comma-separated rows; else by the model's verdict its text or a figure; else nothing.
+
+    A document's lines stand for the region: split at spaces as read from the file, at commas as read by the model.
+    """
+    text = F.col("text")
+    lines_of = F.split(text, "\n")
+    own = chunking.valid_matrix(F.transform(lines_of, lambda x: F.split(x, " ")))
+    read = F.size(F.filter(lines_of, lambda x: (F.trim(x) != "") & (F.size(F.split(x, ",")) >= 2))) >= 2
+    verdict = F.pmod("doc_id", F.lit(3))
+    result = F.when(own, "table from file").when(read, "table from model").when((verdict == 1) & (F.length(F.trim(text)) > 10), "text").when(verdict == 2, "figure").otherwise("failed")
+    return table(spark, sf_dir, "documents").select("doc_id", result.alias("result"))
+
+
+@operator(
+    f"""WITH {BOXES}, f AS (SELECT * FROM boxes WHERE kind = 'figure'), t AS (SELECT * FROM boxes WHERE kind = 'table'),
+    h AS (SELECT f.doc_id, f.page, f.box_id AS figure_id, t.box_id AS table_id FROM f JOIN t ON f.doc_id = t.doc_id AND f.page = t.page
+      AND t.x0 >= f.x0 - (f.x1-f.x0)*0.05::DOUBLE AND t.y0 >= f.y0 - (f.y1-f.y0)*0.05::DOUBLE AND t.x1 <= f.x1 + (f.x1-f.x0)*0.05::DOUBLE AND t.y1 <= f.y1 + (f.y1-f.y0)*0.05::DOUBLE)
+    SELECT f.doc_id, f.page, f.box_id AS figure_id, coalesce(string_agg(table_id, ',' ORDER BY table_id), '') AS table_ids, CASE WHEN count(table_id) > 0 THEN 'hybrid' ELSE 'figure' END AS kind
+    FROM f LEFT JOIN h ON f.doc_id = h.doc_id AND f.page = h.page AND f.box_id = h.figure_id GROUP BY ALL"""
 )
-def t24_t25_first_valid_result(spark: SparkSession, sf_dir: str, rows: str = "l_orderkey < 500") -> DataFrame:
-    """Candidates by priority: the file's own table, the model's, else text."""
-    pick = F.coalesce(F.when(F.col("l_quantity") > 40, "pdf"), F.when(F.col("l_discount") > 0.05, "model"), F.lit("text"))
-    return table(spark, sf_dir, "lineitem").where(rows).groupBy(pick.alias("result")).agg(F.count(F.lit(1)).alias("n"))
+def t25_figures_with_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figures with the ids of the tables that lie inside of them."""
+    b = boxes(spark, sf_dir)
+    figures = b.where("kind = 'figure'")
+    held = graph.link_by_place(figures, b.where("kind = 'table'")).where("relation = 'inside'")
+    ids = held.groupBy("doc_id", "page", "figure_id").agg(F.array_join(F.array_sort(F.collect_list("table_id")), ",").alias("table_ids"))
+    all_figures = figures.select("doc_id", "page", F.col("box_id").alias("figure_id"))
+    return all_figures.join(ids, ["doc_id", "page", "figure_id"], "left").select(
+        "doc_id", "page", "figure_id", F.coalesce("table_ids", F.lit("")).alias("table_ids"), F.when(F.col("table_ids").isNotNull(), "hybrid").otherwise("figure").alias("kind")
+    )
 
 
 @operator(
@@ -228,39 +231,12 @@ def p23_strict_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.select("q", F.array_join(F.when(F.size(strict) == 0, F.col("codes")).otherwise(strict), ",").alias("codes"))
 
 
-@operator("SELECT conv_id, turn, CASE WHEN turn % 3 = 2 THEN coalesce(text, '') ELSE coalesce(left(text, 20), '') END AS reference_context FROM conversations")
+@operator("SELECT conv_id, turn, CASE WHEN turn % 3 = 2 THEN coalesce(text, '') ELSE coalesce(split_part(text, '.', 1), '') END AS reference_context FROM conversations")
 def r26_context_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = F.when(F.col("turn") % 3 != 2, F.left("text", F.lit(20)))
+    first = F.when(F.col("turn") % 3 != 2, F.split("text", r"\.")[0])
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce(first, "text", F.lit("")).alias("reference_context"))
 
 
-@operator(
-    """WITH h AS (SELECT vec_id AS hit, label AS doc, vec_id % 4 = 0 AS anchor, label = 3 AS main FROM embeddings), r AS (SELECT *, sum((main AND NOT anchor)::INT) OVER (ORDER BY hit) AS n FROM h)
-    SELECT hit, doc, anchor FROM r WHERE anchor AND doc < 5 OR (main AND NOT anchor AND n <= 3)"""
-)
-def r12_r13_context_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Anchors always; of the main document the first three hits besides. The hits of one question are a bounded list."""
-    h = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("hit"), F.col("label").alias("doc"), (F.col("vec_id") % 4 == 0).alias("anchor"), (F.col("label") == 3).alias("main"))
-    anchors = h.where("anchor AND doc < 5").select("hit", "doc", "anchor")
-    return anchors.unionByName(h.where("main AND NOT anchor").orderBy("hit").limit(3).select("hit", "doc", "anchor"))
-
-
-@operator(
-    """WITH t AS (SELECT vec_id, list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding FROM embeddings WHERE vec_id = 1)::DOUBLE[]) AS score FROM embeddings),
-    v AS (SELECT vec_id AS id, round(score, 6) AS score, 'vector' AS source FROM t WHERE score > 0.3 AND vec_id <> 1), f AS (SELECT doc_id AS id, round(0.3, 6)::DOUBLE AS score, 'text' AS source FROM documents WHERE contains(text, ' the ') ORDER BY doc_id LIMIT 3)
-    SELECT * FROM v UNION ALL SELECT * FROM f WHERE (SELECT count(*) FROM v) < 1000"""
-)
-def v11_v6_fallback_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """With too few vector hits (below a bound) full-text hits are added."""
-    e = table(spark, sf_dir, "embeddings")
-    q = e.where("vec_id = 1").select(F.col("embedding").alias("q"))
-    v = e.where("vec_id <> 1").crossJoin(F.broadcast(q)).withColumn("score", M.cosine(F.col("q"), F.col("embedding"))).where("score > 0.3")
-    v = v.select(F.col("vec_id").alias("id"), F.round("score", 6).alias("score"), F.lit("vector").alias("source"))
-    few = v.agg((F.count(F.lit(1)) < 1000).alias("few"))
-    f = table(spark, sf_dir, "documents").where(F.contains("text", F.lit(" the "))).orderBy("doc_id").limit(3).crossJoin(F.broadcast(few)).where("few")
-    return v.unionByName(f.select(F.col("doc_id").alias("id"), F.lit(0.3).alias("score"), F.lit("text").alias("source")))
-
-
 @operator(
     f"""WITH {LINES}, p AS (SELECT doc_id, page, line_no, length(line) AS len, abs(line_no % 10 - 4) AS distance FROM lines), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY distance, line_no) AS k FROM p)
     SELECT doc_id, page, line_no, distance FROM r WHERE k <= 3"""

@@ -9,7 +9,8 @@ from doclattice.functions import maths as M
 from doclattice.functions import text as T
 from doclattice.operators import filters, search
 from doclattice.plans.base import operator
-from doclattice.sources.tables import table
+from doclattice.plans.graph_queries import TAGGED, section_tags
+from doclattice.sources.tables import sections, table
 from doclattice.streaming import rate_limit
 
 COS = "list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
@@ -25,19 +26,11 @@ def nearest(e: DataFrame, asked: str) -> DataFrame:
     return search.top_k(q, e.select("vec_id", "label", F.col("embedding").alias("p")), 10, 0.1, "q_id", "vec_id").withColumn("score", F.round("score", 6))
 
 
-@operator(
-    f"""WITH r AS (SELECT a.vec_id AS q_id, b.vec_id, b.label, {COS} AS score FROM embeddings a JOIN embeddings b ON true WHERE a.vec_id < 5),
-    k AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, vec_id) AS rank FROM r WHERE score >= 0.1) SELECT q_id, vec_id, label, round(score, 6) AS score, rank FROM k WHERE rank <= 10"""
-)
-def v1_v2_v3_o1_p5_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nearest(points(spark, sf_dir), "vec_id < 5")
-
-
 @operator(
     f"""WITH r AS (SELECT a.vec_id AS q_id, b.vec_id, b.label, {COS} AS score FROM embeddings a JOIN embeddings b ON true WHERE a.vec_id % 100 = 0),
     k AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, vec_id) AS rank FROM r WHERE score >= 0.1) SELECT q_id, vec_id, label, round(score, 6) AS score, rank FROM k WHERE rank <= 10"""
 )
-def v1_v2_v3_o1_p5_vector_search_hundredths(spark: SparkSession, sf_dir: str) -> DataFrame:
+def v1_v2_v3_o1_p5_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row whose id is divisible by 100, against all rows."""
     return nearest(points(spark, sf_dir), "vec_id % 100 = 0")
 
@@ -51,35 +44,41 @@ def a6_mean_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("section", F.posexplode("embedding").alias("i", "x")).withColumn("x", F.round("x", 6))
 
 
-@operator(
-    """WITH c AS (SELECT label AS doc, vec_id // 5 AS section, vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+LINKS = """c AS (SELECT label AS doc, vec_id // 5 AS section, vec_id, embedding::DOUBLE[] AS v FROM embeddings),
     x AS (SELECT doc, section, unnest(range(64)) AS i, unnest(v) AS x FROM c), m AS (SELECT doc, section, i, avg(x) AS x FROM x GROUP BY ALL),
     mv AS (SELECT doc, section, list(x ORDER BY i) AS v FROM m GROUP BY ALL),
     p AS (SELECT mv.doc, mv.section AS source, c.section AS target, c.vec_id, list_cosine_similarity(mv.v, c.v) AS score FROM mv JOIN c ON mv.doc = c.doc AND mv.section <> c.section),
     t AS (SELECT *, row_number() OVER (PARTITION BY doc, source ORDER BY score DESC, vec_id) AS k FROM p QUALIFY k <= 15),
-    f AS (SELECT doc, source, target, max(score) AS score FROM t GROUP BY ALL), g AS (SELECT *, row_number() OVER (PARTITION BY doc, source ORDER BY score DESC, target) AS k FROM f WHERE score >= 0.2)
-    SELECT doc, source, target, round(score, 6) AS score FROM g WHERE k <= 5"""
-)
-def v4_j20_w1_p4_section_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f AS (SELECT doc, source, target, max(score) AS score FROM t GROUP BY ALL), g AS (SELECT *, row_number() OVER (PARTITION BY doc, source ORDER BY score DESC, target) AS k FROM f WHERE score >= 0.2),
+    links AS (SELECT doc, source, target, score FROM g WHERE k <= 5)"""
+
+
+def section_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean vectors against the chunks of other sections of the document: the best 3k chunks, then the first of each section, then k."""
     c = points(spark, sf_dir).select(F.col("label").alias("doc"), F.floor(F.col("vec_id") / 5).alias("section"), "vec_id", "embedding")
-    m = search.mean_vectors(c, ["doc", "section"], "embedding").select("doc", F.col("section").alias("source"), F.col("embedding").alias("q"))
-    pairs = m.join(c.select("doc", F.col("section").alias("target"), "vec_id", F.col("embedding").alias("p")), "doc").where("source <> target")
-    scored = pairs.select("doc", "source", "target", "vec_id", M.cosine(F.col("q"), F.col("p")).alias("score"))
-    by = Window.partitionBy("doc", "source")
-    top = scored.withColumn("k", F.row_number().over(by.orderBy(F.col("score").desc(), "vec_id"))).where("k <= 15")
-    first = top.groupBy("doc", "source", "target").agg(F.max("score").alias("score")).where("score >= 0.2")
-    return first.withColumn("k", F.row_number().over(by.orderBy(F.col("score").desc(), "target"))).where("k <= 5").select("doc", "source", "target", F.round("score", 6).alias("score"))
+    m = search.mean_vectors(c, ["doc", "section"], "embedding").select("doc", F.col("section").alias("source"), "section", F.col("embedding").alias("q"))
+    top = search.top_by_blocks(m, c.select("doc", "section", "vec_id", F.col("embedding").alias("p")), "doc", "source", "section", "vec_id", 15)
+    first = top.groupBy("doc", "source", F.col("of_section").alias("target")).agg(F.max("score").alias("score")).where("score >= 0.2")
+    by = Window.partitionBy("doc", "source").orderBy(F.col("score").desc(), "target")
+    return first.withColumn("k", F.row_number().over(by)).where("k <= 5").drop("k")
+
+
+@operator(f"WITH {LINKS} SELECT doc, source, target, round(score, 6) AS score FROM links")
+def v4_j20_w1_p4_section_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return section_links(spark, sf_dir).withColumn("score", F.round("score", 6))
 
 
 @operator(
-    """WITH s AS (SELECT label AS doc, vec_id // 5 AS section FROM embeddings), p AS (SELECT DISTINCT doc, section FROM s)
-    SELECT doc, count(DISTINCT section) AS sections, count(*) FILTER (section % 3 = 0) AS links, round(avg(section), 6) AS mean_section, round(CASE WHEN count(DISTINCT section) > 0 THEN count(*) FILTER (section % 3 = 0) / count(DISTINCT section)::DOUBLE ELSE 0 END, 6) AS links_per_section FROM p GROUP BY doc"""
+    f"""WITH {LINKS}, s AS (SELECT DISTINCT doc, section FROM c)
+    SELECT s.doc, count(DISTINCT section) AS sections, count(target) AS links, round(avg(score), 6) AS mean_score, round(CASE WHEN count(DISTINCT section) > 0 THEN count(target) / count(DISTINCT section)::DOUBLE ELSE 0 END, 6) AS links_per_section
+    FROM s LEFT JOIN links l ON s.doc = l.doc AND s.section = l.source GROUP BY s.doc"""
 )
 def a3_similarity_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = points(spark, sf_dir).select(F.col("label").alias("doc"), F.floor(F.col("vec_id") / 5).alias("section")).distinct()
-    links = F.count_if(F.col("section") % 3 == 0)
-    return p.groupBy("doc").agg(F.countDistinct("section").alias("sections"), links.alias("links"), F.round(F.avg("section"), 6).alias("mean_section"), F.round(M.ratio(links, F.countDistinct("section")), 6).alias("links_per_section"))
+    """Sections of a document, the links that section similarity gives them, and their mean score."""
+    n = points(spark, sf_dir).select(F.col("label").alias("doc"), F.floor(F.col("vec_id") / 5).alias("section")).distinct().groupBy("doc").agg(F.count(F.lit(1)).alias("sections"))
+    found = section_links(spark, sf_dir).groupBy("doc").agg(F.count(F.lit(1)).alias("found"), F.avg("score").alias("mean"))
+    links = F.coalesce("found", F.lit(0))
+    return n.join(found, "doc", "left").select("doc", "sections", links.alias("links"), F.round("mean", 6).alias("mean_score"), F.round(M.ratio(links, F.col("sections")), 6).alias("links_per_section"))
 
 
 QUERY = ["the", "and", "reer", "thanst", "plant"]
@@ -95,12 +94,20 @@ def v9_v10_o2_full_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.orderBy(F.round("score", 9).desc(), "doc_id").limit(20).select("doc_id", F.round("score", 6).alias("score"))
 
 
-@operator(f"WITH {BM25} SELECT doc_id, round(least(0.4::DOUBLE, score / (SELECT max(score) FROM bm) * 0.4::DOUBLE), 6) AS score FROM bm WHERE score > 0 AND doc_id % 2 = 0 OR (score > 0 AND score = (SELECT max(score) FROM bm))")
+@operator(
+    f"""WITH {TAGGED}, {BM25}, c AS (SELECT doc_id, count(*) AS relevance FROM tags WHERE tag IN ('P-101', 'P-117', 'P-125') GROUP BY doc_id),
+    s AS (SELECT doc_id, score FROM bm JOIN c USING (doc_id) WHERE score >= 0.5), five AS (SELECT doc_id, least(0.4::DOUBLE, score / max(score) OVER () * 0.4::DOUBLE) AS score FROM s ORDER BY s.score DESC, doc_id LIMIT 5),
+    three AS (SELECT doc_id, 0.3::DOUBLE AS score FROM c WHERE (SELECT count(*) FROM s) = 0 ORDER BY relevance DESC, doc_id LIMIT 3)
+    SELECT doc_id, round(score, 6) AS score FROM five UNION ALL SELECT doc_id, round(score, 6) FROM three""".replace(" s AS (SELECT doc_id, score FROM bm", " raw_hits AS (SELECT doc_id, score FROM bm").replace("FROM s ORDER BY s.score", "FROM raw_hits ORDER BY raw_hits.score").replace("count(*) FROM s)", "count(*) FROM raw_hits)")
+)
 def a20_r6_j14_rescored_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Full-text scores as a share of the best, for candidate ids (the best is one of them)."""
-    hits = search.bm25(table(spark, sf_dir, "documents"), "doc_id", "text", QUERY)
-    scored = search.normalised(hits)
-    return scored.where((F.col("doc_id") % 2 == 0) | (F.col("score") >= 0.4)).select("doc_id", F.round("score", 6).alias("score"))
+    """Full-text scores of the documents that describe the units asked for: at least 0.5, as a share of their best, the best five; if there are none, three by relevance at 0.3."""
+    candidates = section_tags(sections(spark, sf_dir)).where(F.col("tag").isin("P-101", "P-117", "P-125")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("relevance"))
+    hits = search.bm25(table(spark, sf_dir, "documents"), "doc_id", "text", QUERY).join(candidates, "doc_id", "left_semi").where("score >= 0.5")
+    best = search.normalised(hits.orderBy(F.col("score").desc(), "doc_id").limit(5))
+    none = hits.agg((F.count(F.lit(1)) == 0).alias("none"))  # one row
+    three = candidates.orderBy(F.col("relevance").desc(), "doc_id").limit(3).crossJoin(F.broadcast(none)).where("none").select("doc_id", F.lit(0.3).alias("score"))
+    return best.unionByName(three).withColumn("score", F.round("score", 6))
 
 
 @operator(
@@ -133,112 +140,6 @@ def r23_o10_u5_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.where(((F.col("overlap") > 0.03) | (F.col("k") <= 2)) & (F.col("k") <= 5)).select("item_id", "doc_id", F.round("overlap", 6).alias("overlap"), "k")
 
 
-@operator(
-    f"""WITH {OVERLAP}, x AS (SELECT *, CASE WHEN doc_id % 4 = 0 THEN greatest(overlap, 0.1::DOUBLE) ELSE overlap END AS lifted FROM s), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY lifted DESC, doc_id) AS k FROM x)
-    SELECT item_id, doc_id, round(lifted, 6) AS overlap FROM r WHERE lifted >= 0.02::DOUBLE AND k <= 3"""
-)
-def o11_r21_r22_figures_of_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """At least 2 % of the phrases, three at most; an explicit reference (here: every fourth document) lifts the overlap to 10 %."""
-    lifted = F.when(F.col("doc_id") % 4 == 0, F.greatest("overlap", F.lit(0.1))).otherwise(F.col("overlap"))
-    over = Window.partitionBy("item_id").orderBy(F.col("lifted").desc(), "doc_id")
-    ranked = overlaps(spark, sf_dir).withColumn("lifted", lifted).withColumn("k", F.row_number().over(over))
-    return ranked.where("lifted >= 0.02 AND k <= 3").select("item_id", "doc_id", F.round("lifted", 6).alias("overlap"))
-
-
-HITS = """hits AS (SELECT b.vec_id AS hit_id, b.label AS doc, b.vec_id // 5 AS section, CASE b.vec_id % 3 WHEN 0 THEN 'text' WHEN 1 THEN 'table' ELSE 'schema' END AS kind,
-  list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS score FROM embeddings b, (SELECT embedding FROM embeddings WHERE vec_id = 3) a WHERE b.vec_id % 7 <> 3)"""
-
-
-def hits(spark: SparkSession, sf_dir: str, others: str = "vec_id % 7 <> 3") -> DataFrame:
-    e = points(spark, sf_dir)
-    q = e.where("vec_id = 3").select(F.col("embedding").alias("q"))
-    k = F.col("vec_id") % 3
-    return e.where(others).crossJoin(F.broadcast(q)).select(
-        F.col("vec_id").alias("hit_id"), F.col("label").alias("doc"), F.floor(F.col("vec_id") / 5).alias("section"),
-        F.when(k == 0, "text").when(k == 1, "table").otherwise("schema").alias("kind"), M.cosine(F.col("q"), F.col("embedding")).alias("score"),
-    )
-
-
-@operator(
-    f"""WITH {HITS}, g AS (SELECT doc, section, max(score) AS top, arg_min(kind, hit_id) AS source FROM hits GROUP BY doc, section),
-    i AS (SELECT doc, section, top, source, CASE WHEN section % 4 = 0 THEN 0.5 ELSE (section % 10) / 10.0::DOUBLE END AS imp0 FROM g), j AS (SELECT *, coalesce(nullif(imp0, 0), 0.5)::DOUBLE AS imp FROM i),
-    f AS (SELECT doc, section, source, CASE WHEN source = 'schema' THEN 0.5::DOUBLE + 0.3::DOUBLE * imp ELSE 0.7::DOUBLE * top + 0.2::DOUBLE * imp END AS final FROM j)
-    SELECT doc, section, source, round(final, 6) AS final FROM f ORDER BY round(final, 9) DESC, doc, section LIMIT 5"""
-)
-def r9_a7_o7_j22_anchor_sections(spark: SparkSession, sf_dir: str, hits=hits) -> DataFrame:
-    """Sections by best hit and importance; a missing or zero importance counts as 0.5."""
-    g = hits(spark, sf_dir).groupBy("doc", "section").agg(F.max("score").alias("top"), F.min_by("kind", "hit_id").alias("source"))
-    stored = F.when(F.col("section") % 4 == 0, 0.5).otherwise((F.col("section") % 10) / 10.0)
-    imp = F.coalesce(F.nullif(stored, F.lit(0.0)), F.lit(0.5))
-    final = F.when(F.col("source") == "schema", 0.5 + 0.3 * imp).otherwise(0.7 * F.col("top") + 0.2 * imp)
-    return g.select("doc", "section", "source", final.alias("final")).orderBy(F.round("final", 9).desc(), "doc", "section").limit(5).withColumn("final", F.round("final", 6))
-
-
-@operator(
-    f"""WITH {HITS}, t AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY score DESC, hit_id) AS k FROM hits WHERE kind <> 'text' QUALIFY k <= 5)
-    SELECT doc, round(sum(score), 6) AS vote, count(*) AS n FROM t GROUP BY doc ORDER BY round(sum(score), 9) DESC, doc LIMIT 1"""
-)
-def a8_r10_r11_primary_document(spark: SparkSession, sf_dir: str, hits=hits) -> DataFrame:
-    over = Window.partitionBy("kind").orderBy(F.col("score").desc(), "hit_id")
-    top = hits(spark, sf_dir).where("kind <> 'text'").withColumn("k", F.row_number().over(over)).where("k <= 5")
-    vote = top.groupBy("doc").agg(F.sum("score").alias("vote"), F.count(F.lit(1)).alias("n")).orderBy(F.round("vote", 9).desc(), "doc").limit(1)
-    return vote.withColumn("vote", F.round("vote", 6))
-
-
-@operator(
-    f"""WITH {HITS}, h AS (SELECT * FROM hits WHERE score > 0), r AS (SELECT doc, count(*) AS n, avg(score) AS mean FROM h GROUP BY doc),
-    m AS (SELECT doc, 0.8::DOUBLE + 0.4::DOUBLE * (0.3::DOUBLE * least(1.0::DOUBLE, n / 5.0::DOUBLE) + 0.4::DOUBLE * mean + 0.3::DOUBLE * 0.5::DOUBLE) AS mult FROM r)
-    SELECT hit_id, h.doc, kind, round(least(1.0::DOUBLE, score * mult), 6) AS boosted FROM h JOIN m ON h.doc = m.doc"""
-)
-def r15_a9_document_boost(spark: SparkSession, sf_dir: str, hits=hits) -> DataFrame:
-    h = hits(spark, sf_dir).where("score > 0")
-    m = h.groupBy("doc").agg((0.8 + 0.4 * (0.3 * F.least(F.lit(1.0), F.count(F.lit(1)) / 5.0) + 0.4 * F.avg("score") + 0.3 * F.lit(0.5))).alias("mult"))
-    return h.join(m, "doc").select("hit_id", "doc", "kind", F.round(F.least(F.lit(1.0), F.col("score") * F.col("mult")), 6).alias("boosted"))
-
-
-@operator(
-    f"""WITH {HITS}, f AS (SELECT *, row_number() OVER (PARTITION BY kind, section ORDER BY score DESC, hit_id) AS d FROM hits QUALIFY d = 1), k AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY score DESC, hit_id) AS k FROM f)
-    SELECT hit_id, doc, kind, k FROM k WHERE k <= CASE kind WHEN 'text' THEN 4 WHEN 'table' THEN 3 ELSE 2 END"""
-)
-def o9_r14_w7_context_budgets(spark: SparkSession, sf_dir: str, hits=hits) -> DataFrame:
-    """One hit for each section and kind, then the budgets of a mixed question: 4 texts, 3 tables, 2 figures."""
-    from itertools import chain
-
-    by = lambda *c: Window.partitionBy(*c).orderBy(F.col("score").desc(), "hit_id")
-    budget = F.create_map(*map(F.lit, chain(*{"text": 4, "table": 3, "schema": 2}.items())))
-    first = hits(spark, sf_dir).withColumn("d", F.row_number().over(by("kind", "section"))).where("d = 1")
-    return first.withColumn("k", F.row_number().over(by("kind"))).where(F.col("k") <= budget[F.col("kind")]).select("hit_id", "doc", "kind", "k")
-
-
-@operator(f"WITH {HITS} SELECT hit_id, kind, round(CASE WHEN section IN (SELECT vec_id // 5 FROM embeddings WHERE vec_id % 11 = 0) THEN least(1.0::DOUBLE, score * 1.5::DOUBLE) ELSE score END, 6) AS score FROM hits")
-def j23_p11_boost_by_section(spark: SparkSession, sf_dir: str, hits=hits) -> DataFrame:
-    found = points(spark, sf_dir).where("vec_id % 11 = 0").select(F.floor(F.col("vec_id") / 5).alias("section"), F.lit(True).alias("hit")).distinct()
-    boosted = F.when(F.coalesce("hit", F.lit(False)), F.least(F.lit(1.0), F.col("score") * 1.5)).otherwise(F.col("score"))
-    return hits(spark, sf_dir).join(found, "section", "left").select("hit_id", "kind", F.round(boosted, 6).alias("score"))
-
-
-@operator(
-    f"""WITH {HITS}, c AS (SELECT hit_id, kind, row_number() OVER (PARTITION BY kind ORDER BY hit_id) AS i FROM hits WHERE hit_id < 60)
-    SELECT string_agg('[' || CASE kind WHEN 'text' THEN 'T' WHEN 'table' THEN 'TABLE' ELSE 'DIAGRAM' END || i || '] ' || hit_id, chr(10) ORDER BY hit_id) AS context FROM c"""
-)
-def r20_a16_context_text(spark: SparkSession, sf_dir: str, hits=hits, first: str = "hit_id < 60") -> DataFrame:
-    """The context of one question: a bounded list of labelled parts, in order."""
-    c = hits(spark, sf_dir).where(first).withColumn("i", F.row_number().over(Window.partitionBy("kind").orderBy("hit_id")))
-    label = F.when(F.col("kind") == "text", "T").when(F.col("kind") == "table", "TABLE").otherwise("DIAGRAM")
-    part = F.struct("hit_id", F.concat(F.lit("["), label, F.col("i"), F.lit("] "), F.col("hit_id")).alias("t"))
-    return c.agg(F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda x: x["t"]), "\n").alias("context"))
-
-
-@operator(
-    f"""WITH {HITS} SELECT kind, hit_id FROM hits WHERE score > 0.3 UNION ALL SELECT 'seen' AS kind, hit_id FROM hits WHERE score > 0.2 AND hit_id NOT IN (SELECT hit_id FROM hits WHERE score > 0.3)"""
-)
-def u2_u3_u9_append_unseen(spark: SparkSession, sf_dir: str, hits=hits) -> DataFrame:
-    h = hits(spark, sf_dir)
-    first = h.where("score > 0.3").select("kind", "hit_id")
-    more = h.where("score > 0.2").join(first, "hit_id", "left_anti").select(F.lit("seen").alias("kind"), "hit_id")
-    return first.unionByName(more)
-
-
 @operator(
     """WITH t AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'assistant')
     SELECT conv_id, turn, CASE WHEN regexp_matches(lower(text), 'not found|no information|cannot') THEN 'marker' WHEN length(text) < 100 AND regexp_matches(lower(text), 'no|not|unable') THEN 'short'
@@ -357,32 +258,6 @@ def r25_u7_answer_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count_if(F.col("role") == "user").alias("users"), F.bool_or(F.length("text") > 900).alias("expanded"), F.array_join(F.array_sort(F.collect_set("role")), ",").alias("roles"))
 
 
-@operator(
-    """SELECT conv_id, turn, CASE WHEN regexp_matches(lower(text), 'figure|diagram|drawing') THEN 'schema' WHEN regexp_matches(lower(text), 'table|tion') THEN 'table' ELSE 'text' END AS intent,
-      array_to_string(list_sort(list_distinct(['text', CASE WHEN contains(lower(text), 'tion') THEN 'table' END, CASE WHEN length(text) > 200 THEN 'entity' END, CASE WHEN contains(lower(text), 'tion') THEN 'table' END])), ',') AS tools
-    FROM conversations WHERE role = 'user'"""
-)
-def r1_r2_r8_intent_and_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keywords decide the intent; forced tools are joined to the chosen ones as a set."""
-    low = F.lower("text")
-    intent = F.when(T.any_of(low, ["figure", "diagram", "drawing"]), "schema").when(T.any_of(low, ["table", "tion"]), "table").otherwise("text")
-    spec = F.contains(low, F.lit("tion"))
-    forced = F.array(F.when(spec, F.lit("table")), F.when(F.length("text") > 200, F.lit("entity")))
-    tools = F.array_union(F.array(F.lit("text")), F.filter(forced, lambda t: t.isNotNull()))
-    return table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", intent.alias("intent"), F.array_join(F.array_sort(tools), ",").alias("tools"))
-
-
-@operator("SELECT doc_id, array_to_string(regexp_extract_all(left(text, 80), '\\S+')[1:10], ' ') AS short, replace(left(text, 80), ' the ', ' a ') AS variant FROM documents")
-def r19_query_rewrites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    head = F.left("text", F.lit(80))
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.slice(T.words(head), 1, 10), " ").alias("short"), F.replace(head, F.lit(" the "), F.lit(" a ")).alias("variant"))
-
-
-@operator("SELECT doc_id, array_to_string(regexp_extract_all(text, '\\S+')[1:10], ' ') AS short, replace(text, ' the ', ' a ') AS variant FROM documents")
-def r19_query_rewrites_whole_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.slice(T.words(F.col("text")), 1, 10), " ").alias("short"), F.replace("text", F.lit(" the "), F.lit(" a ")).alias("variant"))
-
-
 @operator("SELECT sha256(html) AS file_hash, count(*) AS files, sum(strlen(html))::BIGINT AS bytes FROM pages GROUP BY 1")
 def s5_s15_storage_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").groupBy(F.sha2("html", 256).alias("file_hash")).agg(F.count(F.lit(1)).alias("files"), F.sum(F.octet_length("html")).alias("bytes"))

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from doclattice.functions import ids
 from doclattice.functions import text as T
 from doclattice.operators import chunking, structure
-from doclattice.llm.common import ARROW_BYTES
 from doclattice.plans.base import LINES, NUMBERED, SECTIONS, operator
 from doclattice.sources.tables import lines, numbered_sections, sections, table
 
@@ -128,26 +127,19 @@ def p13_p22_junk_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @operator(
-    r"""SELECT doc_id, regexp_replace(trim(regexp_replace(left(text, 300), '\s+', ' ', 'g')), '[\x00-\x09\x0B-\x1F]', '', 'g') AS clean,
+    r"""SELECT doc_id, regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '[\x00-\x09\x0B-\x1F]', '', 'g') AS clean,
       CASE WHEN length(text) > 60 THEN regexp_replace(left(text, 60), ' [^ ]*$', '') || '...' ELSE text END AS cut,
-      length(text) // 4 AS tokens, left(regexp_replace(left(text, 150), '[^A-Za-z0-9_\-.]', '_', 'g'), 100) AS name,
+      length(text) // 4 AS tokens, left(regexp_replace(text, '[^A-Za-z0-9_\-.]', '_', 'g'), 100) AS name,
       len(regexp_extract_all(text, '\S+')) AS n_words, md5(text) AS md5, sha256(text) AS sha256, left(text, 500) AS preview FROM documents"""
 )
 def f1_f16_text_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("text")
     return table(spark, sf_dir, "documents").select(
-        "doc_id", T.strip_controls(F.left(t, F.lit(300))).alias("clean"), T.cut_at_word(t, 60).alias("cut"), T.token_estimate(t).alias("tokens"), T.safe_name(F.left(t, F.lit(150))).alias("name"),
+        "doc_id", T.strip_controls(t).alias("clean"), T.cut_at_word(t, 60).alias("cut"), T.token_estimate(t).alias("tokens"), T.safe_name(t).alias("name"),
         F.size(T.words(t)).alias("n_words"), F.md5("text").alias("md5"), F.sha2("text", 256).alias("sha256"), F.left(t, F.lit(500)).alias("preview"),
     )
 
 
-@operator(
-    r"""SELECT doc_id, regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '[\x00-\x09\x0B-\x1F]', '', 'g') AS clean, left(regexp_replace(text, '[^A-Za-z0-9_\-.]', '_', 'g'), 100) AS name FROM documents"""
-)
-def f1_f16_text_functions_whole_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", T.strip_controls(F.col("text")).alias("clean"), T.safe_name(F.col("text")).alias("name"))
-
-
 @operator(
     r"""WITH s AS (SELECT doc_id, list_distinct(list_filter(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i+1] || ' ' || w[i+2]) ELSE [] END, lambda p: length(p) > 10)) AS p
       FROM (SELECT doc_id, regexp_extract_all(lower(replace(text, 'ß', 'ss')), '\S+') AS w FROM documents))
@@ -211,16 +203,12 @@ def t19_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sections(spark, sf_dir).select("doc_id", "section_no", F.array_join(T.tags(F.col("content"), "table"), ",").alias("tags"))
 
 
-MATRIX = "m AS (SELECT doc_id, list_transform(list_filter(string_split(text, chr(10)), lambda x: true), lambda x: string_split(left(x, 120), ' ')) AS m FROM documents)"
-WHOLE_MATRIX = MATRIX.replace("left(x, 120)", "x")
-VALID = """s AS (SELECT doc_id, m, list_transform(m, lambda r: len(r)) AS sizes, list_filter(flatten(m), lambda c: trim(c) <> '') AS cells FROM m)
-    SELECT doc_id, len(m)::INT AS n_rows, (len(m) >= 2 AND list_max(sizes) - list_min(sizes) <= 0.4 * list_max(sizes) AND list_sum(sizes) >= 2 * len(m) AND len(cells) >= 0.25 * list_sum(sizes)
-      AND len(cells) >= 4 AND list_sum(list_transform(cells, lambda c: length(c))) <= 150 * len(cells)) AS valid FROM s"""
+MATRIX = "m AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: string_split(x, ' ')) AS m FROM documents)"
 
 
-def valid_tables(spark: SparkSession, sf_dir: str, read) -> DataFrame:
-    m = F.transform(F.split("text", "\n"), lambda x: F.split(read(x), " "))
-    return table(spark, sf_dir, "documents").select("doc_id", m.alias("m")).select("doc_id", F.size("m").alias("n_rows"), chunking.valid_matrix(F.col("m")).alias("valid"))
+def matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, m: a text's lines as rows of a table, its words as cells."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.transform(F.split("text", "\n"), lambda x: F.split(x, " ")).alias("m"))
 
 
 @operator(
@@ -229,30 +217,42 @@ def valid_tables(spark: SparkSession, sf_dir: str, read) -> DataFrame:
       AND len(cells) >= 4 AND list_sum(list_transform(cells, lambda c: length(c))) <= 150 * len(cells)) AS valid FROM s"""
 )
 def p17_valid_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return valid_tables(spark, sf_dir, lambda x: F.left(x, F.lit(120)))
-
-
-@operator(f"WITH {WHOLE_MATRIX}, {VALID}")
-def p17_valid_tables_whole_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return valid_tables(spark, sf_dir, lambda x: x)
+    return matrices(spark, sf_dir).select("doc_id", F.size("m").alias("n_rows"), chunking.valid_matrix(F.col("m")).alias("valid"))
 
 
 @operator()
 def t3_t5_table_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = F.transform(F.split("text", "\n"), lambda x: F.split(x, " "))
-    # Rows padded to the longest line of a text take many times its bytes, so batches are bounded by bytes.
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
-    rows = table(spark, sf_dir, "documents").select("doc_id", chunking.trim_matrix(m).alias("m"))
-    return rows.select("doc_id", F.posexplode(chunking.table_chunks("m")).alias("chunk_index", "chunk")).select("doc_id", "chunk_index", F.left("chunk", F.lit(500)).alias("text_preview"), F.length("chunk").alias("text_length"))
+    rows = matrices(spark, sf_dir).select("doc_id", F.posexplode(chunking.table_chunks(F.col("m"))).alias("chunk_index", "chunk"))
+    return rows.select("doc_id", "chunk_index", F.left("chunk", F.lit(500)).alias("text_preview"), F.length("chunk").alias("text_length"))
 
 
 @operator()
 def t4_s9_s10_csv_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = table(spark, sf_dir, "part").withColumn("k", F.pmod("p_partkey", F.lit(40)))
-    row = F.concat_ws(",", "p_partkey", "p_name", "p_brand", F.col("p_size").cast("string"))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", row.alias("r")))), lambda x: x["r"]), "\n")
-    csv = parts.groupBy("k").agg(F.concat(F.lit("key,name,brand,size\n"), body).alias("csv"))
-    return csv.select("k", F.posexplode(chunking.csv_chunks("csv")).alias("chunk_index", "chunk"))
+    """The lines of an order as comma-separated text, in chunks."""
+    row = F.concat_ws(",", "l_linenumber", "l_partkey", F.when(F.col("l_linenumber") % 2 == 1, F.col("l_suppkey").cast("string")).otherwise(F.lit("")), F.col("l_quantity").cast("int"))
+    lines_of = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(row)).alias("r"))
+    csv = lines_of.select("l_orderkey", F.concat(F.lit("line,part,supplier,quantity\n"), F.array_join("r", "\n")).alias("csv"))
+    return csv.select("l_orderkey", F.posexplode(chunking.record_chunks(F.col("csv"), 100)).alias("chunk_index", "chunk"))
+
+
+@operator(
+    r"""WITH t AS (SELECT doc_id, regexp_replace(string_split(text, chr(10))[1] || ' Page 1 of 2', '\s*[Pp]age\s+[0-9]+\s+of\s+[0-9]+\s*$', '') AS t FROM documents),
+    s AS (SELECT doc_id, CASE WHEN regexp_extract(t, '^(.+?[.!?])(?:\s|$)', 1) <> '' THEN regexp_extract(t, '^(.+?[.!?])(?:\s|$)', 1) ELSE t END AS t FROM t),
+    h AS (SELECT doc_id, t, left(t, 77) AS h FROM s), c AS (SELECT doc_id, t, CASE WHEN contains(h, ' ') AND length(h) - strpos(reverse(h), ' ') > 40 THEN substr(h, 1, length(h) - strpos(reverse(h), ' ')) ELSE h END AS h FROM h)
+    SELECT doc_id, regexp_replace(CASE WHEN length(t) > 80 THEN regexp_replace(h, '[.,;:]+$', '') || '...' ELSE t END, '^\s+|\s+$', '', 'g') AS title FROM c"""
+)
+def f7_short_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first line of each document as a title."""
+    return table(spark, sf_dir, "documents").select("doc_id", T.short_title(F.concat(F.split("text", "\n")[0], F.lit(" Page 1 of 2"))).alias("title"))
+
+
+@operator(
+    f"""WITH {LINES}, p AS (SELECT DISTINCT doc_id, page, (page - 1) // 50 AS batch FROM lines) SELECT doc_id, batch::INT AS batch, min(page) AS first_page, max(page) AS last_page, count(*) AS pages FROM p GROUP BY doc_id, batch"""
+)
+def s1_st3_page_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of a document by fifty. No state is carried from one batch to the next: windows run over the whole document."""
+    pages = lines(spark, sf_dir).select("doc_id", "page").distinct().withColumn("batch", F.floor((F.col("page") - 1) / 50).cast("int"))
+    return pages.groupBy("doc_id", "batch").agg(F.min("page").alias("first_page"), F.max("page").alias("last_page"), F.count(F.lit(1)).alias("pages"))
 
 
 @operator(

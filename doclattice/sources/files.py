@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +17,11 @@ EVALUATION = """question string, answer struct<answer_text: string, citations: a
   figures: array<struct<url: string, page: int>>, tables: array<struct<url: string, page: int>>>, expected_type struct<primary_type: string, expected_tools: array<string>>"""
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder's name below the shared folder that the session names; the warehouse if it names none."""
+    return f"{spark.conf.get('spark.checkpoint.dir', None) or spark.conf.get('spark.sql.warehouse.dir')}/scratch-{uuid.uuid4().hex}"
+
+
 def binary_files(spark: SparkSession, path: str) -> DataFrame:
     """path, length, content and the content's hash."""
     return spark.read.format("binaryFile").load(path).select("path", "length", "content", F.sha2("content", 256).alias("file_hash"))
@@ -25,14 +33,21 @@ def uploads(rows: DataFrame) -> DataFrame:
 
 
 def dictionary(spark: SparkSession, path: str) -> DataFrame:
-    """keyword, code of a dictionary file; a file that isn't there is an error."""
-    d = spark.read.schema(DICTIONARY).json(path, multiLine=True).select(F.explode("systems").alias("key", "s"))
+    """keyword, code of a dictionary file; a file that isn't there is an empty dictionary."""
+    try:
+        d = spark.read.schema(DICTIONARY).json(path, multiLine=True)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        d = spark.createDataFrame([], DICTIONARY)
+    d = d.select(F.explode("systems").alias("key", "s"))
     words = F.concat(F.coalesce("s.keywords", F.array()), F.coalesce("s.aliases", F.array()), F.array("s.canonical"))
     return d.select(F.explode(F.transform(F.filter(words, lambda w: w.isNotNull()), F.lower)).alias("keyword"), F.coalesce("s.code", F.concat(F.lit("sys_"), "key")).alias("code")).groupBy("keyword").agg(F.max("code").alias("code"))
 
 
-def evaluation(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(EVALUATION).json(path, multiLine=True)
+def evaluation(spark: SparkSession, path: str, whole: bool = True) -> DataFrame:
+    """Questions with expected answers. whole: a file is one JSON array; else a line holds one question."""
+    return spark.read.schema(EVALUATION).json(path, multiLine=whole)
 
 
 def write_results(rows: DataFrame, path: str) -> None:

@@ -19,9 +19,23 @@ def ingest(spark: SparkSession, source: str, target: str, checkpoint: str):
     rows = page_stream(spark, source).select(
         "path", F.size(F.split(F.decode("content", "utf-8"), "\n")).alias("n_lines"), F.sha2("content", 256).alias("file_hash")
     )
-    return rows.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return append_new(rows, target, checkpoint)
 
 
 def windowed_counts(events: DataFrame, at: str, by: str, size: str, late: str) -> DataFrame:
     """Counts by tumbling window, with late rows let in up to the watermark."""
     return events.withWatermark(at, late).groupBy(F.window(at, size), by).agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("start"), by, "n")
+
+
+def table_stream(spark: SparkSession, folder: str, name: str, schema) -> DataFrame:
+    """A Parquet table of a folder, one file or a folder of files, as a stream of its files."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+    reader = spark.readStream.schema(schema)
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
+        return reader.parquet(f"{folder}/{name}")
+    return reader.option("pathGlobFilter", name).parquet(folder)
+
+
+def append_new(rows: DataFrame, target: str, checkpoint: str):
+    """Appends what a stream has not delivered yet, as Parquet; the checkpoint remembers what was read."""
+    return rows.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

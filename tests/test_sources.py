@@ -1,9 +1,11 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from doclattice.functions import answers as A
 from doclattice.sources import files
+from doclattice.sources.objects import ObjectStore, ensure_tables
 from doclattice.streaming import ingest
 
 
@@ -53,3 +55,35 @@ def test_captions_and_noise(spark):
     rows = [("Table 3: flows",), ("Fig. 4 pump",), ("<< FIG. S-03 >>",), ("none here",), (" 12 ",), ("Page 4 of 7",)]
     got = spark.createDataFrame(rows, "t string").select(A.caption_kind(F.col("t")).alias("k"), A.is_noise(F.col("t")).alias("n")).collect()
     assert [r.k for r in got] == ["table", "figure", "figure", None, None, None] and [r.n for r in got] == [False] * 4 + [True] * 2
+
+
+def test_missing_dictionary_is_empty(spark, tmp_path):
+    assert files.dictionary(spark, str(tmp_path / "none.json")).collect() == []
+
+
+def test_object_store(spark, tmp_path):
+    store = ObjectStore(spark, str(tmp_path / "store"), wait=0.01)
+    assert store.save("a/b.bin", bytes(range(256))).endswith("/store/a/b.bin")
+    assert store.get("a/b.bin") == bytes(range(256)) and store.exists("a/b.bin")
+    store.save("a/b.bin", b"")
+    assert store.get("a/b.bin") == b"" and store.delete("a/b.bin") and not store.exists("a/b.bin") and not store.delete("a/b.bin")
+    for key in ("", "/etc/passwd", "a/../../b"):
+        with pytest.raises(ValueError):
+            store.get(key)
+
+
+def test_object_store_tries_again(spark, tmp_path):
+    store, calls = ObjectStore(spark, str(tmp_path), wait=0.01), []
+
+    def act():
+        calls.append(1)
+        return store.jvm.java.lang.Integer.parseInt("7" if len(calls) == 3 else "x")
+
+    assert store.again(act) == 7 and len(calls) == 3
+    with pytest.raises(Exception, match="(?i)not exist|FileNotFound"):
+        store.get("nothing here")
+
+
+def test_tables_are_made_where_missing(spark):
+    assert ensure_tables(spark, {"made_here": "a int, b string"}) == ["made_here"] and ensure_tables(spark, {"made_here": "a int, b string"}) == []
+    spark.sql("DROP TABLE made_here")
