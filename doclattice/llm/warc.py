@@ -18,7 +18,7 @@ range, and reads on past the range's end to complete the last one.
 Nulls: a null html is an empty payload. A null page_id never stands for others
 by smallness (it orders last) and is read back as null; among several rows with
 one page_id and payload the first in the order of url is the response, among
-rows alike in all three any one. A null
+rows alike in all three the first that the scan reads. A null
 url is written as an empty target. Empty tables give an empty archive. Extra
 columns are ignored.
 """
@@ -32,7 +32,7 @@ import zlib
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MAGIC = b"\x1f\x8b\x08"
@@ -57,21 +57,13 @@ def digests(pages: DataFrame, least: int = 0) -> DataFrame:
 
     rows = pages.select("page_id", "url", F.coalesce(F.encode("html", "utf-8"), F.lit(b"")).alias("payload"))
     dug = rows.mapInArrow(run, "page_id long, url string, payload binary, payload_digest string")
-    # Which row of each digest is first: from narrow rows, aggregated before the shuffle.
-    place = F.struct(F.col("page_id").isNull().alias("n"), F.col("page_id").alias("p"), F.coalesce("url", F.lit("")).alias("u"))
+    # Which row of each digest is first: from narrow rows, aggregated before the shuffle. The last tie is the row's number in its scan.
+    dug = dug.withColumn("place", F.struct(F.col("page_id").isNull().alias("n"), F.col("page_id").alias("p"), F.coalesce("url", F.lit("")).alias("u"), F.monotonically_increasing_id().alias("row")))
     long = F.octet_length("payload") >= least
-    alike = dug.where(long).groupBy(F.col("payload_digest").alias("d"), place.alias("place")).agg(F.count(F.lit(1)).alias("k"))
-    first = alike.groupBy("d").agg(F.min(F.struct("place", "k")).alias("f"), F.sum("k").alias("n")).where("n > 1")
-    first = first.select("d", F.col("f.place").alias("first"), F.col("f.k").alias("k")).checkpoint()
-    count, most = first.agg(F.count(F.lit(1)), F.max("k")).first()
-    joined = dug.join(F.broadcast(first) if count <= BROADCAST_DIGESTS else first, (F.col("payload_digest") == F.col("d")) & long, "left").withColumn("place", place)
-    # Of repeated rows (one page_id, url and payload) that come first, one is the response.
-    repeated = F.coalesce((F.col("k") > 1) & (F.col("place") == F.col("first")), F.lit(False))
-    numbered = joined.withColumn("number", F.lit(1))
-    if (most or 0) > 1:
-        number = F.row_number().over(Window.partitionBy("payload_digest").orderBy(F.lit(0)))
-        numbered = numbered.where(~repeated).unionByName(joined.where(repeated).withColumn("number", number))
-    revisit = F.col("d").isNotNull() & ((F.col("place") != F.col("first")) | (F.col("number") > 1))
+    first = dug.where(long).groupBy(F.col("payload_digest").alias("d")).agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("d", "first").checkpoint()
+    few = first.count() <= BROADCAST_DIGESTS
+    numbered = dug.join(F.broadcast(first) if few else first, (F.col("payload_digest") == F.col("d")) & long, "left")
+    revisit = F.col("d").isNotNull() & (F.col("place") != F.col("first"))
     return numbered.select(
         "page_id",
         "url",
