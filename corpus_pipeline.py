@@ -54,7 +54,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     repeated = marked.select("doc_id", "digest").join(winners, first).groupBy("digest").count().where("count > 1").limit(1).count()
     kept = marked.join(winners, first)
     if repeated:
-        kept = kept.withColumn("k", F.row_number().over(Window.partitionBy("digest").orderBy(F.lit(0)))).where("k = 1")
+        kept = kept.dropDuplicates(["digest"])  # combined before they are shuffled, however many there are
     return kept.select(*COLUMNS).unionByName(marked.where("digest IS NULL").select(*COLUMNS))
 
 
