@@ -60,7 +60,7 @@ def routed(response: Column, question: Column, has_entities: Column) -> Column:
         F.when(intent.isin("schema", "mixed") | T.any_of(low, VISUAL_WORDS), F.lit("figures")),
         F.when(has_entities, F.lit("entities")),
     )
-    return F.struct(intent.alias("intent"), F.array_sort(F.array_union(chosen, F.filter(forced, lambda t: t.isNotNull()))).alias("tools"))
+    return F.struct(intent.alias("intent"), F.sort_array(F.array_union(chosen, F.filter(forced, lambda t: t.isNotNull()))).alias("tools"))
 
 
 def corrected_intent(intent: Column, tables: Column, figures: Column) -> Column:
@@ -106,7 +106,7 @@ def rephrased(question: Column) -> Column:
 def query_words(question: Column) -> Column:
     """The set of words of three letters or more that are no stop words, sorted."""
     found = F.regexp_extract_all(F.lower(question), F.lit(r"\b[a-z0-9_]{3,}\b"), F.lit(0))
-    return F.array_sort(F.array_except(F.array_distinct(found), F.array(*map(F.lit, QUERY_STOP_WORDS))))
+    return F.sort_array(F.array_except(F.array_distinct(found), F.array(*map(F.lit, QUERY_STOP_WORDS))))
 
 
 def is_noise(text: Column) -> Column:

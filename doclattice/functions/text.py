@@ -163,19 +163,26 @@ def tags(text: Column, kind: str) -> Column:
     """Sorted tags by keyword for a figure's summary or a table's content."""
     low, rules = F.lower(text), (FIGURE_TAGS if kind == "figure" else TABLE_TAGS) | COMMON_TAGS
     found = F.array(F.lit("diagram" if kind == "figure" else "table"), *(F.when(any_of(low, ws), F.lit(tag)) for tag, ws in rules.items()))
-    return F.array_sort(F.array_distinct(F.filter(found, lambda t: t.isNotNull())))
+    return F.sort_array(F.array_distinct(F.filter(found, lambda t: t.isNotNull())))
 
 
 def shingles(text: Column, size: int = 3, longer_than: int = 10) -> Column:
     """The set of phrases of so many lower-case words that are longer than so many characters."""
-    w = words(F.lower(text))
-    phrases = F.transform(F.array(w), lambda ws: F.when(
-        F.size(ws) >= size,
-        F.transform(F.sequence(F.lit(1), F.size(ws) - size + 1), lambda i: F.array_join(F.slice(ws, i, F.lit(size)), " ")),
-    ).otherwise(F.array().cast("array<string>")))[0]
+    joined = lambda ws: F.transform(ws, lambda w, i: F.concat(w, *(x for k in range(1, size) for x in (F.lit(" "), F.get(ws, i + k)))))
+    phrases = F.transform(F.array(words(F.lower(text))), joined)[0]  # null where fewer words are left
     return F.array_distinct(F.filter(phrases, lambda p: F.length(p) > longer_than))
 
 
+def shingle_hashes(text: Column, size: int = 3, longer_than: int = 10) -> Column:
+    """64-bit hashes of the phrases that shingles() gives, without making them; a set."""
+    def hashed(ws: Column) -> Column:
+        parts = lambda w, i: [w, *(F.get(ws, i + k) for k in range(1, size))]
+        long = lambda ps: sum((F.length(p) for p in ps[1:]), F.length(ps[0])) + (size - 1) > longer_than  # noqa: E731, null where fewer words are left
+        return F.transform(ws, lambda w, i: F.when(long(parts(w, i)), F.xxhash64(*parts(w, i))))
+
+    return F.array_distinct(F.filter(F.transform(F.array(words(F.lower(text))), hashed)[0], lambda h: h.isNotNull()))
+
+
 def human_size(n: Column) -> Column:
     """Bytes as B, KB, MB, GB or TB with one digit, ties to even."""
     out = None

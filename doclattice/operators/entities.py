@@ -24,7 +24,7 @@ TAG = r"\b([A-Z]{1,4})[-–]([0-9]{2,4}[A-Z]?)\b"
 
 def equipment_tags(text: Column) -> Column:
     """Distinct tags as array<struct<tag, code, kind>>, sorted."""
-    found = F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(TAG), F.lit(0))))
+    found = F.sort_array(F.array_distinct(F.regexp_extract_all(text, F.lit(TAG), F.lit(0))))
     kinds = F.create_map(*(F.lit(x) for kv in PREFIX_TYPES.items() for x in kv))
     prefix = lambda t: F.regexp_extract(t, TAG, 1)
     return F.transform(

@@ -79,7 +79,7 @@ def nearest_caption(figures: DataFrame, captions: DataFrame, most: float = 100.0
 def neighbours(rows: DataFrame, by: list[str], at: str, value: str, reach: int = 1) -> DataFrame:
     """The values of rows within so many steps of ``at`` (by value, so gaps count), in order."""
     over = Window.partitionBy(*by).orderBy(at).rangeBetween(-reach, reach)
-    near = F.transform(F.array_sort(F.collect_list(F.struct(at, value)).over(over)), lambda x: x[value])
+    near = F.transform(F.sort_array(F.collect_list(F.struct(at, value)).over(over)), lambda x: x[value])
     return rows.withColumn("around", near)
 
 
@@ -88,5 +88,5 @@ def trim_overlaps(chunks: DataFrame, by: list[str], start: str, end: str, text:
     over = Window.partitionBy(*by).orderBy(start, end).rowsBetween(Window.unboundedPreceding, -1)
     reached = F.coalesce(F.max(end).over(over), F.lit(0))
     cut = chunks.withColumn("new", F.substring(text, F.greatest(reached - F.col(start), F.lit(0)) + 1, F.length(text)))
-    parts = F.transform(F.array_sort(F.collect_list(F.struct(start, end, "new"))), lambda x: x["new"])
+    parts = F.transform(F.sort_array(F.collect_list(F.struct(start, end, "new"))), lambda x: x["new"])
     return cut.groupBy(*by).agg(F.array_join(parts, "").alias("text"))

@@ -70,22 +70,23 @@ def top_by_blocks(sources: DataFrame, targets: DataFrame, by: str, source: str,
     Sizes of groups are sent where they exceed a block, which a share of 1 / block of the rows at most can.
     """
 
-    def dealt(rows, key):
+    def sizes(rows):
         many = rows.groupBy(F.col(by).alias("of")).agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > block).select("of", F.ceil(F.col("m") / block).cast("int").alias("blocks"))
-        joined = rows.join(sent(many), F.col(by).eqNullSafe(F.col("of")), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-        return joined.withColumn("block", F.pmod(F.xxhash64(key), F.col("blocks")).cast("int")).drop("of"), many
+        return sent(many.persist(StorageLevel.MEMORY_AND_DISK))
 
-    s, many_s = dealt(sources, source)
-    t, many_t = dealt(targets, target)
+    def blocks_of(rows, many, name):
+        joined = rows.join(many.withColumnRenamed("blocks", name), F.col(by).eqNullSafe(F.col("of")), "left").drop("of")
+        return joined.withColumn(name, F.coalesce(name, F.lit(1)))
 
-    def spread(rows, many, mine, other):
-        n = many.select(F.col("of"), F.col("blocks").alias("others"))
-        joined = rows.join(sent(n), F.col(by).eqNullSafe(F.col("of")), "left").withColumn("others", F.coalesce("others", F.lit(1)))
-        return joined.withColumnRenamed("block", mine).withColumn(other, F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
+    many_s, many_t = sizes(sources), sizes(targets)
+
+    def spread(rows, key, mine, own, other, others):
+        both = blocks_of(blocks_of(rows, own, "own"), others, "others")
+        return both.withColumn(mine, F.pmod(F.xxhash64(key), F.col("own")).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
 
     null = lambda c, like: F.lit(None).cast(like.schema[c].dataType).alias(c)
-    left = spread(s, many_t, "i", "j").select(by, "i", "j", source, unlike, null(target, targets), F.col("q").alias("v"))
-    right = spread(t, many_s, "j", "i").select(by, "i", "j", null(source, sources), unlike, target, F.col("p").alias("v"))
+    left = spread(sources, source, "i", many_s, "j", many_t).select(by, "i", "j", source, unlike, null(target, targets), F.col("q").alias("v"))
+    right = spread(targets, target, "j", many_t, "i", many_s).select(by, "i", "j", null(source, sources), unlike, target, F.col("p").alias("v"))
     out = T_.StructType([sources.schema[by], sources.schema[source], T_.StructField(f"of_{unlike}", targets.schema[unlike].dataType), targets.schema[target], T_.StructField("score", T_.DoubleType())])
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
@@ -145,11 +146,11 @@ def normalised(rows: DataFrame, most: float = 0.4) -> DataFrame:
 def overlap_scores(answers: DataFrame, contexts: DataFrame, answer_key: str, context_key: str) -> DataFrame:
     """For each answer and context the share of the answer's phrases that the context has, where there are any.
 
-    By an inverted join on phrases: pairs without a common phrase are never made. The answers' phrases go to the contexts if they are few enough to be
+    By an inverted join on 64-bit hashes of phrases: pairs without a common phrase are never made. The answers' phrases go to the contexts if they are few enough to be
     sent, so that of the contexts' phrases only common ones are shuffled.
     """
-    a = answers.select(answer_key, F.explode(T.shingles(F.col("answer"))).alias("phrase"))
-    c = contexts.select(context_key, F.explode(T.shingles(F.col("context"))).alias("phrase"))
-    sizes = answers.select(answer_key, F.size(T.shingles(F.col("answer"))).alias("phrases"))
+    a = answers.select(answer_key, F.explode(T.shingle_hashes(F.col("answer"))).alias("phrase"))
+    c = contexts.select(context_key, F.explode(T.shingle_hashes(F.col("context"))).alias("phrase"))
+    sizes = answers.select(answer_key, F.size(T.shingle_hashes(F.col("answer"))).alias("phrases"))
     common = c.join(sent(a), "phrase").groupBy(answer_key, context_key).agg(F.count(F.lit(1)).alias("common"))
     return common.join(sent(sizes), answer_key).withColumn("overlap", F.col("common") / F.col("phrases"))

@@ -17,7 +17,7 @@ def merge_small(sections: DataFrame, order: str, least: int = 200) -> DataFrame:
     stripped = sections.withColumn("content", F.regexp_replace("content", r"^\s+|\s+$", "")).where("content <> ''")
     over = Window.partitionBy("doc_id").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     island = F.coalesce(F.sum((F.length("content") >= least).cast("int")).over(over), F.lit(0))
-    parts = F.transform(F.array_sort(F.collect_list(F.struct(order, "content"))), lambda x: x["content"])
+    parts = F.transform(F.sort_array(F.collect_list(F.struct(order, "content"))), lambda x: x["content"])
     return (
         stripped.withColumn("island", island)
         .groupBy("doc_id", "island")

@@ -79,7 +79,7 @@ def j2_p1_optional_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 def j4_j5_a4_a16_collected_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     li, p, o = (table(spark, sf_dir, t) for t in ("lineitem", "part", "orders"))
     joined = o.where("o_orderstatus = 'P'").join(li, F.col("o_orderkey") == F.col("l_orderkey"), "left").join(p, F.col("l_partkey") == F.col("p_partkey"), "left")
-    names = F.array_sort(F.collect_list("p_name"))
+    names = F.sort_array(F.collect_list("p_name"))
     return joined.groupBy("o_orderkey").agg(F.count("l_orderkey").alias("n_chunks"), F.when(F.size(names) > 0, F.array_join(names, "; ")).alias("chunks"))
 
 

@@ -119,7 +119,7 @@ def t13_t14_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def t16_fallback_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     ls = lines(spark, sf_dir)
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n")
+    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n")
     pages = ls.groupBy("doc_id", "page").agg(F.length(body).alias("chars")).where("chars > 50")
     headed = ls.where("line_no % 7 = 0 AND line_no > 0").select("doc_id", "page").distinct()
     return pages.join(headed, ["doc_id", "page"], "left_anti")
@@ -178,7 +178,7 @@ def t25_figures_with_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = boxes(spark, sf_dir)
     figures = b.where("kind = 'figure'")
     held = graph.link_by_place(figures, b.where("kind = 'table'")).where("relation = 'inside'")
-    ids = held.groupBy("doc_id", "page", "figure_id").agg(F.array_join(F.array_sort(F.collect_list("table_id")), ",").alias("table_ids"))
+    ids = held.groupBy("doc_id", "page", "figure_id").agg(F.array_join(F.sort_array(F.collect_list("table_id")), ",").alias("table_ids"))
     all_figures = figures.select("doc_id", "page", F.col("box_id").alias("figure_id"))
     return all_figures.join(ids, ["doc_id", "page", "figure_id"], "left").select(
         "doc_id", "page", "figure_id", F.coalesce("table_ids", F.lit("")).alias("table_ids"), F.when(F.col("table_ids").isNotNull(), "hybrid").otherwise("figure").alias("kind")
@@ -213,7 +213,7 @@ def s17_s19_s24_vector_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def p6_v7_s6_contains_any(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = table(spark, sf_dir, "documents").select("doc_id", F.concat_ws(" , ", "source", "lang", F.lit("all"), F.lit("")).alias("tags"))
-    d = files.uploads(raw).withColumn("tags", F.array_sort(F.array_distinct("tags")))
+    d = files.uploads(raw).withColumn("tags", F.sort_array(F.array_distinct("tags")))
     return d.where(F.arrays_overlap("tags", F.array(F.lit("fr"), F.lit("src3")))).select("doc_id", F.array_join("tags", ",").alias("tags"))
 
 
@@ -226,7 +226,7 @@ def p23_strict_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Systems, and components of four parts or more; if none is left, all."""
     q = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("q")).distinct()
     lit = lambda *x: F.array(*map(F.lit, x))
-    codes = q.withColumn("codes", F.array_sort(F.when(F.col("q") % 3 == 0, lit("comp_a_b", "eq_x")).otherwise(lit("sys_fuel", "comp_pump_main_oil", "comp_x"))))
+    codes = q.withColumn("codes", F.sort_array(F.when(F.col("q") % 3 == 0, lit("comp_a_b", "eq_x")).otherwise(lit("sys_fuel", "comp_pump_main_oil", "comp_x"))))
     strict = F.filter("codes", lambda c: F.startswith(c, F.lit("sys_")) | (F.startswith(c, F.lit("comp_")) & (F.size(F.split(c, "_")) >= 4)))
     return codes.select("q", F.array_join(F.when(F.size(strict) == 0, F.col("codes")).otherwise(strict), ",").alias("codes"))
 

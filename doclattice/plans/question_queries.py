@@ -282,7 +282,7 @@ def r20_a16_context_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = best_first(hits(spark, sf_dir), "q", "kind", name="i")
     label = F.when(F.col("kind") == "text", "T").when(F.col("kind") == "table", "TABLE").otherwise("DIAGRAM")
     part = F.struct("kind", "i", F.concat(F.lit("["), label, F.col("i"), F.lit("] "), F.col("hit_id")).alias("t"))
-    return c.groupBy("q").agg(F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda x: x["t"]), "\n").alias("context"))
+    return c.groupBy("q").agg(F.array_join(F.transform(F.sort_array(F.collect_list(part)), lambda x: x["t"]), "\n").alias("context"))
 
 
 @operator(

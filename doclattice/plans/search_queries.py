@@ -176,7 +176,7 @@ s AS (SELECT q, coalesce(e0, []) AS e, coalesce(f0, []) AS f, len(list_intersect
 def event_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     return e.groupBy(F.col("user_id").alias("q")).agg(
-        F.array_sort(F.collect_set(F.when(F.col("event_id") % 3 != 0, F.col("event_type")))).alias("e"), F.array_sort(F.collect_set(F.when(F.col("event_id") % 4 == 1, F.col("event_type")))).alias("f")
+        F.sort_array(F.collect_set(F.when(F.col("event_id") % 3 != 0, F.col("event_type")))).alias("e"), F.sort_array(F.collect_set(F.when(F.col("event_id") % 4 == 1, F.col("event_type")))).alias("f")
     )
 
 
@@ -255,7 +255,7 @@ def st1_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @operator("SELECT conv_id, count(*) FILTER (role = 'user') AS users, bool_or(length(text) > 900) AS expanded, string_agg(DISTINCT role, ',' ORDER BY role) AS roles FROM conversations GROUP BY conv_id")
 def r25_u7_answer_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count_if(F.col("role") == "user").alias("users"), F.bool_or(F.length("text") > 900).alias("expanded"), F.array_join(F.array_sort(F.collect_set("role")), ",").alias("roles"))
+    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count_if(F.col("role") == "user").alias("users"), F.bool_or(F.length("text") > 900).alias("expanded"), F.array_join(F.sort_array(F.collect_set("role")), ",").alias("roles"))
 
 
 @operator("SELECT sha256(html) AS file_hash, count(*) AS files, sum(strlen(html))::BIGINT AS bytes FROM pages GROUP BY 1")

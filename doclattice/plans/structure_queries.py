@@ -147,7 +147,7 @@ def f1_f16_text_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def f22_phrase_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = T.shingles(F.replace("text", F.lit("ß"), F.lit("ss")))
-    return table(spark, sf_dir, "documents").select("doc_id", p.alias("p")).select("doc_id", F.size("p").alias("phrases"), F.md5(F.array_join(F.array_sort("p"), "|")).alias("digest"))
+    return table(spark, sf_dir, "documents").select("doc_id", p.alias("p")).select("doc_id", F.size("p").alias("phrases"), F.md5(F.array_join(F.sort_array("p"), "|")).alias("digest"))
 
 
 @operator(
@@ -230,7 +230,7 @@ def t3_t5_table_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def t4_s9_s10_csv_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines of an order as comma-separated text, in chunks."""
     row = F.concat_ws(",", "l_linenumber", "l_partkey", F.when(F.col("l_linenumber") % 2 == 1, F.col("l_suppkey").cast("string")).otherwise(F.lit("")), F.col("l_quantity").cast("int"))
-    lines_of = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(row)).alias("r"))
+    lines_of = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(row)).alias("r"))
     csv = lines_of.select("l_orderkey", F.concat(F.lit("line,part,supplier,quantity\n"), F.array_join("r", "\n")).alias("csv"))
     return csv.select("l_orderkey", F.posexplode(chunking.record_chunks(F.col("csv"), 100)).alias("chunk_index", "chunk"))
 

@@ -44,7 +44,7 @@ def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gather_sections(rows: DataFrame) -> DataFrame:
-    body = F.transform(F.array_sort(F.collect_list(F.when(~F.col("header"), F.struct("line_no", "line")))), lambda x: x["line"])
+    body = F.transform(F.sort_array(F.collect_list(F.when(~F.col("header"), F.struct("line_no", "line")))), lambda x: x["line"])
     grouped = rows.groupBy("doc_id", "source", "section_no").agg(
         F.max(F.when(F.col("header"), F.col("line"))).alias("title"),
         F.min("page").alias("page_start"),
