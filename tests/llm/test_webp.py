@@ -123,3 +123,64 @@ def test_columns_and_query(spark, sf_dir):
         payload = data + b"\0" * (webp.payload_size(len(data)) - len(data))
         assert (r.n_bytes, r.payload_bytes, r.tail_crc32) == (len(data), len(payload), zlib.crc32(payload[-64:]))
         assert r.payload_sha256 == hashlib.sha256(payload).hexdigest()
+
+
+def by_hand(mode, element, pixel, width=2, height=2):
+    """A file put together bit by bit from the format's text: predictor, then cross-colour, one block each, and one stored pixel everywhere, so that all codes have one symbol."""
+    bits = []
+
+    def put(value, n):
+        bits.extend(value >> k & 1 for k in range(n))
+
+    def one_symbol(symbol):
+        put(1, 1)  # simple
+        put(0, 1)  # one symbol
+        put(1, 1)  # of eight bits
+        put(symbol, 8)
+
+    def codes(alpha, red, green, blue):
+        for symbol in (green, red, blue, alpha, 0):
+            one_symbol(symbol)
+
+    put(0x2F, 8)
+    put(width - 1, 14)
+    put(height - 1, 14)
+    put(1, 1)
+    put(0, 3)
+    for kind, data in ((0, (255, 0, mode, 0)), (1, (255, *element))):
+        put(1, 1)
+        put(kind, 2)
+        put(0, 3)  # blocks of 4 x 4
+        put(0, 1)  # no cache
+        codes(*data)
+    put(0, 1)  # no more transforms
+    put(0, 1)  # no cache
+    put(0, 1)  # one group of codes
+    codes(*pixel)
+    bits += [0] * (-len(bits) % 8)
+    data = bytes(sum(b << k for k, b in enumerate(bits[i : i + 8])) for i in range(0, len(bits), 8))
+    data += b"\0" * (len(data) & 1)
+    chunk = b"VP8L" + len(data).to_bytes(4, "little") + data
+    return b"RIFF" + (len(chunk) + 4).to_bytes(4, "little") + b"WEBP" + chunk
+
+
+@pytest.mark.parametrize("mode", [0, 1, 2, 7, 11, 12, 13])
+@pytest.mark.parametrize("element, pixel", [((0, 0, 0), (3, 20, 40, 60)), ((32, 64, 16), (3, 20, 40, 60)), ((200, 250, 130), (0, 200, 250, 7))])
+def test_predictor_and_cross_colour_by_hand(mode, element, pixel):
+    signed = lambda v: v - 256 if v > 127 else v
+    red_to_blue, green_to_blue, green_to_red = map(signed, element)
+    a, r, g, b = pixel
+    red = (r + (green_to_red * signed(g) >> 5)) & 255
+    blue = (b + (green_to_blue * signed(g) >> 5) + (red_to_blue * signed(red) >> 5)) & 255
+    rest = (a, red, g, blue)
+    add = lambda x, y: tuple((u + v) & 255 for u, v in zip(x, y))
+    first = add((255, 0, 0, 0), rest)
+    left = top = add(first, rest)  # the first row follows the left pixel, the first column the upper one
+    clamp = lambda v: max(0, min(255, v))
+    average = tuple((x + y) // 2 for x, y in zip(left, top))
+    half = tuple(clamp(m + int((m - t) / 2)) for m, t in zip(average, first))
+    guess = {0: (255, 0, 0, 0), 1: left, 2: top, 7: average, 11: left, 12: tuple(clamp(x + y - z) for x, y, z in zip(left, top, first)), 13: half}[mode]
+    last = add(guess, rest)
+    got = webp.decode(by_hand(mode, element, pixel))
+    want = [[first, left], [top, last]]
+    assert got.tolist() == [[[p[1], p[2], p[3], p[0]] for p in row] for row in want]
