@@ -55,23 +55,31 @@ def as_of(left: DataFrame, right: DataFrame, by: list[str], at: str, value: str)
 
 
 def toc_entries(rows: DataFrame) -> DataFrame:
-    """Entries of a table of contents from its lines: line_no, title, level, page. The first pattern that fits a line decides."""
-    line = T.strip(F.col("line"))
-    dotted = lambda g: F.regexp_extract(line, r"^(.+?)\s*[.…·\-_]{3,}\s*([0-9]+)\s*$", g)
-    spaced = lambda g: F.regexp_extract(line, r"^([0-9]+(?:\.[0-9]+)*)\s+(.+?)\s{2,}([0-9]+)\s*$", g)
-    plain = lambda g: F.regexp_extract(line, r"^(.+?)\s{2,}([0-9]+)\s*$", g)
-    bare = lambda g: F.regexp_extract(line, r"^([0-9]+(?:\.[0-9]+)*)\s+([A-Z\s&]+)$", g)
+    """Entries of a table of contents from its lines: line_no, title, level, page. The first pattern that fits a line decides.
+
+    What the patterns find is taken once for each line, as columns.
+    """
+    part = lambda pattern, g: F.regexp_extract("line", pattern, g)
+    dotted, spaced = r"^(.+?)\s*[.…·\-_]{3,}\s*([0-9]+)\s*$", r"^([0-9]+(?:\.[0-9]+)*)\s+(.+?)\s{2,}([0-9]+)\s*$"
+    plain, bare = r"^(.+?)\s{2,}([0-9]+)\s*$", r"^([0-9]+(?:\.[0-9]+)*)\s+([A-Z\s&]+)$"
+    found = rows.select("doc_id", "line_no", "page", T.strip(F.col("line")).alias("line")).where("length(line) >= 5").select(
+        "doc_id", "line_no", "page",
+        T.strip(part(dotted, 1)).alias("d1"), part(dotted, 2).alias("d2"),
+        part(spaced, 1).alias("s1"), T.strip(part(spaced, 2)).alias("s2"), part(spaced, 3).alias("s3"),
+        part(plain, 1).alias("p1"), part(plain, 2).alias("p2"),
+        part(bare, 1).alias("b1"), T.strip(part(bare, 2)).alias("b2"),
+    )
+    named = found.withColumn("p1", T.strip(F.col("p1"))).withColumn("long", F.length("p1") > 5)
     depth = lambda n: F.length(n) - F.length(F.replace(n, F.lit("."), F.lit(""))) + 1
-    entry = lambda title, level, page: F.struct(title.alias("title"), level.cast("int").alias("level"), page.cast("int").alias("page"))
-    title3 = T.strip(plain(1))
-    ok3 = (F.length(plain(1)) > 5) & ~F.rlike(title3, F.lit(r"^[A-Z0-9]{2,}-[0-9]+\s")) & ~F.rlike(title3, F.lit(r"\([0-9]+\)\s*$")) & (~F.rlike(title3, F.lit("^[0-9]")) | F.rlike(title3, F.lit(r"^[0-9]+\.")))
-    title4 = T.strip(bare(2))
-    ok4 = (F.length(title4) >= 10) & (F.size(T.words(title4)) >= 2)
-    found = (
-        F.when(F.length(line) < 5, None)
-        .when(dotted(2) != "", entry(T.strip(dotted(1)), T.toc_level(T.strip(dotted(1))), dotted(2)))
-        .when(spaced(3) != "", entry(F.concat_ws(" ", spaced(1), T.strip(spaced(2))), depth(spaced(1)), spaced(3)))
-        .when((plain(2) != "") & ok3, entry(title3, T.toc_level(title3), plain(2)))
-        .when((bare(1) != "") & ok4, entry(F.concat_ws(" ", bare(1), title4), depth(bare(1)), F.col("page") + 1))
+    p1, b2 = F.col("p1"), F.col("b2")
+    # Of a line with two blanks before a number at its end: titles that are no codes or captions and do not begin with a bare number.
+    titled = F.col("long") & ~F.rlike(p1, F.lit(r"^[A-Z0-9]{2,}-[0-9]+\s|\([0-9]+\)\s*$|^[0-9](?![0-9]*\.)"))
+    kind = F.when(F.col("d2") != "", 1).when(F.col("s3") != "", 2).when((F.col("p2") != "") & titled, 3).when((F.col("b1") != "") & (F.length(b2) >= 10) & (F.size(T.words(b2)) >= 2), 4)
+    kinds = named.withColumn("kind", kind).where("kind IS NOT NULL")
+    of = lambda a, b, c, d: F.when(F.col("kind") == 1, a).when(F.col("kind") == 2, b).when(F.col("kind") == 3, c).otherwise(d)
+    titles = kinds.withColumn("title", of(F.col("d1"), F.concat_ws(" ", "s1", "s2"), p1, F.concat_ws(" ", "b1", "b2")))
+    return titles.select(
+        "doc_id", "line_no", "title",
+        F.when(F.col("kind").isin(1, 3), T.toc_level(F.col("title"))).otherwise(F.when(F.col("kind") == 2, depth(F.col("s1"))).otherwise(depth(F.col("b1")))).cast("int").alias("level"),
+        of(F.col("d2"), F.col("s3"), F.col("p2"), (F.col("page") + 1).cast("string")).cast("int").alias("toc_page"),
     )
-    return rows.withColumn("e", found).where("e IS NOT NULL").select("doc_id", "line_no", "e.title", "e.level", F.col("e.page").alias("toc_page"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from doclattice.functions import answers as A
 from doclattice.functions import ids
 from doclattice.functions import text as T
-from doclattice.operators import chunking, entities, graph, search
+from doclattice.operators import chunking, entities, graph, search, structure
 from doclattice.operators.small import sent
 from doclattice.plans import registry
 from doclattice.plans.answer_queries import VIEWS, read_only
@@ -229,3 +229,10 @@ def test_only_queries_over_allowed_tables(spark, sf_dir, sql):
 
 def test_offset_is_no_forbidden_word(spark, sf_dir):
     assert read_only(spark, sf_dir, "SELECT n_name AS created_at FROM nation ORDER BY 1 LIMIT 2 OFFSET 1", VIEWS).count() == 2
+
+
+def test_toc_entries_of_odd_lines(spark):
+    lines = ["\tIntro of it\t\t12 ", "5 Things here  7", "5. Things here  7", "FIG-3 x long  7", "ab  7", "1.2\tDeep start   \t9", "3.1 FIRST START NOW", "3.1 FIRST", "Part one....... 4", None]
+    df = spark.createDataFrame([(1, i, 3, x) for i, x in enumerate(lines)], "doc_id int, line_no int, page int, line string")
+    got = {r.line_no: (r.title, r.level, r.toc_page) for r in structure.toc_entries(df).collect()}
+    assert got == {0: ("Intro of it", 2, 12), 1: ("5 Things here", 1, 7), 2: ("5. Things here", 2, 7), 5: ("1.2 Deep start", 2, 9), 6: ("3.1 FIRST START NOW", 2, 4), 8: ("Part one", 1, 4)}
