@@ -129,7 +129,7 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rated AS (SELECT *, (budget - 2 * capped_size) / open_weight AS rate FROM stepped),
     final AS (SELECT rate AS final_rate FROM rated WHERE rate * weight <= 2 * source_size ORDER BY source_size / weight, rank LIMIT 1),
     targets AS (
-      SELECT source, source_size, CASE WHEN source_size = 0 THEN 0.0::DOUBLE
+      SELECT source, source_size, rank, CASE WHEN source_size = 0 THEN 0.0::DOUBLE
         ELSE least(coalesce((SELECT final_rate FROM final) * weight, 2.0::DOUBLE * source_size), 2.0::DOUBLE * source_size) END AS target FROM rated),
     placed AS (
       SELECT d.doc_id, d.size, t.source_size, t.target, t.rank, least(floor(t.target / t.source_size), 2)::BIGINT AS whole,
