@@ -142,3 +142,17 @@ def test_count_column(spark, empty):
     docs = queries.prepare(spark) and spark.createDataFrame(rows, "doc_id long, text string, n_tokens string")
     got = sorted(((r.doc_id, r.n_tokens) for r in bpe.count_column(docs, data).collect()), key=str)
     assert got == sorted(((i, len(lib.encode(t or "", add_special_tokens=False).ids)) for i, t, _ in rows), key=str)
+
+
+def test_special_strings_of_the_file():
+    """Other special strings than those that the files at hand hold."""
+    import json
+
+    for name, make, count in (("byte_bpe_50k.json", bpe.TokenCounter, True), ("word_bpe_49k.json", bpe.WordTokenizer, False)):
+        spec = json.loads(read(name))
+        spec["added_tokens"] = [spec["added_tokens"][0] | {"id": len(spec["model"]["vocab"]) + k, "content": c} for k, c in enumerate(["[SEP]", "[SEP] x", "[§]"])]
+        data = json.dumps(spec)
+        own, lib = make(data.encode()), Tokenizer.from_str(data)
+        for t in ("a [SEP] b", "[SEP] x[§][§] y [SEP]", "[§]", "[SE", "none <|endoftext|> here", " [SEP]  [§]\n"):
+            ids = lib.encode(t, add_special_tokens=False).ids
+            assert own.count(t) == len(ids) if count else np.frombuffer(own.encode(t), "<u4").tolist() == ids, (name, t)

@@ -44,3 +44,10 @@ def test_against_brute_force(spark, most):
 def test_empty(spark):
     queries.prepare(spark)
     assert L.drop_boilerplate(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_small_hosts(spark):
+    """The ratio decides on hosts of any size: a line on both pages of a host of two goes, one on a single page stays."""
+    queries.prepare(spark)
+    rows = [(1, "two", "both\none", 1, "x"), (2, "two", "both\nother", 1, "x"), (3, "single", "alone\nalone", 1, "x")]
+    assert {r.doc_id: r.text for r in L.drop_boilerplate(spark.createDataFrame(rows, SCHEMA)).collect()} == {1: "one", 2: "other", 3: "alone\nalone"}

@@ -66,3 +66,23 @@ def test_query(spark, sf_dir):
 def test_empty_tables(spark):
     docs, labels = spark.createDataFrame([], SCHEMA), spark.createDataFrame([], "doc_id long, quality int")
     assert Q.labelled_rows(docs, labels) == [] and Q.apply_list(docs, []).count() == 0
+
+
+def test_no_cap_on_rules():
+    """As many rules as there are statistics, each for documents of its own."""
+    none = dict.fromkeys(Q.STATS, 0.0)
+    rows = [none | {s: 10.0, "reject": 1} for s in Q.STATS for _ in range(60)] + [none | {"reject": 0} for _ in range(900)]
+    random.Random(3).shuffle(rows)
+    rules = Q.learn_list(rows)
+    assert len(Q.STATS) == 13 and {rule[0].stat for rule in rules} == set(Q.STATS)
+
+
+def test_no_cap_on_conditions():
+    """Six conditions are needed to tell the rejected documents apart."""
+    rng, stats = random.Random(5), Q.STATS[:6]
+    rows = []
+    for _ in range(6000):
+        values = {s: float(rng.random() < 0.75) for s in Q.STATS}
+        rows.append(values | {"reject": int(all(values[s] for s in stats))})
+    rules = Q.learn_list(rows)
+    assert [sorted(c.stat for c in rule) for rule in rules] == [sorted(stats)]

@@ -184,3 +184,14 @@ def test_predictor_and_cross_colour_by_hand(mode, element, pixel):
     got = webp.decode(by_hand(mode, element, pixel))
     want = [[first, left], [top, last]]
     assert got.tolist() == [[[p[1], p[2], p[3], p[0]] for p in row] for row in want]
+
+
+def test_palette_is_decided_by_the_whole_payload():
+    """The same pixels in another order take the same form: what stands first does not decide."""
+    colours = [bytes([i, 255 - i, i // 2, 9]) for i in range(200)]
+    mixed_first, plain_first = b"".join(colours) + colours[0] * 4000, colours[0] * 4000 + b"".join(colours)
+    for data in (mixed_first, plain_first):
+        file = webp.store(data)
+        assert webp.payload_of(webp.decode(file), len(data))[: len(data)] == data
+        bits = int.from_bytes(file[20:40], "little") >> 40
+        assert bits & 7 == 1 | 3 << 1  # a transform, the palette
