@@ -134,7 +134,7 @@ def sorted_by(rows: DataFrame, *order: str, partitions: int | None = None) -> Da
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP, schedules=SCHEDULES) -> DataFrame:
-    """Every document with its source's size and target, positions, times and taken."""
-    sizes = sized(docs)
+    """Every document with its source's size and target, positions, times and taken. Texts are read once: their sizes are kept as narrow rows."""
+    sizes = sized(docs).checkpoint()
     sources = source_targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap)
     return with_taken(offsets(sizes, sources), schedules, cap)
