@@ -65,15 +65,14 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     the one text that they share. Ties of a position are ordered by text digest and doc_id. An empty table gives no rows.
     """
     prepare(spark)
+    # One name for doc_id, source and text, so that dropping repeated rows and joining their places move the texts once.
+    of_source = F.when(F.col("source").isNull(), "").otherwise(F.concat(F.lit("="), F.col("source")))
     marked = docs.select(*COLUMNS).withColumn("digest", F.md5(F.coalesce("text", F.lit(""))))
-    sizes = mixing.sized(marked, "digest")
+    named = marked.withColumn("row", F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), "digest", of_source)))
+    sizes = mixing.sized(named, "row").checkpoint()  # narrow rows, so that texts are read once for them
     sources = mixing.source_targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size")))
-    keys = ["doc_id", "source", "digest"]
-    places = mixing.placed(mixing.with_taken(mixing.offsets(sizes, sources))).select(*(F.col(k).alias(f"of_{k}") for k in keys), "position")
-    same = F.lit(True)
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"of_{k}"))
-    rows = marked.dropDuplicates(keys).join(places, same)
+    places = mixing.placed(mixing.with_taken(mixing.offsets(sizes, sources))).select("row", "position")
+    rows = named.dropDuplicates(["row"]).join(places, "row")
     return mixing.sorted_by(rows, "position", "digest", "doc_id").select(*COLUMNS)
 
 
