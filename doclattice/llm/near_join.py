@@ -125,9 +125,8 @@ def prefix(depth: int) -> Column:
     return F.shiftrightunsigned("label", 64 - 8 * depth)
 
 
-def at_nodes(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """rows joined to nodes (tree, prefix, m and more; checkpointed). Few nodes are broadcast; else only those of many texts are, and the others are joined by a shuffle."""
-    by = ["tree", "prefix"]
+def at_nodes(rows: DataFrame, nodes: DataFrame, by: list[str]) -> DataFrame:
+    """rows joined to nodes (by, their number of rows m, and more; checkpointed). Few nodes are broadcast; else only those of many rows are, and the others are joined by a shuffle."""
     if nodes.count() <= BROADCAST_ROWS:
         return rows.join(F.broadcast(nodes), by)
     hot = nodes.where(F.col("m") > HOT_TEXTS)
@@ -141,7 +140,7 @@ def forest(texts: DataFrame, least: int) -> DataFrame:
     """digest, n, bytes, labels, tree, label of the texts that share a node at the shortest prefix with another text."""
     met = texts.select("digest", "n", "bytes", "labels", F.posexplode("labels").alias("tree", "label")).withColumn("prefix", prefix(least))
     nodes = met.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("m")).where("m > 1").checkpoint()
-    return at_nodes(met, nodes).drop("prefix", "m")
+    return at_nodes(met, nodes, ["tree", "prefix"]).drop("prefix", "m")
 
 
 def groups_of(batches, names: list[str]):
@@ -253,7 +252,7 @@ def members_at(rows: DataFrame, depth: int) -> DataFrame:
     # Blocks of open texts come first; a block of settled ones meets those only.
     own = F.when(is_open, F.pmod(F.xxhash64("digest"), F.col("opened"))).otherwise(F.col("opened") + F.pmod(F.xxhash64("digest"), F.greatest("settled", F.lit(1))))
     others = F.when(is_open, F.col("opened") + F.col("settled")).otherwise(F.col("opened"))
-    dealt = at_nodes(rows, nodes).withColumn("block", own.cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), (others - 1).cast("int"))))
+    dealt = at_nodes(rows, nodes, ["tree", "prefix"]).withColumn("block", own.cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), (others - 1).cast("int"))))
     paired = dealt.select("tree", "prefix", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "digest", "n", "labels")
 
     def run(batches):
@@ -291,27 +290,34 @@ def forest_links(docs: DataFrame, texts: DataFrame, threshold: float, recall: fl
     rows, found = trees.withColumn("open", F.lit(True)), None
     for depth in range(DEPTH, least - 1, -1):
         members = members_at(rows, depth).checkpoint()
+        if members.isEmpty():  # nobody meets anybody at this depth for the first time
+            continue
         new = verified_links(docs, members, depth, least, threshold).checkpoint()
         found = new if found is None else found.unionByName(new)
         if depth > least:
             done = found.groupBy("digest").agg(F.sum("pairs").alias("pairs"), F.sum(f"at{depth}").alias("all")).where(F.col("pairs") >= recall * F.col("all")).select("digest", F.lit(False).alias("go_on")).checkpoint()
             few = done.count() <= BROADCAST_ROWS
             rows = trees.join(F.broadcast(done) if few else done, "digest", "left").withColumn("open", F.coalesce("go_on", F.lit(True))).drop("go_on")
+    if found is None:
+        return texts.select("digest", F.lit(0).cast("long").alias("links"), F.col("digest").alias("root")).limit(0)
     return found.select("digest", "links", "root")
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, root (the smallest node of its component) from edges (a, b), by large-star and small-star until nothing changes."""
+    """node, root (the smallest node of its component) from edges (a, b), by large-star and small-star until nothing changes.
+
+    Centres of many edges are met as hot trie nodes are (at_nodes), so that none of them is one task.
+    """
 
     def large(e):
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("least"), F.count(F.lit(1)).alias("m")).checkpoint()
+        return at_nodes(both, least, ["a"]).where("b > a").select(F.col("b").alias("a"), F.col("least").alias("b")).where("a <> b").distinct()
 
     def small(e):
         down = e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = down.groupBy("a").agg(F.min("b").alias("m"))
-        return down.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).distinct()
+        least = down.groupBy("a").agg(F.min("b").alias("least"), F.count(F.lit(1)).alias("m")).checkpoint()
+        return at_nodes(down, least, ["a"]).select(F.when(F.col("b") == F.col("least"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("least").alias("b")).distinct()
 
     def state(e):
         return tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
