@@ -5,7 +5,7 @@ import pytest
 
 from doclattice.llm import queries
 
-TABLES = "documents pages labels conversations".split()
+TABLES = "documents embeddings pages benchmark labels conversations".split()
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
