@@ -30,6 +30,10 @@ What lies between white space, and the pieces of it, are looked up in tables of
 what the worker has encoded before. The tables are bounded (see Known); they
 change the speed only.
 
+Parts of texts with characters on which the library's Unicode tables differ from
+Python's and regex's are normalised and split by the library's own parts (see
+odd_characters); the merges are the automaton's in any case.
+
 Handling, for encode_column, decode_column, round_trip_column and count_column:
 a null text counts as empty and has no tokens (decoding: null for null). Texts of
 any length are read whole; words of any length too, as the tables' bounds hold
@@ -53,6 +57,8 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
+from doclattice.llm.odd_characters import Library, odd_characters
+
 #: White space of Unicode, as the tokenizer files' patterns see it.
 SPACES = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Characters that Python's split() takes for white space besides these.
@@ -286,7 +292,7 @@ class Known(dict):
 class WordTokenizer:
     """A tokenizer file with word ends: NFC, white space collapsed, lower case, pre-split words, byte-level merges."""
 
-    def __init__(self, data: bytes) -> None:
+    def __init__(self, data: bytes, odd: str | None = None) -> None:
         spec = json.loads(data)
         model = checked_model(spec, spec["model"].get("end_of_word_suffix") or "")
         if [n["type"] for n in spec["normalizer"]["normalizers"]] != ["NFC", "Replace", "Lowercase"]:
@@ -296,6 +302,7 @@ class WordTokenizer:
         self.special, self.special_at, self.begins = added_tokens(spec)
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pieces = regex.compile(split["pattern"]["Regex"].replace(r"\s", SPACES))
+        self.library = Library(odd, split["pattern"]["Regex"])
         self.chunks, self.words = Known(self.encode_chunk), Known(self.encode_piece)
 
     def lower(self, text: str) -> str:
@@ -308,13 +315,19 @@ class WordTokenizer:
     def encode_piece(self, piece: str) -> bytes:
         return np.array([self.ids[t] for t in self.automaton.encode_bytes(piece)], "<u4").tobytes()
 
-    def encode_chunk(self, chunk: str) -> bytes:
+    def split(self, chunk: str) -> list[str]:
+        """The words of what lies between white space, normalised."""
+        if self.library.odd(chunk):
+            return self.library.pieces(self.library.normal.normalize_str(chunk))
         low = self.lower(chunk)
         if low.isalpha():
-            return self.words[low]
+            return [low]
         if low[:-1].isalpha() and low[-1] in ".,;:!?":
-            return self.words[low[:-1]] + self.words[low[-1]]
-        return b"".join([self.words[p] for p in self.pieces.findall(low)])
+            return [low[:-1], low[-1]]
+        return self.pieces.findall(low)
+
+    def encode_chunk(self, chunk: str) -> bytes:
+        return b"".join([self.words[p] for p in self.split(chunk)])
 
     def encode_plain(self, text: str) -> bytes:
         chunks = text.split() if ODD.search(text) is None else CHUNK.findall(text)
@@ -334,7 +347,7 @@ class WordTokenizer:
 class TokenLabels:
     """The labels of a tokenizer file's arcs, by id."""
 
-    def __init__(self, data: bytes) -> None:
+    def __init__(self, data: bytes, odd: str | None = None) -> None:
         spec = json.loads(data)
         ids = spec["model"]["vocab"] | {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.label = [""] * (max(ids.values()) + 1)
@@ -351,16 +364,17 @@ LOADED: dict[tuple, object] = {}
 
 def loaded(make, data):
     """One tokenizer for each worker process and file."""
-    key = (make, len(data.value), hash(data.value))
+    content, odd = data.value
+    key = (make, len(content), hash(content))
     if key not in LOADED:
-        LOADED[key] = make(data.value)
+        LOADED[key] = make(content, odd)
     return LOADED[key]
 
 
 def tokenizer_data(spark, path: str):
-    """The file's bytes (one or two MB, whatever the input) for all executors."""
+    """The file's bytes (one or two MB, whatever the input) and the odd characters, for all executors."""
     with open(path, "rb") as f:
-        return spark.sparkContext.broadcast(f.read())
+        return spark.sparkContext.broadcast((f.read(), odd_characters()))
 
 
 def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20):
@@ -427,7 +441,7 @@ class TokenCounter:
     pre-token among them counts as one without any merging; only the rest are merged.
     """
 
-    def __init__(self, data: bytes) -> None:
+    def __init__(self, data: bytes, odd: str | None = None) -> None:
         spec = json.loads(data)
         model = checked_model(spec)
         before = spec["pre_tokenizer"]
@@ -440,7 +454,9 @@ class TokenCounter:
         # Fixed value: the library's own pattern for files that say use_regex; such files do not hold it.
         split = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         self.pieces = regex.compile(split.replace(r"[^\s", "[^" + SPACES).replace(r"\s", f"[{SPACES}]").replace(r"\S", f"[^{SPACES}]"))
+        self.library = Library(odd)
         byte = {c: b for b, c in enumerate(self.labels)}
+        self.byte_of = byte
         self.alone = {bytes(byte[c] for c in t) for t in model["vocab"] if all(c in byte for c in t) and self.merged(list(t)) == 1}
         self.chunks, self.words = Known(self.count_pieces), Known(self.count_piece)
 
@@ -482,13 +498,19 @@ class TokenCounter:
         data = piece.encode("utf-8", "surrogatepass")
         return 1 if data in self.alone else self.merged([self.labels[b] for b in data])
 
-    def count_pieces(self, text: str) -> int:
-        words, bare = self.words, text[1:] if text[:1] == " " else text
+    def split(self, text: str) -> list[str]:
+        """The pre-tokens of a text."""
+        if self.library.odd(text):
+            return [bytes(map(self.byte_of.__getitem__, p)).decode("utf-8") for p in self.library.pieces(text)]
+        bare = text[1:] if text[:1] == " " else text
         if bare.isalpha():
-            return words[text]
+            return [text]
         if bare[:-1].isalpha() and bare[-1] in ".,;:!?":
-            return words[text[:-1]] + words[text[-1]]
-        return sum(map(words.__getitem__, self.pieces.findall(text)))
+            return [text[:-1], text[-1]]
+        return self.pieces.findall(text)
+
+    def count_pieces(self, text: str) -> int:
+        return sum([self.words[p] for p in self.split(text)])
 
     def count_plain(self, text: str) -> int:
         """A space between two characters that aren't white space begins a pre-token; runs of white space are split with what is around them."""

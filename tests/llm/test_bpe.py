@@ -156,3 +156,43 @@ def test_special_strings_of_the_file():
         for t in ("a [SEP] b", "[SEP] x[§][§] y [SEP]", "[§]", "[SE", "none <|endoftext|> here", " [SEP]  [§]\n"):
             ids = lib.encode(t, add_special_tokens=False).ids
             assert own.count(t) == len(ids) if count else np.frombuffer(own.encode(t), "<u4").tolist() == ids, (name, t)
+
+
+POINTS = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+
+
+def test_words_of_every_code_point_equal_the_library_s():
+    own, lib = bpe.WordTokenizer(read("word_bpe_49k.json")), Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
+    bytes_of = lambda w: "".join(own.automaton.labels[b] for b in w.encode())
+    for start in range(0, len(POINTS), 400):
+        text = " ".join(f"ab{chr(c)}cd 1{chr(c)}2" for c in POINTS[start : start + 400])
+        want = [w for w, _ in lib.pre_tokenizer.pre_tokenize_str(lib.normalizer.normalize_str(text))]
+        chunks = text.split() if bpe.ODD.search(text) is None else bpe.CHUNK.findall(text)
+        assert [bytes_of(w) for c in chunks for w in own.split(c)] == want, start
+
+
+def test_pre_tokens_of_every_code_point_equal_the_library_s():
+    own, lib = bpe.TokenCounter(read("byte_bpe_50k.json")), Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
+    bytes_of = lambda w: "".join(own.labels[b] for b in w.encode())
+    for c in POINTS:
+        text = f"ab{chr(c)}cd"
+        assert [bytes_of(w) for w in own.split(text)] == [w for w, _ in lib.pre_tokenizer.pre_tokenize_str(text)], hex(c)
+        text = f" 1{chr(c)}2"
+        if own.library.odd(text):
+            assert [bytes_of(w) for w in own.split(text)] == [w for w, _ in lib.pre_tokenizer.pre_tokenize_str(text)], hex(c)
+
+
+def test_random_strings_of_odd_characters_equal_the_library_s():
+    from doclattice.llm.odd_characters import odd_characters
+
+    rng = random.Random(9)
+    odd = odd_characters()
+    assert len(odd) > 100
+    marks = "\u0301\u0323\u0345\u030aAaEeΣσςİßẞǅﬁ가가'’ \t\u200b12²٣."
+    draw = lambda: rng.choice(odd) if rng.random() < 0.3 else rng.choice(marks) if rng.random() < 0.6 else chr(rng.choice(POINTS)) if rng.random() < 0.3 else rng.choice("abc de's 12,.")
+    texts = ["".join(draw() for _ in range(rng.randrange(1, 14))) for _ in range(20_000)]
+    own, lib = bpe.WordTokenizer(read("word_bpe_49k.json")), Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
+    counter, bytes_lib = bpe.TokenCounter(read("byte_bpe_50k.json")), Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
+    for t, ids, n in zip(texts, lib.encode_batch(texts, add_special_tokens=False), bytes_lib.encode_batch(texts, add_special_tokens=False)):
+        assert np.frombuffer(own.encode(t), "<u4").tolist() == ids.ids, ascii(t)
+        assert counter.count(t) == len(n.ids), ascii(t)
