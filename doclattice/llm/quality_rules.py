@@ -155,8 +155,10 @@ def learn_list(rows: list[dict], stats: list[str] = STATS, precision: float = 0.
 
 
 def labelled_rows(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> list[dict]:
-    """Statistics and labels of at most so many labelled documents, in the order of a hash."""
-    chosen = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    """Statistics and labels of at most so many labelled documents, in the order of a hash. Labels of other documents take no place in the sample."""
+    ok = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
+    held = ok.join(docs.select("doc_id"), "doc_id", "left_semi")
+    chosen = held.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).checkpoint()
     joined = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # chosen: at most `most` rows of 12 bytes
     found = with_statistics(joined).select("doc_id", *STATS, (F.col("quality") == 0).cast("int").alias("reject"))
     rows = found.orderBy(F.xxhash64("doc_id"), "doc_id", *STATS).limit(most).collect()

@@ -38,7 +38,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from doclattice.llm.bpe import Known, map_column
@@ -261,14 +261,24 @@ def choose_terms(candidates: list[tuple[str, bool, list[int]]], n_toxic: int) ->
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, fold: int = 5, most: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> DataFrame:
-    """text, toxic of at most so many labelled documents, and bytes, outside of the held-out fold."""
+    """text, toxic of at most so many labelled documents, and bytes, outside of the held-out fold, in the order of a hash.
+
+    Labels of other documents take no place in the sample. A text that does not fit into what is left of the bytes is skipped, and later ones that fit are
+    taken. Of rows with one doc_id the smallest text trains.
+    """
     ok = F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(fold)
-    chosen = labels.where(ok).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    order = (F.xxhash64("text"), "text", "toxic")
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic").orderBy(*order).limit(most)
-    # At most `most` rows here, so one window.
-    reached = F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(Window.partitionBy(F.lit(0)).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("reached", reached).where(F.col("reached") <= most_bytes).select("text", "toxic")
+    held = labels.where(ok).join(docs.select("doc_id"), "doc_id", "left_semi")
+    order = (F.xxhash64("doc_id"), F.col("doc_id"))
+    chosen = held.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(*order).limit(most).checkpoint()
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).checkpoint()
+    # Sizes of at most `most` texts.
+    left, fit = most_bytes, []
+    for doc_id, size in rows.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0))).orderBy(*order).collect():
+        if size <= left:
+            left -= size
+            fit.append((doc_id,))
+    taken = docs.sparkSession.createDataFrame(fit, "doc_id long")
+    return rows.join(F.broadcast(taken), "doc_id").orderBy(*order).select("text", "toxic")
 
 
 def held_out(fold: int = 5):

@@ -86,3 +86,10 @@ def test_no_cap_on_conditions():
         rows.append(values | {"reject": int(all(values[s] for s in stats))})
     rules = Q.learn_list(rows)
     assert [sorted(c.stat for c in rule) for rule in rules] == [sorted(stats)]
+
+
+def test_labels_of_other_documents_take_no_place(spark, sf_dir):
+    docs = spark.createDataFrame([(i, f"some words {i}") for i in range(40)], "doc_id long, text string")
+    labels = spark.range(20_000).selectExpr("id AS doc_id", "cast(id % 2 AS int) AS quality")
+    rows = Q.labelled_rows(docs, labels, most=100)
+    assert len(rows) == 40 and sum(r["reject"] for r in rows) == 20

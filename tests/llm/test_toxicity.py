@@ -71,6 +71,21 @@ def test_sample_is_bounded_by_bytes(spark):
     assert X.training_rows(docs, labels, most_bytes=10_000).count() == 10
 
 
+def test_labels_of_other_documents_take_no_place(spark):
+    docs = spark.createDataFrame([(i, f"word {i}") for i in range(40)], "doc_id long, text string")
+    labels = spark.range(20_000).selectExpr("id AS doc_id", "cast(id % 2 AS int) AS toxic")
+    trained = sorted(r.text for r in X.training_rows(docs, labels, most=100).collect())
+    assert trained == sorted(f"word {i}" for i in range(40) if zlib.crc32(str(i).encode()) % 5)
+
+
+def test_a_text_that_does_not_fit_leaves_the_others(spark):
+    docs = spark.createDataFrame([(i, "x" * (1200 if i == 7 else 15)) for i in range(40)] + [(3, None), (None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(None, 1), (2, None)], "doc_id long, toxic int")
+    trained = [i for i in range(40) if zlib.crc32(str(i).encode()) % 5]
+    assert 7 in trained and X.training_rows(docs, labels, most_bytes=1000).count() == len(trained) - 1
+    assert X.training_rows(docs, labels, most_bytes=2000).count() == len(trained)
+
+
 @pytest.mark.parametrize("rows", [[], [("a", 1)], [("a", 0), (None, 0)]])
 def test_one_kind_of_labels(rows):
     got = X.learn(rows).scorer()("a b c")
