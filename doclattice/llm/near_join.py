@@ -10,10 +10,12 @@ byte by byte. At each depth the texts of a trie node are compared exactly: a
 pair is compared once, at the greatest depth at which it meets in any tree, in
 the first such tree. From the similarities found so far each text estimates its
 own recall: a pair of similarity J meets at depth d with probability
-p = 1 - (1 - J^d)^TREES, so the links found stand for the sum of 1 / p links. A
-text whose estimate reaches the target is settled and looks no further; pairs of
-two settled texts are not compared at shorter prefixes, so dense nodes stay deep.
-Texts with few or distant partners go on, to the shortest prefix at which a pair
+p = 1 - (1 - J^d)^TREES, so the links found stand for the sum of 1 / p links.
+What was found says nothing of partners that met nowhere, so each text is held to
+have one more partner just at the threshold, unseen with the probability of that
+depth. A text whose estimate reaches the target nevertheless is settled and looks no
+further; pairs of two settled texts are not compared at shorter prefixes, so dense
+nodes stay deep. Texts with few or distant partners go on, to the shortest prefix at which a pair
 at the threshold itself meets with the target probability (prefix_length). Only
 texts that share a node of that depth with another one take part at all.
 
@@ -295,7 +297,8 @@ def forest_links(docs: DataFrame, texts: DataFrame, threshold: float, recall: fl
         new = verified_links(docs, members, depth, least, threshold).checkpoint()
         found = new if found is None else found.unionByName(new)
         if depth > least:
-            done = found.groupBy("digest").agg(F.sum("pairs").alias("pairs"), F.sum(f"at{depth}").alias("all")).where(F.col("pairs") >= recall * F.col("all")).select("digest", F.lit(False).alias("go_on")).checkpoint()
+            unseen = float(1 - meeting(np.float64(threshold), depth))
+            done = found.groupBy("digest").agg(F.sum("pairs").alias("pairs"), F.sum(f"at{depth}").alias("all")).where(F.col("pairs") >= recall * (F.col("all") + unseen)).select("digest", F.lit(False).alias("go_on")).checkpoint()
             few = done.count() <= BROADCAST_ROWS
             rows = trees.join(F.broadcast(done) if few else done, "digest", "left").withColumn("open", F.coalesce("go_on", F.lit(True))).drop("go_on")
     if found is None:

@@ -149,3 +149,17 @@ def test_components_of_paths_and_stars(spark):
 def test_empty(spark):
     queries.prepare(spark)
     assert N.join_documents(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_a_near_identical_partner_settles_nothing(spark):
+    """Groups {a, a', b, b'}: a' and b' differ from a and b by white space, a from b at J = 0.818. All links are found through the forest."""
+    queries.prepare(spark)
+    rng, rows = random.Random(4), []
+    for g in range(120):
+        words = [f"w{rng.randrange(10**9)}" for _ in range(64)]
+        other = [*words[:-6], *(f"v{rng.randrange(10**9)}" for _ in range(6))]  # 60 shingles each, 54 in common
+        for k, t in enumerate((" ".join(words), "  ".join(words), " ".join(other), "  ".join(other))):
+            rows.append((4 * g + k, t))
+    got = N.join_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = sum(r.n_links for r in got)
+    assert found >= 0.998 * 12 * 120 and len({r.class_id for r in got}) <= 121
