@@ -20,34 +20,89 @@ def unit_vectors(rows: DataFrame, vector: str) -> DataFrame:
     return rows.withColumn("__n", n).where("__n > 0").withColumn(vector, F.transform(vector, lambda x: x.cast("double") / F.col("__n"))).drop("__n")
 
 
-#: Most query vectors, about, that are sent to the points at once.
-BLOCK_QUERIES = 1000
+#: Rows of a block of query vectors, and of points.
+BLOCK_QUERIES, BLOCK_POINTS = 4096, 2048
+
+
+def in_blocks(queries: DataFrame, points: DataFrame, k: int, floor: float, query_key: str, point_key: str, by: list[str] = (), each: list[str] = (), others: bool = False, blocks: tuple[int, int] = (BLOCK_QUERIES, BLOCK_POINTS)) -> DataFrame:
+    """The columns of queries but q and of points but p, and score: for each query vector q the k best points p with equal ``by`` of each pair of blocks.
+
+    Groups of ``by`` (all rows, if there is none) are dealt into blocks by a hash of the keys, and each pair of blocks is a matrix product of its own, in one
+    plan whatever the number of queries, of which k points are left for each query and value of ``each``. Vectors of length 0 score 0, as do null ones.
+    """
+    by = list(by) or ["__all"]
+    if by == ["__all"]:
+        queries, points = queries.withColumn("__all", F.lit(0)), points.withColumn("__all", F.lit(0))
+
+    def many(rows: DataFrame, block: int, name: str) -> DataFrame:
+        counted = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > block)
+        return sent(counted.select(*by, F.ceil(F.col("m") / block).cast("int").alias(name)).persist(StorageLevel.MEMORY_AND_DISK))
+
+    many_q, many_p = many(queries, blocks[0], "__ni"), many(points, blocks[1], "__nj")
+
+    def spread(rows: DataFrame, key: str, mine: str, other: str) -> DataFrame:
+        sized = rows.join(many_q, by, "left").join(many_p, by, "left").withColumns({n: F.coalesce(n, F.lit(1)) for n in ("__ni", "__nj")})
+        own = F.pmod(F.xxhash64(key), F.col(f"__n{mine}")).cast("int")
+        return sized.withColumn(f"__{mine}", own).withColumn(f"__{other}", F.explode(F.sequence(F.lit(0), F.col(f"__n{other}") - 1)))
+
+    of_query, of_point = [c for c in queries.columns if c != "q" and c not in by], [c for c in points.columns if c != "p" and c not in by]
+    kinds = {f.name: f.dataType for f in [*queries.schema, *points.schema]}
+    null = lambda c: F.lit(None).cast(kinds[c]).alias(c)
+    head = [*by, "__i", "__j"]
+    left = spread(queries, query_key, "i", "j").select(*head, *of_query, *map(null, of_point), F.col("q").cast("array<double>").alias("__v"), F.lit(True).alias("__asks"))
+    right = spread(points, point_key, "j", "i").select(*head, *map(null, of_query), *of_point, F.col("p").cast("array<double>").alias("__v"), F.lit(False).alias("__asks"))
+    kept = [c for c in by if c != "__all"]
+    out = T_.StructType([T_.StructField(c, kinds[c]) for c in (*kept, *of_query, *of_point)] + [T_.StructField("score", T_.DoubleType())])
+
+    def unit(vectors: pd.Series, size: int) -> np.ndarray:
+        m = np.stack([np.zeros(size) if v is None or len(v) != size else np.asarray(v, float) for v in vectors])
+        n = np.linalg.norm(m, axis=1, keepdims=True)
+        return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        asks = group["__asks"].to_numpy(bool)
+        a, b = group[asks], group[~asks].sort_values(point_key)
+        sizes = [len(v) for v in group["__v"] if v is not None]
+        if a.empty or b.empty or not sizes:
+            return pd.DataFrame(columns=out.names)
+        # Rounded so that equal vectors tie wherever they stand in a product.
+        score = np.round(unit(a["__v"], max(sizes)) @ unit(b["__v"], max(sizes)).T, 12)
+        if others:
+            score[a[query_key].to_numpy()[:, None] == b[point_key].to_numpy()[None, :]] = -np.inf
+        score[score < floor] = -np.inf
+        classes = b.groupby(list(each), dropna=False, sort=False).ngroup().to_numpy() if each else np.zeros(len(b), int)
+        rows, cols = [], []
+        for c in range(classes.max() + 1):
+            own = np.nonzero(classes == c)[0]
+            s = score[:, own]
+            least = np.partition(s, -min(k, len(own)), axis=1)[:, -min(k, len(own))]
+            r, j = np.nonzero((s >= least[:, None]) & (s > -np.inf))
+            order = np.lexsort((j, -s[r, j], r))
+            r, j = r[order], j[order]
+            at = np.arange(len(r)) - np.searchsorted(r, r, "left")
+            rows.append(r[at < k])
+            cols.append(own[j[at < k]])
+        r, j = np.concatenate(rows), np.concatenate(cols)
+        found = {c: a[c].to_numpy()[r] for c in (*kept, *of_query)} | {c: b[c].to_numpy()[j] for c in of_point}
+        return pd.DataFrame(found | {"score": score[r, j]})
+
+    return left.unionByName(right).groupBy(*head).applyInPandas(run, out)
+
+
+def best_ranked(rows: DataFrame, k: int, query_key: str, point_key: str, each: list[str] = ()) -> DataFrame:
+    """rows with rank, the best k of each query (and value of ``each``); ties by key."""
+    over = Window.partitionBy(query_key, *each).orderBy(F.col("score").desc(), F.col(point_key))
+    return rows.withColumn("rank", F.row_number().over(over)).where(F.col("rank") <= k)
 
 
 def top_k(
-    queries: DataFrame, points: DataFrame, k: int, floor: float, query_key: str, point_key: str, by: list[str] | None = None, block: int = BLOCK_QUERIES, each: list[str] = (), others: bool = False
+    queries: DataFrame, points: DataFrame, k: int, floor: float, query_key: str, point_key: str, by: list[str] = (), each: list[str] = (), others: bool = False, blocks: tuple[int, int] = (BLOCK_QUERIES, BLOCK_POINTS)
 ) -> DataFrame:
     """For each query vector q the k points p of highest cosine of at least the floor; ties by key. each: k points for each value of these. others: not the point of the query's own key.
 
-    queries may grow with the points: they are counted, dealt into blocks by a
-    hash of their key, and sent to the points, which stay where they are, block
-    by block; the rank is cut within each task before rows are exchanged.
-    Lengths are taken once for each row, before pairs are made.
+    The exact way: each query against each point, a block of these at a time (in_blocks), and the best of all blocks by rank.
     """
-    length = lambda v: F.sqrt(M.dot(F.col(v), F.col(v)))
-    queries, points = queries.withColumn("__q", length("q")), points.withColumn("__p", length("p"))
-    over = Window.partitionBy(query_key, *each).orderBy(F.col("score").desc(), F.col(point_key))
-    blocks = max(1, -(-queries.count() // block))
-    found = None
-    for b in range(blocks):
-        sent = F.broadcast(queries.where(F.pmod(F.xxhash64(query_key), F.lit(blocks)) == b) if blocks > 1 else queries)
-        pairs = points.join(sent, by) if by else points.crossJoin(sent)
-        if others:
-            pairs = pairs.where(F.col(query_key) != F.col(point_key))
-        scored = pairs.withColumn("score", M.ratio(M.dot(F.col("q"), F.col("p")), F.col("__q") * F.col("__p"))).where(F.col("score") >= floor)
-        top = scored.withColumn("rank", F.row_number().over(over)).where(F.col("rank") <= k).drop("q", "p", "__q", "__p")
-        found = top if found is None else found.unionByName(top)
-    return found
+    return best_ranked(in_blocks(queries, points, k, floor, query_key, point_key, by, each, others, blocks), k, query_key, point_key, each)
 
 
 def mean_vectors(rows: DataFrame, by: list[str], vector: str, size: int | None = None) -> DataFrame:

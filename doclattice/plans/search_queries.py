@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from doclattice.functions import maths as M
 from doclattice.functions import text as T
-from doclattice.operators import filters, search
+from doclattice.operators import cells, filters, search
 from doclattice.plans.base import operator
 from doclattice.plans.graph_queries import TAGGED, section_tags
+from doclattice.sources import files
 from doclattice.sources.tables import sections, table
 from doclattice.streaming import rate_limit
 
@@ -35,6 +36,25 @@ def v1_v2_v3_o1_p5_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(points(spark, sf_dir), "vec_id % 100 = 0")
 
 
+@operator(
+    f"""WITH r AS (SELECT a.vec_id AS q_id, {COS} AS score FROM embeddings a JOIN embeddings b ON true WHERE a.vec_id % 100 = 0),
+    k AS (SELECT q_id, row_number() OVER (PARTITION BY q_id ORDER BY score DESC) AS rank FROM r WHERE score >= 0.1)
+    SELECT q_id, count(*) AS neighbours, true AS found, true AS exact_scores FROM k WHERE rank <= 10 GROUP BY q_id"""
+)
+def v1_o1_cell_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row whose id is divisible by 100, asked of an index of cells of all rows and of all rows: the neighbours, whether the index finds nine tenths of all of these, and whether its scores are theirs."""
+    e = points(spark, sf_dir)
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("q"))
+    index = cells.build(e.select("vec_id", "embedding"), "vec_id", "embedding", files.scratch(spark))
+    found = index.search(q, 10, 0.1, "q_id").select("q_id", "vec_id", F.col("score").alias("of_index"))
+    exact = search.top_k(q, e.select("vec_id", F.col("embedding").alias("p")), 10, 0.1, "q_id", "vec_id")
+    both = exact.join(found, ["q_id", "vec_id"], "left").groupBy("q_id").agg(
+        F.count(F.lit(1)).alias("neighbours"), F.count("of_index").alias("held"), F.coalesce(F.max(F.abs(F.col("score") - F.col("of_index"))) < 1e-9, F.lit(True)).alias("exact_scores")
+    )
+    share = both.agg((F.sum("held") >= 0.9 * F.sum("neighbours")).alias("found"))  # one row
+    return both.crossJoin(F.broadcast(share)).select("q_id", "neighbours", "found", "exact_scores")
+
+
 @operator(
     """WITH e AS (SELECT vec_id // 5 AS section, unnest(range(64)) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings)
     SELECT section, i::INT AS i, round(avg(x), 6) AS x FROM e GROUP BY section, i"""

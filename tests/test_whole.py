@@ -17,7 +17,7 @@ def test_top_k_in_blocks(spark, sf_dir, block):
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.col("embedding").alias("p"))
     q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q_id"), F.col("p").alias("q"))
     whole = search.top_k(q, e, 5, 0.1, "q_id", "vec_id").collect()
-    assert {r.q_id for r in whole} == set(range(0, 500, 50)) and sorted(search.top_k(q, e, 5, 0.1, "q_id", "vec_id", block=block).collect()) == sorted(whole)
+    assert {r.q_id for r in whole} == set(range(0, 500, 50)) and sorted(search.top_k(q, e, 5, 0.1, "q_id", "vec_id", blocks=(block, block)).collect()) == sorted(whole)
 
 
 def test_table_chunks_hold_whole_lines(spark, tmp_path):
