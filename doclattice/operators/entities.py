@@ -7,11 +7,12 @@ from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from doclattice.functions.answers import QUALIFIERS
+from doclattice.operators import dictionary
 from doclattice.operators.small import sent
 
 # What the letters of equipment tags stand for.
@@ -39,9 +40,39 @@ def component_code(kind: Column, name: Column) -> Column:
 
 
 def dictionary_hits(texts: DataFrame, key: str, text: str, keywords: DataFrame) -> DataFrame:
-    """key, code of every keyword that a text holds, in lower case and as a substring. keywords: a dictionary, whose size is checked."""
-    pairs = texts.select(key, F.lower(text).alias("__low")).join(sent(keywords, only=True), F.contains(F.col("__low"), F.col("keyword")))
-    return pairs.select(key, "code").distinct()
+    """key, code of every keyword that a text holds, in lower case and as a substring. keywords: keyword, code, of any number."""
+    found = dictionary.keyword_hits(texts.select(key, F.lower(text).alias("low")), key, "low", keywords.select("keyword"))
+    return found.join(sent(keywords), "keyword").select(key, "code").distinct()
+
+
+# Names that are too general to be looked for in a question.
+GENERAL = [
+    "valve", "pump", "filter", "cooler", "pipe", "tank", "sensor", "motor", "fan", "alarm", "switch", "gauge", "system", "unit",
+    "cylinder", "piston", "bearing", "seal", "gasket", "bolt", "engine", "turbocharger", "compressor", "generator", "boiler",
+]
+#: Codes that a question may name though no entity has them.
+CODE = r"\b([A-Z]{1,4}[-]?[0-9]{1,5})\b"
+
+
+def telling_names(names: DataFrame) -> DataFrame:
+    """name, low: names that a question can be searched for. Single words count only if they look like codes or are long; of names alike but for their case the first by spelling."""
+    n, low = F.col("name"), F.lower("name")
+    is_upper = (F.upper(n) == n) & (low != n)
+    ok = (F.length(low) >= 3) & ~low.isin(GENERAL) & (F.rlike(n, F.lit("[ -]")) | is_upper | F.rlike(n, F.lit("[0-9]")) | (F.length(n) > 8))
+    return names.where(ok).groupBy(low.alias("low")).agg(F.min("name").alias("name"))
+
+
+def question_entities(questions: DataFrame, key: str, text: str, names: DataFrame, most: int = 5) -> DataFrame:
+    """key, name, k: the longest names and codes that a question holds, at most so many; of equal length names by spelling, then codes by place. Null keys and texts have none."""
+    asked = questions.where(F.col(key).isNotNull())
+    known = telling_names(names)
+    hits = dictionary.keyword_hits(asked.select(key, F.lower(text).alias("lowered")), key, "lowered", known.select(F.col("low").alias("keyword")))
+    found = hits.join(sent(known), F.col("keyword") == F.col("low")).select(key, "low", "name", F.lit(0).alias("kind"), F.lit(0).alias("at"))
+    codes = asked.select(key, F.posexplode(F.regexp_extract_all(text, F.lit(CODE), F.lit(1))).alias("at", "name"))
+    codes = codes.select(key, F.lower("name").alias("low"), "name", F.lit(1).alias("kind"), "at")
+    first = found.unionByName(codes).groupBy(key, "low").agg(F.min(F.struct("kind", "at", "name")).alias("f"))
+    over = Window.partitionBy(key).orderBy(F.length("f.name").desc(), "f.kind", "f.at", "f.name")
+    return first.withColumn("k", F.row_number().over(over)).where(F.col("k") <= most).select(key, F.col("f.name").alias("name"), "k")
 
 
 COMPONENTS = ArrayType(

@@ -9,14 +9,7 @@ from pyspark.sql import functions as F
 MOST = 200_000
 
 
-def sent(rows: DataFrame, most: int | None = None, only: bool = False) -> DataFrame:
-    """rows with a broadcast hint if there are at most so many, else as they are, to be joined by a shuffle.
-
-    only: for joins that have no other way (by a substring, or of all rows); more rows are an error there.
-    """
+def sent(rows: DataFrame, most: int | None = None) -> DataFrame:
+    """rows with a broadcast hint if there are at most so many, else as they are, to be joined by a shuffle."""
     most = MOST if most is None else most
-    if rows.limit(most + 1).count() <= most:
-        return F.broadcast(rows)
-    if only:
-        raise ValueError(f"more than {most} rows to be sent to all executors")
-    return rows
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows

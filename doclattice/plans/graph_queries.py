@@ -341,6 +341,49 @@ def e12_o14_entities_in_questions(spark: SparkSession, sf_dir: str) -> DataFrame
     return hits.withColumn("k", F.row_number().over(over)).where("k <= 5").select("q", "name")
 
 
+# Questions that name a part, its brand, a general word and a code, made of every user turn.
+QUESTIONS = """questions AS (SELECT conv_id || '-' || turn AS q, c.text || ' Is the ' || p_name || ' near valve HGM-' || (conv_id % 90) || ' or ' || upper(p_brand) || '?' AS question
+    FROM conversations c JOIN part ON p_partkey = (SELECT min(p_partkey) FROM part) + (conv_id * 31 + turn) % (SELECT count(*) FROM part) WHERE role = 'user'),
+names AS (SELECT DISTINCT name FROM (SELECT p_name AS name FROM part UNION ALL SELECT p_brand FROM part UNION ALL SELECT upper(p_type) FROM part UNION ALL SELECT split_part(p_name, ' ', 2) FROM part UNION ALL SELECT 'Valve'))"""
+GENERAL_SQL = ", ".join(f"'{g}'" for g in entities.GENERAL)
+
+
+def part_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    of = part.agg(F.min("p_partkey").alias("first"), F.count(F.lit(1)).alias("parts"))  # one row
+    asked = table(spark, sf_dir, "conversations").where("role = 'user'").crossJoin(F.broadcast(of)).withColumn("p_partkey", F.col("first") + (F.col("conv_id") * 31 + F.col("turn")) % F.col("parts"))
+    code = F.concat(F.lit(" near valve HGM-"), F.col("conv_id") % 90, F.lit(" or "), F.upper("p_brand"), F.lit("?"))
+    return asked.join(part, "p_partkey").select(F.concat_ws("-", "conv_id", "turn").alias("q"), F.concat("text", F.lit(" Is the "), "p_name", code).alias("question"))
+
+
+def part_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select(F.explode(F.array("p_name", "p_brand", F.upper("p_type"), F.split_part("p_name", F.lit(" "), F.lit(2)), F.lit("Valve"))).alias("name")).distinct()
+
+
+@operator(
+    rf"""WITH {QUESTIONS}, known AS (SELECT lower(name) AS low, min(name) AS name FROM names WHERE length(name) >= 3 AND lower(name) NOT IN ({GENERAL_SQL})
+      AND (regexp_matches(name, '[ -]') OR (upper(name) = name AND lower(name) <> name) OR regexp_matches(name, '[0-9]') OR length(name) > 8) GROUP BY 1),
+    codes AS (SELECT q, unnest(c) AS name, unnest(range(len(c))) AS place FROM (SELECT q, regexp_extract_all(question, '\b([A-Z]{{1,4}}[-]?[0-9]{{1,5}})\b', 1) AS c FROM questions)),
+    found AS (SELECT q, low, name, 0 AS kind, 0 AS place FROM questions JOIN known ON contains(lower(question), low) UNION ALL SELECT q, lower(name), name, 1, place FROM codes),
+    firsts AS (SELECT * FROM found QUALIFY row_number() OVER (PARTITION BY q, low ORDER BY kind, place, name) = 1)
+    SELECT q, name, row_number() OVER (PARTITION BY q ORDER BY length(name) DESC, kind, place, name) AS k FROM firsts QUALIFY row_number() OVER (PARTITION BY q ORDER BY length(name) DESC, kind, place, name) <= 5"""
+)
+def e12_o14_names_in_all_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every user turn, against all names of parts, brands and types: the five longest names and codes."""
+    return entities.question_entities(part_questions(spark, sf_dir), "q", "question", part_names(spark, sf_dir))
+
+
+@operator(
+    f"""WITH {QUESTIONS}, d AS (SELECT DISTINCT lower(p_name) AS keyword, 'sys_' || split_part(lower(p_name), ' ', 2) AS code FROM part UNION SELECT DISTINCT lower(p_brand), 'brand_' || right(p_brand, 2) FROM part)
+    SELECT DISTINCT q, code FROM questions JOIN d ON contains(lower(question), keyword)"""
+)
+def e2_e7_p8_systems_of_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The systems that user turns name, by a dictionary of all parts and brands."""
+    part, low = table(spark, sf_dir, "part"), F.lower("p_name")
+    d = part.select(low.alias("keyword"), F.concat(F.lit("sys_"), F.split_part(low, F.lit(" "), F.lit(2))).alias("code")).union(part.select(F.lower("p_brand"), F.concat(F.lit("brand_"), F.right("p_brand", F.lit(2))))).distinct()
+    return entities.dictionary_hits(part_questions(spark, sf_dir), "q", "question", d)
+
+
 @operator(
     f"""WITH {SECTIONS}, r AS (SELECT DISTINCT doc_id, section_no, unnest(regexp_extract_all(content, '(?:Figure|Fig\\.)\\s*([0-9]+)', 1)) AS number FROM sections WHERE contains(content, 'Figure') OR contains(content, 'Fig.')),
     f AS (SELECT doc_id, 'fig-' || doc_id || '-' || (doc_id % 9) AS figure_id, 'Figure ' || (doc_id % 9) || ' of unit' AS caption FROM documents),

@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from doclattice.functions import answers as A
 from doclattice.functions import maths as M
 from doclattice.functions import text as T
-from doclattice.operators import chunking, graph
-from doclattice.operators.small import sent
+from doclattice.operators import chunking, entities, graph
 from doclattice.plans.base import BOXES, LINES, SECTIONS, operator
 from doclattice.plans.structure_queries import MATRIX
 from doclattice.sources import files
@@ -59,8 +58,8 @@ SYSTEMS = "(VALUES ('sys_ring', 'ring'), ('sys_bolt', 'bolt'), ('sys_heat', 'hot
 @operator(f"SELECT p_partkey, code FROM part JOIN {SYSTEMS} ON contains(lower(p_name), s.name)")
 def j9_e7_e11_part_of_system(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A component is part of the systems whose name its own holds. Systems are a stated dictionary."""
-    systems = spark.sql(f"SELECT * FROM {SYSTEMS}")
-    return table(spark, sf_dir, "part").join(sent(systems, only=True), F.contains(F.lower("p_name"), F.col("name"))).select("p_partkey", "code")
+    systems = spark.sql(f"SELECT name AS keyword, code FROM {SYSTEMS}")
+    return entities.dictionary_hits(table(spark, sf_dir, "part"), "p_partkey", "p_name", systems)
 
 
 @operator(
