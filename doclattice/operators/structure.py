@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from doclattice.functions import text as T
+from doclattice.operators import scan
 
 
 def merge_small(sections: DataFrame, order: str, least: int = 200) -> DataFrame:
@@ -15,11 +16,11 @@ def merge_small(sections: DataFrame, order: str, least: int = 200) -> DataFrame:
     skipped. Title and number come from the last member, the page from the first.
     """
     stripped = sections.withColumn("content", F.regexp_replace("content", r"^\s+|\s+$", "")).where("content <> ''")
-    over = Window.partitionBy("doc_id").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    island = F.coalesce(F.sum((F.length("content") >= least).cast("int")).over(over), F.lit(0))
+    long = F.length("content") >= least
+    counted = scan.running_count(stripped, long, "reached", ["doc_id"], order)
     parts = F.transform(F.sort_array(F.collect_list(F.struct(order, "content"))), lambda x: x["content"])
     return (
-        stripped.withColumn("island", island)
+        counted.withColumn("island", F.col("reached") - long.cast("long"))
         .groupBy("doc_id", "island")
         .agg(
             F.max_by("title", order).alias("title"),
@@ -31,12 +32,6 @@ def merge_small(sections: DataFrame, order: str, least: int = 200) -> DataFrame:
     )
 
 
-def fill_forward(rows: DataFrame, value: str, new: str, by: list[str], order: list[str]) -> DataFrame:
-    """The last value that is not null up to each row."""
-    over = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn(new, F.last(value, ignorenulls=True).over(over))
-
-
 def runs(rows: DataFrame, by: list[str], number: str) -> DataFrame:
     """Runs of consecutive numbers: by, first, last, length."""
     over = Window.partitionBy(*by).orderBy(number)
@@ -50,8 +45,7 @@ def as_of(left: DataFrame, right: DataFrame, by: list[str], at: str, value: str)
     both = left.select(*by, at, *cols, F.lit(None).cast(right.schema[value].dataType).alias(value), F.lit(1).alias("side")).unionByName(
         right.select(*by, at, *(F.lit(None).cast(left.schema[c].dataType).alias(c) for c in cols), value, F.lit(0).alias("side"))
     )
-    over = Window.partitionBy(*by).orderBy(at, "side").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn(value, F.last(value, ignorenulls=True).over(over)).where("side = 1").drop("side")
+    return scan.fill_forward(both, value, "__filled", by, [at, "side"]).where("side = 1").withColumn(value, F.col("__filled")).drop("side", "__filled")
 
 
 def toc_entries(rows: DataFrame) -> DataFrame:

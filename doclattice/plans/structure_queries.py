@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from doclattice.functions import ids
 from doclattice.functions import text as T
-from doclattice.operators import chunking, structure
+from doclattice.operators import chunking, scan, structure
 from doclattice.plans.base import LINES, NUMBERED, SECTIONS, operator
 from doclattice.sources.tables import lines, numbered_sections, sections, table
 
@@ -62,7 +62,7 @@ def t12_w3_merge_small_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def w5_current_chapter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = numbered_sections(lines(spark, sf_dir)).withColumn("chapter", F.when(F.col("header") & (F.pmod(F.floor(F.col("line_no") / 7), F.lit(2)) == 0), F.col("line")))
-    return structure.fill_forward(rows, "chapter", "current_chapter", ["doc_id"], ["line_no"]).select("doc_id", "line_no", "page", "current_chapter")
+    return scan.fill_forward(rows, "chapter", "current_chapter", ["doc_id"], ["line_no"]).select("doc_id", "line_no", "page", "current_chapter")
 
 
 @operator(

@@ -8,10 +8,11 @@ a figure reference. The operators run over the decorated lines unchanged.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from doclattice.functions import text as T
+from doclattice.operators import scan
 
 LINES_PER_PAGE = 10
 
@@ -34,8 +35,8 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def numbered_sections(rows: DataFrame) -> DataFrame:
     """Lines -> and header (boolean), section_no: the running count of headers in the document."""
     marked = rows.withColumn("header", T.is_header(F.col("line")))
-    over = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    return marked.withColumn("section_no", F.sum(F.col("header").cast("int")).over(over).cast("int"))
+    counted = scan.running_count(marked, F.col("header"), "section_no", ["doc_id"], "line_no")
+    return counted.withColumn("section_no", F.col("section_no").cast("int"))
 
 
 def sections(spark: SparkSession, sf_dir: str) -> DataFrame:

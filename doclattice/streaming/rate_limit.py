@@ -2,7 +2,9 @@
 
 Each key may have ``most`` granted requests in any trailing window; denied ones
 are not logged, so the result depends on all decisions before and is sequential
-within a key.
+within a key, up to the next gap of a window's length: after it the log is empty.
+A key is replayed as its bursts between such gaps, each in a task of its own. A burst
+is read in order by one task however long it is, as its state is the log's times.
 """
 
 from __future__ import annotations
@@ -11,9 +13,12 @@ from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from doclattice.operators.small import sent
+
 SCHEMA = "key string, at double, event_id long, allowed boolean, retry_after int"
 
 
@@ -26,23 +31,39 @@ def decide(log: deque, at: float, most: int, window: float) -> tuple[bool, int]:
     return False, int(log[0] + window - at) + 1 if log else int(window)
 
 
+def bursts(requests: DataFrame, window: float) -> DataFrame:
+    """requests with burst: the number of a key's gaps of at least a window before them, after each of which its log is empty.
+
+    Such a gap lies between two stretches of a window's length, of which each key has one row with its first and last request; only these rows are ordered by key.
+    """
+    dealt = requests.withColumn("stretch", F.floor(F.col("at") / window))
+    ends = dealt.groupBy("key", "stretch").agg(F.min("at").alias("first"), F.max("at").alias("last"))
+    in_order = Window.partitionBy("key").orderBy("stretch")
+    gap = F.coalesce(F.lag("last").over(in_order) <= F.col("first") - window, F.lit(False))
+    numbered = ends.select("key", "stretch", gap.cast("long").alias("gap")).withColumn("burst", F.sum("gap").over(in_order)).select("key", "stretch", "burst")
+    return dealt.join(sent(numbered.persist(StorageLevel.MEMORY_AND_DISK)), ["key", "stretch"]).drop("stretch")
+
+
 def replay(requests: DataFrame, most: int, window: float) -> DataFrame:
-    """requests (key, at in seconds, event_id) -> and allowed, retry_after. Keys are independent; one key is read in order, batch by batch."""
+    """requests (key, at in seconds, event_id) -> and allowed, retry_after.
+
+    Keys are independent, and so are a key's bursts; one burst is read in order, batch by batch.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, log = None, deque()
         for g in batches:
             allowed, retry = [], []
-            for k, at in zip(g.key, g["at"]):
-                if k != key:
-                    key, log = k, deque()
+            for k, b, at in zip(g.key, g.burst, g["at"]):
+                if (k, b) != key:
+                    key, log = (k, b), deque()
                 ok, wait = decide(log, at, most, window)
                 allowed.append(ok)
                 retry.append(wait)
-            yield g.assign(allowed=allowed, retry_after=retry)
+            yield g.assign(allowed=allowed, retry_after=retry).drop(columns="burst")
 
-    ordered = requests.select("key", F.col("at").cast("double"), "event_id").repartition("key").sortWithinPartitions("key", "at", "event_id")
-    return ordered.mapInPandas(run, SCHEMA)
+    found = bursts(requests.select("key", F.col("at").cast("double"), "event_id"), window)
+    return found.repartition("key", "burst").sortWithinPartitions("key", "burst", "at", "event_id").mapInPandas(run, SCHEMA)
 
 
 def stream(requests: DataFrame, most: int, window: float) -> DataFrame:
