@@ -18,8 +18,18 @@ EVALUATION = """question string, answer struct<answer_text: string, citations: a
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder's name below the shared folder that the session names; the warehouse if it names none."""
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or spark.conf.get('spark.sql.warehouse.dir')}/scratch-{uuid.uuid4().hex}"
+    """A new folder's name below the shared folder that the session names; below the warehouse if it names none and all of Spark is one process."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"{shared or spark.conf.get('spark.sql.warehouse.dir')}/scratch-{uuid.uuid4().hex}"
+
+
+def written(rows: DataFrame) -> DataFrame:
+    """rows as a table in a new shared folder, so that what reads them begins there."""
+    folder = scratch(rows.sparkSession)
+    rows.write.parquet(folder)
+    return rows.sparkSession.read.schema(rows.schema).parquet(folder)
 
 
 def binary_files(spark: SparkSession, path: str) -> DataFrame:
