@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from doclattice.functions import maths as M
 from doclattice.functions import text as T
-from doclattice.operators import entities, graph
+from doclattice.operators import entities, graph, scroll
 from doclattice.operators.small import sent
 from doclattice.plans.base import BOXES, SECTIONS, operator
+from doclattice.sources import files
 from doclattice.sources.tables import boxes, sections, table
 
 VIEWS = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"]
@@ -153,6 +154,27 @@ def s20_o16_scroll(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", "source").orderBy("doc_id").offset(10).limit(20)
 
 
+@operator(
+    """WITH k AS (SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 50 + 1 AS page FROM (SELECT DISTINCT doc_id FROM documents WHERE lang = 'en'))
+    SELECT page, min(doc_id) AS "first", max(doc_id) AS "last", count(*) AS rows FROM k JOIN (SELECT doc_id FROM documents WHERE lang = 'en') USING (doc_id) GROUP BY page"""
+)
+def s20_o16_cursors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cursors of all pages of a filtered table: a page is what stands between two of them."""
+    whole = scroll.build(table(spark, sf_dir, "documents").select("doc_id", "lang", "source"), "doc_id", files.scratch(spark))
+    return whole.cursors(50, F.col("lang") == "en").select(F.col("page").cast("long").alias("page"), "first", "last", "rows")
+
+
+@operator(
+    """WITH k AS (SELECT doc_id, source FROM documents WHERE lang = 'en' AND doc_id > (SELECT doc_id FROM documents WHERE lang = 'en' ORDER BY doc_id OFFSET 9 LIMIT 1) ORDER BY doc_id LIMIT 20) SELECT * FROM k"""
+)
+def s20_page_behind_a_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second page of a filtered table, from the last key of the first one."""
+    whole = scroll.build(table(spark, sf_dir, "documents").select("doc_id", "lang", "source"), "doc_id", files.scratch(spark))
+    ok = F.col("lang") == "en"
+    cursor = whole.page(10, None, ok).agg(F.max("doc_id")).first()[0]
+    return whole.page(20, cursor, ok).select("doc_id", "source")
+
+
 @operator(
     """SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS dot, len(list_filter(a.embedding, lambda x: x > 0)) AS positives FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1"""
 )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from doclattice.plans import answer_queries, base, fulltext_queries, graph_queries, more_queries, question_queries, search_queries, source_queries, structure_queries  # noqa: F401
+from doclattice.plans import answer_queries, base, figure_queries, fulltext_queries, graph_queries, more_queries, question_queries, search_queries, source_queries, structure_queries  # noqa: F401
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
