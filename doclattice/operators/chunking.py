@@ -159,30 +159,3 @@ def valid_matrix(m: Column) -> Column:
         & (F.size(cells) >= 4)
         & (chars <= 150 * F.size(cells))
     )
-
-
-def keep_first_boxes(boxes: DataFrame, by: list[str], order: str, most: float = 0.7) -> DataFrame:
-    """Greedily in order: a box stays unless it overlaps one that stays by more than this share (intersection over union).
-
-    Groups are read one after the other from sorted partitions, so that many small ones cost no call each.
-    """
-
-    def run(batches):
-        key, kept = None, []
-        for g in batches:
-            stay = []
-            for k, x0, y0, x1, y1 in zip(zip(*(g[c] for c in by)), g.x0, g.y0, g.x1, g.y1):
-                if k != key:
-                    key, kept = k, []
-                ok = True
-                for a0, b0, a1, b1 in kept:
-                    w, h = min(x1, a1) - max(x0, a0), min(y1, b1) - max(y0, b0)
-                    if w > 0 and h > 0 and w * h > most * ((x1 - x0) * (y1 - y0) + (a1 - a0) * (b1 - b0) - w * h):
-                        ok = False
-                        break
-                stay.append(ok)
-                if ok:
-                    kept.append((x0, y0, x1, y1))
-            yield g[stay]
-
-    return boxes.repartition(*by).sortWithinPartitions(*by, order).mapInPandas(run, boxes.schema)

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from doclattice.functions import maths as M
-
 
 def ancestors(nodes: DataFrame, edges: DataFrame, node: str, most: int = 5) -> DataFrame:
     """node, ancestor, depth along edges (child, parent), up to so many hops; each node is its own at depth 0.
@@ -53,29 +51,6 @@ def orphans(nodes: DataFrame, edges: DataFrame, key: str, end: str) -> DataFrame
     return nodes.join(edges.select(F.col(end).alias(key)).distinct(), key, "left_anti")
 
 
-def link_by_place(figures: DataFrame, tables: DataFrame, slack: float = 0.05, gap: float = 150.0) -> DataFrame:
-    """Figures with tables of their page that lie inside of them, or below them within the gap.
-
-    Document and page are the join's keys; place is what is left to test.
-    """
-    f = figures.select("doc_id", "page", F.col("box_id").alias("figure_id"), F.col("box").alias("f"))
-    t = tables.select("doc_id", "page", F.col("box_id").alias("table_id"), F.col("box").alias("t"))
-    below = F.col("t.y0") - F.col("f.y1")
-    held = M.inside(F.col("t"), F.col("f"), slack)
-    return f.join(t, ["doc_id", "page"]).where(held | ((below > 0) & (below < gap))).select("doc_id", "page", "figure_id", "table_id", F.when(held, "inside").otherwise("below").alias("relation"))
-
-
-def nearest_caption(figures: DataFrame, captions: DataFrame, most: float = 100.0) -> DataFrame:
-    """Each figure's nearest caption on its page: the vertical gap, and twice the horizontal one where they are apart."""
-    f = figures.select("doc_id", "page", F.col("box_id").alias("figure_id"), F.col("box").alias("f"))
-    c = captions.select("doc_id", "page", F.col("box_id").alias("caption_id"), F.col("box").alias("c"))
-    v = F.greatest(F.col("c.y0") - F.col("f.y1"), F.col("f.y0") - F.col("c.y1"), F.lit(0.0))
-    h = F.greatest(F.col("c.x0") - F.col("f.x1"), F.col("f.x0") - F.col("c.x1"), F.lit(0.0))
-    near = f.join(c, ["doc_id", "page"]).withColumn("distance", v + 2 * h).where(F.col("distance") < most)
-    best = near.groupBy("doc_id", "page", "figure_id").agg(F.min(F.struct("distance", "caption_id")).alias("b"))
-    return best.select("doc_id", "page", "figure_id", "b.caption_id", F.col("b.distance").alias("distance"))
-
-
 def neighbours(rows: DataFrame, by: list[str], at: str, value: str, reach: int = 1) -> DataFrame:
     """The values of rows within so many steps of ``at`` (by value, so gaps count), in order."""
     over = Window.partitionBy(*by).orderBy(at).rangeBetween(-reach, reach)

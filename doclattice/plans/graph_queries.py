@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from doclattice.functions import maths as M
-from doclattice.operators import chunking, entities, graph
+from doclattice.operators import chunking, entities, graph, grid
 from doclattice.plans.base import BOXES, SECTIONS, operator
 from doclattice.sources.tables import boxes, sections, table
 
@@ -214,7 +214,7 @@ def a2_per_document_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def j7_m5_figures_to_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = boxes(spark, sf_dir)
-    return graph.link_by_place(b.where("kind = 'figure'"), b.where("kind = 'table'"))
+    return grid.link_by_place(b.where("kind = 'figure'"), b.where("kind = 'table'"))
 
 
 @operator(
@@ -226,7 +226,7 @@ def j7_m5_figures_to_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def j17_t22_nearest_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = boxes(spark, sf_dir)
-    return graph.nearest_caption(b.where("kind = 'figure'"), b.where("kind = 'table'"))
+    return grid.nearest_caption(b.where("kind = 'figure'"), b.where("kind = 'table'"))
 
 
 @operator(
@@ -264,7 +264,7 @@ def t21_region_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @operator()
 def t6_keep_first_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = boxes(spark, sf_dir).where("kind = 'table'").select("doc_id", "page", "box_id", "box.*")
-    return chunking.keep_first_boxes(b, ["doc_id", "page"], "box_id", 0.3).select("doc_id", "page", "box_id")
+    return grid.keep_first(b, ["doc_id", "page"], "box_id", 0.3).select("doc_id", "page", "box_id")
 
 
 DICTIONARY = "(VALUES ('ring', 'sys_ring'), ('bolt', 'sys_fastener'), ('gear', 'sys_drive'), ('rod', 'sys_drive'), ('hot', 'sys_heat')) AS d(keyword, code)"

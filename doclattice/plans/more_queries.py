@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from doclattice.functions import answers as A
 from doclattice.functions import maths as M
 from doclattice.functions import text as T
-from doclattice.operators import chunking, entities, graph
+from doclattice.operators import chunking, entities, graph, grid
 from doclattice.plans.base import BOXES, LINES, SECTIONS, operator
 from doclattice.plans.structure_queries import MATRIX
 from doclattice.sources import files
@@ -176,7 +176,7 @@ def t25_figures_with_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Figures with the ids of the tables that lie inside of them."""
     b = boxes(spark, sf_dir)
     figures = b.where("kind = 'figure'")
-    held = graph.link_by_place(figures, b.where("kind = 'table'")).where("relation = 'inside'")
+    held = grid.link_by_place(figures, b.where("kind = 'table'")).where("relation = 'inside'")
     ids = held.groupBy("doc_id", "page", "figure_id").agg(F.array_join(F.sort_array(F.collect_list("table_id")), ",").alias("table_ids"))
     all_figures = figures.select("doc_id", "page", F.col("box_id").alias("figure_id"))
     return all_figures.join(ids, ["doc_id", "page", "figure_id"], "left").select(

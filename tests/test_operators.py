@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from doclattice.functions import answers as A
 from doclattice.functions import ids
 from doclattice.functions import text as T
-from doclattice.operators import chunking, entities, graph, search, structure
+from doclattice.operators import chunking, entities, graph, grid, search, structure
 from doclattice.operators.small import sent
 from doclattice.plans import registry
 from doclattice.plans.answer_queries import VIEWS, read_only
@@ -140,7 +140,7 @@ def test_sent_is_checked(spark):
 
 def test_keep_first_boxes(spark):
     rows = [(1, 0, 0.0, 0.0, 10.0, 10.0), (1, 1, 1.0, 0.0, 11.0, 10.0), (1, 2, 2.0, 0.0, 12.0, 10.0), (2, 3, 1.0, 0.0, 11.0, 10.0)]
-    got = chunking.keep_first_boxes(spark.createDataFrame(rows, "page int, k int, x0 double, y0 double, x1 double, y1 double"), ["page"], "k", 0.7)
+    got = grid.keep_first(spark.createDataFrame(rows, "page int, k int, x0 double, y0 double, x1 double, y1 double"), ["page"], "k", 0.7)
     assert sorted(r.k for r in got.collect()) == [0, 2, 3]  # 1 falls to 0; 2 overlaps 0 by 0.67 only
 
 
