@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from doclattice.functions import maths as M
 from doclattice.functions import text as T
-from doclattice.operators import cells, filters, order_statistics, search
+from doclattice.operators import attribution, cells, filters, order_statistics, search
 from doclattice.plans.base import operator
 from doclattice.plans.graph_queries import TAGGED, section_tags
 from doclattice.sources import files
@@ -145,19 +145,17 @@ o AS (SELECT item_id, doc_id, len(list_intersect(b.p, d.p)) AS common, len(b.p)
 s AS (SELECT *, common / phrases::DOUBLE AS overlap FROM o)"""
 
 
-def overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+def overlap_texts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     fold = lambda c: F.replace(c, F.lit("ß"), F.lit("ss"))
     b = table(spark, sf_dir, "benchmark").select("item_id", fold(F.col("text")).alias("answer"))
-    d = table(spark, sf_dir, "documents").select("doc_id", fold(F.col("text")).alias("context"))
-    return search.overlap_scores(b, d, "item_id", "doc_id")
+    return b, table(spark, sf_dir, "documents").select("doc_id", fold(F.col("text")).alias("context"))
 
 
 @operator(f"WITH {OVERLAP}, r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY overlap DESC, doc_id) AS k FROM s) SELECT item_id, doc_id, round(overlap, 6) AS overlap, k FROM r WHERE (overlap > 0.03 OR k <= 2) AND k <= 5")
 def r23_o10_u5_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contexts cited by an answer: those with over 3 % of its phrases, two in any case, five at most."""
-    over = Window.partitionBy("item_id").orderBy(F.col("overlap").desc(), "doc_id")
-    ranked = overlaps(spark, sf_dir).withColumn("k", F.row_number().over(over))
-    return ranked.where(((F.col("overlap") > 0.03) | (F.col("k") <= 2)) & (F.col("k") <= 5)).select("item_id", "doc_id", F.round("overlap", 6).alias("overlap"), "k")
+    best = attribution.top_overlaps(*overlap_texts(spark, sf_dir), "item_id", "doc_id", 5)
+    return best.where((F.col("overlap") > 0.03) | (F.col("k") <= 2)).select("item_id", "doc_id", F.round("overlap", 6).alias("overlap"), "k")
 
 
 @operator(
