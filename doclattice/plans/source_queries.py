@@ -6,21 +6,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from doclattice.plans.base import operator
-from doclattice.sources import files
-from doclattice.sources.objects import ObjectStore, ensure_tables
+from doclattice.sources import files, objects
+from doclattice.sources.objects import ensure_tables
 from doclattice.sources.tables import table
 from doclattice.streaming import ingest
 
 
 @operator(
-    """SELECT * FROM (VALUES ('fuel', 'sys_fuel'), ('hfo', 'sys_fuel'), ('heavy fuel', 'sys_fuel'), ('air', 'sys_air'), ('missing files', '0')) AS d(keyword, code)"""
+    """WITH p AS (SELECT lower(p_name) AS name, split_part(lower(p_name), ' ', 2) AS noun FROM part)
+    SELECT DISTINCT name AS keyword, 'sys_' || noun AS code FROM p UNION SELECT noun, 'sys_' || noun FROM p UNION SELECT 'all ' || noun || 's', 'sys_' || noun FROM p UNION SELECT 'missing files', '0'"""
 )
 def s7_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A dictionary file of two systems, and how many entries a file has that isn't there."""
-    folder = files.scratch(spark)
-    system = lambda **kw: F.to_json(F.struct(*(F.lit(v).alias(k) if isinstance(v, str) else F.array(*map(F.lit, v)).alias(k) for k, v in kw.items())))
-    fuel, air = system(code="sys_fuel", canonical="Fuel", keywords=["HFO"], aliases=["Heavy fuel"]), system(canonical="Air", keywords=["air"])
-    spark.range(1).select(F.concat(F.lit('{"systems": {"fuel": '), fuel, F.lit(', "air": '), air, F.lit('}, "components": {}}')).alias("value")).coalesce(1).write.text(folder)
+    """A dictionary file of systems, one for each noun of the parts' names, read back; and how many entries a file has that isn't there."""
+    folder, noun = files.scratch(spark), F.split_part(F.lower("p_name"), F.lit(" "), F.lit(2))
+    systems = table(spark, sf_dir, "part").groupBy(noun.alias("noun")).agg(F.sort_array(F.collect_set(F.upper("p_name"))).alias("keywords"))
+    entry = F.struct(
+        F.concat(F.lit("sys_"), "noun").alias("code"), F.initcap("noun").alias("canonical"), "keywords", F.array(F.concat(F.lit("All "), "noun", F.lit("s"))).alias("aliases")
+    )
+    # A dictionary is one file, as what reads it expects one: names of parts repeat, so it has few.
+    whole = systems.agg(F.map_from_entries(F.collect_list(F.struct("noun", entry))).alias("systems"))
+    whole.select(F.to_json(F.struct("systems")).alias("value")).coalesce(1).write.text(folder)
     missing = files.dictionary(spark, f"{folder}/none.json").agg(F.lit("missing files").alias("keyword"), F.count(F.lit(1)).cast("string").alias("code"))
     return files.dictionary(spark, folder).unionByName(missing)
 
@@ -49,17 +54,19 @@ def s21_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("event_type string, n long, mean double").json(folder)
 
 
-@operator("SELECT * FROM (VALUES ('a/one.txt', 3, true, true, false), ('b/empty', 0, true, true, false), ('c/none', -1, false, false, false)) AS s(key, size, existed, deleted, there)")
+@operator(
+    """SELECT page_id, strlen(coalesce(html, '')) AS bytes, md5(coalesce(html, '')) AS digest, page_id % 3 = 0 AS deleted, page_id % 3 <> 0 AS there FROM pages"""
+)
 def s12_object_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Objects saved, read, deleted and looked for. Three stated ones."""
-    store = ObjectStore(spark, files.scratch(spark))
-    store.save("a/one.txt", b"one")
-    store.save("b/empty", b"")
-    rows = []
-    for key in ("a/one.txt", "b/empty", "c/none"):
-        existed = store.exists(key)
-        rows.append((key, len(store.get(key)) if existed else -1, existed, store.delete(key), store.exists(key)))
-    return spark.createDataFrame(rows, "key string, size int, existed boolean, deleted boolean, there boolean")
+    """Every page's html as an object, written and read by tasks; a third of them deleted, and what is there after that."""
+    root, key = files.scratch(spark), F.concat_ws("/", F.lit("pages"), F.pmod(F.col("page_id"), F.lit(16)), F.concat(F.col("page_id"), F.lit(".html")))
+    rows = table(spark, sf_dir, "pages").select("page_id", key.alias("key"), F.encode(F.coalesce("html", F.lit("")), "utf-8").alias("data"))
+    saved = files.written(objects.save_all(rows, root))
+    read = files.written(objects.read_all(spark, root).select("key", F.md5("content").alias("digest")))
+    gone = files.written(objects.delete_all(rows.where("page_id % 3 = 0").select("key"), root))
+    there = objects.read_all(spark, root).select("key", F.lit(True).alias("there"))
+    found = rows.select("page_id", "key").join(saved, "key").join(read, "key").join(gone, "key", "left").join(there, "key", "left")
+    return found.select("page_id", "bytes", "digest", F.coalesce("deleted", F.lit(False)).alias("deleted"), F.coalesce("there", F.lit(False)).alias("there"))
 
 
 COLLECTIONS = {
@@ -69,12 +76,20 @@ COLLECTIONS = {
 }
 
 
-@operator("SELECT * FROM (VALUES ('doclattice_text_chunks', 3, 0), ('doclattice_table_chunks', 4, 0), ('doclattice_figures', 3, 0)) AS t(name, columns, made_again)")
+@operator(
+    """SELECT CASE vec_id % 3 WHEN 0 THEN 'doclattice_text_chunks' WHEN 1 THEN 'doclattice_table_chunks' ELSE 'doclattice_figures' END AS name, count(*) AS rows, count(DISTINCT label) AS documents, 0 AS made_again FROM embeddings GROUP BY 1"""
+)
 def s18_collections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tables for vectors, made where they are missing; a second call makes none."""
+    """Tables for vectors, made where they are missing and filled with all embeddings by kind; a second call makes none."""
     ensure_tables(spark, COLLECTIONS)
-    again = ensure_tables(spark, COLLECTIONS)
-    return spark.createDataFrame([(n, len(spark.table(n).columns), int(n in again)) for n in COLLECTIONS], "name string, columns int, made_again int")
+    again, e, found = ensure_tables(spark, COLLECTIONS), table(spark, sf_dir, "embeddings"), None
+    for k, name in enumerate(COLLECTIONS):
+        own = e.where(F.col("vec_id") % 3 == k).select(F.col("vec_id").cast("string").alias("id"), F.col("label").cast("string").alias("doc_id"), F.col("embedding").alias("vector"))
+        columns = [F.col("id") if c.endswith("_id") and c != "doc_id" else F.col(c) for c in spark.table(name).columns]
+        own.select(*columns).write.insertInto(name, overwrite=True)
+        held = spark.table(name).agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("rows"), F.countDistinct("doc_id").alias("documents"), F.lit(int(name in again)).alias("made_again"))
+        found = held if found is None else found.unionByName(held)
+    return found
 
 
 @operator("SELECT event_type, count(*) AS n, count(DISTINCT event_id) AS events FROM events GROUP BY event_type")
