@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from doclattice.functions import ids
 from doclattice.functions import text as T
-from doclattice.operators import chunking, scan, structure
+from doclattice.operators import chunking, scan, structure, text_tables
 from doclattice.plans.base import LINES, NUMBERED, SECTIONS, operator
 from doclattice.sources.tables import lines, numbered_sections, sections, table
 
@@ -220,6 +220,21 @@ def p17_valid_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matrices(spark, sf_dir).select("doc_id", F.size("m").alias("n_rows"), chunking.valid_matrix(F.col("m")).alias("valid"))
 
 
+def padded_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines, those of five in ten as three words in columns."""
+    words, n = T.words(F.col("line")), F.pmod(F.col("line_no"), F.lit(10))
+    pad = lambda k, width: F.rpad(F.coalesce(F.get(words, F.lit(k)), F.lit("-")), F.greatest(F.lit(width), F.length(F.coalesce(F.get(words, F.lit(k)), F.lit("-"))) + 2), " ")
+    row = F.concat(pad(0, 14), pad(1, 10), F.coalesce(F.get(words, F.lit(2)), F.lit("end")))
+    return lines(spark, sf_dir).select("doc_id", "line_no", F.when(n.isin(2, 3, 4, 5, 8), row).otherwise(F.col("line")).alias("line"))
+
+
+@operator()
+def t7_t5_p17_t3_page_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables in the text of pages: columns by gaps, trimmed, tested and packed into chunks."""
+    found = text_tables.text_tables(padded_lines(spark, sf_dir), ["doc_id"])
+    return found.select("doc_id", "first_line", "rows", "cols", F.md5(F.array_join(chunking.table_chunks(F.col("matrix")), "\n\n")).alias("digest"))
+
+
 @operator()
 def t3_t5_table_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = matrices(spark, sf_dir).select("doc_id", F.posexplode(chunking.table_chunks(F.col("m"))).alias("chunk_index", "chunk"))
