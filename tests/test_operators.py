@@ -134,8 +134,6 @@ def test_mean_vectors(spark):
 def test_sent_is_checked(spark):
     assert "broadcast" in sent(spark.range(5), 5)._jdf.queryExecution().logical().toString().lower()
     assert "broadcast" not in sent(spark.range(6), 5)._jdf.queryExecution().logical().toString().lower()
-    with pytest.raises(ValueError):
-        sent(spark.range(6), 5, only=True)
 
 
 def test_keep_first_boxes(spark):
