@@ -17,8 +17,8 @@ range, and reads on past the range's end to complete the last one.
 
 Nulls: a null html is an empty payload. A null page_id never stands for others
 by smallness (it orders last) and is read back as null; among several rows with
-one page_id and payload the first in the order of url is the response, among
-rows alike in all three the first that the scan reads. A null
+one page_id and payload the first in the order of url is the response; of rows
+alike in all three one is, and the others are revisits of it. A null
 url is written as an empty target. Empty tables give an empty archive. Extra
 columns are ignored.
 """
@@ -32,9 +32,11 @@ import zlib
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from doclattice.llm.common import let
+
 MAGIC = b"\x1f\x8b\x08"
 VERSION = b"WARC/1.0\r\n"
 TYPES = {b"response", b"revisit", b"request", b"warcinfo", b"resource", b"metadata", b"conversion", b"continuation"}
@@ -47,35 +49,61 @@ MOST_TASKS = 20_000
 BROADCAST_DIGESTS = 100_000
 
 
-def digests(pages: DataFrame, least: int = 0) -> DataFrame:
-    """pages -> page_id, url, payload, payload_digest, record_type, refers_to."""
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+#: Revisits of one row's alike copies that a task makes.
+ALIKE = 10_000
 
-    def run(batches):
-        for b in batches:
-            data = [base64.b32encode(hashlib.sha1(x or b"").digest()).decode() for x in b["payload"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(data, pa.string())], names=[*b.schema.names, "payload_digest"])
 
+def base32_sha1(data: Column) -> Column:
+    """The SHA-1 of bytes in base32, by built-in functions: five hexadecimal digits make four letters."""
+
+    def letters(hexadecimal: Column) -> Column:
+        parts = []
+        for g in range(8):
+            value = F.conv(F.substring(hexadecimal, 5 * g + 1, 5), 16, 10).cast("int")
+            parts += [F.substring(F.lit(ALPHABET), F.shiftright(value, shift).bitwiseAND(31) + 1, F.lit(1)) for shift in (15, 10, 5, 0)]
+        return F.concat(*parts)
+
+    return let(F.sha1(data), letters)
+
+
+def digests(pages: DataFrame, least: int = 0) -> DataFrame:
+    """pages -> page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to.
+
+    Which row of a digest is first follows from what rows hold alone, so a repeated task decides as before. Rows alike in all of it are one response, and
+    revisits made from their number.
+    """
     rows = pages.select("page_id", "url", F.coalesce(F.encode("html", "utf-8"), F.lit(b"")).alias("payload"))
-    dug = rows.mapInArrow(run, "page_id long, url string, payload binary, payload_digest string")
-    # Which row of each digest is first: from narrow rows, aggregated before the shuffle. The last tie is the row's number in its scan.
-    dug = dug.withColumn("place", F.struct(F.col("page_id").isNull().alias("n"), F.col("page_id").alias("p"), F.coalesce("url", F.lit("")).alias("u"), F.monotonically_increasing_id().alias("row")))
-    long = F.octet_length("payload") >= least
-    first = dug.where(long).groupBy(F.col("payload_digest").alias("d")).agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("d", "first").checkpoint()
+    place = F.struct(F.col("page_id").isNull().alias("n"), F.col("page_id").alias("p"), F.coalesce("url", F.lit("")).alias("u"))
+    dug = rows.select("*", F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("payload_digest"), place.alias("place"))
+    long = F.col("payload_bytes") >= least
+    # From narrow rows, aggregated before the shuffle: the first place of each digest, and how many rows are alike there.
+    places = dug.where(long).groupBy(F.col("payload_digest").alias("d"), "place").agg(F.count(F.lit(1)).alias("c"))
+    least_place = places.groupBy("d").agg(F.min(F.struct("place", "c")).alias("f"), F.sum("c").alias("rows")).where("rows > 1")
+    first = least_place.select("d", F.col("f.place").alias("first"), F.col("f.c").alias("alike")).checkpoint()
     few = first.count() <= BROADCAST_DIGESTS
-    numbered = dug.join(F.broadcast(first) if few else first, (F.col("payload_digest") == F.col("d")) & long, "left")
-    revisit = F.col("d").isNotNull() & (F.col("place") != F.col("first"))
-    return numbered.select(
-        "page_id",
-        "url",
-        "payload",
-        "payload_digest",
-        F.when(revisit, "revisit").otherwise("response").alias("record_type"),
-        F.when(revisit, F.col("first.p")).alias("refers_to"),
+    found = dug.join(F.broadcast(first) if few else first, (F.col("payload_digest") == F.col("d")) & long, "left")
+    is_first = F.coalesce(F.col("place") == F.col("first"), F.lit(False))
+    columns = ["page_id", "url", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    revisit = F.col("d").isNotNull() & ~is_first
+    single = found.where(~is_first | (F.col("alike") == 1)).withColumns(
+        {"record_type": F.when(revisit, "revisit").otherwise("response"), "refers_to": F.when(revisit, F.col("first.p"))}
     )
-
-
-def record(page_id, url, payload: bytes, digest: str, kind: str, refers_to) -> bytes:
-    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
+    if first.where("alike > 1").isEmpty():
+        return single.select(*columns)
+    one = found.where(is_first & (F.col("alike") > 1)).groupBy("payload_digest").agg(*(F.first(c).alias(c) for c in ("page_id", "url", "payload", "payload_bytes", "alike")))
+    response = one.withColumns({"record_type": F.lit("response"), "refers_to": F.lit(None).cast("long")})
+    # Without payloads, and dealt over tasks however many there are.
+    parts = one.drop("payload").withColumn("part", F.explode(F.sequence(F.lit(0), F.floor((F.col("alike") - 2) / ALIKE)))).repartition("payload_digest", "part")
+    size = F.least(F.col("alike") - 1 - F.col("part") * ALIKE, F.lit(ALIKE))
+    again = parts.withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), size))).withColumns({"payload": F.lit(None).cast("binary"), "record_type": F.lit("revisit"), "refers_to": F.col("page_id")})
+    return single.select(*columns).unionByName(response.select(*columns)).unionByName(again.select(*columns))
+
+
+def record(page_id, url, payload: bytes | None, digest: str, kind: str, refers_to, size: int | None = None) -> bytes:
+    """size: of the payload, where a revisit comes without it."""
+    size = len(payload) if size is None else size
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % size
     body = http + (payload if kind == "response" else b"")
     head = [
         f"WARC-Type: {kind}",
@@ -85,7 +113,7 @@ def record(page_id, url, payload: bytes, digest: str, kind: str, refers_to) -> b
         f"WARC-Payload-Digest: sha1:{digest}",
         "Content-Type: application/http;msgtype=response",
         f"Content-Length: {len(body)}",
-        f"X-Payload-Bytes: {len(payload)}",
+        f"X-Payload-Bytes: {size}",
     ]
     if page_id is not None:
         head.append(f"X-Page-ID: {page_id}")
@@ -120,7 +148,7 @@ def write_archive(records: DataFrame, folder: str) -> DataFrame:
                 if out is None:
                     files.create_dir(path, recursive=True)
                     out = files.open_output_stream(name, compression=None)
-                data = gzip_member(record(r["page_id"], r["url"], r["payload"], r["payload_digest"], r["record_type"], r["refers_to"]))
+                data = gzip_member(record(r["page_id"], r["url"], r["payload"], r["payload_digest"], r["record_type"], r["refers_to"], r["payload_bytes"]))
                 out.write(data)
                 count, size = count + 1, size + len(data)
         if out is not None:

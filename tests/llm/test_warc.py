@@ -45,6 +45,21 @@ def test_round_trip(spark, tmp_path, split):
     assert set(seen.values()) == {1} and seen.keys() == {h or "" for _, _, h, _, _ in ROWS}
 
 
+def test_alike_rows_after_a_shuffle_are_one_response(spark, monkeypatch):
+    """Rows alike in all, dealt anew each time that they are read, and more of them than a task makes."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(warc, "ALIKE", 7)
+    rows = [(1, "u1", "same")] * 40 + [(2, "u2", "same")] * 3 + [(3, None, "other")] * 2 + [(None, "n", "alone")] * 2 + [(4, "u4", "short")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5, F.rand())
+    got = warc.digests(queries.prepare(spark) and pages).collect()
+    assert len(got) == len(rows) and sorted((r.page_id or 0, r.record_type, r.refers_to or 0) for r in got) == sorted(
+        [(1, "response", 0)] + [(1, "revisit", 1)] * 39 + [(2, "revisit", 1)] * 3 + [(3, "response", 0), (3, "revisit", 3), (0, "response", 0), (0, "revisit", 0), (4, "response", 0)]
+    )
+    assert all(bytes(r.payload).decode() in ("same", "other", "alone", "short") for r in got if r.record_type == "response")
+    assert {r.payload_bytes for r in got if r.page_id == 1} == {4} and {r.payload_digest for r in got if r.page_id == 1} == {digest("same")}
+
+
 def test_short_payloads_are_all_responses(spark):
     got = warc.digests(spark.createDataFrame(ROWS, SCHEMA), least=5).collect()
     assert all(r.record_type == "response" for r in got) and len(got) == len(ROWS)
