@@ -83,7 +83,7 @@ def strip_controls(text: Column) -> Column:
 
 
 def safe_name(text: Column, most: int = 100) -> Column:
-    return F.left(F.regexp_replace(text, r"[^A-Za-z0-9_\-.]", "_"), F.lit(most))
+    return F.left(F.regexp_replace(text, r"[^\p{L}\p{N}_\-.]", "_"), F.lit(most))
 
 
 def short_title(raw: Column) -> Column:

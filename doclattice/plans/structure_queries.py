@@ -129,7 +129,7 @@ def p13_p22_junk_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 @operator(
     r"""SELECT doc_id, regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '[\x00-\x09\x0B-\x1F]', '', 'g') AS clean,
       CASE WHEN length(text) > 60 THEN regexp_replace(left(text, 60), ' [^ ]*$', '') || '...' ELSE text END AS cut,
-      length(text) // 4 AS tokens, left(regexp_replace(text, '[^A-Za-z0-9_\-.]', '_', 'g'), 100) AS name,
+      length(text) // 4 AS tokens, left(regexp_replace(text, '[^\p{L}\p{N}_\-.]', '_', 'g'), 100) AS name,
       len(regexp_extract_all(text, '\S+')) AS n_words, md5(text) AS md5, sha256(text) AS sha256, left(text, 500) AS preview FROM documents"""
 )
 def f1_f16_text_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
