@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from doclattice.functions import maths as M
-from doclattice.operators import chunking, entities, graph, grid
+from doclattice.operators import chunking, dictionary, entities, graph, grid
+from doclattice.operators.small import sent
 from doclattice.plans.base import BOXES, SECTIONS, operator
 from doclattice.sources.tables import boxes, sections, table
 
@@ -306,6 +307,22 @@ def j25_p9_p10_find_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.join(F.broadcast(wanted), F.contains(F.lower("name"), F.lower("wanted"))).select("wanted", "name")
 
 
+@operator(
+    """WITH n AS (SELECT DISTINCT name FROM (SELECT p_name AS name FROM part UNION ALL SELECT p_brand FROM part)), w AS (SELECT DISTINCT wanted FROM (SELECT unnest(string_split(upper(p_name), ' ')) AS wanted FROM part UNION ALL SELECT left(p_brand, 7) FROM part)),
+    r AS (SELECT wanted, name, row_number() OVER (PARTITION BY wanted ORDER BY length(name), name) AS k FROM w JOIN n ON contains(lower(name), lower(wanted))) SELECT wanted, name, k FROM r WHERE k <= 10"""
+)
+def j25_p8_o6_all_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten shortest names that hold each word of a name or beginning of a brand."""
+    part = table(spark, sf_dir, "part")
+    names = part.select(F.col("p_name").alias("name")).union(part.select("p_brand")).distinct()
+    wanted = part.select(F.explode(F.split(F.upper("p_name"), " ")).alias("wanted")).union(part.select(F.left("p_brand", F.lit(7)))).distinct()
+    lowered = names.select("name", F.lower("name").alias("low"))
+    hits = dictionary.keyword_hits(lowered, "name", "low", wanted.select(F.lower("wanted").alias("keyword")))
+    found = hits.join(sent(wanted.withColumn("keyword", F.lower("wanted"))), "keyword").select("wanted", "name")
+    over = Window.partitionBy("wanted").orderBy(F.length("name"), "name")
+    return found.withColumn("k", F.row_number().over(over)).where("k <= 10")
+
+
 @operator(
     """WITH b AS (SELECT p_partkey, p_name, p_type FROM part), one AS (SELECT p_partkey, p_name, 1 AS priority FROM b WHERE contains(p_name, 'hot') ORDER BY p_partkey LIMIT 10),
     two AS (SELECT p_partkey, p_name, 2 AS priority FROM b WHERE p_name LIKE 'cold%' ORDER BY p_partkey LIMIT 10), three AS (SELECT p_partkey, p_name, 3 AS priority FROM b WHERE p_type = 'SMALL' ORDER BY length(p_name), p_partkey LIMIT 10),
