@@ -42,10 +42,12 @@ def text_tables(lines: DataFrame, by: list[str], order: str = "line_no", text: s
     at = lambda k: F.array_join(F.transform(F.filter("cells", lambda c: c["column"] == k), lambda c: c["cell"]), " ")
     rows = cells.select(*of, order, F.transform(F.sequence(F.lit(1), width), at).alias("row"))
     blocks = rows.groupBy(*of).agg(F.min(order).alias("first_line"), F.sort_array(F.collect_list(F.struct(order, "row"))).alias("rows"))
-    ragged = F.transform("rows", lambda r: r["row"])
-    most = F.array_max(F.transform(ragged, F.size))
-    padded = F.transform(ragged, lambda r: F.concat(r, F.array_repeat(F.lit(""), most - F.size(r))))
-    trimmed = blocks.select(*by, "first_line", chunking.trim_matrix(padded).alias("matrix")).where(F.size("matrix") > 0)
-    wide = F.array_max(F.transform("matrix", F.size))
-    valid = trimmed.where(chunking.valid_matrix(F.col("matrix"))).where(F.size("matrix") * wide >= LEAST_CELLS)
-    return valid.select(*by, "first_line", F.size("matrix").alias("rows"), F.array_max(F.transform("matrix", F.size)).alias("cols"), "matrix")
+    # Each step as a column of its own (a generated one, which Spark does not put into what reads it), so that expressions do not grow by their uses.
+    once = lambda df, value, name: df.select(*by, "first_line", F.explode(F.array(value)).alias(name))
+    ragged = once(blocks, F.transform("rows", lambda r: r["row"]), "ragged")
+    wide = F.array_max(F.transform("ragged", F.size))
+    padded = once(ragged, F.transform("ragged", lambda r: F.concat(r, F.array_repeat(F.lit(""), wide - F.size(r)))), "padded")
+    trimmed = once(padded, chunking.trim_matrix(F.col("padded")), "matrix")
+    cols = F.array_max(F.transform("matrix", F.size))
+    valid = trimmed.where(F.size("matrix") > 0).where(chunking.valid_matrix(F.col("matrix"))).where(F.size("matrix") * cols >= LEAST_CELLS)
+    return valid.select(*by, "first_line", F.size("matrix").alias("rows"), cols.alias("cols"), "matrix")
