@@ -4,6 +4,9 @@ import re
 
 import pytest
 
+from pyspark.sql import functions as F
+
+from doclattice.functions.figures import matches_with_places
 from doclattice.operators import scan, text_tables
 from doclattice.plans import registry
 from doclattice.plans.structure_queries import padded_lines
@@ -79,3 +82,10 @@ def test_query_finds_the_plain_tables(spark, sf_dir):
     want = {k: len(m) for k, m in plain(rows).items() if valid(m)}
     got = {(r.doc_id, r.first_line): r.rows for r in registry.queries()["t7_t5_p17_t3_page_tables"](spark, sf_dir).collect()}
     assert got.keys() <= want.keys() and len(got) >= 0.9 * len(want) > 20 and all(want[k] == n for k, n in got.items())
+
+
+def test_a_part_of_very_many_words(spark):
+    long = " ".join(["word"] * 200_000)
+    rows = spark.createDataFrame([(1, 0, long + "   b"), (1, 1, "c   d")], "doc_id long, line_no int, line string").withColumn("parts", matches_with_places(F.col("line"), F.lit(text_tables.PART)))
+    got = {r.line_no: [(p.match, p.start) for p in r.parts] for r in rows.collect()}
+    assert got == {0: [(long, 0), ("b", len(long) + 3)], 1: [("c", 0), ("d", 4)]}
