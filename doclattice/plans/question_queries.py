@@ -112,7 +112,7 @@ def r4_r5_r7_entity_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     q, key = asked(spark, sf_dir), ["conv_id", "turn"]
     names = table(spark, sf_dir, "part").select(F.lower("p_name").alias("name")).distinct()
-    words = F.regexp_extract_all(F.lower("question"), F.lit("[a-z0-9]+"), F.lit(0))
+    words = F.regexp_extract_all(T.lower(F.col("question")), F.lit("[a-z0-9]+"), F.lit(0))
     stop = F.array(*map(F.lit, A.QUERY_STOP_WORDS))
 
     def phrases(w, n, least):
