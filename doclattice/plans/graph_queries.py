@@ -11,7 +11,7 @@ from doclattice.functions import maths as M
 from doclattice.operators import chunking, dictionary, entities, graph, grid
 from doclattice.operators.small import sent
 from doclattice.plans.base import BOXES, SECTIONS, operator
-from doclattice.sources.tables import boxes, sections, table
+from doclattice.sources.tables import boxes, full_pages, sections, table
 
 TAGGED = SECTIONS + r""",
 tags AS (SELECT DISTINCT doc_id, section_no, unnest(regexp_extract_all(content, '\b([A-Z]{1,4})[-–]([0-9]{2,4}[A-Z]?)\b')) AS tag FROM sections)
@@ -215,7 +215,7 @@ def a2_per_document_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def j7_m5_figures_to_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = boxes(spark, sf_dir)
-    return grid.link_by_place(b.where("kind = 'figure'"), b.where("kind = 'table'"))
+    return grid.link_by_place(b.where("kind = 'figure'"), b.where("kind = 'table'"), crowds=full_pages(spark, sf_dir, grid.CROWD))
 
 
 @operator(
@@ -227,7 +227,7 @@ def j7_m5_figures_to_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def j17_t22_nearest_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = boxes(spark, sf_dir)
-    return grid.nearest_caption(b.where("kind = 'figure'"), b.where("kind = 'table'"))
+    return grid.nearest_caption(b.where("kind = 'figure'"), b.where("kind = 'table'"), crowds=full_pages(spark, sf_dir, grid.CROWD))
 
 
 @operator(
