@@ -12,7 +12,7 @@ from doclattice.operators import chunking, entities, graph, grid
 from doclattice.plans.base import BOXES, LINES, SECTIONS, operator
 from doclattice.plans.structure_queries import MATRIX
 from doclattice.sources import files
-from doclattice.sources.tables import boxes, lines, sections, table
+from doclattice.sources.tables import boxes, full_pages, lines, sections, table
 
 VALID_MATRICES = f"""{MATRIX}, sz AS (SELECT doc_id, m, list_transform(m, lambda r: len(r)) AS sizes, list_filter(flatten(m), lambda c: trim(c) <> '') AS cells FROM m),
 v AS (SELECT doc_id, coalesce(len(m) >= 2 AND list_max(sizes) - list_min(sizes) <= 0.4 * list_max(sizes) AND list_sum(sizes) >= 2 * len(m) AND len(cells) >= 0.25 * list_sum(sizes)
@@ -176,7 +176,7 @@ def t25_figures_with_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Figures with the ids of the tables that lie inside of them."""
     b = boxes(spark, sf_dir)
     figures = b.where("kind = 'figure'")
-    held = grid.link_by_place(figures, b.where("kind = 'table'")).where("relation = 'inside'")
+    held = grid.link_by_place(figures, b.where("kind = 'table'"), crowds=full_pages(spark, sf_dir, grid.CROWD)).where("relation = 'inside'")
     ids = held.groupBy("doc_id", "page", "figure_id").agg(F.array_join(F.sort_array(F.collect_list("table_id")), ",").alias("table_ids"))
     all_figures = figures.select("doc_id", "page", F.col("box_id").alias("figure_id"))
     return all_figures.join(ids, ["doc_id", "page", "figure_id"], "left").select(
