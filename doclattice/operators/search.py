@@ -116,6 +116,8 @@ def mean_vectors(rows: DataFrame, by: list[str], vector: str, size: int | None =
 
 #: Rows of a side of a block of vectors.
 BLOCK_VECTORS = 2048
+#: Sources of a block that are scored at a time.
+SLICE = 128
 
 
 def top_by_blocks(sources: DataFrame, targets: DataFrame, by: str, source: str, unlike: str, target: str, k: int, block: int = BLOCK_VECTORS) -> DataFrame:
@@ -151,12 +153,20 @@ def top_by_blocks(sources: DataFrame, targets: DataFrame, by: str, source: str,
             return pd.DataFrame(columns=out.names)
         unit = lambda vs: np.stack([np.asarray(v, float) for v in vs])
         q, p = unit(a["v"]), unit(b["v"])
-        length = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(p, axis=1)[None, :]
-        score = np.divide(q @ p.T, length, out=np.zeros_like(length), where=length > 0)
-        score[a[unlike].to_numpy()[:, None] == b[unlike].to_numpy()[None, :]] = -np.inf
-        best = np.argsort(-score, axis=1, kind="stable")[:, :k]
+        lengths, kinds = np.linalg.norm(p, axis=1)[None, :], b[unlike].to_numpy()[None, :]
+        most, scores = [], []
+        # A slice of sources at a time, so that what is held does not grow with the square of the block.
+        for at in range(0, len(q), SLICE):
+            of = slice(at, at + SLICE)
+            length = np.linalg.norm(q[of], axis=1)[:, None] * lengths
+            score = np.divide(q[of] @ p.T, length, out=np.zeros_like(length), where=length > 0)
+            score[a[unlike].to_numpy()[of, None] == kinds] = -np.inf
+            best = np.argsort(-score, axis=1, kind="stable")[:, :k]
+            most.append(best)
+            scores.append(np.take_along_axis(score, best, axis=1))
+        best, score = np.concatenate(most), np.concatenate(scores)
         rows, cols = np.repeat(np.arange(len(a)), best.shape[1]), best.ravel()
-        found = pd.DataFrame({by: a[by].to_numpy()[rows], source: a[source].to_numpy()[rows], f"of_{unlike}": b[unlike].to_numpy()[cols], target: b[target].to_numpy()[cols], "score": score[rows, cols]})
+        found = pd.DataFrame({by: a[by].to_numpy()[rows], source: a[source].to_numpy()[rows], f"of_{unlike}": b[unlike].to_numpy()[cols], target: b[target].to_numpy()[cols], "score": score.ravel()})
         return found[found["score"] > -np.inf]
 
     each = left.unionByName(right).groupBy(by, "i", "j").applyInPandas(run, out)
