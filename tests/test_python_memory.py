@@ -5,6 +5,7 @@ import random
 from pyspark.sql import types as T_
 
 from doclattice.operators import chunking, search
+from doclattice.plans import registry
 
 
 def test_only_places_come_from_python(spark):
@@ -25,3 +26,8 @@ def test_slices_of_a_block(spark, monkeypatch):
     whole = got()
     monkeypatch.setattr(search, "SLICE", 3)
     assert len(whole) == 200 and got() == whole
+
+
+def test_counts_of_customers_repeat_no_row(spark, sf_dir, capsys):
+    registry.queries()["a2_per_document_counts"](spark, sf_dir).explain()
+    assert "Expand" not in capsys.readouterr().out
