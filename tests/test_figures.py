@@ -39,3 +39,26 @@ def test_tags_and_codes(spark):
     df = spark.createDataFrame([("The Pump P-101, PU3 and burner; 7M2 P-101 TANK-22 AB12 WIRING",), ("",)], "t string")
     rows = df.select(figures.domain_tags(F.col("t")).alias("tags"), figures.entity_codes(F.col("t")).alias("codes")).collect()
     assert rows[0].tags == ["combustion", "fluid_system", "electrical"] and rows[0].codes == ["P-101", "PU3", "AB12"] and rows[1].tags == rows[1].codes == []
+
+
+def test_texts_are_searched_once_for_all_matches(spark):
+    """Neither the places of matches nor tags search or lower a text again for each match or word."""
+    n = 20_000
+    df = spark.createDataFrame([(1, "see figure 1 " * n), (2, None), (3, "none")], "id int, text string")
+    parts = lambda c: df.select(c.alias("c"))._jdf.queryExecution().optimizedPlan().toString()
+    plan = parts(figures.matches_with_places(F.col("text"), F.lit("figure")))
+    assert plan.count("regexp_extract_all") == plan.count("split(") == 1
+    assert parts(figures.domain_tags(F.col("text"))).count("lower(") == 1
+    few = df.select("id", figures.matches_with_places(F.substring("text", 1, 26), F.lit(r"(?i)FIGURE\s")).alias("m")).orderBy("id").collect()
+    assert [None if r.m is None else [tuple(x) for x in r.m] for r in few] == [[("figure ", 4), ("figure ", 17)], None, []]
+
+
+@pytest.mark.parametrize("k", range(3))
+def test_what_references_begin_with(k):
+    import re
+
+    pattern = figures.REFERENCES[k].replace("{}", "4")
+    texts = [f"{a} {n} 4 {z}" for a in ("see", "Refer to", "SHOWN IN", "depicted in", "illustrated in", "as per", "x") for n in ("figure", "FIG", "fig.", "Diagram", "drawing") for z in ("shows", "illustrates", "")]
+    texts += [f"({t})" for t in texts] + [f"({n} 4)" for n in ("figure", "Fig.", "Diagram")]
+    found = [re.findall("(?i)" + pattern, t) for t in texts]
+    assert any(found) and found == [re.findall(f"(?i)(?={figures.BEGIN[k]}){pattern}", t) for t in texts]
