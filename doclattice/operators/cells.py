@@ -1,8 +1,8 @@
 """Approximate nearest neighbours by cells of vectors, with exact scores.
 
 Index: k-means centres (cosine) of a bounded sample of SAMPLE points, at most
-MOST_CELLS of them; every point is written with the cell of its nearest centre, in
-order of cells. Search: each query asks the cells of its nearest centres (probes),
+MOST_CELLS of them; every point is written with the cell of its nearest centre, each
+part of the points in order of cells, in one pass that moves none. Search: each query asks the cells of its nearest centres (probes),
 in which its cosines are exact, as blocks of matrix products in one plan; a cell of
 very many points is many blocks (search.in_blocks). The number of probes is measured
 when the index is built: for TRIED points as queries the exact neighbours are found
@@ -39,7 +39,8 @@ def nearest_cells(rows: DataFrame, vector: str, centres, most: int) -> DataFrame
         for g in batches:
             if len(g) and len(centres.value):
                 near = np.round(np.stack([np.asarray(v, float) for v in g[vector]]) @ centres.value.T, 12)
-                order = np.argsort(-near, axis=1, kind="stable")[:, :most]
+                # Of equal ones the first; cells are sorted only where several are asked for.
+                order = np.argmax(near, axis=1)[:, None] if most == 1 else np.argsort(-near, axis=1, kind="stable")[:, :most]
                 yield g.assign(cells=list(order.astype(np.int32)))
 
     return rows.mapInPandas(run, schema)
@@ -74,7 +75,7 @@ def build(points: DataFrame, key: str, vector: str, folder: str, k: int = 10, ce
     taken.unpersist()
     centres = spark.sparkContext.broadcast(found / np.maximum(np.linalg.norm(found, axis=1, keepdims=True), 1e-300) if len(found) else found)
     dealt = nearest_cells(unit, vector, centres, 1).withColumn("cell", F.get("cells", F.lit(0))).drop("cells")
-    dealt.repartitionByRange("cell", key).sortWithinPartitions("cell", key).write.parquet(folder)
+    dealt.sortWithinPartitions("cell", key).write.parquet(folder)
     index = CellIndex(spark, folder, key, vector, centres, 1)
     index.probes = measured_probes(index, k, tried, recall) if n else 1
     return index

@@ -71,3 +71,32 @@ def test_few_points(spark, tmp_path):
         index = cells.build(df, "vec_id", "embedding", str(tmp_path / f"i{n}"))
         asked = spark.createDataFrame([(1, [1.0, 0.5])], "q_id long, q array<float>")
         assert index.search(asked, 3, 0.0, "q_id").count() == n
+
+
+def test_points_are_dealt_to_cells_once(spark, points, tmp_path, monkeypatch):
+    """The nearest cells of a point are found in the pass that writes it: not once more for the bounds of a range."""
+    _, df = points
+    seen = spark.sparkContext.accumulator(0)
+    whole = cells.nearest_cells
+
+    def counted(rows, vector, centres, most):
+        def run(batches):
+            for b in batches:
+                seen.add(len(b))
+                yield b
+
+        return whole(rows.mapInPandas(run, rows.schema) if most == 1 else rows, vector, centres, most)
+
+    monkeypatch.setattr(cells, "nearest_cells", counted)
+    index = cells.build(df.select("vec_id", "embedding"), "vec_id", "embedding", str(tmp_path / "i"), cells=9)
+    assert seen.value == index.rows.count() == 601
+
+
+def test_the_nearest_cell_is_the_first_of_all(spark, points):
+    _, df = points
+    centres = np.random.RandomState(1).randn(9, 16)
+    centres[5] = centres[2]  # two that are always equally near
+    sent = spark.sparkContext.broadcast(centres)
+    rows = df.where("vec_id < 600").select("vec_id", "embedding")
+    one, several = ({r.vec_id: r.cells[0] for r in cells.nearest_cells(rows, "embedding", sent, most).collect()} for most in (1, 9))
+    assert one == several and 5 not in one.values()
