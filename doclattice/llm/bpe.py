@@ -44,6 +44,7 @@ through, but for columns named like a new one, which are replaced.
 
 from __future__ import annotations
 
+import gc
 import heapq
 import json
 import os
@@ -57,6 +58,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
+from doclattice.llm.common import lean
 from doclattice.llm.odd_characters import Library, odd_characters
 
 #: White space of Unicode, as the tokenizer files' patterns see it.
@@ -371,6 +373,16 @@ def loaded(make, data):
     return LOADED[key]
 
 
+def unload() -> None:
+    """Drops the tokenizers that earlier tasks have left in this worker process (some 200 MB with their tables). Later tasks load them again.
+
+    Spark hands a worker on from stage to stage, so operators that need memory of their own call this as their tasks begin.
+    """
+    if LOADED:
+        LOADED.clear()
+        gc.collect()
+
+
 def tokenizer_data(spark, path: str):
     """The file's bytes (one or two MB, whatever the input) and the odd characters, for all executors."""
     with open(path, "rb") as f:
@@ -410,7 +422,7 @@ def map_column(df: DataFrame, column: str, names: list[tuple[str, str, pa.DataTy
                 new = f(part[column].to_pylist())
                 yield pa.RecordBatch.from_arrays([*(part.columns[i] for i in stay), *(pa.array(v, k) for v, k in zip(new, kinds, strict=True))], names=labels)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
 
 
 def encode_column(df: DataFrame, data, text: str = "text", ids: str = "token_ids", keep: bool = True) -> DataFrame:

@@ -48,8 +48,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from doclattice.llm.bpe import slices
-from doclattice.llm.common import WORD
+from doclattice.llm.bpe import slices, unload
+from doclattice.llm.common import WORD, lean
 
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.998
 TREES, DEPTH = 16, 8
@@ -111,6 +111,7 @@ def signed_texts(docs: DataFrame) -> DataFrame:
     schema = pa.schema([("digest", pa.binary()), ("doc_id", pa.int64()), ("bytes", pa.int64()), ("labels", pa.list_(pa.int64()))])
 
     def run(batches):
+        unload()
         for whole in batches:
             for b in slices(whole, "text"):
                 texts = b["text"].to_pylist()
@@ -119,7 +120,7 @@ def signed_texts(docs: DataFrame) -> DataFrame:
                     [b["digest"], b["doc_id"], pa.array([len(t.encode("utf-8", "surrogatepass")) for t in texts], pa.int64()), pa.array(found, schema.field("labels").type)], schema=schema
                 )
 
-    signed = docs.where("digest IS NOT NULL").select("digest", "doc_id", "text").mapInArrow(run, "digest binary, doc_id long, bytes long, labels array<long>")
+    signed = docs.where("digest IS NOT NULL").select("digest", "doc_id", "text").mapInArrow(lean(run), "digest binary, doc_id long, bytes long, labels array<long>")
     return signed.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.max("bytes").alias("bytes"), F.max("labels").alias("labels"))
 
 
@@ -258,6 +259,7 @@ def members_at(rows: DataFrame, depth: int) -> DataFrame:
     paired = dealt.select("tree", "prefix", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "digest", "n", "labels")
 
     def run(batches):
+        unload()
         for g in groups_of(batches, ["tree", "prefix", "i", "j"]):
             pair = first_met(g, depth)
             keep = pair.any(0) | pair.any(1)
@@ -265,7 +267,7 @@ def members_at(rows: DataFrame, depth: int) -> DataFrame:
                 yield from g.filter(pa.array(keep)).combine_chunks().to_batches()
 
     by = ["tree", "prefix", "i", "j"]
-    return paired.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, paired.schema)
+    return paired.repartition(*by).sortWithinPartitions(*by).mapInArrow(lean(run), paired.schema)
 
 
 def verified_links(docs: DataFrame, members: DataFrame, depth: int, least: int, threshold: float) -> DataFrame:
@@ -277,12 +279,13 @@ def verified_links(docs: DataFrame, members: DataFrame, depth: int, least: int,
     by = ["tree", "prefix", "i", "j"]
 
     def run(batches):
+        unload()
         for g in groups_of(batches, by):
             if (out := linked(g, depth, least, threshold)) is not None:
                 yield out
 
     schema = "digest binary, links long, root binary, pairs long, " + ", ".join(f"at{d} double" for d in range(least, DEPTH + 1))
-    return rows.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, schema)
+    return rows.repartition(*by).sortWithinPartitions(*by).mapInArrow(lean(run), schema)
 
 
 def forest_links(docs: DataFrame, texts: DataFrame, threshold: float, recall: float) -> DataFrame:
