@@ -271,7 +271,7 @@ def checked_model(spec: dict, suffix: str = "") -> dict:
 class Known(dict):
     """Values by key, the most recent 1 or 2 times MOST of them: when full, it becomes the older generation, which what is asked for leaves again."""
 
-    MOST = 100_000
+    MOST = 50_000
     #: Longer keys are computed each time.
     LONGEST = 128
 
@@ -418,7 +418,7 @@ def map_column(df: DataFrame, column: str, names: list[tuple[str, str, pa.DataTy
     def run(batches):
         f = make()
         for whole in batches:
-            for part in slices(whole, column):
+            for part in slices(whole, column, 1 << 20):
                 new = f(part[column].to_pylist())
                 yield pa.RecordBatch.from_arrays([*(part.columns[i] for i in stay), *(pa.array(v, k) for v, k in zip(new, kinds, strict=True))], names=labels)
 

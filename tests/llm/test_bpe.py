@@ -196,3 +196,9 @@ def test_random_strings_of_odd_characters_equal_the_library_s():
     for t, ids, n in zip(texts, lib.encode_batch(texts, add_special_tokens=False), bytes_lib.encode_batch(texts, add_special_tokens=False)):
         assert np.frombuffer(own.encode(t), "<u4").tolist() == ids.ids, ascii(t)
         assert counter.count(t) == len(n.ids), ascii(t)
+
+
+def test_a_worker_makes_values_of_a_mb_of_text_at_a_time(spark):
+    docs = spark.createDataFrame([(i, "x" * 100_000) for i in range(60)], "doc_id long, text string").coalesce(1)
+    seen = bpe.map_column(docs, "text", [("held", "long", bpe.pa.int64())], lambda: lambda texts: [[sum(map(len, texts))] * len(texts)])
+    assert 100_000 < max(r.held for r in seen.collect()) <= 1 << 20
