@@ -16,15 +16,15 @@ and an arc u leaves state(t) unless some merge (x, y) with x on the right spine
 of t and y on the left spine of u came before the merges that grow x and y
 further.
 
-Words are read symbol by symbol. A state of the symbol automaton is the set of
-(state of the token automaton, place in the trie of tokens) that the symbols so
-far can have led to; it is determinised as words ask for it, and its table of
-transitions is kept (bounded, see MOST: when it is full it starts anew, which
-changes the speed only). Every prefix of a word is spelled by exactly one
-accepted sequence, so each state names the one token that ends there: one table
-step for each symbol, nothing is tried and taken back, and the tokens are read
-off from the end of the word by their lengths. Decoding emits the labels of the
-arcs.
+Words are read symbol by symbol, by the automaton of the trie of tokens with
+failure links: its state is the longest end of what was read that begins a token,
+and names the tokens that end there. Its transitions beyond the trie are found as
+words ask for them and kept (bounded, see MOST: when the table is full it starts
+anew, which changes the speed only). Every prefix of a word is spelled by exactly
+one accepted sequence, so of the tokens that end at a place exactly one is an arc
+out of the state in which the symbols before it ended: one table step for each
+symbol, nothing is tried and taken back, and the tokens are read off from the end
+of the word by their lengths. Decoding emits the labels of the arcs.
 
 What lies between white space, and the pieces of it, are looked up in tables of
 what the worker has encoded before. The tables are bounded (see Known); they
@@ -81,6 +81,34 @@ def byte_labels() -> list[str]:
     return [labels[b] for b in range(256)]
 
 
+class Arcs(dict):
+    """Whether an arc leaves the state of a token, by the arc's token, as far as it was asked for. No token (-1): the start, which all leave."""
+
+    __slots__ = ("automaton", "token")
+
+    def __init__(self, automaton: Automaton, token: int) -> None:
+        self.automaton, self.token = automaton, token
+
+    def __missing__(self, u: int) -> bool:
+        if self.token < 0:
+            return True
+        stays = self[u] = self.automaton.stays(self.token, u)
+        self.automaton.asked += 1
+        return stays
+
+
+class Place(dict):
+    """A state of the symbol automaton: transitions by symbol, as far as they were asked for, and the tokens of two symbols and more that end here."""
+
+    __slots__ = ("automaton", "found", "node")
+
+    def __init__(self, automaton: Automaton, node: int) -> None:
+        self.automaton, self.node, self.found = automaton, node, automaton.found[node]
+
+    def __missing__(self, code: int) -> Place:
+        return self.automaton.step(self, code)
+
+
 class Automaton:
     """merges: pairs of token strings in order of rank. suffix: what ends the last symbol of a word."""
 
@@ -91,7 +119,9 @@ class Automaton:
         self.made = {a + b for a, b in merges}
         for time, (a, b) in enumerate(merges):
             self.gadget(a, b, time)
-        self.arcs: dict[int, bool] = {}
+        self.start = Arcs(self, -1)
+        self.states: dict[int, Arcs] = {}
+        self.asked = 0
         self.left = None
         self.tokens: list[str] = []
         self.sizes: list[int] = []
@@ -114,11 +144,16 @@ class Automaton:
         self.born = array("q", [h[2] if h else 1 << 60 for h in halves])
         del self.removed, self.halves, self.made
         self.labels = byte_labels()
-        self.moves: dict[int, int] = {}
-        self.numbers: dict[bytes, int] = {}
-        self.sets: list[bytes] = []
-        self.last: list[int] = []
-        self.reset()
+        self.link()
+        self.alone = [self.ends[self.trie[code]] for code in range(len(self.symbols))]
+        self.root, self.moves, self.kept = Place(self, 0), {}, 0
+        # The code of each byte within a word and at its end.
+        for c in self.labels:
+            for s in (c, c + suffix):
+                if s not in self.symbols:
+                    self.add(s, [s])
+        self.within = [self.symbols[c] for c in self.labels]
+        self.at_end = [self.symbols[c + suffix] for c in self.labels]
 
     def gadget(self, a: str, b: str, time: int) -> None:
         """state(a) loses the arc b; the token ab enters what b entered. Without an arc b there, nothing happens."""
@@ -144,18 +179,19 @@ class Automaton:
             for y, y_until in ys
         )
 
-    def has_arc(self, t: int, u: int) -> bool:
-        """Whether the arc u leaves state(t), tokens by number. As arc_at, after all gadgets."""
-        key = t << 32 | u
-        known = self.arcs.get(key)
-        if known is None:
-            known = self.stays(t, u)
-            if len(self.arcs) >= 150_000:
-                self.arcs.clear()
-            self.arcs[key] = known
-        return known
+    #: Most arcs that are kept.
+    MOST_ARCS = 150_000
+
+    def state(self, t: int) -> Arcs:
+        """The state that a token enters."""
+        if self.asked >= self.MOST_ARCS:
+            self.states.clear()
+            self.asked = 0
+        state = self.states[t] = Arcs(self, t)
+        return state
 
     def stays(self, t: int, u: int) -> bool:
+        """Whether the arc u leaves state(t), tokens by number. As arc_at, after all gadgets."""
         times, left, right, born = self.times, self.left, self.right, self.born
         x, x_until = t, 1 << 60
         while x >= 0:
@@ -184,69 +220,92 @@ class Automaton:
             for half in (self.left, self.right):
                 half.append(-1)
             self.born.append(1 << 60)
+            self.alone.append(self.ends[node])
+            self.fails.append(0)
+            self.found.append(())
+
+    def link(self) -> None:
+        """Failure links of the trie's nodes, shorter ones first, and the tokens of two symbols and more that end at each node, as (number of symbols, token), the longest first."""
+        n = len(self.ends)
+        depth, above, of = [0] * n, array("l", [0]) * n, array("l", [0]) * n
+        for key, node in self.trie.items():  # a node comes after the one above it
+            above[node], of[node] = key >> 20, key & 0xFFFFF
+            depth[node] = depth[key >> 20] + 1
+        self.fails, self.found = array("l", [0]) * n, [()] * n
+        for node in sorted(range(1, n), key=depth.__getitem__):
+            if above[node]:
+                self.fails[node] = self.onward(self.fails[above[node]], of[node])
+            u, rest = self.ends[node], self.found[self.fails[node]]
+            self.found[node] = rest if u < 0 or self.sizes[u] < 2 else ((self.sizes[u], u), *rest)
+
+    def onward(self, node: int, code: int) -> int:
+        """Where the symbol leads from a node: down the trie from it or from the first of its failure links that has it."""
+        trie = self.trie
+        while (to := trie.get(node << 20 | code)) is None and node:
+            node = self.fails[node]
+        return to or 0
 
     #: Most transitions between symbols that are kept.
     MOST = 150_000
 
     def reset(self) -> None:
-        """Only the start: no token yet, the root of the trie."""
+        """No transition is kept."""
+        for place in (self.root, *self.moves.values()):
+            place.clear()
         self.moves.clear()
-        self.numbers.clear()
-        del self.sets[:], self.last[:]
-        self.start = self.number(array("q", [-1 << 24]).tobytes(), -1)
-
-    def number(self, places: bytes, ended: int) -> int:
-        """The number of a set of places, the last of which is where a token ended."""
-        n = self.numbers.get(places)
-        if n is None:
-            n = self.numbers[places] = len(self.sets)
-            self.sets.append(places)
-            self.last.append(ended)
-        return n
+        self.kept = 0
 
-    def step(self, at: int, code: int) -> int:
-        """The transition, determinised. A place is a token (-1: none) and a node of the trie."""
-        places, ended = array("q"), -1
-        trie, ends = self.trie, self.ends
-        for place in array("q", self.sets[at]):
-            to = trie.get((place & 0xFFFFFF) << 20 | code)
-            if to is not None:
-                token, u = place >> 24, ends[to]
-                if u >= 0 and (token < 0 or self.has_arc(token, u)):
-                    ended = u
-                places.append(token << 24 | to)
-        places.append(ended << 24)
-        if len(self.moves) >= self.MOST:
+    def step(self, at: Place, code: int) -> Place:
+        """A transition that the table does not have."""
+        if self.kept >= self.MOST:
             self.reset()
-            return self.number(places.tobytes(), ended)
-        to = self.moves[at << 20 | code] = self.number(places.tobytes(), ended)
+        node = self.onward(at.node, code)
+        to = self.moves.get(node) if node else self.root
+        if to is None:
+            to = self.moves[node] = Place(self, node)
+        at[code] = to
+        self.kept += 1
         return to
 
-    def encode(self, symbols: list[str]) -> list[str]:
-        """The tokens of a word given by its base symbols: one step of the table for each, then the tokens from the end."""
-        codes = list(map(self.symbols.get, symbols))
-        if None in codes:
-            for s in symbols:
-                if s not in self.symbols:
-                    self.add(s, [s])
-            codes = [self.symbols[s] for s in symbols]
-        at, moves, last, ended = self.start, self.moves, self.last, []
+    def tokens_of(self, codes: list[int]) -> list[int]:
+        """The tokens, by number, of a word given by its symbols' codes: one step of the table for each, then the tokens from the end."""
+        at, i, states, alone, ended, before = self.root, 0, self.states, self.alone, [], [self.start]
         for c in codes:
-            to = moves.get(at << 20 | c)
-            at = self.step(at, c) if to is None else to
-            ended.append(last[at])
-        out, i, sizes = [], len(codes), self.sizes
+            at = at[c]
+            i += 1
+            for size, u in at.found:
+                if before[i - size][u]:
+                    break
+            else:  # exactly one token ends here, so it is the symbol
+                u = alone[c]
+            ended.append(u)
+            state = states.get(u)
+            before.append(self.state(u) if state is None else state)
+        out, sizes = [], self.sizes
         while i:
             u = ended[i - 1]
-            out.append(self.tokens[u])
+            out.append(u)
             i -= sizes[u]
-        return out[::-1]
+        out.reverse()
+        return out
+
+    def encode(self, symbols: list[str]) -> list[str]:
+        """The tokens of a word given by its base symbols."""
+        for s in symbols:
+            if s not in self.symbols:
+                self.add(s, [s])
+        return [self.tokens[u] for u in self.tokens_of([self.symbols[s] for s in symbols])]
+
+    def numbers_of(self, piece: str) -> list[int]:
+        """The tokens of a word's bytes, by number."""
+        data = piece.encode("utf-8", "surrogatepass")
+        codes = list(map(self.within.__getitem__, data))
+        if codes:
+            codes[-1] = self.at_end[data[-1]]
+        return self.tokens_of(codes)
 
     def encode_bytes(self, piece: str) -> list[str]:
-        symbols = [self.labels[b] for b in piece.encode("utf-8", "surrogatepass")]
-        if self.suffix and symbols:
-            symbols[-1] += self.suffix
-        return self.encode(symbols)
+        return [self.tokens[u] for u in self.numbers_of(piece)]
 
 
 def added_tokens(spec: dict) -> tuple[dict[str, int], regex.Pattern | None, str]:
@@ -299,12 +358,13 @@ class WordTokenizer:
         model = checked_model(spec, spec["model"].get("end_of_word_suffix") or "")
         if [n["type"] for n in spec["normalizer"]["normalizers"]] != ["NFC", "Replace", "Lowercase"]:
             raise ValueError("a kind of normalisation that is not handled")
-        self.ids: dict[str, int] = model["vocab"]
+        ids = model["vocab"]
         self.automaton = Automaton([tuple(m) if not isinstance(m, str) else tuple(m.split(" ")) for m in model["merges"]], model.get("end_of_word_suffix") or "")
         self.special, self.special_at, self.begins = added_tokens(spec)
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pieces = regex.compile(split["pattern"]["Regex"].replace(r"\s", SPACES))
         self.library = Library(odd, split["pattern"]["Regex"])
+        self.packed = [np.array([ids[t]], "<u4").tobytes() if t in ids else None for t in self.automaton.tokens]
         self.chunks, self.words = Known(self.encode_chunk), Known(self.encode_piece)
 
     def lower(self, text: str) -> str:
@@ -315,7 +375,7 @@ class WordTokenizer:
         return text.lower() if "Σ" not in text else text.replace("Σ", "σ").lower()
 
     def encode_piece(self, piece: str) -> bytes:
-        return np.array([self.ids[t] for t in self.automaton.encode_bytes(piece)], "<u4").tobytes()
+        return b"".join(map(self.packed.__getitem__, self.automaton.numbers_of(piece)))
 
     def split(self, chunk: str) -> list[str]:
         """The words of what lies between white space, normalised."""
@@ -329,7 +389,10 @@ class WordTokenizer:
         return self.pieces.findall(low)
 
     def encode_chunk(self, chunk: str) -> bytes:
-        return b"".join([self.words[p] for p in self.split(chunk)])
+        words = self.split(chunk)
+        if len(words) == 1 and words[0] == chunk:  # kept once, as a chunk
+            return self.encode_piece(chunk)
+        return b"".join([self.words[p] for p in words])
 
     def encode_plain(self, text: str) -> bytes:
         chunks = text.split() if ODD.search(text) is None else CHUNK.findall(text)

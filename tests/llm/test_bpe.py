@@ -198,6 +198,26 @@ def test_random_strings_of_odd_characters_equal_the_library_s():
         assert counter.count(t) == len(n.ids), ascii(t)
 
 
+def test_new_words_of_known_parts_ask_for_few_transitions(monkeypatch):
+    """States name places in the trie, not what was read before: words that nobody has seen mostly take transitions that others asked for."""
+    own, rng, steps = bpe.WordTokenizer(read("word_bpe_49k.json")).automaton, random.Random(8), []
+    step = bpe.Automaton.step
+    monkeypatch.setattr(bpe.Automaton, "step", lambda self, at, code: steps.append(1) or step(self, at, code))
+    parts = ["th", "er", "tion", "oi", "aux", "elle", "é", "ment", "ich", "sch", "ó", "an"]
+    for _ in range(4000):
+        own.encode_bytes("".join(rng.choice(parts) for _ in range(rng.randrange(2, 7))))
+    assert len(steps) < 1500
+
+
+def test_arcs_that_are_kept_are_bounded(monkeypatch):
+    own = bpe.WordTokenizer(read("word_bpe_49k.json")).automaton
+    words = ["straightforwardness", "l'éléphantesque", "unverhältnismäßig", "aaaaaabaaaa"] * 2
+    whole = [own.encode_bytes(w) for w in words]
+    monkeypatch.setattr(bpe.Automaton, "MOST_ARCS", 3)
+    own.states.clear()
+    assert [own.encode_bytes(w) for w in words] == whole and len(own.states) <= 8
+
+
 def test_a_worker_makes_values_of_a_mb_of_text_at_a_time(spark):
     docs = spark.createDataFrame([(i, "x" * 100_000) for i in range(60)], "doc_id long, text string").coalesce(1)
     seen = bpe.map_column(docs, "text", [("held", "long", bpe.pa.int64())], lambda: lambda texts: [[sum(map(len, texts))] * len(texts)])
