@@ -60,12 +60,12 @@ def term_counts(docs: DataFrame) -> DataFrame:
 
     def rows_of(tables):
         for (lang, source), (n, held) in tables.items():
-            terms = list(n)
-            size = len(terms) + 1
+            size = len(n) + 1
+            # The terms are whole characters of UTF-8, so their bytes are a string column's. held has them in the order of n.
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([lang] * size, pa.string()), pa.array([source] * size, pa.string()), pa.array([None, *(t.decode("utf-8", "surrogatepass") for t in terms)], pa.string()),
-                    pa.array([0, *n.values()], pa.int64()), pa.array([0, *(held[t] for t in terms)], pa.int64()),
+                    pa.repeat(pa.scalar(lang, pa.string()), size), pa.repeat(pa.scalar(source, pa.string()), size), pa.array([None, *n], pa.binary()).view(pa.string()),
+                    pa.array([0, *n.values()], pa.int64()), pa.array([0, *held.values()], pa.int64()),
                 ],
                 schema=columns,
             )
@@ -75,10 +75,12 @@ def term_counts(docs: DataFrame) -> DataFrame:
         for whole in batches:
             for b in slices(whole, "text"):
                 for lang, source, text in zip(b["lang"].to_pylist(), b["source"].to_pylist(), b["text"].to_pylist()):
-                    n, held = tables.setdefault((lang, source), (Counter(), Counter()))
-                    found = Counter(text.encode("utf-8", "surrogatepass").translate(FOLD).split())
+                    if (table := tables.get((lang, source))) is None:
+                        table = tables[lang, source] = Counter(), Counter()
+                    n, held = table
+                    found = text.encode("utf-8", "surrogatepass").translate(FOLD).split()
                     n.update(found)
-                    held.update(found.keys())
+                    held.update(dict.fromkeys(found).keys())
                 if sum(len(n) + 1 for n, _ in tables.values()) > MOST_TERMS:
                     yield from rows_of(tables)
                     tables = {}

@@ -79,3 +79,34 @@ def test_shares_are_exact_beyond_doubles():
     for count, total, v in [(0, 0, 1), (10**15, 3 * 10**15, 10**6), (9 * 10**14 + 1, 9 * 10**14 + 7, 3)]:
         got = divergence.shares(np.array([count], np.int64), np.array([total], np.int64), v)
         assert got.tolist() == [1 + 10**9 * (count + 2) // (total + 2 * v)]
+
+
+def test_no_table_of_its_own_for_each_document(spark, monkeypatch):
+    made = []
+
+    class Table(divergence.Counter):
+        def __init__(self, *of):
+            made.append(1)
+            super().__init__(*of)
+
+    class Docs:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            self.run = run
+            return self
+
+        groupBy = agg = select
+
+    monkeypatch.setattr(divergence, "Counter", Table)
+    docs, rng = Docs(), random.Random(2)
+    texts = [" ".join(rng.choice(["Aé", "b", "ßx", "日本", "c9d", "-"]) for _ in range(30)) for _ in range(50)]
+    divergence.term_counts(docs)
+    batch = divergence.pa.RecordBatch.from_pydict({"lang": ["l"] * 50, "source": ["s", "t"] * 25, "text": texts})
+    rows = [r for b in docs.run(iter([batch])) for r in b.to_pylist()]
+    words = lambda t: t.replace("A", "a").replace("9", " ").replace("-", " ").split()
+    for s in (0, 1):
+        want = {w: (sum(words(t).count(w) for t in texts[s::2]), sum(w in words(t) for t in texts[s::2])) for t in texts[s::2] for w in words(t)} | {None: (0, 0)}
+        assert {r["term"]: (r["n"], r["docs"]) for r in rows if r["source"] == "st"[s]} == want
+    assert len(made) == 4
