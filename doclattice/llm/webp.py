@@ -84,6 +84,10 @@ for _b in range(15):
     REVERSED |= ((np.arange(1 << 15) >> _b) & 1).astype(np.int32) << (14 - _b)
 
 
+#: The numbers of so many bits, reversed.
+TURNED = [(REVERSED[: 1 << _n] >> (15 - _n)).astype(np.int64) for _n in range(16)]
+
+
 def codes_of(lengths: np.ndarray) -> np.ndarray:
     """The canonical code of each symbol, its first bit lowest. One symbol alone needs no bits."""
     used = np.nonzero(lengths)[0]
@@ -112,7 +116,7 @@ def table_of(lengths: np.ndarray) -> tuple[np.ndarray, int]:
     # In the order of the first-bit-highest codes each symbol fills one stretch.
     order = used[np.argsort(lengths[used], kind="stable")]
     high = np.repeat((order << 4 | lengths[order]).astype(np.int32), 1 << (most - lengths[order].astype(np.int64)))
-    return high[REVERSED[: 1 << most] >> (15 - most)], most
+    return high[TURNED[most]], most
 
 
 # ---------------------------------------------------------------- reading
@@ -204,6 +208,8 @@ def distance_of(code: int, width: int) -> int:
 
 def scan(bits: Bits, group: list, n: int, width: int, cache_bits: int, referring: bool) -> np.ndarray:
     """n pixels read with one group of codes: lengths at every bit, then the chain of those at which pixels start."""
+    if not cache_bits and not referring and group[0][1] and all(t[0] is group[0][0] for t in group[1:4]):
+        return scan_plain(bits, group[0], n)
     raw = np.frombuffer(bits.data, np.uint8, offset=bits.at >> 3)
     base = (bits.at >> 3) << 3
     padded = np.zeros(len(raw) + 12, np.int64)
@@ -215,33 +221,27 @@ def scan(bits: Bits, group: list, n: int, width: int, cache_bits: int, referring
     looked: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     def look(table):
-        """Entries and lengths at every bit; none at the very end, so that no place leads beyond it."""
+        """Entries at every bit, and where what starts there ends; none at the very end, so that no place leads beyond it."""
         if id(table[0]) not in looked:
-            e = table[0][window & ((1 << table[1]) - 1)]
+            e = table[0].take(window & ((1 << table[1]) - 1))
             size = e & 15
             size[-16:] = 0
-            looked[id(table[0])] = e, size
+            looked[id(table[0])] = e, here + size
         return looked[id(table[0])]
 
-    e, size = look(group[0])
-    after = [here + size]
+    e, first = look(group[0])
+    after = [first]
     parts = [look(t)[0] for t in group[1:4]]
-    if all(t[0] is group[0][0] for t in group[1:4]):
-        one = after[0]
-        two = one[one]
-        after += [two, one[two], two[two]]
-    else:
-        for t in group[1:4]:
-            at = after[-1]
-            after.append(at + look(t)[1][at] if t[1] else at)
+    for t in group[1:4]:
+        at = after[-1]
+        after.append(look(t)[1].take(at) if t[1] else at)
     nxt = after[3]
-    symbol = e >> 4
     run = None
-    special = np.nonzero(symbol >= 256)[0] if cache_bits or referring else np.empty(0, np.int64)
+    special = np.nonzero(e >= 256 << 4)[0] if cache_bits or referring else np.empty(0, np.int64)
     far = None
     if len(special):
         nxt = nxt.copy()
-        kind = symbol[special]
+        kind = e[special] >> 4
         cached = special[kind >= 280]
         nxt[cached] = after[0][cached]
         refs = special[kind < 280]
@@ -253,9 +253,9 @@ def scan(bits: Bits, group: list, n: int, width: int, cache_bits: int, referring
                 got = (window[at] | padded[np.minimum((at >> 3) + 4, len(padded) - 1)] << (32 - (at & 7))) & ((1 << k) - 1)
                 return np.where(s < 4, s + 1, ((2 + (s & 1)) << k) + got + 1), np.minimum(at + k, end - 1)
 
-            length, at = extra(symbol[refs] - 256, after[0][refs].astype(np.int64))
-            d = look(group[4])[0][at]
-            dist, at = extra(d >> 4, np.minimum(at + (d & 15), end - 1))
+            length, at = extra((e[refs] >> 4) - 256, after[0][refs].astype(np.int64))
+            d, behind = look(group[4])
+            dist, at = extra(d[at] >> 4, np.minimum(behind[at], end - 1))
             nxt[refs], run[refs], far[refs] = at, np.minimum(length, n), dist
     chain = memoryview(nxt)
     starts, p = [], bits.at - base
@@ -280,7 +280,7 @@ def scan(bits: Bits, group: list, n: int, width: int, cache_bits: int, referring
         raise BadImage("ends early")
     bits.at = base + p
     at = np.array(starts, np.int64)
-    g = symbol[at]
+    g = e[at] >> 4
     value = lambda k: (parts[k][after[k][at]] >> 4).astype(np.uint32)
     argb = value(2) << 24 | value(0) << 16 | (g & 255).astype(np.uint32) << 8 | value(1)
     if run is not None and (run[at] > 1).any() or (run is not None and (far[at] > 0).any()):
@@ -300,6 +300,42 @@ def scan(bits: Bits, group: list, n: int, width: int, cache_bits: int, referring
     return argb
 
 
+def scan_plain(bits: Bits, table: tuple[np.ndarray, int], n: int) -> np.ndarray:
+    """n pixels whose four channels have one code: only the code's lengths are looked up at every bit, all else where channels start."""
+    entries, most = table
+    base = (bits.at >> 3) << 3
+    raw = bits.data[bits.at >> 3 :] + bytes(8)
+    words = np.ndarray(len(raw) - 4, "<u4", raw, strides=(1,)).astype(np.int64)
+    window = ((words[:, None] >> np.arange(8)) & ((1 << most) - 1)).ravel()
+    one = (entries & 15).astype(np.int64).take(window)
+    one[-16:] = 0  # so that no place leads beyond the end
+    one += np.arange(len(one))
+    two = one.take(one)
+    four = two.take(two)
+    starts, p, limit = [], bits.at - base, 8 * len(bits.data) - base
+    if n > limit - p:
+        raise BadImage("ends early")
+    chain, eight = memoryview(four), memoryview(four.take(four))
+    for _ in range(n >> 1):
+        starts.append(p)
+        p = eight[p]
+    if n & 1:
+        starts.append(p)
+    at = np.empty(n, np.int64)
+    at[::2] = starts
+    at[1::2] = four.take(at[: n - 1 : 2])
+    p = chain[int(at[-1])]
+    if base + p > 8 * len(bits.data):
+        raise BadImage("ends early")
+    bits.at = base + p
+    symbols = (entries >> 4).astype(np.uint32)
+    out = symbols.take(window.take(at)) << 8
+    for shift in (16, 0, 24):
+        at = one.take(at)
+        out |= symbols.take(window.take(at)) << shift
+    return out
+
+
 def hash_of(argb: np.ndarray, bits: int) -> np.ndarray:
     return (argb.astype(np.uint32) * np.uint32(CACHE_HASH)) >> np.uint32(32 - bits)
 
@@ -622,6 +658,17 @@ def recurring(argb: np.ndarray, least: int = 12) -> list[tuple[int, int, int]]:
     return out
 
 
+def put_plain(w: Writer, channels: np.ndarray) -> None:
+    """Pixels (rows of green, red, blue, alpha) with one code for all four channels, written four times."""
+    shared = code_lengths(np.bincount(channels.ravel(), minlength=256))
+    one = Writer()
+    put_lengths(one, shared)
+    for _ in range(4):
+        w.put(one.value, one.size)
+    put_lengths(w, np.zeros(40, np.uint8))
+    w.put_all(codes_of(shared)[channels], shared[channels])
+
+
 def put_pixels(w: Writer, argb: np.ndarray, width: int, main: bool, cache_bits: int = 0, refer: bool = False, groups: tuple[int, np.ndarray] | None = None) -> None:
     n = len(argb)
     w.put(int(cache_bits > 0), 1)
@@ -629,6 +676,12 @@ def put_pixels(w: Writer, argb: np.ndarray, width: int, main: bool, cache_bits:
         w.put(cache_bits, 4)
     if main:
         w.put(int(groups is not None), 1)
+    refs = recurring(argb) if refer else []
+    if groups is None and not cache_bits and not refs and n >= 16:
+        parts = np.ascontiguousarray(argb, "<u4").view(np.uint8).reshape(n, 4)
+        if (parts != parts[0]).any(0)[[0, 2, 3]].all():
+            put_plain(w, parts[:, [1, 2, 0, 3]])
+            return
     of_group = np.zeros(n, np.int64)
     if groups is not None:
         block, at = groups
@@ -638,7 +691,6 @@ def put_pixels(w: Writer, argb: np.ndarray, width: int, main: bool, cache_bits:
         of_group = at[y >> block, x >> block].astype(np.int64)
     symbol = (argb >> 8 & 255).astype(np.int64)
     keep = np.ones(n, bool)
-    refs = recurring(argb) if refer else []
     if cache_bits:
         index = hash_of(argb, cache_bits).astype(np.int64)
         order = np.argsort(index, kind="stable")
@@ -673,17 +725,6 @@ def put_pixels(w: Writer, argb: np.ndarray, width: int, main: bool, cache_bits:
         lit = literal & mine if groups is not None else literal
         counts = np.bincount(symbol[mine], minlength=size)
         r, b, a = red[lit], blue[lit], alpha[lit]
-        if groups is None and not cache_bits and not len(far_symbol) and n >= 16 and min(np.ptp(r), np.ptp(b), np.ptp(a)) > 0:
-            # One code for all four channels, written four times.
-            all_four = np.stack([symbol, r, b, a], 1)
-            shared = code_lengths(np.bincount(all_four.ravel(), minlength=256))
-            one = Writer()
-            put_lengths(one, shared)
-            for _ in range(4):
-                w.put(one.value, one.size)
-            codes, sizes = codes_of(shared)[all_four], shared[all_four]
-            put_lengths(w, np.zeros(40, np.uint8))
-            continue
         green = code_lengths(counts)
         put_lengths(w, green)
         codes[mine, 0], sizes[mine, 0] = lookup(green, symbol[mine])
@@ -845,11 +886,10 @@ def store(data: bytes) -> bytes:
     width, height = shape_of(size)
     raw = np.zeros(4 * width * height, np.uint8)
     raw[: len(data)] = np.frombuffer(data, np.uint8)
-    r, g, b, a = (raw[k::4].astype(np.uint32) for k in range(4))
-    argb = a << 24 | r << 16 | g << 8 | b
+    argb = np.ascontiguousarray(raw.reshape(-1, 4)[:, [2, 1, 0, 3]]).view("<u4").ravel()
     n = len(argb)
-    colours = len(np.unique(argb))
-    if n <= 16 or (colours <= 256 and n >= 8 * colours):
+    most = min(256, n // 8)  # colours of a palette; those of the first pixels mostly are too many
+    if n <= 16 or (len(np.unique(argb[: most + 64])) <= most and len(np.unique(argb)) <= most):
         return encode(argb, width, height, (PALETTE,))
     return encode(argb, width, height, cache_bits=8 if n >= 4096 else 0)
 

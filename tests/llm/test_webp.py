@@ -195,3 +195,28 @@ def test_palette_is_decided_by_the_whole_payload():
         assert webp.payload_of(webp.decode(file), len(data))[: len(data)] == data
         bits = int.from_bytes(file[20:40], "little") >> 40
         assert bits & 7 == 1 | 3 << 1  # a transform, the palette
+
+
+def test_images_of_one_code_are_read_as_by_the_general_way(monkeypatch):
+    plain, seen = webp.scan_plain, []
+
+    def both(bits, table, n):
+        start = bits.at
+        want = webp.scan(bits, [table] * 5, n, 16, 0, True)
+        end, bits.at = bits.at, start
+        got = plain(bits, table, n)
+        assert (got == want).all() and bits.at == end
+        seen.append(n)
+        return got
+
+    monkeypatch.setattr(webp, "scan_plain", both)
+    rng = random.Random(6)
+    for k in (65, 300, 1027, 4000, 9001):
+        data = bytes(rng.choice(b"abcdefghij klmnop.") for _ in range(k))
+        assert webp.payload_of(webp.decode(webp.store(data)), k).rstrip(b"\0") == data
+    odd = np.random.default_rng(1).integers(0, 2**32, 45, dtype=np.uint64).astype(np.uint32)
+    assert webp.decode(webp.encode(odd, 5, 9)).shape == (9, 5, 4)
+    assert seen == [80, 1008, 2256, 45]
+    file = webp.store(data)
+    with pytest.raises(webp.BadImage):
+        webp.decode(file[: len(file) // 2])
