@@ -95,7 +95,7 @@ def j19_toc_to_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An entry's page is the one it names, else the first one that holds its title."""
     ls = lines(spark, sf_dir)
     d = F.col("doc_id")
-    toc = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("UNIT P-"), 100 + F.pmod(d, F.lit(37))).alias("title"), (F.pmod(d, F.lit(3)) + 1).cast("int").alias("named"))
+    toc = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("UNIT P-"), 100 + d % 37).alias("title"), (d % 3 + 1).cast("int").alias("named"))
     hits = ls.join(toc, "doc_id").where((F.col("page") == F.col("named")) | F.contains("line", F.col("title")))
     best = hits.groupBy("doc_id", "title").agg(F.min(F.struct(F.when(F.col("page") == F.col("named"), 1).otherwise(2).alias("priority"), "page")).alias("b"))
     return best.select("doc_id", "title", "b.page", "b.priority")
@@ -108,7 +108,7 @@ def j19_toc_to_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def t13_t14_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chapters by title: first page, and the last page of later sightings."""
     c = sections(spark, sf_dir).where("title <> ''")
-    return c.groupBy("doc_id", F.upper(F.trim("title")).alias("title")).agg(F.min("page_start").alias("start_page"), F.max("page_end").alias("end_page"), F.count(F.lit(1)).alias("sightings"))
+    return c.groupBy("doc_id", T.upper(T.trim(F.col("title"))).alias("title")).agg(F.min("page_start").alias("start_page"), F.max("page_end").alias("end_page"), F.count(F.lit(1)).alias("sightings"))
 
 
 @operator(
